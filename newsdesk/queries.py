@@ -1,0 +1,5 @@
+"""Registered queries over the driver's tables."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
