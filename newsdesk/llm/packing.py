@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import regrouped, utf8
+from newsdesk.llm.common import regrouped
 from newsdesk.llm.tokens import WordEncoder
 from newsdesk.session import stored
 
@@ -66,7 +66,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         terms = np.flatnonzero(in_docs)
         yield pa.RecordBatch.from_pylist([{"terms": terms.tolist(), "in_docs": in_docs[terms].tolist()}], schema=_TOKENS)
 
-    return stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, TOKENS), "tokens")
+    return stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, TOKENS), "tokens")
 
 
 def _runs(sizes: np.ndarray) -> np.ndarray:

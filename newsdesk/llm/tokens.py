@@ -5,14 +5,16 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 
 from newsdesk.llm.common import Interner
 
 #: Characters on which the splitting rule below agrees with any tokenizer of this kind: printable ASCII and Latin letters.
-_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-įı-ſ]+")
+_LATIN = r"\x21-\x7eÀ-ÖØ-öø-įı-ſ"
+_PLAIN = re.compile(rf"[{_LATIN}]+")
+_PLAIN_TEXT = re.compile(rf"[{_LATIN}\x20\x09-\x0d]*")
 #: The word pieces of the ``word_bpe`` vocabulary's own pre-tokenizer, for lower-cased plain text.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
 
@@ -25,56 +27,72 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def pieces(text: str) -> list[str]:
+    """A text cut where the tokenizer cuts it anyway: no token reaches across.
+
+    Plain words are cut by the tokenizer's own rule, which makes more pieces repeat; words with other
+    characters, or with what may be a special string, stay whole.
+    """
+    if "<|" not in text and _PLAIN_TEXT.fullmatch(text):
+        return _PIECES.findall(text.lower())
+    out: list[str] = []
+    for word in text.split():
+        out += _PIECES.findall(word.lower()) if "<|" not in word and _PLAIN.fullmatch(word) else (word,)
+    return out
+
+
 class WordEncoder:
     """Ids of texts under a tokenizer that drops white space and never joins words across it.
 
-    ``pieces`` splits plain words further by the tokenizer's own rule, which makes more of them
-    repeat.  Words with other characters or special strings go to the tokenizer whole.  Whatever is
-    kept is bounded by ``keep`` words and forgotten beyond it.
+    A piece that comes again is not encoded again; what is kept is bounded by ``keep`` pieces and
+    forgotten beyond it.
     """
 
-    def __init__(self, path: str, keep: int = 600_000) -> None:
+    def __init__(self, path: str, keep: int = 1_000_000) -> None:
         self.encode = tokenizer(path)
         self.keep = keep
+        vocabulary = self.encode.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers, self.pieces = Interner(), {}
-        self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat, self.used, self.known = np.zeros(1 << 14, np.uint32), 0, 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        split: list[list[str]] = []
-        fresh: dict[str, None] = {}
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            parts = _PIECES.findall(text.lower()) if _PLAIN.fullmatch(text) and "<|" not in text else [text]
-            split.append(parts)
-            for p in parts:
-                if p not in self.pieces:
-                    fresh[p] = None
-        new = list(fresh)
-        for p, e in zip(new, self.encode.encode_batch(new, add_special_tokens=False), strict=True):
-            self.pieces[p] = e.ids
-        for n, parts in enumerate(split, self.known):
-            ids = self.pieces[parts[0]] if len(parts) == 1 else [i for p in parts for i in self.pieces[p]]
-            if n >= len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.sizes))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-            self.starts[n], self.sizes[n] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-        self.known += len(split)
-
-    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        self.numbers = Interner()
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self) -> None:
+        known = len(self.starts)
+        fresh = list(islice(reversed(self.numbers), len(self.numbers) - known))[::-1]
+        flat, sizes = [self.flat], [self.sizes]
+        for k in range(0, len(fresh), 2_000):
+            ids, each = self._encoded(fresh[k : k + 2_000])
+            flat.append(ids)
+            sizes.append(each)
+        self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _encoded(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces and how many each has.
+
+        Plain pieces are encoded as one text with spaces between and parted after each token that ends
+        a word; should that not give as many parts as pieces, each piece is encoded on its own.
+        """
+        if self.ends.any() and all(map(_PLAIN.fullmatch, fresh)) and "<|" not in (text := " ".join(fresh)):
+            ids = np.array(self.encode.encode(text, add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(fresh) and last[-1] == len(ids) - 1:
+                return ids, np.diff(last, prepend=-1)
+        lists = [e.ids for e in self.encode.encode_batch(fresh, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; null and empty texts have none."""
-        if len(self.numbers) > self.keep or len(self.pieces) > self.keep:
+        if len(self.numbers) > self.keep:
             self._forget()
-        words = [t.split() if t else [] for t in texts]
-        numbers = [self.numbers.numbers(w) for w in words]
-        if len(self.numbers) > self.known:
-            self._learn(list(islice(reversed(self.numbers), len(self.numbers) - self.known))[::-1])
+        numbers = [self.numbers.numbers(pieces(t) if t else []) for t in texts]
+        if len(self.numbers) > len(self.starts):
+            self._learn()
         out = []
         for n in numbers:
             sizes = self.sizes[n]
