@@ -28,10 +28,10 @@ SEGMENT_BYTES = 12 << 20
 #: Benchmark text bytes that are broadcast at once; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 32 << 20
 CANDIDATES = 1 << 20
-SCHEMA = "segment long, doc_ids binary, null_ids binary, starts binary, lengths binary, terms binary, counts binary, postings binary"
+SCHEMA = "segment long, doc_ids binary, null_ids binary, text_hashes binary, starts binary, lengths binary, terms binary, counts binary, postings binary"
 
 
-def build_segment(ids: list[int | None], texts: list[bytes | None]) -> dict[str, bytes]:
+def build_segment(ids: list[int | None], texts: list[bytes | None], hashes: list[int]) -> dict[str, bytes]:
     """One segment: documents, terms in order of first sight and their ascending postings."""
     terms = Interner()
     numbers, lengths = [], []
@@ -49,6 +49,7 @@ def build_segment(ids: list[int | None], texts: list[bytes | None]) -> dict[str,
     return {
         "doc_ids": np.array([i or 0 for i in ids], "<i8").tobytes(),
         "null_ids": np.packbits(null).tobytes(),
+        "text_hashes": np.array(hashes, "<i8").tobytes(),
         "starts": starts.astype("<i8").tobytes(),
         "lengths": lengths.astype("<i8").tobytes(),
         "terms": b" ".join(terms),
@@ -63,9 +64,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for k, table in enumerate(regrouped(batches, 1, segment_bytes)):
-            yield pa.RecordBatch.from_pylist([{"segment": first + k} | build_segment(table.column(0).to_pylist(), table.column(1).to_pylist())])
+            yield pa.RecordBatch.from_pylist([{"segment": first + k} | build_segment(*(table.column(k).to_pylist() for k in range(3)))])
 
-    return stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, SCHEMA), "positional-index")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    return stored(rows.mapInArrow(run, SCHEMA), "positional-index")
 
 
 @dataclass
@@ -183,8 +185,8 @@ def _spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.stack([start[new], stop[last]], axis=1)
 
 
-def search_segment(row: dict[str, bytes], phrases: Phrases) -> list[tuple[int | None, int, np.ndarray, list[int]]]:
-    """(doc_id, words, merged hit spans, items) of every document of a segment."""
+def search_segment(row: dict[str, bytes], phrases: Phrases) -> list[tuple[int | None, int, np.ndarray, list[int], int]]:
+    """(doc_id, words, merged hit spans, items, text hash) of every document of a segment."""
     segment = Segment(row, phrases.vocabulary)
     begins, ends, owners = [], [], []
     for length, (terms, numbers) in phrases.by_length.items():
@@ -206,7 +208,8 @@ def search_segment(row: dict[str, bytes], phrases: Phrases) -> list[tuple[int |
         cut = np.flatnonzero(np.diff(pairs[:, 0])) + 1
         for group in np.split(pairs, cut):
             items[int(group[0, 0])] = sorted({i for p in group[:, 1].tolist() for i in phrases.items[p]})
-    return [(None if null else int(i), int(w), s, t) for i, null, w, s, t in zip(segment.doc_ids.tolist(), segment.null.tolist(), segment.lengths.tolist(), spans, items, strict=True)]
+    hashes = np.frombuffer(row["text_hashes"], "<i8").tolist()
+    return [(None if null else i, w, s, t, h) for i, null, w, s, t, h in zip(segment.doc_ids.tolist(), segment.null.tolist(), segment.lengths.tolist(), spans, items, hashes, strict=True)]
 
 
 def phrase_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, bytes | None]]]:
@@ -223,17 +226,18 @@ def _digest(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>, items array<long>"
+OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>, items array<long>, text_hash long"
 KEYED = OUT + ", segment long, slot long"
 
 
-def _result(rows: list[tuple[int | None, int, np.ndarray, list[int]]]) -> pa.RecordBatch:
-    hits = [int((s[:, 1] - s[:, 0]).sum()) for _, _, s, _ in rows]
+def _result(rows: list[tuple[int | None, int, np.ndarray, list[int], int]]) -> pa.RecordBatch:
+    hits = [int((r[2][:, 1] - r[2][:, 0]).sum()) for r in rows]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(hits, pa.int64()),
             pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([_digest(r[3]) for r in rows]), pa.array([h > 0 for h in hits]),
             pa.array([r[2].tolist() for r in rows], pa.list_(pa.list_(pa.int64()))), pa.array([r[3] for r in rows], pa.list_(pa.int64())),
+            pa.array([r[4] for r in rows], pa.int64()),
         ],
         [c.split()[0] for c in OUT.split(", ")],
     )
@@ -244,7 +248,7 @@ def _keyed(batch: pa.RecordBatch, segment: int, slots: list[int]) -> pa.RecordBa
 
 
 def contamination(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items)`` of every indexed document.
+    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items, text_hash)`` of every indexed document.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one.  Documents and
     items of null, empty or wordless text have no words and hit nothing; items with a null id are not
@@ -272,7 +276,7 @@ def contamination(index: DataFrame, benchmark: DataFrame, item_col: str = "item_
     def merge(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         spans = np.array([s for r in rows for s in r["spans"]], np.int64).reshape(-1, 2)
-        one = (rows[0]["doc_id"], rows[0]["n_words"], _spans(spans[:, 0], spans[:, 1]), sorted({i for r in rows for i in r["items"]}))
+        one = (rows[0]["doc_id"], rows[0]["n_words"], _spans(spans[:, 0], spans[:, 1]), sorted({i for r in rows for i in r["items"]}), rows[0]["text_hash"])
         return pa.Table.from_batches([_result([one])])
 
     # Only documents that a later block hit need merging.
@@ -282,6 +286,13 @@ def contamination(index: DataFrame, benchmark: DataFrame, item_col: str = "item_
     return first.filter("again is null").drop("again", "segment", "slot").unionByName(twice)
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
+    """The rows of ``docs`` without any window of the benchmark, all columns as they were."""
+    hit = contamination(build_index(docs, id_col, text_col), benchmark, window=window).filter("contaminated").select(F.col("doc_id").alias("__newsdesk_id"), F.col("text_hash").alias("__newsdesk_hash"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__newsdesk_id")) & (F.xxhash64(F.col(text_col)) == F.col("__newsdesk_hash"))
+    return docs.join(hit.distinct(), same, "left_anti")
+
+
 def proximity(index: DataFrame, phrases: DataFrame, distance: int, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, item_id, position)`` where all words of an item stand within ``distance`` words of its rarest one, in any order.
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsdesk.llm import decontaminate, embedding_dedup, packing, simhash, substring_dedup
+from newsdesk.llm import chat_format, decontaminate, embedding_dedup, license_scan, packing, quality, secret_scan, simhash, substring_dedup, toxicity
 
 WINDOW_TOKENS = 2048
+HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,27 +29,61 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(table(spark, sf_dir, "documents"))
-    return decontaminate.contamination(index, table(spark, sf_dir, "benchmark")).drop("spans", "items")
+    return decontaminate.contamination(index, table(spark, sf_dir, "benchmark")).drop("spans", "items", "text_hash")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ok = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(ok)
+    return chat_format.format_conversations(turns, public_tokenizers.path("byte_bpe_50k.json"), with_text=False).drop("formatted", "token_ids", "loss")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept_text")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with the forest's verdict; the candidate itself only as a digest."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.sha2("candidate", 256).alias("secret_sha256"), F.round("score", 9).alias("score"), "is_secret")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model that every third labelled row taught nothing."""
+    docs = table(spark, sf_dir, "documents")
+    out = quality.score(docs, table(spark, sf_dir, "labels"), allowed=f"not ({HELD_OUT})")
+    return out.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "text_score", "meta_score", "score", "keep")
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
+    "op4_license_scan": op4_license_scan,
+    "op5_chat_format": op5_chat_format,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -87,7 +123,7 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
     "op9_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
-    coalesce(label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0, false) AS ok
+    coalesce(label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok
   FROM embeddings
 ),
 link AS (
@@ -101,3 +137,37 @@ SELECT vec_id, CAST(coalesce(c, 0) AS BIGINT) AS n_links, least(vec_id, coalesce
 FROM v LEFT JOIN low ON x = vec_id LEFT JOIN cnt ON u = vec_id
 """,
 }
+
+_TEMPLATES = ", ".join("({}, '{}', {}, {}, {}, '{} {} {}')".format(*r) for r in license_scan.template_rows())
+ORACLE_SQL["op4_license_scan"] = rf"""
+WITH d AS (SELECT doc_id, {_ALNUM.format("coalesce(text, '')")} AS w FROM documents),
+tpl(template, label, base, runs, place, gram) AS (VALUES {_TEMPLATES}),
+hit AS (
+  SELECT doc_id, template, label, base, runs, pos - place AS diagonal, pos, place
+  FROM (SELECT doc_id, i AS pos, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS gram FROM d, unnest(range(len(w) - 2)) AS t(i)) g JOIN tpl USING (gram)
+),
+diag AS (SELECT doc_id, template, label, base, runs, diagonal, bit_or(CAST(1 AS UBIGINT) << place) AS mask, count(*) AS votes, min(pos) AS lo, max(pos) AS hi FROM hit GROUP BY ALL),
+cut AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= {license_scan.GAP} THEN 0 ELSE 1 END AS new FROM diag WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+num AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM cut),
+spans AS (
+  SELECT doc_id, template, label, base, runs, bit_count(bit_or(mask)) / runs AS merged, min(lo) AS lo, max(hi) AS hi, max(votes / runs) AS best,
+    count(*) FILTER (votes = runs) AS places, min(diagonal) FILTER (votes = runs) AS low, max(diagonal) FILTER (votes = runs) AS high
+  FROM num GROUP BY doc_id, template, label, base, runs, span
+),
+judged AS (
+  SELECT *, CASE WHEN hi - lo + 1 <= {license_scan.STRETCH} * runs + {license_scan.GAP} THEN greatest(best, merged) ELSE best END AS cover FROM spans
+),
+found AS (SELECT *, CASE WHEN base THEN places > 0 ELSE cover >= {license_scan.COVER} END AS ok FROM judged),
+per AS (
+  SELECT doc_id, sum(CASE WHEN base THEN places ELSE 0 END) AS n_base, min(low) FILTER (base) AS first_word, max(high) FILTER (base) AS last_word,
+    max(CASE WHEN ok THEN CASE WHEN base THEN 1.0 ELSE cover END WHEN NOT base THEN cover / 2 END) AS score
+  FROM found GROUP BY doc_id
+),
+lab AS (
+  SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels, string_agg(label, ',' ORDER BY label) FILTER (is_base) AS base_labels
+  FROM (SELECT doc_id, label, bool_or(base) AS is_base FROM found WHERE ok GROUP BY doc_id, label) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN lab USING (doc_id)
+"""

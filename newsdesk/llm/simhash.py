@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from newsdesk.llm.common import bounded, forest, parts, runs, space_words, tiled, utf8
@@ -45,14 +46,15 @@ def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> i
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """``(doc_id, fp long)`` of every row; null and wordless texts have fingerprint 0."""
+    """``(doc_id, text_hash long, fp long)`` of every row; null and wordless texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 1, BATCH_BYTES):
             fps = np.array([fingerprint(t, shingle_words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def near(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +138,13 @@ def links(distinct: DataFrame, radius: int = 2, tile_rows: int = 2048) -> DataFr
     return small.select(columns).mapInArrow(run, "u long, v long").unionByName(dealt.select(columns).mapInArrow(run, "u long, v long")).distinct()
 
 
+def grouped(each: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """``(fp, node, component_id)`` of every distinct fingerprint; node is its smallest id."""
+    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    found = connected_components(links(distinct.filter("node is not null"), radius, tile_rows))
+    return distinct.join(found, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2, tile_rows: int = 2048) -> DataFrame:
     """``(doc_id, fp, fingerprint, component_id)`` of every row of ``docs``.
 
@@ -145,10 +154,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored.  An empty table gives an empty result.
     """
     each = stored(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    edges = links(distinct.filter("node is not null"), radius, tile_rows)
-    found = connected_components(edges)
-    component = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return each.join(component, "fp").select(
+    return each.join(grouped(each, radius, tile_rows), "fp").select(
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2, tile_rows: int = 2048) -> DataFrame:
+    """One row of each group of near duplicates: the one of smallest id, all columns as they were.
+
+    Rows of a null id stay only where no row with an id has their fingerprint, one for each fingerprint.
+    """
+    each = stored(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
+    groups = grouped(each, radius, tile_rows).filter("node <=> component_id")
+    chosen = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min("fp").alias("fp"))
+    kept = (
+        each.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+        .join(chosen.select("fp", F.col("component_id").alias("node")), "fp").filter("doc_id <=> node")
+        .groupBy("fp").agg(F.min_by(F.struct("doc_id", "text_hash"), "text_hash").alias("row"), F.min_by("n", "text_hash").alias("__newsdesk_n"))
+        .select(F.col("row.doc_id").alias("__newsdesk_id"), F.col("row.text_hash").alias("__newsdesk_hash"), "__newsdesk_n")
+    )
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__newsdesk_id")) & (F.xxhash64(F.col(text_col)) == F.col("__newsdesk_hash"))
+    met = docs.join(kept, same)
+    # Only rows repeated word for word, id included, need numbering.
+    again = met.filter("__newsdesk_n > 1").withColumn("__newsdesk_row", F.row_number().over(Window.partitionBy("__newsdesk_id", "__newsdesk_hash").orderBy(F.lit(0))))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return met.filter("__newsdesk_n = 1").select(columns).unionByName(again.filter("__newsdesk_row = 1").select(columns))
