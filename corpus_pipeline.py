@@ -1,10 +1,58 @@
-"""The corpus pipeline: toxicity, SimHash near-dedup, benchmark decontamination, secret scans, packing."""
+"""The corpus pipeline: toxicity, SimHash near-dedup, benchmark decontamination, secret scans, packing.
+
+Every stage works on all that the one before kept and returns the columns of documents, the last
+one the packed pieces.  Stages meet as Parquet in the shared folder, so a lost executor costs a
+re-read of the stage before, not a recomputation of the pipeline.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from newsdesk.llm import decontaminate, packing, secret_scan, simhash, toxicity
+from newsdesk.llm.queries import WINDOW_TOKENS, table, word_tokenizer
+from newsdesk.session import stored
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, trained on all labels, doesn't reject."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of smallest id."""
+    return simhash.deduplicated(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of the benchmark."""
+    return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, found secrets replaced by a mark and ``n_chars`` with them."""
+    return secret_scan.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all sequences, with their ids."""
+    return packing.pack(docs, word_tokenizer(), window=WINDOW_TOKENS)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", redact_secrets),
+    ("packing", pack),
+]
+
+#: The trained stages and the tokenizer are beyond SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
