@@ -21,6 +21,7 @@ def local_session(app: str = "newsdesk", cores: int | str = "*", **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
     }
