@@ -1,5 +1,319 @@
-"""DuckDB SQL for the registered queries."""
+"""DuckDB SQL for the registered queries, written from the operators' definitions over the raw tables."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+from newsdesk import config as C
+from newsdesk.functions.text import SPACE
+
+EPOCH, AS_OF = "TIMESTAMP '2024-01-01 00:00:00'", "TIMESTAMP '2024-01-31 00:00:00'"
+STOP = "TIMESTAMP '2024-01-08 00:00:00'"
+BLANK = "[ \\t\\n\\r]+"
 ORACLE_SQL: dict[str, str] = {}
+
+
+def lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def nth(values: Iterable[str], index: str) -> str:
+    return f"([{', '.join(map(lit, values))}])[CAST({index} AS BIGINT) + 1]"
+
+
+def collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, {lit(SPACE)}, ' ', 'g'))"
+
+
+def hits(text: str, words: Iterable[str]) -> str:
+    return "(" + (" + ".join(f"CAST(contains({text}, {lit(w.lower())}) AS INT)" for w in words) or "0") + ")"
+
+
+def cases(of: str, values: dict, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {of} = {lit(k)} THEN {lit(v) if isinstance(v, str) else v}" for k, v in values.items()) + f" ELSE {default} END"
+
+
+def stamp(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
+
+
+def key(x: str, minimum: int) -> str:
+    plain = f"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({x}, '')), 'https?://[^ \\t\\n\\r]+', ' ', 'g'), '[^a-z0-9\\x{{3040}}-\\x{{30ff}}\\x{{3400}}-\\x{{9fff}} \\t\\n\\r]+', ' ', 'g'), '{BLANK}', ' ', 'g'))"
+    return f"CASE WHEN length({plain}) >= {minimum} THEN {plain} END"
+
+
+ITEMS = f"""items AS (
+  SELECT 'd' || doc_id AS id, doc_id AS n, {nth(C.PLATFORMS, "doc_id % 7")} AS platform, '@' || source AS source_ref, left({collapse("text")}, 140) AS title, text AS body,
+    'https://Example.com/' || source || '/' || (doc_id - doc_id % 3) || '/?utm_source=feed&b=2&a=' || (doc_id % 2) || '#top' AS url,
+    'https://example.com/' || source || '/' || (doc_id - doc_id % 3) || '?a=' || (doc_id % 2) || '&b=2' AS canonical_url,
+    CASE WHEN doc_id % 10 <> 0 THEN {EPOCH} + to_minutes(doc_id) END AS published_at, {EPOCH} + to_minutes(doc_id) + INTERVAL 6 HOUR AS ingested_at, {EPOCH} + to_minutes(doc_id) + INTERVAL 6 HOUR AS created_at, n_chars
+  FROM documents)"""
+CLASSES = f"""classes AS (
+  SELECT doc_id * 10 + v AS classification_id, 'd' || doc_id AS item_id, doc_id AS n, CASE WHEN v = 1 THEN quality = 0 AND toxic = 1 ELSE quality = 0 END AS noise, (1 + quality) / 2.0 AS score,
+    {nth(C.PRIMARY_ORDER, "(doc_id + v) % 11")} AS primary_tag, {nth(C.ACTION_ORDER, "doc_id % 4")} AS action_tag, doc_id % 13 = 0 AS is_headline, doc_id % 19 = 0 AS is_dup, doc_id % 23 = 0 AS is_published,
+    {EPOCH} + to_minutes(doc_id) + to_hours(v) AS classified_at
+  FROM labels, (VALUES (0), (1)) AS t(v)),
+latest_class AS (SELECT DISTINCT ON (item_id) * FROM classes ORDER BY item_id, classified_at DESC, classification_id DESC)"""
+DECISIONS = f"""decisions AS (
+  SELECT doc_id AS decision_id, 'd' || doc_id AS item_id, CAST(n_chars % 101 AS DOUBLE) AS priority_score, CAST(doc_id % 100 AS DOUBLE) AS headline_score, (doc_id % 10) / 10.0 AS dup_score, doc_id % 17 = 0 AS headline_candidate,
+    CASE WHEN doc_id % 3 = 0 THEN 'tc_' || (doc_id % 50) END AS topic_cluster_key, doc_id % 4 AS distinct_sources, doc_id % 29 = 0 AS fallback
+  FROM documents)"""
+SOURCES = f"""sources AS (
+  SELECT handle, {nth(("high", "medium", "low", "unknown", "blocked"), "rank % 5")} AS trust_label, rank AS source_id, CAST(rank * 7 % 100 AS DOUBLE) AS ai_score
+  FROM (SELECT source AS handle, row_number() OVER (ORDER BY source) - 1 AS rank FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)))"""
+EVENTS = "ev AS (SELECT 'e' || event_id AS id, event_id AS n, event_type AS platform, 'u' || user_id AS handle, ts AS published_at, ts + INTERVAL 1 HOUR AS ingested_at, value AS score, CAST(props ->> '$.k' AS DOUBLE) AS k FROM events)"
+
+
+def add(name: str, select: str, *ctes: str, recursive: bool = False) -> None:
+    ORACLE_SQL[name] = (f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(ctes) + "\n" if ctes else "") + select
+
+
+add("normalize_items", f"""SELECT id, platform, source_ref, CASE WHEN length(title) <= 80 THEN nullif({collapse("title")}, '') ELSE left({collapse("title")}, 79) || '…' END AS title,
+  {stamp("published_at")} AS published, {stamp("ingested_at")} AS ingested FROM (SELECT * REPLACE ({collapse("title")} AS title) FROM items)""", ITEMS)
+add("future_dates_clamped", f"SELECT id, {stamp('CASE WHEN p > ingested_at THEN ingested_at ELSE p END')} AS published FROM (SELECT *, published_at + to_hours(n % 12) AS p FROM items)", ITEMS)
+_CANON = """c AS (
+  SELECT page_id, regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(\\?[^#]*)?', ['scheme', 'host', 'path', 'query']) AS u FROM pages),
+p AS (SELECT page_id, u, list_sort(list_filter(string_split(u.query[2:], '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_.*|fbclid|gclid|igshid|mc_cid|mc_eid|ref|source|s)$'))) AS q FROM c),
+k AS (SELECT page_id, u.scheme || '://' || lower(u.host) || CASE WHEN u.path = '' THEN '/' WHEN length(u.path) > 1 THEN regexp_replace(u.path, '/$', '') ELSE u.path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM p)"""
+add("canonical_urls", "SELECT page_id, canonical, lower(canonical) AS rules_key FROM k", _CANON)
+add("item_urls", "SELECT id, canonical_url AS canonical, lower(regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://', ''), '#.*$', ''), '/?$', '')) AS prefilter_key, lower(split_part(canonical_url, '?', 1)) AS article_key FROM items", ITEMS)
+add("url_key_prefilter", "SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '#.*$', ''), '/?$', ''), '') AS key FROM pages")
+add("content_hash", f"SELECT id, sha256(platform || '|' || id || '|' || coalesce(title, '') || '|' || coalesce(body, '') || '|' || coalesce({stamp('published_at')}, '')) AS content_hash FROM items", ITEMS)
+add("title_keys", f"SELECT id, {key('title', 24)} AS rules_key, {key('title', 20)} AS prefilter_key FROM items", ITEMS)
+_TOKENS = f"tok AS (SELECT id, n, list_filter(string_split(coalesce({key('title', 1)}, ''), ' '), lambda t: length(t) >= 4) AS raw FROM items), tk AS (SELECT id, n, list_filter(raw, lambda t, i: list_position(raw, t) = i) AS words FROM tok)"
+add("title_tokens", "SELECT id, array_to_string(words, ',') AS tokens FROM tk", ITEMS, _TOKENS)
+add("sanitised_text", "SELECT id, CAST(length(title) AS INT) AS length FROM items", ITEMS)
+add("links_stripped", f"SELECT id, nullif(left(trim(regexp_replace('see ' || regexp_replace(regexp_replace(title, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), 'https?://[^ \\t\\n\\r]+', '', 'g') || ' ', '{BLANK}', ' ', 'g')), 60), '') AS plain FROM items", ITEMS)
+add("blurbs", f"SELECT id, CASE WHEN length(b) <= 280 THEN b ELSE left(b, 279) || '…' END AS blurb FROM (SELECT id, coalesce(nullif({collapse('body')}, ''), nullif({collapse('title')}, '')) AS b FROM items)", ITEMS)
+_OUT = "html"
+for _t in ("script", "style", "noscript", "svg", "iframe"):
+    _OUT = f"regexp_replace({_OUT}, '(?is)<{_t}.*?</{_t}>', ' ', 'g')"
+_OUT = f"regexp_replace({_OUT}, '<[^>]+>', ' ', 'g')"
+
+
+def decoded(x: str) -> str:
+    for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
+        x = f"replace({x}, '&{name};', {lit(value)})"
+    return x
+
+
+_TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+add("page_titles", f"SELECT page_id, nullif({collapse(decoded(_TITLE))}, '') AS title FROM pages")
+add("readable_pages", f"SELECT page_id, CAST(length(r) AS INT) AS chars, sha256(r) AS text_sha256 FROM (SELECT page_id, {collapse(decoded(_OUT))} AS r FROM pages)")
+add("video_ids", "SELECT 'd' || doc_id AS id, lpad(CAST(doc_id AS VARCHAR), 11, 'a') AS video_id, lpad(CAST(doc_id AS VARCHAR), 11, 'b') AS short_id FROM documents")
+add("strict_times", "SELECT doc_id, strftime(TRY_CAST(r AS DATE), '%Y-%m-%d') AS day, strftime(TRY_CAST(r AS DATE), '%Y-%m-%d 10:00:00') AS instant FROM (SELECT doc_id, '2024-02-' || lpad(CAST(doc_id % 33 AS VARCHAR), 2, '0') AS r FROM documents)")
+add("entities_decoded", "SELECT id, left(title, 20) || ' &lt; é😀 &nope; \"' AS decoded FROM items", ITEMS)
+
+# --- classification
+_text = collapse("lower(concat_ws(chr(10), CASE WHEN trim(title) <> '' THEN title END, CASE WHEN trim(body) <> '' THEN body END, source_ref, url))")
+_boost = lambda tag, base, boosts: hits("text", base) + "".join(f" + CASE WHEN platform = {lit(p)} THEN {hits('text', w[tag])} ELSE 0 END" for p, w in boosts.items() if tag in w)
+_min = cases("platform", C.LOW_INFO_MIN_CHARS, str(C.DEFAULT_LOW_INFO_MIN_CHARS))
+SCORED = f"""texts AS (SELECT *, {_text} AS text FROM items),
+counted AS (SELECT *, {hits("text", C.AI_KEYWORDS)} AS ai, {_min} AS low_min FROM texts),
+scored AS (SELECT *, CASE WHEN text = '' THEN 'EMPTY_CONTENT' WHEN platform = 'twitter' AND regexp_matches(text, '^(rt\\s+@|@[a-z0-9_]+\\s*$)') THEN 'PLATFORM_NOISE_PATTERN'
+  WHEN length(text) < low_min AND ai < 2 THEN 'LOW_INFORMATION_DENSITY' WHEN epoch({AS_OF}) - epoch(coalesce(published_at, ingested_at)) > 31 * 86400 THEN 'STALE_INFORMATION' WHEN ai = 0 THEN 'OUT_OF_SCOPE' END AS noise_reason FROM counted)"""
+add("rules_noise", "SELECT id, ai AS ai_hits, noise_reason IS NOT NULL AS noise, noise_reason FROM scored", ITEMS, SCORED)
+_arg = lambda scores: "CASE " + " ".join(f"WHEN greatest({', '.join(c for _, c in scores)}) = {c} THEN {lit(t)}" for t, c in scores) + " END"
+_pcols = ", ".join(f"{_boost(t, C.PRIMARY_KEYWORDS[t], C.PRIMARY_BOOSTS)} AS p_{t}" for t in C.PRIMARY_ORDER)
+_acols = ", ".join(f"{_boost(t, C.ACTION_KEYWORDS[t], C.ACTION_BOOSTS)} AS a_{t}" for t in C.ACTION_ORDER)
+_scols = ", ".join(f"{hits('text', w)} AS s_{t}" for t, w in C.SUB_KEYWORDS.items())
+TAGGED = f"""cols AS (SELECT *, {_pcols}, {_acols}, {_scols} FROM scored),
+best AS (SELECT *, greatest({', '.join('p_' + t for t in C.PRIMARY_ORDER)}) AS pmax, {_arg([(t, 'p_' + t) for t in C.PRIMARY_ORDER])} AS ptag, greatest({', '.join('a_' + t for t in C.ACTION_ORDER)}) AS amax, {_arg([(t, 'a_' + t) for t in C.ACTION_ORDER])} AS atag FROM cols),
+tag AS (SELECT *, CASE WHEN pmax > 0 THEN ptag ELSE 'OTHER' END AS pt, CASE WHEN amax > 0 THEN atag ELSE 'INFO' END AS act FROM best),
+sub AS (SELECT *, CASE {' '.join(f"WHEN pt = {lit(p)} AND greatest({', '.join('s_' + x for x in ss)}) > 0 THEN {_arg([(x, 's_' + x) for x in ss])}" for p, ss in C.SUB_BY_PRIMARY.items())} END AS st FROM tag)"""
+add("rules_primary_tag", "SELECT id, pt AS primary_tag, CAST(pmax AS INT) AS hits FROM tag", ITEMS, SCORED, TAGGED)
+add("rules_classify", """SELECT id, noise_reason IS NOT NULL AS noise, noise_reason, CASE WHEN noise_reason IS NULL THEN pt END AS primary_tag, CASE WHEN noise_reason IS NULL THEN st END AS sub_tag, CASE WHEN noise_reason IS NULL THEN act END AS action_tag,
+  noise_reason IS NULL AND length(text) < 120 AS low_info,
+  round(CASE WHEN noise_reason = 'LOW_INFORMATION_DENSITY' THEN 0.72 WHEN noise_reason IS NOT NULL THEN 0.92 ELSE greatest(0.4, least(0.99, 0.5::DOUBLE + least(greatest(pmax, 1), 4) * 0.08 + CASE WHEN st IS NOT NULL THEN 0.08 ELSE 0 END
+    + CASE WHEN act <> 'INFO' THEN 0.06 ELSE 0 END + CASE WHEN ai > 2 THEN 0.08 ELSE 0 END - CASE WHEN length(text) < 120 THEN 0.12 ELSE 0 END)) END::DOUBLE, 6) AS confidence FROM sub""", ITEMS, SCORED, TAGGED)
+_sig = lambda words, prefix: ", ".join(f"CASE WHEN contains(text, {lit(w.lower())}) THEN {lit(prefix + ':' + w)} END" for w in words)
+_dom = f"list_filter([{_sig(C.AI_KEYWORDS, 'domain:ai')}], lambda x: x IS NOT NULL)"
+_rest = ", ".join([_sig(w, f"primary:{t}") for t, w in C.PRIMARY_KEYWORDS.items() if w] + [_sig(w, f"action:{t}") for t, w in C.ACTION_KEYWORDS.items() if w])
+add("matched_signals", f"SELECT id, array_to_string(CASE WHEN noise_reason IS NOT NULL THEN {_dom} ELSE list_concat({_dom}, list_filter([{_rest}], lambda x: x IS NOT NULL))[1:20] END, ';') AS signals FROM scored", ITEMS, SCORED)
+add("latest_classification", "SELECT item_id, classification_id, noise, score::DOUBLE AS score, primary_tag FROM latest_class", CLASSES)
+add("normalised_tags", f"""SELECT classification_id, primary_tag, CASE {' '.join(f"WHEN primary_tag = {lit(p)} AND s IN ({', '.join(map(lit, ss))}) THEN s" for p, ss in C.SUB_BY_PRIMARY.items())} END AS sub_tag, CASE WHEN n % 3 = 0 THEN 'INFO' ELSE action_tag END AS action_tag
+FROM (SELECT *, CASE WHEN n % 2 = 0 THEN 'RAG_SEARCH' ELSE 'PAPER' END AS s FROM classes)""", CLASSES)
+add("flags_carried_forward", "SELECT a.item_id, coalesce(b.is_headline, false) AS is_headline, coalesce(b.is_dup, false) AS is_dup, coalesce(b.is_published, false) AS is_published FROM classes a LEFT JOIN (SELECT DISTINCT ON (item_id) * FROM classes WHERE classification_id % 10 = 0 AND n % 2 = 0 ORDER BY item_id, classified_at DESC) b USING (item_id) WHERE a.classification_id % 10 = 1", CLASSES)
+add("pending_classification", "SELECT 'd' || doc_id AS id FROM documents WHERE doc_id % 4 = 0 OR doc_id % 3 <> 1")
+add("request_batches", "SELECT CAST((r - 1) // 45 AS BIGINT) AS batch, count(*) AS items, CAST(min(r) AS INT) AS first_rank FROM (SELECT row_number() OVER (ORDER BY published_at DESC NULLS LAST, id) AS r FROM items) WHERE r <= 600 GROUP BY 1", ITEMS)
+
+# --- duplicates
+_KEYS = lambda profile: f"""keyed AS (SELECT id, n, reason, key FROM (
+  SELECT id, n, 'canonical_url_match' AS reason, {"lower(canonical_url)" if profile == "rules" else "lower(regexp_replace(regexp_replace(canonical_url, '^https?://', ''), '/?$', ''))"} AS key FROM items
+  UNION ALL SELECT id, n, 'url_match', {"lower(canonical_url)" if profile == "rules" else "regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://', ''), '#.*$', ''), '/?$', '')"} FROM items
+  UNION ALL SELECT id, n, 'title_exact_match', {key("title", 24 if profile == "rules" else 20)} FROM items) WHERE key IS NOT NULL)"""
+_COMP = """both_ways AS (SELECT u, v FROM edge UNION SELECT v, u FROM edge),
+reach AS (SELECT u AS x, v AS y FROM both_ways UNION SELECT r.x, e.v FROM reach r JOIN both_ways e ON r.y = e.u),
+comp AS (SELECT x AS n, least(x, min(y)) AS component FROM reach GROUP BY x),
+sized AS (SELECT *, count(*) OVER (PARTITION BY component) AS size FROM comp)"""
+_STAR = "edge AS (SELECT k.n AS u, m.v FROM keyed k JOIN (SELECT reason, key, min(n) AS v, count(*) AS c FROM keyed GROUP BY ALL HAVING count(*) > 1) m USING (reason, key) WHERE k.n <> m.v)"
+_LEN = lambda c, collapsed: f"length({collapse(f'coalesce({c}, {lit(str())})') if collapsed else f'trim(coalesce({c}, {lit(str())}))'})"
+_DETAIL = {
+    "rules": f"round((least({_LEN('body', False)}, 4000) + least({_LEN('title', False)}, 220) * 1.8 + 20 + CASE WHEN published_at IS NOT NULL THEN 14 ELSE 0 END + {cases('platform', C.DETAIL_PLATFORM, '0')})::DOUBLE, 3)",
+    "prefilter": f"round((least({_LEN('body', True)}, 3500) + least({_LEN('title', True)}, 220) * 1.6 + 18 + CASE WHEN published_at IS NOT NULL THEN 12 ELSE 0 END)::DOUBLE, 3)",
+}
+_MASTER = lambda p: f"mem AS (SELECT i.*, component, {_DETAIL[p]} AS detail FROM items i JOIN sized USING (n)), top AS (SELECT DISTINCT ON (component) component, id AS master_id FROM mem ORDER BY component, detail DESC, coalesce(published_at, ingested_at) DESC, id)"
+add("exact_dup_groups", "SELECT reason, key, count(*) AS items, min(id) AS first_id FROM keyed GROUP BY ALL HAVING count(*) > 1", ITEMS, _KEYS("rules"))
+add("dup_components", "SELECT id, component, size FROM items JOIN sized USING (n)", ITEMS, _KEYS("rules"), _STAR, _COMP, recursive=True)
+add("dup_master", "SELECT id, component, master_id, detail FROM mem JOIN top USING (component)", ITEMS, _KEYS("rules"), _STAR, _COMP, _MASTER("rules"), recursive=True)
+add("published_match", """SELECT id, published_id, string_agg(reason, ',' ORDER BY reason) AS reasons, CAST(max(CASE reason WHEN 'canonical_url_match' THEN 0.96 WHEN 'url_match' THEN 0.92 WHEN 'title_exact_match' THEN 0.82 END) AS DOUBLE) AS score
+FROM (SELECT DISTINCT a.id, b.id AS published_id, reason FROM keyed a JOIN keyed b USING (reason, key) WHERE a.n % 11 <> 0 AND b.n % 11 = 0) GROUP BY ALL""", ITEMS, _KEYS("rules"))
+_PAIRS = """cand AS (SELECT DISTINCT a.n AS u, b.n AS v, a.words AS wu, b.words AS wv FROM (SELECT n, words, unnest(words[1:4]) AS w FROM tk WHERE len(words) >= 4) a JOIN (SELECT n, words, unnest(words) AS w FROM tk WHERE len(words) >= 4) b USING (w) WHERE a.n < b.n),
+sim AS (SELECT u, v, len(list_intersect(wu, wv)) / (len(wu) + len(wv) - len(list_intersect(wu, wv))) AS s, wu = wv AS same FROM cand),
+pairs AS (SELECT u, v, round(s, 3) AS similarity, same FROM sim WHERE s >= 0.82)"""
+# Equal word lists are tied to their first item, and only first items are compared with other lists.
+_FIRSTS = "firsts AS (SELECT words, min(n) AS f FROM tk WHERE len(words) >= 4 GROUP BY words), star AS (SELECT f AS u, n AS v, 1.0::DOUBLE AS similarity FROM tk JOIN firsts USING (words) WHERE n <> f), tied AS (SELECT u, v, similarity FROM pairs WHERE NOT same AND u IN (SELECT f FROM firsts) AND v IN (SELECT f FROM firsts) UNION ALL SELECT * FROM star)"
+add("title_jaccard_pairs", "SELECT u, v, similarity::DOUBLE AS similarity FROM tied", ITEMS, _TOKENS, _PAIRS, _FIRSTS)
+add("prefilter_clusters", "SELECT id, component, master_id, detail FROM mem JOIN top USING (component)", ITEMS, _KEYS("prefilter"), _TOKENS, _PAIRS, _FIRSTS, "exact AS (SELECT k.n AS u, m.v FROM keyed k JOIN (SELECT reason, key, min(n) AS v, count(*) AS c FROM keyed GROUP BY ALL HAVING count(*) > 1) m USING (reason, key) WHERE k.n <> m.v), edge AS (SELECT u, v FROM exact UNION SELECT u, v FROM tied)", _COMP, _MASTER("prefilter"), recursive=True)
+_COS = lambda t: f"cos AS (SELECT a.vec_id AS u, b.vec_id AS v, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), edge AS (SELECT u, v, c FROM cos WHERE c >= {t})"
+add("cosine_pairs", "SELECT u, v, round(c, 6) AS cosine FROM edge", _COS(0.45))
+add("topic_clusters", f"""SELECT vec_id, topic_key, size, sources, platforms, round(CASE WHEN size >= 2 THEN log2(1 + size) * (1 + {C.CLUSTER_GAMMA} * (platforms - 1)) ELSE 0 END::DOUBLE, 6) AS boost
+FROM m JOIN (SELECT component, 'tc_' || left(sha256(string_agg(CAST(vec_id AS VARCHAR), '|' ORDER BY CAST(vec_id AS VARCHAR))), 16) AS topic_key, count(*) AS size, count(DISTINCT (label % 3) || ':' || label) AS sources, count(DISTINCT label % 3) AS platforms FROM m GROUP BY component) USING (component)""",
+    _COS(0.40), _COMP, "m AS (SELECT vec_id, label, coalesce(component, vec_id) AS component FROM embeddings LEFT JOIN comp ON n = vec_id)", recursive=True)
+add("event_components", "SELECT n AS node, component FROM comp", "edge AS (SELECT DISTINCT user_id AS u, event_id % 40 + 100000 AS v FROM events WHERE event_type = 'purchase')", _COMP, recursive=True)
+
+# --- scores
+_age = f"(epoch({AS_OF}) - epoch(coalesce(published_at, ingested_at))) / 3600"
+HEADLINES = f"""hs AS (SELECT id, round(greatest(0, least(120, 10 + coalesce(score, 0.5) * 40 + {cases('primary_tag', C.HEADLINE_PRIMARY, '0')} + {cases('action_tag', C.HEADLINE_ACTION, '0')}
+  + least({_LEN('body', False)}, 1200) / 120 + least({_LEN('title', False)}, 120) / 30 + CASE WHEN {_age} <= 24 THEN 20 WHEN {_age} <= 72 THEN 14 WHEN {_age} <= 168 THEN 8 WHEN {_age} <= 336 THEN 4 ELSE 0 END
+  + CASE WHEN platform IN ('qiita', 'github', 'alerts') THEN 2 ELSE 0 END + CASE WHEN {_LEN('body', False)} > 900 THEN 3 ELSE 0 END - CASE WHEN {_LEN('body', False)} < 60 THEN 4 ELSE 0 END))::DOUBLE, 3) AS headline_score
+  FROM items JOIN latest_class ON id = item_id)"""
+add("headline_scores", "SELECT * FROM hs", ITEMS, CLASSES, HEADLINES)
+add("headline_slots", "SELECT id, headline_score, CAST(slot AS INT) AS slot FROM (SELECT *, row_number() OVER (ORDER BY headline_score DESC, id) AS slot, count(*) OVER () AS c FROM hs) WHERE slot <= least(5, greatest(1, ceil(c * 0.2))) AND (headline_score >= 35 OR slot = 1)", ITEMS, CLASSES, HEADLINES)
+OWNED = "owned AS (SELECT id AS item_id, n, source_id, created_at FROM items JOIN sources ON lower(source_ref[2:]) = lower(handle))"
+SUMMARY = f"""isum AS (SELECT source_id, count(*) AS items_28, count(*) FILTER (created_at >= {STOP} - INTERVAL 7 DAY) AS items_7, max(created_at) AS latest_at FROM owned WHERE created_at >= {STOP} - INTERVAL 28 DAY AND created_at < {STOP} GROUP BY source_id),
+c28 AS (SELECT source_id, item_id, noise, score, created_at >= {STOP} - INTERVAL 7 DAY AND classified_at >= {STOP} - INTERVAL 7 DAY AS week FROM owned JOIN classes USING (item_id) WHERE created_at >= {STOP} - INTERVAL 28 DAY AND created_at < {STOP} AND classified_at >= {STOP} - INTERVAL 28 DAY AND classified_at < {STOP}),
+csum AS (SELECT source_id, count(*) AS classes_28, count(*) FILTER (week) AS classes_7, count(DISTINCT item_id) AS classified_28, count(DISTINCT item_id) FILTER (week) AS classified_7, count(*) FILTER (noise) AS noise_28, round(avg(score), 6) AS mean_score FROM c28 GROUP BY source_id),
+asum AS (SELECT source_id, count(DISTINCT item_id) AS adopted_28 FROM owned WHERE n % 11 = 0 AND item_id IN (SELECT item_id FROM classes) GROUP BY source_id),
+dsum AS (SELECT source_id, round(avg(priority_score), 6) AS mean_priority, round(avg(1 - dup_score), 6) AS mean_originality FROM owned JOIN decisions USING (item_id) GROUP BY source_id),
+summ AS (SELECT s.*, coalesce(items_28, 0) AS items_28, coalesce(items_7, 0) AS items_7, latest_at, coalesce(classes_28, 0) AS classes_28, coalesce(classes_7, 0) AS classes_7, coalesce(classified_28, 0) AS classified_28, coalesce(classified_7, 0) AS classified_7, coalesce(noise_28, 0) AS noise_28, mean_score, coalesce(adopted_28, 0) AS adopted_28, mean_priority, mean_originality
+  FROM sources s LEFT JOIN isum USING (source_id) LEFT JOIN csum USING (source_id) LEFT JOIN asum USING (source_id) LEFT JOIN dsum USING (source_id)),
+med AS (SELECT round(median(adopted_28 / classified_28), 6) AS median_adoption, round(median(mean_priority / 100), 6) AS median_priority FROM summ WHERE classified_28 >= 15)"""
+_base = (ITEMS, SOURCES, CLASSES, DECISIONS, OWNED, SUMMARY)
+add("item_summary", f"SELECT source_id, items_28, items_7, {stamp('latest_at')} AS latest FROM isum", *_base)
+add("class_summary", "SELECT * FROM csum", *_base)
+add("adoption_summary", "SELECT * FROM asum", *_base)
+add("decision_summary", "SELECT * FROM dsum", *_base)
+add("source_summary", "SELECT * EXCLUDE (latest_at) FROM summ", *_base)
+add("trust_medians", "SELECT * FROM med", *_base)
+_w = {k: v / sum(C.TRUST_WEIGHTS.values()) for k, v in C.TRUST_WEIGHTS.items()}
+_unit = lambda x: f"greatest(0, least(1, {x}))"
+_above = lambda v, m: f"CASE WHEN {v} IS NULL OR {m} IS NULL OR {v} <= {m} OR {m} >= 1 THEN 0.5 ELSE {_unit(f'0.5 + 0.5 * ({v} - {m}) / (1 - {m})')} END"
+TRUST = f"""parts AS (SELECT *, coalesce(1 - CASE WHEN classes_28 > 0 THEN {_unit('noise_28 / classes_28')} END, 0.5) AS nn, CASE WHEN classified_28 > 0 THEN {_unit('adopted_28 / classified_28')} ELSE 0 END AS ad, {_unit('mean_priority / 100')} AS pr, {_unit('1 - classified_28 / 50')} AS decay FROM summ, med),
+total AS (SELECT *, (0.6::DOUBLE * nn + 0.4 * {_unit('coalesce(mean_score, 0.5)')}) * ({_w['item_quality']}::DOUBLE + {_w['prior']}::DOUBLE * (1 - decay)) + (0.6::DOUBLE * {_above('CASE WHEN mean_priority IS NOT NULL THEN pr END', 'median_priority')} + 0.4 * {_above('ad', 'median_adoption')}) * {_w['selection']}::DOUBLE
+  + {_unit('coalesce(ai_score / 100, 0.5)')} * {_w['prior']}::DOUBLE * decay + (0.6::DOUBLE * coalesce(exp(-greatest(0, (epoch({STOP}) - epoch(latest_at)) / 86400) / 14), 0.5) + 0.4 * {_unit('coalesce(mean_originality, 0.5)')}) * {_w['freshness']}::DOUBLE AS t FROM parts),
+trust AS (SELECT source_id, CAST(floor(round({_unit('t')} * 100, 6) + 0.5) AS INT) AS trust_score, trust_label, classified_28 < 15 AS cold_start FROM total),
+labelled AS (SELECT source_id, trust_score, CASE WHEN trust_label = 'blocked' THEN 'blocked' WHEN cold_start THEN 'unknown' WHEN trust_score >= 75 THEN 'high' WHEN trust_score >= 50 THEN 'medium' ELSE 'low' END AS new_label, cold_start FROM trust)"""
+add("trust_score", "SELECT * FROM labelled", *_base, TRUST)
+add("trust_labels", "SELECT new_label, count(*) AS sources FROM labelled GROUP BY 1", *_base, TRUST)
+add("noise_percentile", "SELECT round(quantile_cont(rate, 0.1), 9) AS bottom_decile, round(median(rate), 9) AS median, count(*) AS users FROM (SELECT user_id, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END)::DOUBLE AS rate FROM events GROUP BY 1)")
+add("lifecycle_flags", """SELECT source_id, concat_ws('+', CASE WHEN rate >= 0.35 AND rate >= nm + 0.15 THEN 'noisy' END, CASE WHEN mean_priority <= lo THEN 'low_priority' END, CASE WHEN trust_score < 45 THEN 'low_trust' END) AS condition_keys, coalesce(rate, 0) >= 0.85 AS severe,
+  (coalesce(rate >= 0.35 AND rate >= nm + 0.15, false) OR coalesce(mean_priority <= lo, false) OR coalesce(trust_score < 45, false)) AND classified_28 >= 20 AS should_act
+FROM (SELECT *, CASE WHEN classes_28 > 0 THEN noise_28 / classes_28 END AS rate FROM summ JOIN labelled USING (source_id)), (SELECT median(noise_28 / classes_28) FILTER (classes_28 > 0) AS nm, quantile_cont(mean_priority, 0.1) AS lo FROM summ WHERE classified_28 >= 20)""", *_base, TRUST)
+add("demotion_gate", """SELECT user_id AS source_id, event_id FROM (
+  SELECT *, last_value(CASE WHEN a = 0 THEN ts END IGNORE NULLS) OVER w AS pt, last_value(CASE WHEN a = 0 THEN event_id % 2 END IGNORE NULLS) OVER w AS pk, last_value(CASE WHEN a > 0 THEN ts END IGNORE NULLS) OVER w AS rt
+  FROM (SELECT *, event_id % 3 AS a FROM events WHERE event_type = 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+WHERE a = 0 AND (epoch(ts) - epoch(pt)) / 86400 BETWEEN 6 AND 8 AND (rt IS NULL OR rt < pt) AND pk = event_id % 2""")
+add("candidate_ladder", "SELECT CASE WHEN s < 45 THEN 'rejected' WHEN s < 65 THEN 'watch' WHEN s >= 78 AND c_custkey % 10 / 10.0 >= 0.7 AND c_custkey % 4 >= 2 THEN 'approved' ELSE 'needs_review' END AS status, count(*) AS candidates FROM (SELECT *, c_custkey % 101 AS s FROM customer) GROUP BY 1")
+
+# --- editions
+add("edition_key", "SELECT event_id, strftime(ts + INTERVAL 27 HOUR, '%Y-%m-%d') AS edition, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS local_day FROM events")
+add("edition_window_counts", f"SELECT {stamp('date_trunc(' + lit('day') + ', ts + INTERVAL 3 HOUR) - INTERVAL 3 HOUR')} AS window_start, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1")
+_handle = lambda x: f"CASE WHEN regexp_matches(lower(regexp_replace(trim({x}), '^@', '')), '^[a-z0-9_]{{1,15}}$') AND lower(regexp_replace(trim({x}), '^@', '')) NOT IN ({', '.join(map(lit, C.RESERVED_HANDLES))}) THEN lower(regexp_replace(trim({x}), '^@', '')) END"
+ELIGIBLE = f"""joined AS (SELECT i.*, c.noise, c.score, c.primary_tag, c.action_tag, c.is_headline, c.is_dup, c.is_published, d.decision_id, d.priority_score, d.headline_candidate AND NOT d.fallback AS hl, s.trust_label
+  FROM items i JOIN latest_class c ON i.id = c.item_id LEFT JOIN decisions d ON d.item_id = i.id LEFT JOIN sources s ON i.platform = 'twitter' AND {_handle('s.handle')} = {_handle('i.source_ref')}),
+elig AS (SELECT *, coalesce(hl, false) AS headline, round((CASE WHEN decision_id IS NOT NULL THEN coalesce(priority_score, 0) ELSE coalesce(score, 0) * 100 END * {cases('trust_label', C.TRUST_MULTIPLIERS, '1.0')})::DOUBLE, 6) AS priority,
+  CASE WHEN CASE WHEN decision_id IS NOT NULL THEN coalesce(hl, false) ELSE is_headline END THEN '1_latest_ai_news' ELSE {cases('primary_tag', C.SECTION_OF, lit('9_other'))} END AS section, coalesce(published_at, ingested_at, created_at) AS recency
+  FROM joined WHERE NOT noise AND NOT is_dup AND NOT is_published AND trust_label IS DISTINCT FROM 'blocked'),
+planned AS (SELECT *, CAST(row_number() OVER (ORDER BY headline DESC, priority DESC, recency DESC, id) AS INT) AS rank FROM elig)"""
+_pub = (ITEMS, SOURCES, CLASSES, DECISIONS, ELIGIBLE)
+add("publish_candidates", "SELECT id, headline, priority, section FROM elig", *_pub)
+add("publish_plan", "SELECT id, headline, priority, section, rank, rank AS position FROM planned WHERE rank <= 120", *_pub)
+add("appended_positions", "SELECT id, rank + 120 AS position FROM planned WHERE rank <= 20", *_pub)
+add("section_topn", "SELECT id, section, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY rank, id) AS place FROM planned WHERE rank <= 120) WHERE place <= 3", *_pub)
+add("topic_collapse", """SELECT id, CASE WHEN many THEN '1_latest_ai_news' ELSE section END AS section, many OR title LIKE '[%' AS badged FROM (
+  SELECT p.*, topic_cluster_key IS NOT NULL AND count(*) OVER g > 1 AND max(distinct_sources) OVER g >= 2 AS many, row_number() OVER (PARTITION BY topic_cluster_key ORDER BY headline_score DESC, rank, id) AS b
+  FROM planned p LEFT JOIN (SELECT item_id, topic_cluster_key, distinct_sources, headline_score FROM decisions) d ON d.item_id = p.id WHERE rank <= 120 WINDOW g AS (PARTITION BY topic_cluster_key)) WHERE NOT many OR b = 1""", *_pub)
+add("repository_collapse", """SELECT id, many OR title LIKE '[%' AS badged FROM (
+  SELECT *, repo IS NOT NULL AND count(*) OVER (PARTITION BY repo) > 1 AS many, row_number() OVER (PARTITION BY repo ORDER BY headline_score DESC, rank, id) AS b
+  FROM (SELECT p.*, headline_score, CASE WHEN n % 2 = 0 OR platform = 'github' THEN 'org/repo' || (n % 5) END AS repo FROM planned p LEFT JOIN (SELECT item_id, headline_score FROM decisions) d ON d.item_id = p.id WHERE rank <= 120)) WHERE NOT many OR b = 1""", *_pub)
+_in = lambda a, b: f"(published_at >= {a} AND published_at < {b} OR published_at IS NULL AND ingested_at >= {a} AND ingested_at < {b})"
+_d0, _d1 = "TIMESTAMP '2024-01-03 21:00:00'", "TIMESTAMP '2024-01-04 21:00:00'"
+add("rescue_union", f"""SELECT id, origin, (SELECT count(*) > 150 FROM ev WHERE {_in(_d0, _d1)}) AS clamped FROM (
+  SELECT id, 'main' AS origin, row_number() OVER (ORDER BY published_at DESC, ingested_at DESC, id) AS r, 150 AS cap FROM ev WHERE {_in(_d0, _d1)}
+  UNION ALL SELECT id, 'rescue', row_number() OVER (ORDER BY published_at DESC, ingested_at DESC, id), 40 FROM ev WHERE {_in(_d0 + ' - INTERVAL 2 DAY', _d0)}) WHERE r <= cap""", EVENTS)
+add("window_items", "SELECT id FROM items WHERE " + _in("TIMESTAMP '2024-01-01 02:00:00'", "TIMESTAMP '2024-01-01 12:00:00'"), ITEMS)
+add("repair_gate", f"""SELECT count(*) AS items, count(fallback) AS decided, count(*) FILTER (fallback) AS fallbacks, count(*) > 0 AND (count(*) FILTER (fallback) > 0 OR count(fallback) = 0) AS needed
+FROM items LEFT JOIN (SELECT item_id, fallback FROM decisions WHERE decision_id % 2 = 0) d ON d.item_id = id WHERE {_in("TIMESTAMP '2024-01-01 00:00:00'", "TIMESTAMP '2024-01-01 12:00:00'")}""", ITEMS, DECISIONS)
+add("trust_badges", f"SELECT id, CASE WHEN trust_label <> 'blocked' THEN trust_label END AS badge, CAST({cases('trust_label', C.TRUST_MULTIPLIERS, '1.0')} AS DOUBLE) AS factor FROM items LEFT JOIN sources s ON {_handle('s.handle')} = {_handle('source_ref')} WHERE platform = 'twitter'", ITEMS, SOURCES)
+
+# --- feeds
+_feed = lambda n: f"cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY published_at DESC NULLS LAST, id) AS r FROM items) WHERE r <= {n})"
+add("feed_search", "SELECT id, platform, CAST(length(left(body, 500)) AS INT) AS chars FROM cut WHERE (contains(lower(left(body, 500)), 'an') OR contains(lower(CASE WHEN length(title) > 100 THEN left(title, 100) || '…' ELSE title END), 'an')) AND contains(lower(source_ref), 'src1') ORDER BY published_at DESC NULLS LAST, id LIMIT 100", ITEMS, _feed(50))
+add("feed_counts", "SELECT platform, count(*) AS items FROM (SELECT * FROM cut ORDER BY published_at DESC NULLS LAST, id LIMIT 150) GROUP BY 1", ITEMS, _feed(40))
+FAMILY = """hit AS (SELECT c.*, i.published_at FROM classes c JOIN items i ON i.id = c.item_id WHERE NOT noise AND (primary_tag IN ('SECURITY', 'AGENT', 'APPLY', 'TECH') OR action_tag IN ('SECURITY', 'AGENT', 'APPLY', 'TECH')) AND classified_at BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-01 12:00:00' ORDER BY classified_at, classification_id LIMIT 250),
+safe AS (SELECT *, (SELECT count(*) FROM hit) AS read FROM hit WHERE (SELECT count(*) FROM hit) < 250 OR classified_at < (SELECT max(classified_at) FROM hit) OR (SELECT min(classified_at) = max(classified_at) FROM hit)),
+newest AS (SELECT DISTINCT ON (item_id) * FROM safe ORDER BY item_id, classified_at DESC, classification_id DESC),
+grouped AS (SELECT n.*, d.headline_score, d.priority_score, CASE WHEN d.topic_cluster_key IS NOT NULL AND d.distinct_sources >= 2 THEN d.topic_cluster_key ELSE 'id:' || item_id END AS g FROM newest n LEFT JOIN decisions d USING (item_id)),
+full_ AS (SELECT DISTINCT ON (g) * FROM grouped ORDER BY g, headline_score DESC, priority_score DESC, classified_at, item_id),
+page AS (SELECT * FROM full_ WHERE classified_at <= (SELECT max(classified_at) FROM (SELECT classified_at FROM full_ ORDER BY classified_at LIMIT 25)))"""
+add("family_feed_page", f"SELECT item_id, classification_id, primary_tag, {stamp('classified_at')} AS classified FROM page", ITEMS, CLASSES, DECISIONS, FAMILY)
+add("family_feed_meta", f"SELECT count(*) AS total_items, {stamp('max(classified_at)')} AS next_since, (SELECT count(*) FROM full_) AS before_limit, (SELECT count(*) FROM hit) >= 250 OR (SELECT count(*) FROM full_) > 25 AS truncated FROM page", ITEMS, CLASSES, DECISIONS, FAMILY)
+add("family_feed_dedup", "SELECT DISTINCT ON (g) item_id, g FROM (SELECT c.*, headline_score, priority_score, CASE WHEN topic_cluster_key IS NOT NULL AND distinct_sources >= 2 THEN topic_cluster_key ELSE 'id:' || item_id END AS g FROM (SELECT DISTINCT ON (item_id) * FROM classes WHERE NOT noise ORDER BY item_id, classified_at DESC, classification_id DESC) c JOIN decisions USING (item_id)) ORDER BY g, headline_score DESC, priority_score DESC, classified_at, item_id", CLASSES, DECISIONS)
+add("tie_page", "SELECT o_orderkey FROM orders WHERE o_orderdate <= (SELECT max(o_orderdate) FROM (SELECT o_orderdate FROM orders ORDER BY 1 LIMIT 50))")
+add("digest_rank", "SELECT id, CAST(r AS INT) AS rank, round(e, 6) AS engagement FROM (SELECT *, row_number() OVER (ORDER BY e IS NULL, e DESC NULLS LAST, published_at DESC, id) AS r FROM (SELECT *, CASE WHEN n % 4 <> 0 THEN k * 2 + score * 0.001 END AS e FROM ev)) WHERE r <= 200", EVENTS)
+add("engagement_scores", "SELECT id, round(score * 2 + score * 10 * 0.001, 6) AS engagement, CAST(CASE WHEN score > 0 THEN least(9, greatest(1, 1 + floor(log10(score + score * 10 + score + 1)))) ELSE 1 END AS INT) AS sample_size FROM ev", EVENTS)
+add("daily_top10", "SELECT handle, count(*) AS items FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", EVENTS)
+add("offset_page", "SELECT c_custkey, (SELECT count(*) FROM customer) AS total, CAST(ceil((SELECT count(*) FROM customer) / 25) AS BIGINT) AS total_pages FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 50")
+add("platform_counts", "SELECT platform, count(*) AS items, count(DISTINCT handle) AS authors FROM ev GROUP BY 1", EVENTS)
+add("child_counts", "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+add("status_counts", "SELECT count(*) FILTER (o_orderstatus = 'F') AS status_f, count(*) FILTER (o_orderstatus = 'O') AS status_o, count(*) FILTER (o_orderstatus = 'P') AS status_p, count(*) AS total, round(avg(o_totalprice), 4) AS mean_price FROM orders")
+add("calendar_days", "SELECT strftime(d, '%Y-%m-%d') AS day, CAST(dayofweek(d) + 1 AS INT) AS weekday FROM range(DATE '2024-02-01', DATE '2024-03-02', INTERVAL 1 DAY) t(d)")
+add("edition_choice", f"""SELECT (SELECT slug FROM e WHERE content IS NOT NULL ORDER BY status <> 'published', updated_at DESC, slug LIMIT 1) AS slug, 'latest' AS asked
+UNION ALL SELECT (SELECT slug FROM e WHERE slug = 'ed-src1' LIMIT 1), 'slug' UNION ALL SELECT coalesce((SELECT slug FROM e WHERE strftime(edition_at + INTERVAL 9 HOUR, '%Y-%m-%d') = '2024-01-02' ORDER BY updated_at DESC, slug LIMIT 1), (SELECT slug FROM e WHERE content IS NOT NULL ORDER BY status <> 'published', updated_at DESC, slug LIMIT 1)), 'day'""",
+    SOURCES, f"e AS (SELECT 'ed-' || handle AS slug, CASE WHEN source_id % 2 = 0 THEN 'published' ELSE 'draft' END AS status, CASE WHEN source_id % 3 <> 0 THEN 'text' END AS content, {EPOCH} + to_minutes(source_id * 600) AS edition_at, {EPOCH} + to_minutes(source_id * 60) AS updated_at FROM sources)")
+
+# --- voices
+VOICES = f"""voices AS (SELECT conv_id * 1000 + turn AS n, 'c' || (conv_id * 1000 + turn) AS id, {nth(C.PLATFORMS, "(conv_id * 1000 + turn) % 7")} AS platform, text AS body, '@conv' || (conv_id % 20) AS source_ref, (conv_id * 1000 + turn) % 10 / 10.0 AS score, (conv_id * 1000 + turn) % 19 = 0 AS is_dup, (conv_id * 1000 + turn) % 23 = 0 AS is_published,
+  {nth(C.ACTION_ORDER, "(conv_id * 1000 + turn) % 4")} AS action_tag, {EPOCH} + to_minutes(conv_id) AS recency FROM conversations WHERE role = 'user')"""
+_vt = f"length(coalesce(nullif({collapse('body')}, ''), nullif({collapse('source_ref')}, ''), ''))"
+_va = "(epoch(TIMESTAMP '2024-01-03 00:00:00') - epoch(recency)) / 3600"
+add("voice_candidates", f"""SELECT id, len_ >= 20 AND CASE WHEN social THEN len_ <= 420 ELSE len_ <= 180 END AS speaks, CASE WHEN len_ >= 20 AND CASE WHEN social THEN len_ <= 420 ELSE len_ <= 180 END THEN round((CASE WHEN is_dup THEN -24 ELSE 30 END + CASE WHEN is_published THEN -6 ELSE 8 END + CASE WHEN social THEN 18 ELSE 0 END
+  + CASE WHEN len_ BETWEEN 40 AND 260 THEN 12 WHEN len_ <= 420 THEN 5 ELSE 0 END + score * 12 + CASE WHEN action_tag IN ('APPLY', 'EVAL') THEN 3 ELSE 0 END + CASE WHEN {_va} <= 24 THEN 8 WHEN {_va} <= 72 THEN 4 WHEN {_va} <= 168 THEN 1 ELSE 0 END)::DOUBLE, 3) ELSE -999.0 END::DOUBLE AS voice_score
+FROM (SELECT *, {_vt} AS len_, platform IN ('twitter', 'facebook', 'reddit', 'instagram') AS social FROM voices)""", VOICES)
+_use = [(k, "u_" + k) for k in C.USAGE_CONTEXTS]
+add("voice_sentiment", f"""SELECT id, CASE WHEN p - g >= 1 THEN 'positive' WHEN p - g <= -1 THEN 'negative' ELSE 'neutral' END AS sentiment, use AS usage_context,
+  round(greatest(0.4, least(0.95, greatest(0.42, least(0.93, 0.54::DOUBLE + least(abs(p - g), 4) * 0.09 - CASE WHEN p > 0 AND g > 0 THEN 0.08 ELSE 0 END - CASE WHEN p = 0 AND g = 0 THEN 0.08 ELSE 0 END)) + CASE WHEN use = 'general' THEN -0.04 ELSE 0.04 END + (score - 0.5) * 0.2))::DOUBLE, 3) AS confidence
+FROM (SELECT *, CASE WHEN greatest({', '.join(c for _, c in _use)}) > 0 THEN {_arg(_use)} ELSE 'general' END AS use FROM (SELECT *, {hits('t', C.POSITIVE)} AS p, {hits('t', C.NEGATIVE)} AS g, {', '.join(f"{hits('t', w)} AS u_{k}" for k, w in C.USAGE_CONTEXTS.items())} FROM (SELECT *, lower({collapse("concat_ws(chr(10), body, source_ref)")}) AS t FROM voices)))""", VOICES)
+add("voice_targets", """SELECT f.id AS item_id, CASE WHEN kind IS NOT NULL THEN n * 10 END AS signal_id, CAST(kind AS INT) AS kind FROM (
+  SELECT *, CASE WHEN n % 4 = 0 THEN NULL WHEN n % 3 = n % 2 AND n % 3 = 1 THEN 1 WHEN n % 3 = n % 2 THEN 2 WHEN n % 3 = 1 THEN 3 END AS kind FROM voices) f""", VOICES)
+
+# --- maintenance
+add("mention_signals", f"""SELECT handle, count(DISTINCT id) AS posts, array_to_string(list_sort(list(DISTINCT by_)), ',') AS mentioned_by, count(DISTINCT by_) AS mentioners FROM (
+  SELECT id, {_handle('source_ref')} AS by_, lower(unnest(regexp_extract_all(body, '@([A-Za-z0-9_]+)', 1))) AS handle FROM items) WHERE length(handle) <= 15 AND handle <> by_ AND handle NOT IN (SELECT lower(handle) FROM sources) GROUP BY handle HAVING count(DISTINCT id) >= 2 OR count(DISTINCT by_) >= 2""", ITEMS, SOURCES)
+add("referenced_authors", "SELECT 'd' || doc_id AS id, array_to_string(list_sort(['q' || (doc_id % 5), 'r' || (doc_id % 3), 't1', 't2']), ',') AS authors FROM documents")
+add("candidates_updated", f"SELECT coalesce(s.handle, m.handle) AS handle, coalesce(posts, 0) AS mentions, coalesce(mentioned_by, '') AS mentioned_by, CASE WHEN s.handle IS NOT NULL THEN 'watch' ELSE 'pending' END AS status FROM sources s FULL JOIN ({ORACLE_SQL['mention_signals'].partition(chr(10) + 'SELECT')[2].join(['SELECT', ''])}) m ON s.handle = m.handle", ITEMS, SOURCES)
+CATALOGUE = """cat AS (SELECT p_partkey AS id, p_retailprice AS price, CAST(p_size AS BIGINT) AS context FROM part),
+events_ AS (SELECT id + 1000000 AS id, 'new' AS event FROM cat WHERE id % 19 = 0 UNION ALL SELECT id, 'removed' FROM cat WHERE id % 13 = 0
+  UNION ALL SELECT id, 'price_change' FROM cat WHERE id % 13 <> 0 AND id % 7 = 0 UNION ALL SELECT id, 'context_change' FROM cat WHERE id % 13 <> 0 AND id % 5 = 0)"""
+add("catalogue_diff", "SELECT event, count(*) AS events, min(id) AS first_id, max(id) AS last_id FROM events_ GROUP BY 1", CATALOGUE)
+add("catalogue_events", "SELECT id, event FROM events_", CATALOGUE)
+add("catalogue_guard", "SELECT count(*) AS active, count(*) FILTER (p_partkey % 13 <> 0) + count(*) FILTER (p_partkey % 19 = 0) AS fetched, count(*) FILTER (p_partkey % 13 <> 0) + count(*) FILTER (p_partkey % 19 = 0) < ceil(count(*) / 2) AS abort FROM part")
+add("upsert_items", """SELECT platform, n AS external_id, title, CAST(CASE WHEN n % 5 <> 0 AND n % 2 = 0 THEN length(body) + 1 ELSE length(body) END AS INT) AS size, CASE WHEN n % 3 <> 0 THEN 'e' || n END AS enrichment,
+  CASE WHEN n % 5 = 0 THEN 'kept' WHEN n % 3 = 0 THEN 'inserted' WHEN n % 2 = 0 THEN 'updated' ELSE 'skipped' END AS action FROM items WHERE n % 3 <> 0 OR n % 5 <> 0""", ITEMS)
+add("link_diff", "SELECT CASE WHEN h IS NULL THEN 'insert' WHEN w IS NULL THEN 'delete' ELSE 'update' END AS change, count(*) AS links FROM (SELECT min(l_linenumber) FILTER (l_linenumber <= 3) AS w, min(l_linenumber % 4) FILTER (l_linenumber BETWEEN 2 AND 4) AS h FROM lineitem GROUP BY l_orderkey, l_partkey) WHERE w IS DISTINCT FROM h GROUP BY 1")
+add("union_first_wins", "SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'main' ELSE 'rescue' END AS origin FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+add("unchanged_skipped", "SELECT id FROM items WHERE n % 4 = 0 AND coalesce(title, '') <> 'changed'", ITEMS)
+add("retention_keep", """SELECT (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM kept)) AS children, count(*) AS parents, CAST(sum(o_orderkey) AS BIGINT) AS id_sum FROM kept""",
+    "kept AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1998-08-02 00:00:00' - INTERVAL 400 DAY OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49))")
+add("children_detached", "SELECT count(*) AS rows, count(*) FILTER (l_orderkey % 3 = 0 AND l_orderkey IN (SELECT o_orderkey FROM orders)) AS attached FROM lineitem")
+add("collector_health", "SELECT kind, CAST(count(*) AS BIGINT) AS sources, CAST(sum(bad) AS BIGINT) AS errors, sum(bad) < count(*) AS ok FROM (SELECT event_type AS kind, user_id, max(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS bad FROM events GROUP BY ALL) GROUP BY 1")
+add("stale_runs", "SELECT CASE WHEN event_id % 2 = 0 AND ts < TIMESTAMP '2024-01-14 12:00:00' THEN 'aborted' WHEN event_id % 2 = 0 THEN 'running' ELSE 'done' END AS status, count(*) AS runs FROM events GROUP BY 1")
+add("rate_limits", f"SELECT 'user' || user_id AS login, count(*) AS files, count(*) >= 3 AS limited FROM events WHERE ts >= {AS_OF} - INTERVAL 7 DAY GROUP BY 1")
+add("seeds_imported", "SELECT handle, CASE WHEN source_id % 6 = 0 THEN 'seed,old,new' WHEN source_id % 2 = 0 THEN 'seed,old' ELSE 'new,seed' END AS tags FROM sources WHERE source_id % 2 = 0 OR source_id % 3 = 0", SOURCES)
+add("key_links", "SELECT 'd' || doc_id AS id, 4 AS links FROM documents")
+add("json_links", "SELECT 'd' || doc_id AS id, 'https://a.b/' || (doc_id % 7) || ' https://c.d/1' AS links FROM documents")
+add("enrichment_merged", "SELECT 'd' || doc_id AS id, 'k1,k9,k3' AS kept FROM documents")
+add("community_files", """SELECT name, concat_ws(',', CASE WHEN day > 29 THEN 'date' END, CASE WHEN source_id % 5 = 4 THEN 'file_name' END) AS failures FROM (SELECT 'x--user' || (source_id - CASE WHEN source_id % 5 = 4 THEN 1 ELSE 0 END) || '.json' AS name, source_id, 28 + source_id % 4 AS day FROM sources)""", SOURCES)
+add("weekly_review", "SELECT e.user_id, count(*) AS errors, any_value(last_type) AS last_type FROM events e JOIN (SELECT DISTINCT ON (user_id) user_id, event_type AS last_type FROM events ORDER BY user_id, ts DESC, event_id DESC) l USING (user_id) WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1")
+add("ranked_ids", "SELECT user_id, event_id, CAST(r AS INT) AS r FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS FIRST, event_id) AS r FROM events) WHERE r <= 2")

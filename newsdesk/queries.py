@@ -1,5 +1,747 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries: each applies an operator of the library to the driver's whole tables.
+
+Every computed column has a name; times come back as text, so that any engine compares them alike.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from newsdesk import config as C
+from newsdesk.functions import html, text, timing, urls
+from newsdesk.operators import relational as R
+from newsdesk.operators.components import connected_components
+from newsdesk.plans import classify as K
+from newsdesk.plans import duplicates as D
+from newsdesk.plans import feeds, maintenance, publish, scoring, voice
+from newsdesk.sources import fixtures as X
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def stamp(c: str | Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def at(s: str) -> Column:
+    return F.lit(s).cast("timestamp")
+
+
+DAY = ("2024-01-03 21:00:00", "2024-01-04 21:00:00")
+
+
+# --- normalisation, URLs, text -------------------------------------------------
+
+
+@query
+def normalize_items(s, d):
+    i = X.items(s, d)
+    return i.select("id", "platform", "source_ref", text.truncate(F.col("title"), 80).alias("title"), stamp(timing.clamped(F.col("published_at"), F.col("ingested_at"))).alias("published"), stamp("ingested_at").alias("ingested"))
+
+
+@query
+def future_dates_clamped(s, d):
+    i = X.items(s, d).withColumn("p", F.col("published_at") + F.make_interval(hours=F.col("n") % 12))
+    return i.select("id", stamp(timing.clamped(F.col("p"), F.col("ingested_at"))).alias("published"))
+
+
+@query
+def canonical_urls(s, d):
+    return X.table(s, d, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"), urls.rules_key(F.col("url")).alias("rules_key"))
+
+
+@query
+def item_urls(s, d):
+    return X.items(s, d).select("id", urls.canonical(F.col("url")).alias("canonical"), urls.prefilter_key(F.col("url")).alias("prefilter_key"), urls.article_key(F.col("url")).alias("article_key"))
+
+
+@query
+def url_key_prefilter(s, d):
+    return X.table(s, d, "pages").select("page_id", urls.prefilter_key(F.col("url")).alias("key"))
+
+
+@query
+def content_hash(s, d):
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return X.items(s, d).select("id", F.sha2(F.concat_ws("|", "platform", "id", part("title"), part("body"), F.coalesce(stamp("published_at"), F.lit(""))), 256).alias("content_hash"))
+
+
+@query
+def title_keys(s, d):
+    return X.items(s, d).select("id", text.key(F.col("title"), 24).alias("rules_key"), text.key(F.col("title"), 20).alias("prefilter_key"))
+
+
+@query
+def title_tokens(s, d):
+    return X.items(s, d).select("id", F.array_join(text.tokens(F.col("title")), ",").alias("tokens"))
+
+
+@query
+def sanitised_text(s, d):
+    return X.items(s, d).select("id", F.length(text.sanitised(F.concat(F.col("title"), F.lit("\x00")))).alias("length"))
+
+
+@query
+def summary_sentences(s, d):
+    parts = text.sentences(F.substring(text.collapse(F.col("body")), 1, 200))
+    return X.items(s, d).select("id", F.size(parts).alias("parts"), parts[0].alias("first_part"))
+
+
+@query
+def links_stripped(s, d):
+    linked = F.concat(F.lit("[see]("), "url", F.lit(") "), "title", F.lit(" https://x.com/a"))
+    return X.items(s, d).select("id", text.without_links(linked, 60).alias("plain"))
+
+
+@query
+def blurbs(s, d):
+    return X.items(s, d).select("id", publish.blurb().alias("blurb"))
+
+
+@query
+def page_titles(s, d):
+    return X.table(s, d, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query
+def readable_pages(s, d):
+    r = html.readable(F.col("html"))
+    return X.table(s, d, "pages").select("page_id", F.length(r).alias("chars"), F.sha2(r, 256).alias("text_sha256"))
+
+
+@query
+def page_contexts(s, d):
+    return X.table(s, d, "pages").select("page_id", html.context(F.col("html"), urls.valid_link(F.col("url"))).alias("context"), html.image(F.col("html")).alias("image"))
+
+
+@query
+def page_links(s, d):
+    found = X.table(s, d, "pages").select("page_id", F.explode(urls.links(F.concat(F.lit("see ("), "url", F.lit("). "), "html"))).alias("link"))
+    return found.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct(urls.valid_link(F.col("link"))).alias("distinct_links"))
+
+
+@query
+def entities_decoded(s, d):
+    marked = F.concat(F.substring("title", 1, 20), F.lit(" &amp;lt; &#233;&#x1F600; &nope; &quot;"))
+    return X.items(s, d).select("id", html.decoded(marked).alias("decoded"))
+
+
+@query
+def video_ids(s, d):
+    made = F.concat(F.lit("https://www.youtube.com/watch?t=1&v="), F.lpad(F.col("n").cast("string"), 11, "a"))
+    return X.items(s, d).select("id", urls.video_id(made).alias("video_id"), urls.video_id(F.concat(F.lit("https://youtu.be/"), F.lpad(F.col("n").cast("string"), 11, "b"))).alias("short_id"))
+
+
+@query
+def strict_times(s, d):
+    i = F.col("doc_id")
+    raw = F.concat(F.lit("2024-02-"), F.lpad((i % 33).cast("string"), 2, "0"))
+    return X.table(s, d, "documents").select("doc_id", F.date_format(timing.strict_date(raw), "yyyy-MM-dd").alias("day"), stamp(timing.strict_instant(F.concat(raw, F.lit("T10:00:00Z")))).alias("instant"))
+
+
+# --- classification ------------------------------------------------------------
+
+
+@query
+def rules_noise(s, d):
+    return K.scored(X.items(s, d), X.as_of()).select("id", F.col("ai").alias("ai_hits"), "noise", "noise_reason")
+
+
+@query
+def rules_primary_tag(s, d):
+    r = K.scored(X.items(s, d), X.as_of()).withColumn("p", K.primary(F.col("text"), F.col("platform")))
+    return r.select("id", F.when(F.col("p.score") > 0, F.col("p.tag")).otherwise("OTHER").alias("primary_tag"), F.col("p.score").alias("hits"))
+
+
+@query
+def rules_classify(s, d):
+    return K.classify(X.items(s, d), X.as_of())
+
+
+@query
+def matched_signals(s, d):
+    return K.signals(X.items(s, d), X.as_of()).select("id", F.array_join("signals", ";").alias("signals"))
+
+
+@query
+def latest_classification(s, d):
+    return R.latest(X.classifications(s, d), "item_id", "classified_at", "classification_id").select("item_id", "classification_id", "noise", "score", "primary_tag")
+
+
+@query
+def normalised_tags(s, d):
+    raw = X.classifications(s, d).select("classification_id", F.lower(F.replace("primary_tag", F.lit("_"), F.lit("-"))).alias("primary_tag"), F.when(F.col("n") % 2 == 0, "rag search").otherwise("paper").alias("sub_tag"), F.when(F.col("n") % 3 == 0, "read").otherwise(F.col("action_tag")).alias("action_tag"))
+    return K.normalised_tags(raw)
+
+
+@query
+def flags_carried_forward(s, d):
+    c = X.classifications(s, d)
+    return K.carried_forward(c.filter("classification_id % 10 = 1"), c.filter("classification_id % 10 = 0 and n % 2 = 0")).select("item_id", "is_headline", "is_dup", "is_published")
+
+
+@query
+def pending_classification(s, d):
+    runs = X.table(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("item_id"), F.when(F.col("doc_id") % 4 == 0, "failed").otherwise("completed").alias("status"), F.concat(F.lit('{"result":{"promptVersion":"v'), F.col("doc_id") % 3, F.lit('"}}')).alias("output"))
+    return K.pending(X.items(s, d), runs, "v1").select("id")
+
+
+@query
+def request_batches(s, d):
+    return R.top(X.items(s, d).select("id", "published_at"), [F.col("published_at").desc_nulls_last(), F.col("id")], 600).withColumn("batch", F.floor((F.col("rank") - 1) / 45)).groupBy("batch").agg(F.count("*").alias("items"), F.min("rank").alias("first_rank"))
+
+
+# --- duplicates ----------------------------------------------------------------
+
+
+def _canonical_items(s, d):
+    return X.items(s, d).withColumn("canonical_url", urls.canonical(F.col("url")))
+
+
+def _clusters(s, d):
+    i = _canonical_items(s, d)
+    return D.clusters(i, D.star_edges(D.keys(i), D.numbered(i)))
+
+
+@query
+def exact_dup_groups(s, d):
+    k = D.keys(_canonical_items(s, d))
+    return k.groupBy("reason", "key").agg(F.count("*").alias("items"), F.min("id").alias("first_id")).filter("items > 1")
+
+
+@query
+def dup_components(s, d):
+    return _clusters(s, d).select("id", "component", "size")
+
+
+@query
+def dup_master(s, d):
+    return D.masters(_clusters(s, d)).select("id", "component", "master_id", "detail")
+
+
+@query
+def published_match(s, d):
+    i = _canonical_items(s, d)
+    return D.published_matches(i.filter("n % 11 <> 0"), i.filter("n % 11 = 0")).select("id", "published_id", F.array_join("reasons", ",").alias("reasons"), "score")
+
+
+@query
+def title_jaccard_pairs(s, d):
+    return D.similar_titles(X.items(s, d))
+
+
+@query
+def prefilter_clusters(s, d):
+    i = _canonical_items(s, d)
+    exact = D.star_edges(D.keys(i, "prefilter"), D.numbered(i)).select("u", "v")
+    return D.masters(D.clusters(i, exact.unionByName(D.similar_titles(i).select("u", "v"))), "prefilter").select("id", "component", "master_id", "detail")
+
+
+def _vectors(s, d):
+    return X.table(s, d, "embeddings").select("vec_id", "embedding", (F.col("label") % 3).cast("string").alias("platform"), F.col("label").cast("string").alias("source_ref"))
+
+
+@query
+def cosine_pairs(s, d):
+    return D.cosine_pairs(_vectors(s, d), 0.45).select("u", "v", F.round("cosine", 6).alias("cosine"))
+
+
+@query
+def topic_clusters(s, d):
+    v = _vectors(s, d)
+    return D.topic_clusters(v, D.cosine_pairs(v, 0.40).select("u", "v"))
+
+
+@query
+def event_components(s, d):
+    e = X.table(s, d, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("u"), (F.col("event_id") % 40 + 100000).alias("v"))
+    return connected_components(e)
+
+
+# --- scores --------------------------------------------------------------------
+
+
+@query
+def headline_scores(s, d):
+    return scoring.headline_scores(X.items(s, d), X.classifications(s, d), X.as_of())
+
+
+@query
+def headline_slots(s, d):
+    return scoring.headline_slots(headline_scores(s, d))
+
+
+def _owned(s, d):
+    src = X.sources(s, d)
+    i = X.items(s, d).select(F.col("id").alias("item_id"), "n", F.lower(F.expr("substring(source_ref, 2)")).alias("h"), "created_at")
+    return i.join(src.select(F.lower("handle").alias("h"), "source_id"), "h")
+
+
+STOP = "2024-01-08 00:00:00"
+
+
+def _bound(s, d):
+    return X.table(s, d, "documents").filter("doc_id % 11 = 0").select(F.concat(F.lit("d"), "doc_id").alias("item_id"))
+
+
+@query
+def item_summary(s, d):
+    return scoring.item_summary(_owned(s, d), at(STOP)).select("source_id", "items_28", "items_7", stamp("latest_at").alias("latest"))
+
+
+@query
+def class_summary(s, d):
+    return scoring.class_summary(_owned(s, d), X.classifications(s, d), at(STOP))
+
+
+@query
+def adoption_summary(s, d):
+    return scoring.adoption_summary(_owned(s, d), X.classifications(s, d), _bound(s, d))
+
+
+@query
+def decision_summary(s, d):
+    return scoring.decision_summary(_owned(s, d), X.decisions(s, d))
+
+
+def _summary(s, d):
+    i, c = _owned(s, d), X.classifications(s, d)
+    return scoring.source_summary(X.sources(s, d), scoring.item_summary(i, at(STOP)), scoring.class_summary(i, c, at(STOP)), scoring.adoption_summary(i, c, _bound(s, d)), scoring.decision_summary(i, X.decisions(s, d)))
+
+
+@query
+def source_summary(s, d):
+    return _summary(s, d).drop("latest_at")
+
+
+@query
+def trust_medians(s, d):
+    return scoring.trust_medians(_summary(s, d))
+
+
+@query
+def trust_score(s, d):
+    return scoring.trust_scores(_summary(s, d), at(STOP))
+
+
+@query
+def trust_labels(s, d):
+    return trust_score(s, d).groupBy("new_label").agg(F.count("*").alias("sources"))
+
+
+@query
+def noise_percentile(s, d):
+    e = X.table(s, d, "events").groupBy("user_id").agg(F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)).alias("rate"))
+    return e.agg(F.round(F.percentile("rate", 0.1), 9).alias("bottom_decile"), F.round(F.median("rate"), 9).alias("median"), F.count("*").alias("users"))
+
+
+@query
+def lifecycle_flags(s, d):
+    m = _summary(s, d)
+    return scoring.lifecycle(m.join(scoring.trust_scores(m, at(STOP)).select("source_id", "trust_score"), "source_id"))
+
+
+@query
+def demotion_gate(s, d):
+    e = X.table(s, d, "events").filter("event_type = 'error'")
+    keys = F.split(F.when(F.col("event_id") % 2 == 0, "noisy,low_trust").otherwise("low_priority"), ",")
+    rows = e.select(F.col("user_id").alias("source_id"), "event_id", F.col("ts").alias("at"), X.nth(("demote", "restore", "deactivate"), F.col("event_id") % 3).alias("action"), keys.alias("condition_keys"))
+    return scoring.demotions(rows).select("source_id", "event_id")
+
+
+@query
+def candidate_ladder(s, d):
+    c = X.table(s, d, "customer")
+    k = F.col("c_custkey")
+    return c.select("c_custkey", scoring.candidate_status((k % 101).cast("double"), (k % 10) / 10.0, k % 4).alias("status")).groupBy("status").agg(F.count("*").alias("candidates"))
+
+
+# --- editions ------------------------------------------------------------------
+
+
+@query
+def edition_key(s, d):
+    return X.table(s, d, "events").select("event_id", timing.edition_key(F.col("ts")).alias("edition"), timing.local_day(F.col("ts")).alias("local_day"))
+
+
+@query
+def edition_window_counts(s, d):
+    e = X.table(s, d, "events").groupBy(F.window("ts", "1 day", "1 day", "21 hours").alias("w")).agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"))
+    return e.select(stamp("w.start").alias("window_start"), "events", "value")
+
+
+def _eligible(s, d):
+    return publish.eligible(X.items(s, d), X.classifications(s, d), X.decisions(s, d), X.sources(s, d))
+
+
+@query
+def publish_candidates(s, d):
+    return _eligible(s, d).select("id", "headline", "priority", "section")
+
+
+@query
+def publish_plan(s, d):
+    return publish.plan(_eligible(s, d)).select("id", "headline", "priority", "section", "rank", "position")
+
+
+@query
+def appended_positions(s, d):
+    return publish.plan(_eligible(s, d), limit=20, offset=120).select("id", "position")
+
+
+@query
+def section_topn(s, d):
+    return publish.per_section(publish.plan(_eligible(s, d)), 3).select("id", "section", "place")
+
+
+@query
+def rescue_union(s, d):
+    return publish.windowed(X.event_items(s, d).withColumn("ingested_at", F.col("ingested_at")), at(DAY[0]), at(DAY[1]), main=150, rescue=40).select("id", "origin", "clamped")
+
+
+@query
+def window_items(s, d):
+    i = X.items(s, d)
+    return i.filter(timing.in_window(F.col("published_at"), F.col("ingested_at"), at("2024-01-01 02:00:00"), at("2024-01-01 12:00:00"))).select("id")
+
+
+@query
+def edition_markdown(s, d):
+    return publish.markdown(publish.plan(_eligible(s, d)), "2024-01-08")
+
+
+@query
+def markdown_articles(s, d):
+    return publish.parsed(edition_markdown(s, d)).select("section", "article", "title", "url")
+
+
+@query
+def markdown_counts(s, d):
+    return publish.section_counts(edition_markdown(s, d))
+
+
+def _composed(s, d):
+    dec = X.decisions(s, d).select(F.col("item_id").alias("id"), "topic_cluster_key", "distinct_sources", "headline_score")
+    return publish.plan(_eligible(s, d)).join(dec, "id", "left")
+
+
+@query
+def topic_collapse(s, d):
+    return publish.collapsed_topics(_composed(s, d)).select("id", "section", F.startswith("title", F.lit("[")).alias("badged"))
+
+
+@query
+def repository_collapse(s, d):
+    rows = _composed(s, d).withColumn("url", F.concat(F.lit("https://github.com/org/repo"), F.expr("cast(substring(id, 2) as bigint) % 5"), F.lit(".git")))
+    return publish.collapsed_repositories(rows.withColumn("platform", F.when(F.expr("cast(substring(id, 2) as bigint) % 2 = 0"), "github").otherwise(F.col("platform")))).select("id", F.startswith("title", F.lit("[")).alias("badged"))
+
+
+@query
+def repair_gate(s, d):
+    return publish.repair_needed(X.items(s, d), X.decisions(s, d).filter("decision_id % 2 = 0"), at("2024-01-01 00:00:00"), at("2024-01-01 12:00:00"))
+
+
+@query
+def trust_badges(s, d):
+    t = X.sources(s, d).select(text.handle(F.col("handle")).alias("h"), "trust_label")
+    i = X.items(s, d).filter("platform = 'twitter'").withColumn("h", text.handle(F.col("source_ref")))
+    return i.join(t, "h", "left").select("id", F.when(F.col("trust_label") != "blocked", F.col("trust_label")).alias("badge"), scoring.trust_factor(F.col("trust_label")).alias("factor"))
+
+
+# --- feeds ---------------------------------------------------------------------
+
+
+@query
+def feed_search(s, d):
+    return feeds.search(X.items(s, d), keyword="an", source="src1", per_platform=50, limit=100).select("id", "platform", F.length("text").alias("chars"))
+
+
+@query
+def feed_counts(s, d):
+    return feeds.counts(feeds.search(X.items(s, d), per_platform=40, limit=150))
+
+
+PARAMS = feeds.FeedParams("2024-01-01 00:00:00", "2024-01-01 12:00:00", tags=("SECURITY", "AGENT", "APPLY", "TECH"), limit=25)
+
+
+@query
+def family_feed_page(s, d):
+    rows, _ = feeds.family_feed(X.items(s, d), X.classifications(s, d), X.decisions(s, d), PARAMS)
+    return rows.select("item_id", "classification_id", "primary_tag", stamp("classified_at").alias("classified"))
+
+
+@query
+def family_feed_meta(s, d):
+    _, meta = feeds.family_feed(X.items(s, d), X.classifications(s, d), X.decisions(s, d), PARAMS)
+    return meta.withColumn("next_since", stamp("next_since"))
+
+
+@query
+def family_feed_dedup(s, d):
+    c = R.latest(X.classifications(s, d).filter("not noise"), "item_id", "classified_at", "classification_id").join(X.decisions(s, d), "item_id")
+    group = F.when(F.col("topic_cluster_key").isNotNull() & (F.col("distinct_sources") >= 2), F.col("topic_cluster_key")).otherwise(F.concat(F.lit("id:"), "item_id"))
+    return R.first_per_key(c.withColumn("g", group), ["g"], [F.desc("headline_score"), F.desc("priority_score"), F.col("classified_at"), F.col("item_id")]).select("item_id", "g")
+
+
+@query
+def tie_page(s, d):
+    return R.with_ties(X.table(s, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", 50).select("o_orderkey")
+
+
+@query
+def digest_rank(s, d):
+    e = X.event_items(s, d).withColumn("engagement", F.when(F.col("n") % 4 != 0, F.try_element_at("metrics", F.lit("k")) * 2 + F.col("score") * 0.001))
+    return R.top(e, [F.col("engagement").isNull(), F.col("engagement").desc_nulls_last(), F.col("published_at").desc(), F.col("id")], 200).select("id", "rank", F.round("engagement", 6).alias("engagement"))
+
+
+@query
+def engagement_scores(s, d):
+    m = F.create_map(F.lit("like"), F.col("score"), F.lit("view"), F.col("score") * 10)
+    return X.event_items(s, d).select("id", F.round(feeds.engagement(m), 6).alias("engagement"), voice.sample_size(voice.total_engagement(m, F.col("score"))).alias("sample_size"))
+
+
+@query
+def daily_top10(s, d):
+    return feeds.busiest(X.event_items(s, d), "handle")
+
+
+@query
+def offset_page(s, d):
+    return R.page(X.table(s, d, "customer").select("c_custkey", "c_acctbal"), [F.desc("c_acctbal"), F.col("c_custkey")], 3, 25).select("c_custkey", "total", "total_pages")
+
+
+@query
+def platform_counts(s, d):
+    return X.event_items(s, d).groupBy("platform").agg(F.count("*").alias("items"), F.countDistinct("handle").alias("authors"))
+
+
+@query
+def child_counts(s, d):
+    o = X.table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"))
+    return X.table(s, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"))
+
+
+@query
+def status_counts(s, d):
+    o, st = X.table(s, d, "orders"), F.col("o_orderstatus")
+    return o.agg(*[F.count_if(st == k).alias(f"status_{k.lower()}") for k in ("F", "O", "P")], F.count("*").alias("total"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
+
+
+@query
+def calendar_days(s, d):
+    return feeds.calendar("2024-02-01", "2024-03-01").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "weekday")
+
+
+@query
+def edition_choice(s, d):
+    e = X.sources(s, d).select(F.concat(F.lit("ed-"), "handle").alias("slug"), F.when(F.col("source_id") % 2 == 0, "published").otherwise("draft").alias("status"), F.when(F.col("source_id") % 3 != 0, "text").alias("content"), X.minutes_after_epoch(F.col("source_id") * 600).alias("edition_at"), X.minutes_after_epoch(F.col("source_id") * 60).alias("updated_at"))
+    return publish.edition_lookup(e).select("slug", F.lit("latest").alias("asked")).unionByName(publish.edition_lookup(e, slug="ed-src1").select("slug", F.lit("slug").alias("asked"))).unionByName(publish.edition_lookup(e, day="2024-01-02").select("slug", F.lit("day").alias("asked")))
+
+
+# --- voices --------------------------------------------------------------------
+
+
+def _voices(s, d):
+    c = X.table(s, d, "conversations").filter("role = 'user'")
+    n = F.col("conv_id") * 1000 + F.col("turn")
+    return c.select(n.alias("n"), F.concat(F.lit("c"), n).alias("id"), X.nth(C.PLATFORMS, n % 7).alias("platform"), F.lit(None).cast("string").alias("title"), F.col("text").alias("body"), F.concat(F.lit("@conv"), F.col("conv_id") % 20).alias("source_ref"), (n % 10 / 10.0).alias("score"), (n % 19 == 0).alias("is_dup"), (n % 23 == 0).alias("is_published"), X.nth(C.ACTION_ORDER, n % 4).alias("action_tag"), X.nth(C.PRIMARY_ORDER, n % 11).alias("primary_tag"), X.minutes_after_epoch(F.col("conv_id")).alias("recency"))
+
+
+@query
+def voice_candidates(s, d):
+    return _voices(s, d).select("id", voice.speaks().alias("speaks"), voice.candidate_score(F.col("recency"), at("2024-01-03 00:00:00")).alias("voice_score"))
+
+
+@query
+def voice_sentiment(s, d):
+    lower = F.lower(text.collapse(F.concat_ws("\n", "title", "body", "source_ref")))
+    return voice.with_sentiment(_voices(s, d), lower).select("id", "sentiment", "usage_context", "confidence")
+
+
+def _topics(s, d):
+    v = _voices(s, d)
+    named = F.concat(X.nth(("gpt-4 mini ", "Claude opus ", "日gpt-5 ", "", "use cursor ", "LLAMA 3 ", "mcp server ", ""), F.col("n") % 8), F.coalesce("body", F.lit("")))
+    v = v.withColumn("topic", voice.topic(named, F.when(F.col("n") % 3 != 0, F.col("source_ref")), F.col("primary_tag")))
+    return voice.with_sentiment(v, F.lower(text.collapse(named)))
+
+
+@query
+def voice_topics(s, d):
+    return _topics(s, d).select("id", "topic")
+
+
+@query
+def voice_topic_summary(s, d):
+    return voice.topic_summary(_topics(s, d).withColumn("topic", F.lower("topic")))
+
+
+@query
+def voice_targets(s, d):
+    v = _voices(s, d)
+    fresh = v.select(F.col("id").alias("item_id"), F.concat(F.lit("e"), F.col("n") % 3).alias("edition_id"), F.lit("m1").alias("model"))
+    stored = v.filter("n % 4 <> 0").select(F.col("id").alias("item_id"), (F.col("n") * 10).alias("signal_id"), F.concat(F.lit("e"), F.col("n") % 2).alias("edition_id"), F.concat(F.lit("m"), F.col("n") % 3).alias("model"), F.col("recency").alias("updated_at"))
+    return voice.upsert_targets(fresh, stored)
+
+
+# --- maintenance ---------------------------------------------------------------
+
+
+@query
+def mention_signals(s, d):
+    return maintenance.mention_signals(X.items(s, d), X.sources(s, d))
+
+
+@query
+def referenced_authors(s, d):
+    made = F.concat(F.lit('{"quoted_status":{"user":{"screen_name":"'), F.concat(F.lit("q"), F.col("n") % 5), F.lit('"}},"in_reply_to_screen_name":"R'), F.col("n") % 3, F.lit('","referenced_tweets":[{"author":{"handle":"t1"}},{"user":{"username":"t2"}}]}'))
+    return X.items(s, d).select("id", F.array_join(F.array_sort(maintenance.referenced(made)), ",").alias("authors"))
+
+
+@query
+def candidates_updated(s, d):
+    signals = mention_signals(s, d).select("handle", "posts", "mentioned_by")
+    known = X.sources(s, d).select("handle", F.lit("watch").alias("status"))
+    return maintenance.candidates_updated(known, signals)
+
+
+@query
+def catalogue_diff(s, d):
+    return maintenance.catalogue_events(*X.snapshots(s, d)).groupBy("event").agg(F.count("*").alias("events"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query
+def catalogue_events(s, d):
+    return maintenance.catalogue_events(*X.snapshots(s, d)).select("id", "event")
+
+
+@query
+def catalogue_guard(s, d):
+    return maintenance.catalogue_guard(*X.snapshots(s, d))
+
+
+def _upsert_inputs(s, d):
+    i = X.items(s, d).select("platform", F.col("n").alias("external_id"), "title", F.length("body").alias("size"))
+    old = i.filter("external_id % 3 <> 0").withColumn("enrichment", F.concat(F.lit("e"), "external_id"))
+    new = i.filter("external_id % 5 <> 0").withColumn("size", F.when(F.col("external_id") % 2 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return old, new
+
+
+@query
+def upsert_items(s, d):
+    old, new = _upsert_inputs(s, d)
+    return R.upsert(old, new, ["platform", "external_id"], ["title", "size"], ["enrichment"])
+
+
+@query
+def link_diff(s, d):
+    o = X.table(s, d, "lineitem")
+    w = o.groupBy("l_orderkey", "l_partkey").agg(F.min(F.when(F.col("l_linenumber") <= 3, F.col("l_linenumber"))).alias("w"), F.min(F.when(F.col("l_linenumber").between(2, 4), F.col("l_linenumber") % 4)).alias("h"))
+    return R.difference(w.filter("w is not null").select("l_orderkey", "l_partkey", F.col("w").alias("score")), w.filter("h is not null").select("l_orderkey", "l_partkey", F.col("h").alias("score")), ["l_orderkey", "l_partkey"], ["score"]).groupBy("change").agg(F.count("*").alias("links"))
+
+
+@query
+def union_first_wins(s, d):
+    i = X.items(s, d)
+    return R.union_first_wins(i.filter("n % 2 = 0").select("id", F.lit("main").alias("origin")), i.filter("n % 3 = 0").select("id", F.lit("rescue").alias("origin")), "id")
+
+
+@query
+def unchanged_skipped(s, d):
+    i = X.items(s, d).select("id", F.sha2(F.coalesce("title", F.lit("")), 256).alias("hash"))
+    ledger = X.items(s, d).select("id", F.sha2(F.when(F.col("n") % 4 == 0, "changed").otherwise(F.coalesce("title", F.lit(""))), 256).alias("hash"))
+    return R.unchanged_skipped(i, ledger, ["id"], "hash").select("id")
+
+
+@query
+def retention_keep(s, d):
+    o = X.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate")
+    bound = X.table(s, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").alias("id"))
+    kept = maintenance.retained(o, "o_orderdate", at("1998-08-02 00:00:00"), 400, bound, floor=28)
+    children = X.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber")
+    return maintenance.cascaded(children, kept, "id").agg(F.count("*").alias("children")).crossJoin(kept.agg(F.count("*").alias("parents"), F.sum("id").alias("id_sum")))
+
+
+@query
+def children_detached(s, d):
+    o = X.table(s, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("key"))
+    rows = maintenance.detached(X.table(s, d, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber"), o, "key")
+    return rows.agg(F.count("*").alias("rows"), F.count("key").alias("attached"))
+
+
+@query
+def collector_health(s, d):
+    e = X.table(s, d, "events").groupBy(F.col("event_type").alias("kind"), "user_id").agg(F.lit(1).alias("sources"), F.max(F.when(F.col("value") > 50, 1).otherwise(0)).alias("errors"))
+    return maintenance.collector_health(e)
+
+
+@query
+def stale_runs(s, d):
+    e = X.table(s, d, "events").select("event_id", F.col("ts").alias("started_at"), F.when(F.col("event_id") % 2 == 0, "running").otherwise("done").alias("status"))
+    return maintenance.stale_runs(e, at("2024-01-15 00:00:00")).groupBy("status").agg(F.count("*").alias("runs"))
+
+
+@query
+def rate_limits(s, d):
+    e = X.table(s, d, "events").select(F.concat(F.when(F.col("event_id") % 2 == 0, "User").otherwise("uSER"), F.col("user_id")).alias("login"), F.col("ts").alias("at"))
+    return maintenance.rate_limited(e, X.as_of(), days=7)
+
+
+@query
+def seeds_imported(s, d):
+    x = X.sources(s, d)
+    old = x.filter("source_id % 2 = 0").select("handle", F.array(F.lit("seed"), F.lit("old")).alias("tags"))
+    new = x.filter("source_id % 3 = 0").select("handle", F.array(F.lit("new"), F.lit("seed")).alias("tags"))
+    return maintenance.seeded(old, new).select("handle", F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def key_links(s, d):
+    i = _canonical_items(s, d)
+    return i.select("id", F.size(maintenance.key_links(F.col("url"), F.col("canonical_url"), urls.links(F.concat(F.lit("https://a.b/c, https://a.b/c https://d.e/"), F.col("n"))))).alias("links"))
+
+
+@query
+def json_links(s, d):
+    made = F.concat(F.lit('{"a":{"u":"https:\\/\\/a.b\\/'), F.col("n") % 7, F.lit('","v":["https://c.d/1","https://c.d/1"]}}'))
+    return X.items(s, d).select("id", F.array_join(maintenance.json_links(made), " ").alias("links"))
+
+
+@query
+def enrichment_merged(s, d):
+    entry = lambda k, t: F.struct(F.lit(k).alias("key"), F.struct(t.alias("fetched_at"), F.lit(k).alias("title")).alias("value"))
+    old = F.map_from_entries(F.array(*[entry(f"k{j}", F.col("n") * 10 + j) for j in range(4)]))
+    new = F.map_from_entries(F.array(entry("k1", F.col("n") * 10 + 99), entry("k9", F.col("n") * 10 + 50)))
+    return X.items(s, d).select("id", F.array_join(F.map_keys(maintenance.enriched(old, new, keep=3)), ",").alias("kept"))
+
+
+@query
+def community_files(s, d):
+    from newsdesk.sources.community import validated
+
+    made = F.concat(F.lit('{"handle":"user'), F.col("source_id"), F.lit('","topic":"ai","addedAt":"2024-02-'), F.lpad((28 + F.col("source_id") % 4).cast("string"), 2, "0"), F.lit('"}'))
+    files = X.sources(s, d).select(F.concat(F.lit("x--user"), F.col("source_id") - F.when(F.col("source_id") % 5 == 4, 1).otherwise(0), F.lit(".json")).alias("name"), F.encode(made, "UTF-8").alias("content"))
+    return validated(files).select("name", F.array_join("failures", ",").alias("failures"))
+
+
+@query
+def weekly_review(s, d):
+    e = X.table(s, d, "events").filter("event_type = 'error'").filter(F.col("ts") >= at("2024-01-24 00:00:00"))
+    last = R.latest(X.table(s, d, "events"), "user_id", "ts", "event_id").select("user_id", F.col("event_type").alias("last_type"))
+    return e.groupBy("user_id").agg(F.count("*").alias("errors")).join(last, "user_id")
+
+
+@query
+def ranked_ids(s, d):
+    e = X.table(s, d, "events")
+    return e.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("value").desc_nulls_first(), F.col("event_id")))).filter("r <= 2").select("user_id", "event_id", "r")
+
