@@ -4,8 +4,9 @@ Each task hashes all windows of its documents.  Within a chunk of documents a wi
 settled at once: its later documents lose it, and only the chunk's smallest document sends it on.
 What is sent goes to a bucket as one sorted run of 8 bytes a window, so a passage shared by any number
 of documents reaches its bucket once per chunk, not once per document.  The bucket finds each window's
-smallest document and returns, to the documents that are not it, the windows they lose.  Windows that
-touch merge into maximal intervals of words, which are removed.
+smallest document and returns, to the documents that are not it, the windows they lose, packed by the
+bucket that the documents themselves go to.  There windows that touch merge into maximal intervals of
+words, which are removed.
 
 The bucket is chosen by a second, independent hash: 64 bits and the bucket's bits tell windows apart.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from newsdesk.llm.common import Interner, bounded, input_bytes, parts, regrouped, space_words, utf8
+from newsdesk.llm.common import Interner, input_bytes, parts, regrouped, space_words, utf8
 
 CHUNK_BYTES = 8 << 20
 #: Input bytes (as files) per bucket.
@@ -93,17 +94,26 @@ def _spans(marked: np.ndarray, window: int) -> np.ndarray:
     return np.stack([marked[new], marked[last] + window], axis=1).astype(np.int32).ravel()
 
 
-#: kind 0: a document's intervals settled within its chunk.  kind 1: windows sent to a bucket.
-SENT = "bucket int, kind int, ids binary, texts binary, counts binary, hashes binary"
-BACK = "doc_id long, text_hash long, spans binary, hashes binary"
+#: Packed documents (ids, keys, counts) and what they have, one after the other: as kind 0 intervals of words that
+#: they lose, as kind 1 hashes of windows.  ``bucket`` is where a row goes: documents to that of their key.
+PACKED = "bucket int, kind int, ids binary, keys binary, counts binary, data binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("ids", "keys", "counts", "data"))])
+
+
+def _packed(bucket: int, kind: int, ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, data: np.ndarray) -> dict:
+    return {"bucket": bucket, "kind": kind, "ids": np.diff(ids, prepend=0).tobytes(), "keys": keys.tobytes(), "counts": counts.astype(np.int32).tobytes(), "data": data.tobytes()}
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data = np.frombuffer(row["data"], np.uint64 if row["kind"] else np.int32)
+    return np.cumsum(np.frombuffer(row["ids"], np.int64)), np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], np.int32), data
 
 
 def _send(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Windows(window)
         for table in regrouped(batches, 2, CHUNK_BYTES):
-            ids = table.column(0).to_numpy()
-            text_hash = table.column(1).to_numpy()
+            ids, keys = table.column(0).to_numpy(), table.column(1).to_numpy()
             first, second, sizes = [], [], []
             for text in table.column(2).to_pylist():
                 words = hasher.words(space_words(text))
@@ -111,7 +121,7 @@ def _send(window: int, buckets: int):
                 second.append(hasher.rollers[1](words))
                 sizes.append(len(first[-1]))
             h, doc = np.concatenate(first), np.repeat(np.arange(len(ids)), sizes)
-            bucket = (np.concatenate(second) >> np.uint64(33)) % np.uint64(buckets)
+            bucket = ((np.concatenate(second) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
             del first, second
             if not len(h):
                 continue
@@ -119,96 +129,105 @@ def _send(window: int, buckets: int):
             run_h, run_id = h[order], ids[doc[order]]
             new = np.concatenate([[True], run_h[1:] != run_h[:-1]])
             least = run_id[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            lost = order[run_id > least]
             rows: list[dict] = []
+            lost = np.sort(order[run_id > least])
             if len(lost):
-                lost.sort()
                 begin = np.cumsum(sizes) - sizes
-                for part in np.split(lost, np.flatnonzero(np.diff(doc[lost])) + 1):
-                    d = int(doc[part[0]])
-                    spans = _spans(part - begin[d], window)
-                    rows.append({"bucket": int(text_hash[d] % buckets), "kind": 0, "ids": ids[d : d + 1].tobytes(), "texts": text_hash[d : d + 1].tobytes(), "counts": spans.tobytes(), "hashes": b""})
+                parts_ = np.split(lost, np.flatnonzero(np.diff(doc[lost])) + 1)
+                docs = doc[[p[0] for p in parts_]]
+                spans = [_spans(p - begin[d], window) for p, d in zip(parts_, docs.tolist(), strict=True)]
+                rows += _dealt(0, ids[docs], keys[docs], spans, buckets)
             kept = order[new]
             kept = kept[np.lexsort((kept, bucket[kept]))]
             for part in np.split(kept, np.flatnonzero(np.diff(bucket[kept])) + 1):
                 docs, counts = np.unique(doc[part], return_counts=True)
-                rows.append({"bucket": int(bucket[part[0]]), "kind": 1, "ids": np.diff(ids[docs], prepend=0).tobytes(), "texts": text_hash[docs].tobytes(), "counts": counts.astype(np.int32).tobytes(), "hashes": h[part].tobytes()})
+                rows.append(_packed(int(bucket[part[0]]), 1, ids[docs], keys[docs], counts, h[part]))
             for k in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_pylist(rows[k : k + 256], schema=_SENT)
+                yield pa.RecordBatch.from_pylist(rows[k : k + 256], schema=_PACKED)
 
     return run
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("ids", "texts", "counts", "hashes"))])
-_BACK = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("spans", pa.binary()), ("hashes", pa.binary())])
-
-
-def _settle(table: pa.Table) -> pa.Table:
-    """A bucket: settled intervals pass; windows that a smaller document has go back to their documents."""
-    out: list[dict] = []
-    ids, texts, counts, hashes = [], [], [], []
-    for row in table.to_pylist():
-        i = np.frombuffer(row["ids"], np.int64)
-        t = np.frombuffer(row["texts"], np.int64)
-        if row["kind"] == 0:
-            out.append({"doc_id": int(i[0]), "text_hash": int(t[0]), "spans": row["counts"], "hashes": None})
-        else:
-            ids.append(np.cumsum(i))
-            texts.append(t)
-            counts.append(np.frombuffer(row["counts"], np.int32))
-            hashes.append(np.frombuffer(row["hashes"], np.uint64))
-    if hashes:
-        run_ids, run_texts, sizes = np.concatenate(ids), np.concatenate(texts), np.concatenate(counts)
-        h, run = np.concatenate(hashes), np.repeat(np.arange(len(run_ids), dtype=np.int32), sizes)
-        order = np.argsort(h)
-        same = h[order[1:]] == h[order[:-1]]
-        in_group = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        order = order[in_group]
-        if len(order):
-            order = order[np.lexsort((run_ids[run[order]], h[order]))]
-            new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
-            owner = run_ids[run[order]]
-            lost = order[owner > owner[np.flatnonzero(new)[np.cumsum(new) - 1]]]
-            lost.sort()
-            for part in np.split(lost, np.flatnonzero(np.diff(run[lost])) + 1) if len(lost) else ():
-                r = int(run[part[0]])
-                out.append({"doc_id": int(run_ids[r]), "text_hash": int(run_texts[r]), "spans": None, "hashes": h[part].tobytes()})
-    return pa.Table.from_pylist(out, schema=_BACK)
+def _dealt(kind: int, ids: np.ndarray, keys: np.ndarray, data: list[np.ndarray], buckets: int) -> list[dict]:
+    """What documents have, as one row for each bucket that their keys name."""
+    where = keys % buckets
+    order = np.argsort(where, kind="stable")
+    out = []
+    for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+        own = [data[i] for i in part.tolist()]
+        out.append(_packed(int(where[part[0]]), kind, ids[part], keys[part], np.array([len(x) for x in own]), np.concatenate(own)))
+    return out
+
+
+def _settle(buckets: int):
+    """A bucket: settled intervals pass; windows that a smaller document has go to the buckets of their documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out: list[dict] = []
+        ids, keys, counts, hashes = [], [], [], []
+        for row in table.to_pylist():
+            if row["kind"] == 0:
+                out.append(row)
+            else:
+                for into, x in zip((ids, keys, counts, hashes), _unpacked(row), strict=True):
+                    into.append(x)
+        if hashes:
+            run_ids, run_keys, sizes = np.concatenate(ids), np.concatenate(keys), np.concatenate(counts)
+            h, run = np.concatenate(hashes), np.repeat(np.arange(len(run_ids), dtype=np.int32), sizes)
+            order = np.argsort(h)
+            same = h[order[1:]] == h[order[:-1]]
+            order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+            if len(order):
+                order = order[np.lexsort((run_ids[run[order]], h[order]))]
+                new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+                owner = run_ids[run[order]]
+                lost = np.sort(order[owner > owner[np.flatnonzero(new)[np.cumsum(new) - 1]]])
+                if len(lost):
+                    parts_ = np.split(lost, np.flatnonzero(np.diff(run[lost])) + 1)
+                    runs = run[[p[0] for p in parts_]]
+                    out += _dealt(1, run_ids[runs], run_keys[runs], [h[p] for p in parts_], buckets)
+        return pa.Table.from_pylist(out, schema=_PACKED)
+
+    return run
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>, kept_text string"
 
 
 def _cut(window: int, with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in OUT.split(", ")]
+
+    def run(docs: pa.Table, lost: pa.Table) -> pa.Table:
         hasher = Windows(window)
-        for batch in bounded(batches, 1, CHUNK_BYTES):
-            n_words, n_removed, digest, spans, kept_text = [], [], [], [], []
-            for text, settled, hashes in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                words = space_words(text)
-                delta = np.zeros(len(words) + 1, np.int64)
-                for s in settled or ():
-                    pair = np.frombuffer(s, np.int32)
-                    np.add.at(delta, pair[::2], 1)
-                    np.add.at(delta, pair[1::2], -1)
-                if hashes:
-                    gone = np.concatenate([np.frombuffer(s, np.uint64) for s in hashes])
-                    at = np.flatnonzero(np.isin(hasher.rollers[0](hasher.words(words)), gone))
-                    np.add.at(delta, at, 1)
-                    np.add.at(delta, at + window, -1)
-                cover = np.cumsum(delta[:-1]) > 0
-                removed = int(cover.sum())
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], cover.view(np.int8), [0]])))
-                kept = b" ".join(words) if not removed else b" ".join([w for w, c in zip(words, cover.tolist(), strict=True) if not c])
-                n_words.append(len(words))
-                n_removed.append(removed)
-                digest.append(hashlib.sha256(kept).hexdigest())
-                spans.append(edge.tolist())
-                kept_text.append(kept.decode("utf-8", "replace") if with_text else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(spans, pa.list_(pa.int32())), pa.array(kept_text, pa.string())],
-                [c.split()[0] for c in OUT.split(", ")],
-            )
+        spans_of: dict[tuple[int, int], list[np.ndarray]] = {}
+        gone_of: dict[tuple[int, int], list[np.ndarray]] = {}
+        for row in lost.to_pylist():
+            ids, keys, counts, data = _unpacked(row)
+            into = gone_of if row["kind"] else spans_of
+            for i, k, x in zip(ids.tolist(), keys.tolist(), np.split(data, np.cumsum(counts)[:-1]), strict=True):
+                into.setdefault((i, k), []).append(x)
+        n_words, n_removed, digest, spans, kept_text = [], [], [], [], []
+        for i, k, text in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
+            words = space_words(text)
+            delta = np.zeros(len(words) + 1, np.int64)
+            for pair in spans_of.get((i, k), ()):
+                np.add.at(delta, pair[::2], 1)
+                np.add.at(delta, pair[1::2], -1)
+            if (i, k) in gone_of:
+                at = np.flatnonzero(np.isin(hasher.rollers[0](hasher.words(words)), np.concatenate(gone_of[i, k])))
+                np.add.at(delta, at, 1)
+                np.add.at(delta, at + window, -1)
+            cover = np.cumsum(delta[:-1]) > 0
+            removed = int(cover.sum())
+            kept = b" ".join(words) if not removed else b" ".join([w for w, c in zip(words, cover.tolist(), strict=True) if not c])
+            n_words.append(len(words))
+            n_removed.append(removed)
+            digest.append(hashlib.sha256(kept).hexdigest())
+            spans.append(np.flatnonzero(np.diff(np.concatenate([[0], cover.view(np.int8), [0]]))).tolist())
+            kept_text.append(kept.decode("utf-8", "replace") if with_text else None)
+        return pa.Table.from_arrays(
+            [docs.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, pa.list_(pa.int32())), pa.array(kept_text, pa.string())], names
+        )
 
     return run
 
@@ -224,10 +243,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are ignored.  An empty table gives an empty result.
     """
     last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), utf8(text_col).alias("text"))
+    doc_id = F.coalesce(F.col(id_col).cast("long"), last)
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, F.col(text_col)).alias("key"), utf8(text_col).alias("text"))
     buckets = max(parts(docs.sparkSession), -(-input_bytes(docs.select(text_col)) // bucket_bytes))
-    sent = rows.mapInArrow(_send(window, buckets), SENT)
-    back = sent.groupBy("bucket").applyInArrow(_settle, BACK)
-    lost = back.groupBy("doc_id", "text_hash").agg(F.collect_list("spans").alias("spans"), F.collect_list("hashes").alias("hashes"))
-    met = rows.join(lost, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans", "hashes")
-    return met.mapInArrow(_cut(window, with_text), OUT).withColumn("doc_id", F.when(F.col("doc_id") < last, F.col("doc_id")))
+    sent = rows.mapInArrow(_send(window, buckets), PACKED)
+    back = sent.groupBy("bucket").applyInArrow(_settle(buckets), PACKED)
+    owned = rows.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
+    cut = owned.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_cut(window, with_text), OUT)
+    return cut.withColumn("doc_id", F.when(F.col("doc_id") < last, F.col("doc_id")))
