@@ -27,15 +27,18 @@ REFERENCE_PATHS = (
 REFERENCE_ARRAYS = ("referenced_tweets", "referencedTweets", "includes.tweets")
 
 
-def _author(json: Column, base: str) -> Column:
-    return F.coalesce(*[text.handle(F.get_json_object(json, f"{base}.{p}")) for p in AUTHOR_PATHS])
-
-
-def referenced(json: Column, entries: int = 8) -> Column:
-    """Distinct accounts that a stored post's JSON replies to, quotes or repeats; of arrays the first ``entries``."""
-    found = [text.handle(F.get_json_object(json, f"$.{p}")) for p in REPLY_PATHS] + [_author(json, f"$.{p}") for p in REFERENCE_PATHS]
-    found += [_author(json, f"$.{a}[{k}]") for a in REFERENCE_ARRAYS for k in range(entries)]
-    return F.array_distinct(F.array_compact(F.array(*found)))
+def _author(post: Column) -> Column:
+    """The first account that a variant names at one of the paths, null if none is well-formed."""
+    return F.coalesce(*[text.handle(F.try_variant_get(post, f"$.{p}", "string")) for p in AUTHOR_PATHS])
+
+
+def referenced(json: Column) -> Column:
+    """Distinct accounts that a stored post's JSON replies to, quotes or repeats; the JSON is parsed once."""
+    post = F.try_parse_json(json)
+    replied = F.array(*[text.handle(F.try_variant_get(post, f"$.{p}", "string")) for p in REPLY_PATHS])
+    quoted = F.transform(F.array(*[F.try_variant_get(post, f"$.{p}", "variant") for p in REFERENCE_PATHS]), _author)
+    listed = [F.transform(F.coalesce(F.try_variant_get(post, f"$.{a}", "array<variant>"), F.array().cast("array<variant>")), _author) for a in REFERENCE_ARRAYS]
+    return F.array_distinct(F.array_compact(F.concat(replied, quoted, *listed)))
 
 
 def mention_signals(posts: DataFrame, known: DataFrame, minimum: int = 2) -> DataFrame:
