@@ -24,7 +24,7 @@ from newsdesk.llm.common import regrouped
 from newsdesk.llm.tokens import WordEncoder
 from newsdesk.session import stored
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 12 << 20
 #: Bytes of stored ids (4 a token) of a shard; a longer document is a shard of its own.
 SHARD_BYTES = 16 << 20
 QUERY_TERMS = 12
@@ -52,15 +52,20 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         encode = encoder(path)
         in_docs = np.zeros(1 << 16, np.int32)
         for table in regrouped(batches, 1, BATCH_BYTES):
-            lists = [np.append(x, np.uint32(end_id)) for x in encode(table.column(1).to_pylist())]
-            for x in lists:
-                terms = np.unique(x)
-                if terms[-1] >= len(in_docs):
-                    in_docs = np.concatenate([in_docs, np.zeros(int(terms[-1]) + 1 - len(in_docs), np.int32)])
-                in_docs[terms] += 1
+            ids, sizes = encode(table.column(1).combine_chunks())
+            ends = np.cumsum(sizes)
+            ids = np.insert(ids, ends, np.uint32(end_id))
+            sizes, ends = sizes + 1, ends + np.arange(1, len(ends) + 1)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            key = np.sort(ids.astype(np.int64) << 32 | doc)
+            term, times = np.unique(key[np.concatenate([[True], key[1:] != key[:-1]])] >> 32, return_counts=True)
+            if term[-1] >= len(in_docs):
+                in_docs = np.concatenate([in_docs, np.zeros(int(term[-1]) + 1 - len(in_docs), np.int32)])
+            in_docs[term] += times.astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
             n = table.num_rows
             yield pa.RecordBatch.from_arrays(
-                [table.column(0).combine_chunks(), pa.array([len(x) for x in lists], pa.int32()), pa.array([x.astype("<u4").tobytes() for x in lists], pa.binary()), pa.nulls(n, _TOKENS.field(3).type), pa.nulls(n, _TOKENS.field(4).type)],
+                [table.column(0).combine_chunks(), pa.array(sizes.astype(np.int32)), raw, pa.nulls(n, _TOKENS.field(3).type), pa.nulls(n, _TOKENS.field(4).type)],
                 schema=_TOKENS,
             )
         terms = np.flatnonzero(in_docs)

@@ -8,15 +8,16 @@ from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from newsdesk.llm.common import Interner
 
 #: Characters on which the splitting rule below agrees with any tokenizer of this kind: printable ASCII and Latin letters.
 _LATIN = r"\x21-\x7eÀ-ÖØ-öø-įı-ſ"
-_PLAIN = re.compile(rf"[{_LATIN}]+")
-_PLAIN_TEXT = re.compile(rf"[{_LATIN}\x20\x09-\x0d]*")
-#: The word pieces of the ``word_bpe`` vocabulary's own pre-tokenizer, for lower-cased plain text.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
+_PLAIN_TEXT = re.compile(rf"[{_LATIN} ]*")
+#: Line ends, then the word pieces of the ``word_bpe`` vocabulary's own pre-tokenizer, for lower-cased plain text.
+_PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
 
 
 @lru_cache(maxsize=4)
@@ -27,18 +28,33 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def pieces(text: str) -> list[str]:
-    """A text cut where the tokenizer cuts it anyway: no token reaches across.
+def pieces(words: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Words cut where the tokenizer cuts them anyway, no token reaching across: all pieces, and each word's number of them.
 
     Plain words are cut by the tokenizer's own rule, which makes more pieces repeat; words with other
     characters, or with what may be a special string, stay whole.
     """
-    if "<|" not in text and _PLAIN_TEXT.fullmatch(text):
-        return _PIECES.findall(text.lower())
+    plain = pc.and_(pc.match_substring_regex(words, rf"^[{_LATIN}]+$"), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
+    sizes = np.ones(len(words), np.int64)
+    sizes[pc.equal(words, "").to_numpy(zero_copy_only=False)] = 0
+    cut = _PIECES.findall("\n".join(words.filter(pa.array(plain)).to_pylist()).lower()) if plain.any() else []
+    # The line ends between words come back as pieces of their own.
+    ends = np.flatnonzero(np.fromiter(map("\n".__eq__, cut), bool, len(cut)))
+    sizes[plain] = np.diff(ends, prepend=-1, append=len(cut)) - 1 if plain.any() else 0
+    odd = iter(words.filter(pa.array(~plain)).to_pylist())
+    kept = iter(p for p in cut if p != "\n")
+    if plain.all():
+        return list(kept), sizes
     out: list[str] = []
-    for word in text.split():
-        out += _PIECES.findall(word.lower()) if "<|" not in word and _PLAIN.fullmatch(word) else (word,)
-    return out
+    for is_plain, n in zip(plain.tolist(), sizes.tolist(), strict=True):
+        out += islice(kept, n) if is_plain else filter(None, (next(odd),))
+    return out, sizes
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
 class WordEncoder:
@@ -77,7 +93,7 @@ class WordEncoder:
         Plain pieces are encoded as one text with spaces between and parted after each token that ends
         a word; should that not give as many parts as pieces, each piece is encoded on its own.
         """
-        if self.ends.any() and all(map(_PLAIN.fullmatch, fresh)) and "<|" not in (text := " ".join(fresh)):
+        if self.ends.any() and _PLAIN_TEXT.fullmatch(text := " ".join(fresh)) and "<|" not in text:
             ids = np.array(self.encode.encode(text, add_special_tokens=False).ids, np.uint32)
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(fresh) and last[-1] == len(ids) - 1:
@@ -86,17 +102,26 @@ class WordEncoder:
         sizes = np.array([len(x) for x in lists], np.int64)
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        """uint32 ids of each text; null and empty texts have none."""
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The uint32 ids of all texts, one after the other, and how many each has; null and empty texts have none.
+
+        Arrow cuts the texts at ASCII white space and numbers their distinct words; only those reach Python.
+        """
         if len(self.numbers) > self.keep:
             self._forget()
-        numbers = [self.numbers.numbers(pieces(t) if t else []) for t in texts]
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        offsets = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        cut, counts = pieces(coded.dictionary)
+        number = self.numbers.numbers(cut)
         if len(self.numbers) > len(self.starts):
             self._learn()
-        out = []
-        for n in numbers:
-            sizes = self.sizes[n]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.arange(total) + np.repeat(self.starts[n] - ends + sizes, sizes)])
-        return out
+        # Ids of the distinct words, then of all words.
+        sizes = self.sizes[number]
+        of_word = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        flat = _gathered(self.flat, self.starts[number], sizes)
+        word = coded.indices.to_numpy()
+        counts = np.diff(of_word)[word]
+        ids = _gathered(flat, of_word[:-1][word], counts)
+        ends = np.concatenate([[0], np.cumsum(counts)])[offsets - offsets[0]]
+        return ids, np.diff(ends)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -116,9 +117,13 @@ def test_packing_of_nothing(empty):
 
 def test_encoder_forgets_and_agrees():
     encoder = tokens.WordEncoder(PATH, keep=3)
-    texts = [t for _, t in AWKWARD] * 2
-    for t, ids in zip(texts, [x for t in texts for x in encoder([t])], strict=True):
-        assert ids.tolist() == tokens.tokenizer(PATH).encode(t or "", add_special_tokens=False).ids
+    texts = [t for _, t in AWKWARD] * 2 + ["  lead  trail ", "a<|startoftext|>b\x1cc x\u2019s K \"'s"]
+    for part in ([t] for t in texts), [texts], [texts[:3], texts[3:]]:
+        got = []
+        for p in part:
+            ids, sizes = encoder(pa.array(p, pa.string()))
+            got += np.split(ids, np.cumsum(sizes)[:-1])
+        assert [g.tolist() for g in got] == [e.ids for e in tokens.tokenizer(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 # --- decontamination
