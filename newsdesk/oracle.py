@@ -317,3 +317,30 @@ add("enrichment_merged", "SELECT 'd' || doc_id AS id, 'k1,k9,k3' AS kept FROM do
 add("community_files", """SELECT name, concat_ws(',', CASE WHEN day > 29 THEN 'date' END, CASE WHEN source_id % 5 = 4 THEN 'file_name' END) AS failures FROM (SELECT 'x--user' || (source_id - CASE WHEN source_id % 5 = 4 THEN 1 ELSE 0 END) || '.json' AS name, source_id, 28 + source_id % 4 AS day FROM sources)""", SOURCES)
 add("weekly_review", "SELECT e.user_id, count(*) AS errors, any_value(last_type) AS last_type FROM events e JOIN (SELECT DISTINCT ON (user_id) user_id, event_type AS last_type FROM events ORDER BY user_id, ts DESC, event_id DESC) l USING (user_id) WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1")
 add("ranked_ids", "SELECT user_id, event_id, CAST(r AS INT) AS r FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS FIRST, event_id) AS r FROM events) WHERE r <= 2")
+
+# --- collectors, models, mutations
+_c = collapse("text")
+_short = lambda x: f"CASE WHEN length({collapse(x)}) > 140 THEN 140 ELSE nullif(length({collapse(x)}), 0) END"
+_iso = f"{EPOCH} + to_minutes(doc_id)"
+add("collected_candidates", f"""SELECT platform, external_id, source_type, source_ref, CAST(title_chars AS INT) AS title_chars, CAST(body_chars AS INT) AS body_chars, canonical_url, {stamp('published')} AS published FROM (
+  SELECT 'twitter' AS platform, 'k' || doc_id AS external_id, 'x_account' AS source_type, '@' || source AS source_ref, {_short("CASE WHEN doc_id % 2 = 0 THEN 'note ' || text ELSE text END")} AS title_chars, length(CASE WHEN doc_id % 2 = 0 THEN 'note ' || text ELSE text END) AS body_chars, 'https://x.com/a/status/' || doc_id AS canonical_url, {_iso} + INTERVAL 6 HOUR AS published FROM documents WHERE doc_id % 7 = 0
+  UNION ALL SELECT 'alerts', CAST(doc_id AS VARCHAR), 'alert_feed', 'https://f.com/rss', length('T k' || doc_id), length(trim(left({_c}, 1000))), 'https://n.com/' || (doc_id % 100), CASE WHEN doc_id % 2 = 0 THEN {_iso} ELSE {_iso} + INTERVAL 6 HOUR END FROM (SELECT *, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id) AS r FROM documents WHERE doc_id % 7 = 1) WHERE r = 1
+  UNION ALL SELECT 'facebook', 'k' || doc_id, 'fb_page', 'https://fb.com/p', {_short("text")}, length(text), 'https://x-collector.local/facebook/k' || doc_id, {_iso} FROM documents WHERE doc_id % 7 = 2
+  UNION ALL SELECT 'reddit', 'k' || doc_id, 'subreddit', 'r/ai', length('k' || doc_id), length(text), 'https://www.reddit.com/r/ai/k' || doc_id, {_iso} FROM documents WHERE doc_id % 7 = 3
+  UNION ALL SELECT 'qiita', 'k' || doc_id, 'qiita_tag', 'llm', length('k' || doc_id), length(text), 'https://qiita.com/k' || doc_id, {_iso} FROM documents WHERE doc_id % 7 = 4
+  UNION ALL SELECT 'github', 'o/r' || (doc_id % 9) || CASE WHEN doc_id % 2 = 0 THEN ':v' || doc_id ELSE '' END, 'gh_source', 'o/r' || (doc_id % 9), length('k' || doc_id), length(text), 'https://github.com/o/r' || (doc_id % 9), {_iso} + INTERVAL 6 HOUR FROM documents WHERE doc_id % 7 = 5
+  UNION ALL SELECT 'instagram', 'k' || doc_id, 'ig_account', 'ig', CASE WHEN doc_id % 2 = 0 THEN {_short("text")} END, CASE WHEN doc_id % 2 = 0 THEN length(text) END, 'https://www.instagram.com/p/k' || doc_id, {_iso} FROM documents WHERE doc_id % 7 = 6)""")
+add("due_sources", "SELECT handle FROM sources WHERE source_id % 4 <> 3 AND (source_id % 3 = 0 OR source_id >= 8)", SOURCES)
+add("fallback_decisions", f"SELECT item_id, round(CAST(score AS DOUBLE) * 50, 3) AS priority_score, false AS headline_candidate, '{C.FALLBACK_HASH_PREFIX}' || sha256(item_id) AS input_hash FROM latest_class WHERE item_id IN (SELECT id FROM items)", ITEMS, CLASSES)
+add("clamped_decisions", "SELECT item_id, CASE WHEN decision_id % 5 = 0 THEN 50 ELSE least(100, priority_score * 2) END::DOUBLE AS priority_score, greatest(0, headline_score - 50)::DOUBLE AS headline_score, least(1, dup_score * 2)::DOUBLE AS dup_score FROM decisions", DECISIONS)
+add("decisions_upserted", "SELECT item_id, CASE WHEN decision_id % 3 = 0 THEN priority_score + 1 ELSE priority_score END AS priority_score FROM decisions WHERE decision_id % 2 = 0 OR decision_id % 3 = 0", DECISIONS)
+add("embeddings_missing", "SELECT id FROM items WHERE coalesce(title, '') NOT IN (SELECT coalesce(title, '') FROM items WHERE n % 3 = 0)", ITEMS)
+add("untranslated_items", "SELECT item_id FROM latest_class WHERE classification_id % 3 <> 0 AND NOT noise ORDER BY classified_at DESC, classification_id DESC LIMIT 50", CLASSES)
+add("bindings_upserted", "SELECT 'e1' AS edition, 'd' || doc_id AS id, CASE WHEN doc_id % 7 > 2 THEN doc_id % 7 + 10 ELSE doc_id % 7 END AS position FROM documents")
+add("published_marked", "SELECT classification_id, is_published OR n % 5 = 0 AS is_published FROM classes", CLASSES)
+add("orphans_adopted", "SELECT id AS item_id, CASE WHEN n % 4 = 0 THEN 'old' WHEN " + _in("TIMESTAMP '2024-01-01 01:00:00'", "TIMESTAMP '2024-01-01 09:00:00'") + " THEN 'new' END AS edition_id FROM items", ITEMS)
+add("edition_labels", "SELECT event_id, 'daily-ai-news-' || strftime(ts, '%Y-%m-%d') AS slug, 'Daily AI News ' || strftime(ts, '%Y/%m/%d') AS title FROM events")
+add("price_labels", """SELECT p_partkey, p_partkey % 5 <> 0 AND p_partkey % 7 = 0 AS free, CASE WHEN p_partkey % 5 = 0 THEN '?' WHEN p_partkey % 7 = 0 THEN '$0.00' ELSE '$' || p_size || '.00' END AS label,
+  CASE WHEN p_partkey * 777 >= 1000000 THEN format('{:.1f}', p_partkey * 777 / 1000000) || 'M' WHEN p_partkey * 777 >= 1000 THEN format('{:,.1f}', p_partkey * 777 / 1000) || 'K' ELSE CAST(p_partkey * 777 AS VARCHAR) END AS compact FROM part""")
+add("trusted_mentions", "SELECT 'm' || (source_id % 4) AS handle, count(DISTINCT lower(handle)) AS trusted FROM sources WHERE trust_label IN ('high', 'medium') GROUP BY 1", SOURCES)
+add("feed_payload", "SELECT '5' AS total, min(id) AS first_id FROM items", ITEMS)

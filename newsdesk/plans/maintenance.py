@@ -141,3 +141,24 @@ def batches(items: DataFrame, order: list[Column], size: int) -> DataFrame:
     from pyspark.sql.window import Window
 
     return items.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+
+
+def price(raw: Column) -> Column:
+    """A price as a number, null if it isn't one."""
+    return F.trim(raw).try_cast("double")
+
+
+def is_free(prompt: Column, completion: Column) -> Column:
+    return F.coalesce((price(prompt) == 0) & (price(completion) == 0), F.lit(False))
+
+
+def per_million(value: Column) -> Column:
+    """A price per token as dollars per million."""
+    return F.when(value.isNull(), "?").otherwise(F.concat(F.lit("$"), F.format_number(value * 1_000_000, 2)))
+
+
+def trusted_mentions(signals: DataFrame, sources: DataFrame) -> DataFrame:
+    """(handle, trusted): how many of an account's mentioners (comma-joined) are trusted sources."""
+    each = signals.select("handle", F.explode(F.split("mentioned_by", ",")).alias("by"))
+    good = sources.filter(F.col("trust_label").isin("high", "medium")).select(text.handle(F.col("handle")).alias("by")).distinct()
+    return each.join(good, "by", "left_semi").groupBy("handle").agg(F.countDistinct("by").alias("trusted"))

@@ -139,3 +139,27 @@ def edition_lookup(editions: DataFrame, slug: str | None = None, day: str | None
     rank = F.when(F.lit(slug is not None) & (F.col("slug") == F.lit(slug or "")), 1).when(F.lit(day is not None) & (timing.local_day(F.col("edition_at")) == F.lit(day or "")), 2).when(has & (F.col("status") == "published"), 3).when(has, 4)
     return editions.withColumn("_rank", rank).filter("_rank is not null").orderBy("_rank", F.desc("updated_at"), "slug").limit(1).drop("_rank")
 
+
+
+def bindings_upserted(existing: DataFrame, planned: DataFrame) -> DataFrame:
+    """Bindings (edition, id, section, position): planned ones replace those of the same item, others stay."""
+    kept = existing.join(planned.select("edition", "id"), ["edition", "id"], "left_anti")
+    return kept.unionByName(planned.select(existing.columns))
+
+
+def published_marked(classes: DataFrame, planned: DataFrame) -> DataFrame:
+    """Classifications with the published flag set where the item has been planned."""
+    marked = classes.join(planned.select(F.col("id").alias("item_id")).distinct().withColumn("_on", F.lit(True)), "item_id", "left")
+    return marked.withColumn("is_published", F.col("is_published") | F.coalesce("_on", F.lit(False))).drop("_on")
+
+
+def orphans_adopted(signals: DataFrame, items: DataFrame, edition: str, start: Column, stop: Column) -> DataFrame:
+    """Voice signals without an edition get ``edition`` if their item lies in its window."""
+    inside = items.filter(timing.in_window(F.col("published_at"), F.col("ingested_at"), start, stop)).select(F.col("id").alias("item_id"), F.lit(True).alias("_in"))
+    met = signals.join(inside, "item_id", "left")
+    return met.withColumn("edition_id", F.when(F.col("edition_id").isNull() & F.col("_in"), F.lit(edition)).otherwise(F.col("edition_id"))).drop("_in")
+
+
+def edition_labels(day: Column) -> tuple[Column, Column]:
+    """An edition's slug and title by its delivery date."""
+    return F.concat(F.lit("daily-ai-news-"), F.date_format(day, "yyyy-MM-dd")), F.concat(F.lit("Daily AI News "), F.date_format(day, "yyyy/MM/dd"))

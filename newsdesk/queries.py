@@ -745,3 +745,117 @@ def ranked_ids(s, d):
     e = X.table(s, d, "events")
     return e.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("value").desc_nulls_first(), F.col("event_id")))).filter("r <= 2").select("user_id", "event_id", "r")
 
+
+
+# --- collectors, models, mutations ----------------------------------------------
+
+
+def _raw(s, d):
+    t = X.table(s, d, "documents").withColumn("at", X.minutes_after_epoch(F.col("doc_id"))).withColumn("fetched_at", F.col("at") + timing.hours(6)).withColumn("key", F.concat(F.lit("k"), "doc_id"))
+    of = lambda k: t.filter(F.col("doc_id") % 7 == k)
+    c = F.col
+    return {
+        "twitter": of(0).select(c("key").alias("id"), "text", F.when(c("doc_id") % 2 == 0, F.concat(F.lit("note "), "text")).alias("note_text"), F.concat(F.lit("https://x.com/a/status/"), "doc_id").alias("url"), c("source").alias("handle"), (c("at") + timing.hours(9)).alias("created_at"), "fetched_at"),
+        "alerts": of(1).select(c("doc_id").alias("id"), F.concat(F.lit("<b>T</b> "), "key").alias("title"), F.concat(F.lit("<p>"), "text").alias("snippet"), F.concat(F.lit("https://n.com/"), c("doc_id") % 100).alias("article_url"), F.when(c("doc_id") % 2 == 0, c("at")).alias("published_at"), "fetched_at", F.lit("https://f.com/rss").alias("feed_url")),
+        "facebook": of(2).select(c("key").alias("post_id"), "text", F.lit("").alias("url"), F.when(c("doc_id") % 2 == 0, F.unix_timestamp("at").cast("string")).otherwise(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss")).alias("publish_time"), F.lit(" ").alias("page_slug"), F.lit("https://fb.com/p").alias("page_url"), "fetched_at"),
+        "reddit": of(3).select(c("key").alias("id"), c("key").alias("title"), c("text").alias("selftext"), F.concat(F.lit("/r/ai/"), "key", F.lit("/")).alias("permalink"), F.lit("ai").alias("subreddit"), F.unix_timestamp("at").cast("double").alias("created_utc"), "fetched_at"),
+        "qiita": of(4).select(c("key").alias("id"), c("key").alias("title"), c("text").alias("body"), F.concat(F.lit("https://qiita.com/"), "key", F.lit("?utm_source=x")).alias("url"), F.lit("llm").alias("tag"), c("at").alias("created_at"), "fetched_at"),
+        "github": of(5).select(F.when(c("doc_id") % 2 == 0, "release").otherwise("search").alias("kind"), F.concat(F.lit("o/r"), c("doc_id") % 9).alias("repo"), F.lit(None).cast("string").alias("query"), F.concat(F.lit("v"), "doc_id").alias("tag_name"), c("key").alias("name"), c("text").alias("body"), F.concat(F.lit("https://github.com/o/r"), c("doc_id") % 9).alias("html_url"), F.lit(None).cast("timestamp").alias("published_at"), "fetched_at"),
+        "instagram": of(6).select(c("key").alias("shortcode"), F.when(c("doc_id") % 2 == 0, F.array("text")).otherwise(F.array().cast("array<string>")).alias("captions"), F.lit("ig").alias("handle"), F.unix_timestamp("at").cast("double").alias("taken_at"), "fetched_at"),
+    }
+
+
+@query
+def collected_candidates(s, d):
+    from newsdesk.sources.collectors import candidates
+
+    return candidates(_raw(s, d)).select("platform", "external_id", "source_type", "source_ref", F.length("title").alias("title_chars"), F.length("body").alias("body_chars"), "canonical_url", stamp("published_at").alias("published"))
+
+
+@query
+def due_sources(s, d):
+    from newsdesk.sources.collectors import due
+
+    src = X.sources(s, d).select("handle", (F.col("source_id") % 4 != 3).alias("active"), F.when(F.col("source_id") % 3 != 0, X.as_of() - F.make_interval(hours=F.col("source_id").cast("int"))).alias("last_fetched_at"), F.lit(8).alias("fetch_interval_hours"))
+    return due(src, X.as_of()).select("handle")
+
+
+@query
+def fallback_decisions(s, d):
+    from newsdesk.plans.models import fallback_decisions as fallback
+
+    return fallback(X.items(s, d), X.classifications(s, d))
+
+
+@query
+def clamped_decisions(s, d):
+    from newsdesk.plans.models import clamped_decisions as clamped
+
+    raw = X.decisions(s, d).select("item_id", F.when(F.col("decision_id") % 5 == 0, "n/a").otherwise((F.col("priority_score") * 2).cast("string")).alias("priority_score"), (F.col("headline_score") - 50).alias("headline_score"), (F.col("dup_score") * 2).alias("dup_score"))
+    return clamped(raw)
+
+
+@query
+def decisions_upserted(s, d):
+    from newsdesk.plans.models import decisions_upserted as upserted
+
+    old = X.decisions(s, d).filter("decision_id % 2 = 0").select("item_id", "priority_score", "input_hash", "created_at")
+    new = X.decisions(s, d).filter("decision_id % 3 = 0").select("item_id", (F.col("priority_score") + 1).alias("priority_score"), "input_hash", (F.col("created_at") - timing.hours(9)).alias("created_at"))
+    return upserted(old, new, ["item_id"]).select("item_id", "priority_score")
+
+
+@query
+def embeddings_missing(s, d):
+    from newsdesk.plans.models import embeddings_missing as missing
+
+    i = X.items(s, d)
+    return missing(i, i.filter("n % 3 = 0").select(F.sha2(F.coalesce("title", F.lit("")), 256).alias("text_hash")), F.col("title")).select("id")
+
+
+@query
+def untranslated_items(s, d):
+    from newsdesk.plans.models import untranslated
+
+    c = X.classifications(s, d).withColumn("title_ja", F.when(F.col("classification_id") % 3 == 0, "x"))
+    return untranslated(c, 50).select("item_id")
+
+
+@query
+def bindings_upserted(s, d):
+    b = X.table(s, d, "documents").select(F.lit("e1").alias("edition"), F.concat(F.lit("d"), "doc_id").alias("id"), (F.col("doc_id") % 7).alias("position"))
+    return publish.bindings_upserted(b.filter("position < 4"), b.filter("position > 2").withColumn("position", F.col("position") + 10))
+
+
+@query
+def published_marked(s, d):
+    return publish.published_marked(X.classifications(s, d), X.items(s, d).filter("n % 5 = 0")).select("classification_id", "is_published")
+
+
+@query
+def orphans_adopted(s, d):
+    v = X.items(s, d).select(F.col("id").alias("item_id"), F.when(F.col("n") % 4 == 0, "old").alias("edition_id"))
+    return publish.orphans_adopted(v, X.items(s, d), "new", at("2024-01-01 01:00:00"), at("2024-01-01 09:00:00"))
+
+
+@query
+def edition_labels(s, d):
+    slug, title = publish.edition_labels(F.to_date("ts"))
+    return X.table(s, d, "events").select("event_id", slug.alias("slug"), title.alias("title"))
+
+
+@query
+def price_labels(s, d):
+    p = X.table(s, d, "part")
+    raw = F.when(F.col("p_partkey") % 5 == 0, "free?").when(F.col("p_partkey") % 7 == 0, " 0 ").otherwise((F.col("p_size") / 1e6).cast("string"))
+    return p.select("p_partkey", maintenance.is_free(raw, raw).alias("free"), maintenance.per_million(maintenance.price(raw)).alias("label"), text.compact_number(F.col("p_partkey") * 777).alias("compact"))
+
+
+@query
+def trusted_mentions(s, d):
+    signals = X.sources(s, d).select(F.concat(F.lit("m"), F.col("source_id") % 4).alias("handle"), "source_id", F.col("handle").alias("by")).groupBy("handle").agg(F.array_join(F.array_sort(F.collect_set("by")), ",").alias("mentioned_by"))
+    return maintenance.trusted_mentions(signals, X.sources(s, d))
+
+
+@query
+def feed_payload(s, d):
+    return feeds.payload(R.top(X.items(s, d).select("id", "platform"), [F.col("id")], 5).orderBy("rank")).select(F.get_json_object("json", "$.meta.totalItems").alias("total"), F.get_json_object("json", "$.items[0].id").alias("first_id"))
