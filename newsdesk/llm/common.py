@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +95,22 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one thing at a time, so that what another operator kept goes."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Nothing of an earlier operator's is kept any longer; for tasks that need the memory themselves."""
+    _HELD.clear()
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's bytes; for files their size."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -10,6 +10,7 @@ ones; then a calibration of documents by their strongest words on labelled rows
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 import uuid
@@ -19,11 +20,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsdesk.llm.common import Interner, bounded, space_words, utf8
+from newsdesk.llm.common import held as kept
 from newsdesk.session import stored
 
 #: Bound of the labelled sample for training, of each label.
@@ -33,6 +35,8 @@ POSITIVE_WORDS, NEGATIVE_WORDS = 1500, 15000
 LANDMARKS = 256
 DECAY, SPAN, BASE = 0.5, 5, 32
 LONGEST = 48
+#: Length of the word beginnings whose counts stand in for inflected words too rare to count alone.
+STEM = 5
 BATCH_BYTES = 4 << 20
 #: Characters that stand in for letters.
 LOOK_ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"})
@@ -100,8 +104,9 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
         order = np.argsort(row, kind="stable")
         row, code, value = row[order], code[order], value[order]
         norm = np.sqrt(np.bincount(row, value**2, len(part)))
-        for k in range(0, len(row), 1 << 15):
-            np.add.at(out, start + row[k : k + (1 << 15)], table[code[k : k + (1 << 15)]] * (value[k : k + (1 << 15)] / norm[row[k : k + (1 << 15)]])[:, None].astype(np.float32))
+        for k in range(0, len(row), 1 << 13):
+            at = slice(k, k + (1 << 13))
+            np.add.at(out, start + row[at], table[code[at]] * (value[at] / norm[row[at]])[:, None].astype(np.float32))
     return out
 
 
@@ -122,17 +127,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -40, 40)))
 
 
-def svm(z: np.ndarray, y: np.ndarray, importance: np.ndarray, c: float = 4.0) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss, by Newton steps on the active rows."""
-    x = np.concatenate([z, np.ones((len(z), 1))], axis=1)
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(len(w))
-    ridge[-1, -1] = 1e-3
-    active = np.ones(len(x), bool)
+def svm(z: np.ndarray, y: np.ndarray, importance: np.ndarray, c: float = 4.0, block: int = 2048) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss, by Newton steps on the active rows; sums run over blocks, so memory is that of ``z``."""
+    w = np.zeros(z.shape[1] + 1)
+    active = np.ones(len(z), bool)
+    rows = [slice(k, k + block) for k in range(0, len(z), block)]
+    wide = lambda r: np.concatenate([z[r], np.ones((len(z[r]), 1))], axis=1)
     for _ in range(30):
-        a, s = x[active], c * importance[active]
-        w = np.linalg.solve(ridge + (a * s[:, None]).T @ a, (a * s[:, None]).T @ y[active])
-        now = y * (x @ w) < 1
+        square, right = np.eye(len(w)), np.zeros(len(w))
+        square[-1, -1] = 1e-3
+        for r in rows:
+            x = wide(r)[active[r]]
+            sx = x.T * (c * importance[r][active[r]])
+            square += sx @ x
+            right += sx @ y[r][active[r]]
+        w = np.linalg.solve(square, right)
+        now = np.concatenate([y[r] * (wide(r) @ w) < 1 for r in rows])
         if (now == active).all():
             break
         active = now
@@ -177,7 +187,7 @@ def train_words(positive: list[str], strength: list[float], negative: list[str],
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
     good = values > 1e-6 * values[-1]
     map_ = vectors[:, good] / np.sqrt(values[good])
-    w, bias = svm(kernel(words, landmarks).astype(np.float64) @ map_, y, importance)
+    w, bias = svm(kernel(words, landmarks) @ map_.astype(np.float32), y, importance)
     alpha = map_ @ w
     row, code, value = features(landmarks)
     norm = np.sqrt(np.bincount(row, value**2, len(landmarks)))
@@ -187,7 +197,7 @@ def train_words(positive: list[str], strength: list[float], negative: list[str],
 class Scorer:
     """Scores of chunks between spaces, kept up to a bound, and of documents by their strongest words."""
 
-    KEEP = 600_000
+    KEEP = 300_000
     LOW = -3.0
 
     def __init__(self, model: Model) -> None:
@@ -254,6 +264,19 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     return stored(met.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)).alias("part")), "toxicity-sample")
 
 
+def _fitted(spark: SparkSession, examples: tuple[list[str], list[float], list[str], list[int]]) -> tuple[np.ndarray, float]:
+    """``train_words`` in one task, so that its matrices never weigh on the driver; the word lists are bounded."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                weights, bias = train_words(*pickle.loads(packed))
+                yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
+
+    row = spark.createDataFrame([(bytearray(pickle.dumps(examples)),)], "examples binary").mapInArrow(fit, "weights binary, bias double").first()
+    return np.frombuffer(bytes(row["weights"]), "<f8"), row["bias"]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", allowed: str | None = None) -> Model | None:
     """A model from at most ``SAMPLE_DOCS`` labelled documents of each label that ``allowed`` (SQL on doc_id) admits.
 
@@ -267,6 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 0, BATCH_BYTES):
             found = [sorted({w for c in set(space_words(t)) for w in folded(c)}) for t in batch.column(0).to_pylist()]
+            found = [f + sorted({f"{w[:STEM]}*" for w in f if len(w) > STEM}) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["words", "y"])
 
     both = min(counts.values()) >= 20
@@ -280,15 +304,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total, df = float(p + n), F.col("p") + F.col("n")
     gain = F.col("p") * F.log((F.col("p") + 1e-9) * total / (df * p)) + F.col("n") * F.log((F.col("n") + 1e-9) * total / (df * n))
     seen = stored(seen.withColumn("gain", 2 * gain), "toxicity-words")
-    top = seen.filter(F.col("p") * n > 8 * F.col("n") * p).orderBy(F.desc("gain"), "word").limit(POSITIVE_WORDS).collect()
-    strong = [r for r in top if r["gain"] > max(8.0, top[0]["gain"] / 20)] or top[:20]
-    ordinary = seen.filter("n > 0").orderBy(F.desc("n"), F.xxhash64("word"), "word").limit(NEGATIVE_WORDS).collect()
+    telling = F.col("p") * n > 8 * F.col("n") * p
+    # A word counts by its own gain or, weaker, by that of its beginning, which it shares with its other forms.
+    stems = seen.filter(telling & F.col("word").endswith("*")).select(F.col("word").alias("stem"), F.col("gain").alias("stem_gain")).filter("stem_gain > 10").orderBy(F.desc("stem_gain"), "stem").limit(POSITIVE_WORDS)
+    words_ = seen.filter(telling & ~F.col("word").endswith("*")).withColumn("stem", F.when(F.length("word") > STEM, F.concat(F.substring("word", 1, STEM), F.lit("*"))))
+    # At most POSITIVE_WORDS short rows.
+    raised = words_.join(F.broadcast(stems), "stem", "left").withColumn("gain", F.greatest("gain", F.coalesce("stem_gain", F.lit(0.0)) / 2))
+    top = raised.orderBy(F.desc("gain"), "word").limit(POSITIVE_WORDS).collect()
+    strong = [r for r in top if r["gain"] > max(5.0, top[0]["gain"] / 20)] or top[:20]
+    ordinary = seen.filter(~F.col("word").endswith("*") & (F.col("n") > 0)).orderBy(F.desc("n"), F.xxhash64("word"), "word").limit(NEGATIVE_WORDS).collect()
     positive = [r["word"] for r in strong]
     taken = set(positive)
     negative = [(r["word"], r["n"]) for r in ordinary if r["word"] not in taken]
     if not positive or not negative:
         return None
-    weights, bias = train_words(positive, [float(r["gain"]) ** 0.5 for r in strong], [w for w, _ in negative], [f for _, f in negative])
+    examples = (positive, [float(r["gain"]) ** 0.5 for r in strong], [w for w, _ in negative], [f for _, f in negative])
+    weights, bias = _fitted(docs.sparkSession, examples)
     model = Model(weights, bias, np.zeros(6))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -304,15 +335,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer_of(mark: str, model: Model) -> Scorer:
     """One scorer per Python worker and model: what it has met stays known to the worker's later tasks."""
-    if mark not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[mark] = Scorer(model)
-    return _SCORERS[mark]
+    return kept(("scorer", mark), lambda: Scorer(model))
 
 
 def scored(docs: DataFrame, model: Model | None, score_col: str, text_col: str = "text") -> DataFrame:
