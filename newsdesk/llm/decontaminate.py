@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import Interner, alnum_words, regrouped, utf8
+from newsdesk.llm.common import Interner, alnum_words, regrouped, release, utf8
 from newsdesk.session import stored
 
 #: Text bytes of a segment; a longer document is a segment of its own.
-SEGMENT_BYTES = 12 << 20
+SEGMENT_BYTES = 6 << 20
 #: Benchmark text bytes that are broadcast at once; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 32 << 20
 CANDIDATES = 1 << 20
@@ -62,6 +62,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The positional inverted index of all ``docs``, stored as a table of segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         first = TaskContext.get().partitionId() << 32
         for k, table in enumerate(regrouped(batches, 1, segment_bytes)):
             yield pa.RecordBatch.from_pylist([{"segment": first + k} | build_segment(*(table.column(k).to_pylist() for k in range(3)))])

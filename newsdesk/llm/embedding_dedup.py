@@ -69,13 +69,12 @@ def close_pairs(a: np.ndarray, b: np.ndarray | None, threshold: float, block: in
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(flat.to_pylist()), "<f8").reshape(len(flat), -1)
+def _matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
 
 
-def _celled(threshold: float):
-    """Rows (gid, node, label, copies, v) with the vector as bytes of doubles and its cells."""
+def _celled(threshold: float, kind: str):
+    """Rows (gid, node, label, copies, v) with the vector as bytes, in the precision it came in, and its cells."""
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,10 +82,10 @@ def _celled(threshold: float):
             raw, cell = [], []
             for v in batch.column("v").to_pylist():
                 x = np.array(v, np.float64)
-                raw.append(x.astype("<f8").tobytes())
+                raw.append(x.astype(kind).tobytes())
                 cell.append(np.floor(pivots_of(len(x)) @ (x / np.linalg.norm(x)) / width).astype(int).tolist())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in ("gid", "node", "label", "copies")), pa.array(raw, pa.binary()), pa.array([len(r) // 8 for r in raw], pa.int32())]
+                [*(batch.column(k) for k in ("gid", "node", "label", "copies")), pa.array(raw, pa.binary()), pa.array([len(r) // np.dtype(kind).itemsize for r in raw], pa.int32())]
                 + [pa.array([c[k] for c in cell], pa.int64()) for k in range(PIVOTS)],
                 ["gid", "node", "label", "copies", "vector", "dim", *[f"cell{k}" for k in range(PIVOTS)]],
             )
@@ -103,7 +102,7 @@ def pivots_of(dim: int) -> np.ndarray:
     return _PIVOTS[dim]
 
 
-def _tile(threshold: float):
+def _tile(threshold: float, kind: str):
     """For each tile: (id, weight) counts of linked copies by group and (id, root) edges of a spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +110,7 @@ def _tile(threshold: float):
             if table.num_rows < 2:
                 continue
             gid, node, side, copies = (table.column(c).to_numpy() for c in ("gid", "node", "side", "copies"))
-            x = _matrix(table.column("vector"))
+            x = _matrix(table.column("vector"), kind)
             if side.any():
                 first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
                 i, j = close_pairs(x[first], x[second], threshold)
@@ -143,6 +142,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
+    kind = "<f4" if dict(rows.dtypes)[vector_col] == "array<float>" else "<f8"
     given = rows.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")
     )
@@ -156,11 +156,11 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         keyed.filter("key is not null").groupBy("key").agg(F.xxhash64("key").alias("gid"), F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")), "vectors"
     )
     celled = groups.select("gid", "node", "label", "copies", "v").mapInArrow(
-        _celled(threshold), "gid long, node long, label string, copies long, vector binary, dim int, " + ", ".join(f"cell{k} long" for k in range(PIVOTS))
+        _celled(threshold, kind), "gid long, node long, label string, copies long, vector binary, dim int, " + ", ".join(f"cell{k} long" for k in range(PIVOTS))
     )
     celled = stored(celled, "vector-cells")
     dealt = tiled(celled, ["label", "dim"], [f"cell{k}" for k in range(PIVOTS)], 1, tile_rows, "gid")
-    found = stored(dealt.select("tile", "side", "gid", "node", "copies", "vector").mapInArrow(_tile(threshold), "id long, weight long, root long"), "vector-links")
+    found = stored(dealt.select("tile", "side", "gid", "node", "copies", "vector").mapInArrow(_tile(threshold, kind), "id long, weight long, root long"), "vector-links")
     weights = found.filter("root is null").groupBy(F.col("id").alias("gid")).agg(F.sum("weight").alias("weight"))
     component = connected_components(found.filter("root is not null"), "id", "root")
     group = (

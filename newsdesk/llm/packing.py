@@ -20,25 +20,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import regrouped
+from newsdesk.llm.common import held, regrouped, release
 from newsdesk.llm.tokens import WordEncoder
 from newsdesk.session import stored
 
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 #: Bytes of stored ids (4 a token) of a shard; a longer document is a shard of its own.
 SHARD_BYTES = 16 << 20
 QUERY_TERMS = 12
 NEIGHBOURS = 16
 K1, B = 1.2, 0.75
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder per Python worker: what it has met stays known to the worker's later tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: WordEncoder(path))
 
 
 TOKENS = "doc_id long, n_tokens int, ids binary, terms array<int>, in_docs array<int>"
@@ -186,14 +181,15 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     df = np.zeros(max((r["terms"] for r in counted), default=0) + 1)
     for r in counted:
         df[r["terms"]] = r["df"]
-    held = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
+    idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         first = TaskContext.get().partitionId() << 36
         for table in regrouped(batches, 1, shard_bytes):
             ids = table.column(0).to_pylist()
             lists = [np.frombuffer(x, "<u4") for x in table.column(1).to_pylist()]
-            pieces = pack_shard(lists, held.value, mean_length, window)
+            pieces = pack_shard(lists, idf.value, mean_length, window)
             raw = [lists[d][s : s + k].tobytes() for d, s, k, *_ in pieces]
             cols = [np.array(c, np.int64) for c in zip(*pieces, strict=True)]
             yield pa.RecordBatch.from_arrays(

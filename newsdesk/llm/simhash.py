@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from newsdesk.llm.common import bounded, forest, parts, runs, space_words, tiled, utf8
+from newsdesk.llm.common import bounded, forest, parts, release, runs, space_words, tiled, utf8
 from newsdesk.operators.components import connected_components
 from newsdesk.session import stored
 
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, text_hash long, fp long)`` of every row; null and wordless texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in bounded(batches, 1, BATCH_BYTES):
             fps = np.array([fingerprint(t, shingle_words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["doc_id", "text_hash", "fp"])
