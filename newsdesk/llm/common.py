@@ -111,11 +111,6 @@ def release() -> None:
     _HELD.clear()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's bytes; for files their size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

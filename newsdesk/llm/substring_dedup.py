@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from newsdesk.llm.common import Interner, input_bytes, parts, regrouped, space_words, utf8
+from newsdesk.llm.common import Interner, parts, regrouped, space_words, utf8
 
 CHUNK_BYTES = 8 << 20
-#: Input bytes (as files) per bucket.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text per bucket.
+BUCKET_BYTES = 14 << 20
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
@@ -245,7 +245,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     last = F.lit((1 << 63) - 1)
     doc_id = F.coalesce(F.col(id_col).cast("long"), last)
     rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, F.col(text_col)).alias("key"), utf8(text_col).alias("text"))
-    buckets = max(parts(docs.sparkSession), -(-input_bytes(docs.select(text_col)) // bucket_bytes))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = max(parts(docs.sparkSession), -(-size // bucket_bytes))
     sent = rows.mapInArrow(_send(window, buckets), PACKED)
     back = sent.groupBy("bucket").applyInArrow(_settle(buckets), PACKED)
     owned = rows.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))

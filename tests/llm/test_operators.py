@@ -243,11 +243,12 @@ def test_license_scan(spark, documents, awkward):
 
 
 def test_license_notices_with_changed_words(spark):
-    notice = dict(license_scan.NOTICES)["bsd"].split()
+    # 29 runs of three; the word put in breaks two of them, the one left out three.
+    notice = dict(license_scan.NOTICES)["mit"].split()
     changed = notice[:8] + ["oddly"] + notice[8:12] + notice[13:]
     docs = spark.createDataFrame([(1, " ".join(changed)), (2, " ".join(notice[:6])), (3, "cc by nc cc by nc")], "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
-    assert got[1].labels == "bsd" and got[2].labels == "" and 0 < got[2].score < 0.5
+    assert got[1].labels == "mit" and got[2].labels == "" and 0 < got[2].score < 0.5
     assert (got[3].n_base, got[3].first_word, got[3].last_word) == (2, 0, 3)
     assert license_scan.scan(docs.limit(0)).count() == 0
 
