@@ -71,7 +71,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def sentences(summary: Column) -> Column:
     """Up to three sentences, or the text in two halves if it has fewer than two."""
-    found = F.filter(F.transform(F.regexp_extract_all(summary, F.lit("[^。！？.!?]+[。！？.!?]?"), F.lit(0)), F.trim), lambda s: s != "")
+    found = F.filter(F.transform(F.regexp_extract_all(summary, F.lit("[^。！？.!?]+[。！？.!?]?"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
     half = F.ceil(F.length(summary) / 2).cast("int")
     left, right = F.trim(F.substr(summary, F.lit(1), half)), F.trim(F.substr(summary, half + 1))
     none = F.array(F.lit("要約データなし。"), F.lit("要点データなし。"))
