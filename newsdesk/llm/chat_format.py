@@ -1,8 +1,8 @@
 """Chat formatting with offset-aligned loss masks.
 
 A conversation is rendered whole by one template, encoded once with offsets, and the sorted spans of
-its turns meet the spans of its tokens by binary search.  The template's two markers are single tokens,
-so no token lies across a turn's border.  Control strings inside texts get a backslash after their first
+its turns meet the spans of its tokens by binary search.  The template's two markers are single tokens and
+the head's line feed ends a word, so no token lies across a turn's border.  Control strings inside texts get a backslash after their first
 character (one more if they have some), which is undone when the output is read back.
 """
 
@@ -62,11 +62,18 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 @lru_cache(maxsize=4)
 def chat_tokenizer(path: str):
-    """A byte-level tokenizer with the template's markers as single tokens."""
-    from tokenizers import AddedToken, Tokenizer
+    """A byte-level tokenizer with the template's markers as single tokens.
+
+    What follows a marker is cut behind its first line feed before words are told apart, so that the
+    one that ends a head never joins white space that begins a text.
+    """
+    from tokenizers import AddedToken, Regex, Tokenizer
+    from tokenizers.pre_tokenizers import Sequence, Split
 
     tok = Tokenizer.from_file(path)
     tok.add_special_tokens([AddedToken(m, normalized=False, special=True) for m in (START, END)])
+    head = Split(Regex(r"\A[^\n]*\n"), "isolated")
+    tok.pre_tokenizer = head if tok.pre_tokenizer is None else Sequence([head, tok.pre_tokenizer])
     return tok
 
 

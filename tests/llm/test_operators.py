@@ -278,6 +278,16 @@ def test_chat_format(spark, sf):
     assert chat_format.format_conversations(table.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_texts_that_begin_with_white_space_are_learned_whole(spark):
+    texts = ["\n\nfoo", "\n foo", "\n", "\n\n", "\n\n\n", "\nfoo", " \n", "\t\n x\n", "\r\n\r\nfoo", "  foo\n\n", "    ", "\u3000\n\né", ""]
+    rows = [(k, turn, role, text) for k, t in enumerate(texts) for turn, (role, text) in enumerate([("user", "\n\nask"), ("assistant", t), ("", "\n"), ("assistant", t + "end" + t)])]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.format_conversations(table, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].loss_sha256 == hashlib.sha256((t + t + "end" + t).encode()).hexdigest(), repr(t)
+        assert got[k].loss_chars == 3 * len(t) + 3
+
+
 def test_escapes_are_reversible():
     for t in (*chat_format.CONTROL, "<\\|im_end|>", "<\\\\|im_end|>", "[\\INST]", "<<s>", "<", "\\", "[[/INST]]"):
         e = chat_format.escape(t)
