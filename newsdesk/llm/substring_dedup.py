@@ -1,7 +1,8 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark by bucket.
 
 Each task hashes all windows of its documents.  Within a chunk of documents a window that repeats is
-settled at once: its later documents lose it, and only the chunk's smallest document sends it on.
+settled at once: its later documents lose it, and only the chunk's smallest document sends it on (if
+several rows of different texts have the smallest id, each of them, as each has to hear of its loss).
 What is sent goes to a bucket as one sorted run of 8 bytes a window, so a passage shared by any number
 of documents reaches its bucket once per chunk, not once per document.  The bucket finds each window's
 smallest document and returns, to the documents that are not it, the windows they lose, packed by the
@@ -125,7 +126,11 @@ def _send(window: int, buckets: int):
             del first, second
             if not len(h):
                 continue
-            order = np.lexsort((ids[doc], h)) if (np.diff(ids) < 0).any() else np.argsort(h, kind="stable")
+            shared = len(np.unique(ids)) < len(ids)
+            if shared:
+                order = np.lexsort((keys[doc], ids[doc], h))
+            else:
+                order = np.lexsort((ids[doc], h)) if (np.diff(ids) < 0).any() else np.argsort(h, kind="stable")
             run_h, run_id = h[order], ids[doc[order]]
             new = np.concatenate([[True], run_h[1:] != run_h[:-1]])
             least = run_id[np.flatnonzero(new)[np.cumsum(new) - 1]]
@@ -137,6 +142,9 @@ def _send(window: int, buckets: int):
                 docs = doc[[p[0] for p in parts_]]
                 spans = [_spans(p - begin[d], window) for p, d in zip(parts_, docs.tolist(), strict=True)]
                 rows += _dealt(0, ids[docs], keys[docs], spans, buckets)
+            if shared:
+                run_key = keys[doc[order]]
+                new[1:] |= (run_id[1:] == least[1:]) & (run_key[1:] != run_key[:-1])
             kept = order[new]
             kept = kept[np.lexsort((kept, bucket[kept]))]
             for part in np.split(kept, np.flatnonzero(np.diff(bucket[kept])) + 1):

@@ -321,6 +321,20 @@ def test_substring_dedup(documents, awkward, bucket_bytes):
     assert sum(r[2] for r in want) > 140
 
 
+def test_substring_dedup_tells_every_row_that_shares_an_id(spark):
+    shared = " ".join(f"passage{k}" for k in range(55))
+    parts = [
+        [(9, "a " + shared), (9, "b " + shared + " c"), (None, "d " + shared), (9, "b " + shared + " c")],
+        [(None, shared + f" null{k}") for k in range(3)] + [(None, None)],
+        [(5, "e f " + shared)], [(None, shared + " g"), (5, shared + " h"), (5, "i " + shared)], [(9, shared), (9, "j " + shared), (7, shared + " k")],
+    ]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(list), "doc_id long, text string")
+    assert docs.rdd.getNumPartitions() == len(parts)
+    want = [(i, t if i == 5 else " ".join(w for w in (t or "").split() if not w.startswith("passage"))) for p in parts for i, t in p]
+    got = [(r.doc_id, r.kept_text) for r in substring_dedup.remove_repeats(docs, with_text=True).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_substring_dedup_of_nothing(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
