@@ -93,7 +93,7 @@ def sanitised_text(s, d):
 
 @query
 def summary_sentences(s, d):
-    parts = text.sentences(F.substring(text.collapse(F.col("body")), 1, 200))
+    parts = text.sentences(text.collapse(F.col("body")))
     return X.items(s, d).select("id", F.size(parts).alias("parts"), parts[0].alias("first_part"))
 
 

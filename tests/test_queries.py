@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 import os
+import re
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from newsdesk.functions import html
 from newsdesk.oracle import ORACLE_SQL
 from newsdesk.queries import QUERIES
 
@@ -46,6 +49,37 @@ def test_query(spark, sf, duck, name):
         assert rows(got) == rows(want)
 
 
+def test_summaries_are_split_whole(spark, sf):
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        t = re.sub(r"[ \t\n\r\x0b\f\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+", " ", r.text).strip(" ")
+        found = [x for x in (p.strip(" ") for p in re.findall("[^。！？.!?]+[。！？.!?]?", t)) if x][:3]
+        if len(found) < 2:
+            left, right = t[: -(-len(t) // 2)].strip(" "), t[-(-len(t) // 2) :].strip(" ")
+            found = [left, right] if right else [left or "要約データなし。"] * 2
+        want[f"d{r.doc_id}"] = (len(found), found[0] if t else "要約データなし。")
+    assert max(len(first) for _, first in want.values()) > 200
+    assert {r.id: (r.parts, r.first_part) for r in QUERIES["summary_sentences"](spark, sf).collect()} == want
+
+
+def test_entities_of_whole_pages_are_decoded(spark, sf):
+    named = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
+
+    def one(m):
+        ref = m[1]
+        if not ref.startswith("#"):
+            return named.get(ref, m[0])
+        digits = re.fullmatch(r"#[xX]([0-9a-fA-F]{1,6})|#([0-9]{1,7})", ref)
+        code = int(digits[1], 16) if digits and digits[1] else int(digits[2]) if digits else 0
+        return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else m[0]
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    marked = F.concat("html", F.lit(" &amp;lt; &#233;&#x1F600; &nope; &#xD800; &#0; &quot;"), "html")
+    rows = pages.select(marked.alias("h"), html.decoded(marked).alias("decoded")).collect()
+    assert sum("&amp;" in r.h[: len(r.h) // 2 - 60] for r in rows) > 0 and len(rows) == pages.count()
+    assert all(r.decoded == re.sub(r"&(#x?[0-9a-fA-F]+|[a-zA-Z]+);", one, r.h) for r in rows)
+
+
 def test_every_sql_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
 
