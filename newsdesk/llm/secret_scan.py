@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame functions only.
 
-A text is cut at its candidates, which gives each one the text before and after it.  A forest, trained
+A text is cut at its candidates, which gives each one the text before (earlier candidates with it) and after it.  A forest, trained
 from labelled findings, judges a candidate by its length, its changes between kinds of characters, the
 share of it that dictionary words cover, its path and its neighbouring words.
 """
@@ -14,12 +14,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of token characters with a digit in it, a private key's header, or what a password is set to.
+_RUN, _PEM = r"[A-Za-z0-9+/_\-]", r"[A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+_NAME = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|key|auth|authorization|credentials?)(?:[sS]|[_\-0-9A-Z][A-Za-z0-9_\-]{0,24})?"
+_SCHEME = r"(?i:bearer|basic|token)"
+#: A private key to its END line (without one, its header and the encoded lines after it), a run of token
+#: characters with a digit or with letters of both cases in it, or what a password, token or key is set to.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
-    r"|(?<=(?:password|passwd|secret|PASSWORD|PASSWD|SECRET) {0,2}[:=] {0,2}[\"']?)[^\s\"']{6,}+"
+    rf"-----BEGIN {_PEM}(?:(?:[^\-]++|-(?!----(?:BEGIN|END) ))*+-----END {_PEM}|(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{{16,}}+)*+)"
+    rf"|(?<!{_RUN})(?={_RUN}{{16}})(?=[A-Za-z+/_\-]*+[0-9]|(?=[A-Z+/_\-]*+[a-z])[a-z+/_\-]*+[A-Z]){_RUN}{{16,}}+={{0,2}}"
+    rf"|(?<=[:=>][ \t]{{0,4}}[\"']?|{_SCHEME} {{1,2}})(?<={_NAME}[\"']?[ \t]{{0,4}}(?:=>|[:=]{{1,2}})[ \t]{{0,4}}[\"']?(?:{_SCHEME} {{1,2}})?)(?!{_SCHEME}\s)[^\s\"']{{6,}}+"
 )
+#: Fewest characters of a candidate.
+LEAST = 6
 BEFORE, AFTER = 48, 24
 #: Common words and placeholder words, longest first where one holds another.
 DICTIONARY = (
@@ -78,6 +84,12 @@ def labelled_findings(spark: SparkSession, per_shape: int = 400) -> DataFrame:
     named = F.concat(filler, pick("n", "token", "api_key", "API_KEY", "secret", "auth_token", "access_key", "TOKEN", "client_secret", "key"), pick("e", " = ", "=", ": ", " := "), F.lit('"'))
     bearer = F.concat(filler, pick("b", "Authorization: Bearer ", "token ", "key=", "secret: "))
     digest = F.concat(filler, pick("d", "commit ", "sha256: ", "sha1 ", "md5=", "checksum: ", "hash ", "revision ", "integrity=", "etag: ", "build "), pick("q", "", '"'))
+    letters = lambda salt, k: F.substring(F.translate(b64(salt, 64), "0123456789", "KqZwXvJyBg"), 1, k)
+    many = lambda k, one, gap="": F.array_join(F.transform(F.sequence(F.lit(1), F.lit(k)), one), gap)
+    prose = lambda salt, k: many(k, lambda i: F.element_at(F.array(*map(F.lit, PAIRS.split("|"))), (F.pmod(F.xxhash64(n, F.lit(salt), i), F.lit(30)) + 1).cast("int")))
+    spoken = F.concat(filler, pick("o", "token: ", "Password: ", "key: ", "auth: ", "secret = ", "Token: "))
+    line = lambda i: F.substring(F.base64(F.unhex(F.sha2(F.concat_ws(" ", n, i), 512))), 1, 64)
+    pem = lambda kind, lines: F.concat(F.lit(f"-----BEGIN {kind}PRIVATE KEY-----\n"), many(lines, line, "\n"), F.lit(f"\n-----END {kind}PRIVATE KEY-----"))
     code, test, any_path = pick("p", "src3", "app/settings", "deploy", "src0", ""), pick("t", "tests/fixtures", "docs/example", "mock/data"), pick("a", "src1", "docs/guide", "lib/core", "tests/unit", "")
     shapes = [
         (hexes("h", 40), named, '"', code, 1), (hexes("i", 32), named, '"', code, 1), (hexes("j", 64), bearer, "\n", code, 1), (b64("k", 40), named, '"', code, 1), (b64("l", 36), bearer, " ", code, 1),
@@ -89,6 +101,12 @@ def labelled_findings(spark: SparkSession, per_shape: int = 400) -> DataFrame:
         (F.concat(F.lit("xxxxxxxx"), word("12"), F.lit("xxxxxxxx0000")), named, '"', any_path, 0), (F.concat(F.lit("your-"), word("13"), F.lit("-key-here-"), F.lit("123")), named, '"', any_path, 0),
         (F.concat(hexes("x", 8), F.lit("-"), hexes("y", 4), F.lit("-"), hexes("r", 4), F.lit("-"), hexes("t", 12)), filler, " ", any_path, 0), (hexes("e", 40), named, '"', test, 0),
         (F.repeat(F.lit("0123456789"), 3), filler, " ", any_path, 0), (F.concat(word("14"), word("15"), word("16"), word("17"), word("18"), F.lit("7")), filler, " ", any_path, 0),
+        (letters("L1", 20), named, '"', code, 1), (letters("L2", 32), bearer, " ", code, 1), (letters("L3", 16), named, '"', code, 1), (F.lower(letters("L4", 20)), named, '"', code, 1),
+        (pem("RSA ", 4), filler, "\n", any_path, 1), (pem("", 16), filler, "\n", any_path, 1),
+        (F.concat(word("20"), F.initcap(word("21")), F.initcap(word("22")), F.initcap(word("23"))), named, '"', any_path, 0), (F.concat(F.initcap(word("24")), F.initcap(word("25")), F.initcap(word("26")), F.initcap(word("27"))), filler, " ", any_path, 0),
+        (F.initcap(prose("r", 9)), filler, " ", any_path, 0), (prose("s", 5), spoken, " ", any_path, 0), (F.concat(word("28"), word("29")), named, '"', any_path, 0), (F.concat(word("30"), F.lit("."), word("31"), F.lit("("), word("32"), F.lit(")")), named, "\n", any_path, 0),
+        (F.concat(F.upper(word("33")), F.lit("_"), F.upper(word("34")), F.lit("_KEY_V2=")), filler, "", any_path, 0), (F.concat(F.lit("s3_"), word("35"), F.lit("_"), word("36"), F.lit("_key")), filler, "=", any_path, 0),
+        (F.concat(F.lit("/"), F.initcap(word("37")), F.lit("/"), F.initcap(word("38")), F.lit("/"), word("39")), filler, " ", any_path, 0),
     ]
     made = F.explode(F.array(*[F.struct(c.alias("candidate"), b.alias("before"), F.lit(a).alias("after"), p.alias("path"), F.lit(float(y)).alias("label")) for c, b, a, p, y in shapes]))
     return spark.range(per_shape, numPartitions=1).select(made.alias("r")).select("r.*")
@@ -110,7 +128,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         index, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
         lambda s, i: F.struct((s["at"] + F.length(F.get("p", i)) + F.length(F.get("c", i))).alias("at"), F.concat(s["all"], F.array(s["at"] + F.length(F.get("p", i)))).alias("all")),
     )["all"]
-    around = F.arrays_zip(F.col("c"), F.transform(F.slice("p", 1, F.size("c")), lambda x: F.substr(x, F.greatest(F.length(x) - BEFORE + 1, F.lit(1)))).alias("b"), F.transform(F.slice("p", 2, F.size("c")), lambda x: F.substring(x, 1, AFTER)).alias("a"), ends.alias("s"))
+    tail = lambda x: F.substr(x, F.greatest(F.length(x) - BEFORE + 1, F.lit(1)))
+    reach = -(-BEFORE // LEAST)
+    joined = lambda i: F.concat(F.array_join(F.slice("t", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), ""), F.get("p", i))
+    cut = cut.withColumn("t", F.zip_with(F.slice("p", 1, F.size("c")), "c", lambda p, c: F.concat(tail(p), tail(c))))
+    around = F.arrays_zip(F.col("c"), F.transform(index, lambda i: tail(joined(i))).alias("b"), F.transform(F.slice("p", 2, F.size("c")), lambda x: F.substring(x, 1, AFTER)).alias("a"), ends.alias("s"))
     return cut.select("doc_id", "text_hash", "path", F.posexplode(around)).select("doc_id", "text_hash", F.col("pos").alias("nth"), F.col("col.s").cast("long").alias("start"), F.col("col.c").alias("candidate"), F.col("col.b").alias("before"), F.col("col.a").alias("after"), "path")
 
 

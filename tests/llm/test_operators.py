@@ -358,6 +358,34 @@ def test_secret_scan(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_without_digits_by_any_name_and_whole_keys(spark):
+    plain, mixed, low = "0c497b5014f705c0be648d68b816f88c209136eb", "AbCdEfGhIjKlMnOpQrSt", "qzxkvjwpfmhtbrgdyqkz"
+    body = "\n".join(hashlib.sha512(str(k).encode()).hexdigest().upper()[:64] for k in range(5))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,00\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    bare = f"-----BEGIN EC PRIVATE KEY-----\n{body}"
+    held = [
+        (f'the token = "{mixed}" here', mixed), (f'the api_key: "{low}" here', low), ('the Password: "hkW!qzRt#vx" here', "hkW!qzRt#vx"), (f'one s3_secret_access_key="{plain}" two', plain), (f"AWS_SECRET_ACCESS_KEY_V2={plain} x", plain),
+        (f'{{"auth_token": "{mixed}"}}', mixed), (f"Authorization: Bearer {mixed} x", mixed), (f"one {pem} two", pem), (f"one {bare}", bare), ("k = " + "a" * 300 + plain + " z", None),
+    ]
+    clean = ["the Internationalisation of getUserAccountName in /Users/Name/Documents", "The key: because nothing else", "Donaudampfschifffahrt und Nationalversammlung", 'class="navigationContainerName"']
+    docs = spark.createDataFrame([(k, t, "src0") for k, t in enumerate([t for t, _ in held] + clean)], "doc_id long, text string, source string")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = secret_scan.scan(docs).collect()
+    assert all(texts[r.doc_id][r.start : r.start + r.length] == r.candidate for r in found)
+    secrets = {}
+    for r in found:
+        if r.is_secret:
+            secrets.setdefault(r.doc_id, []).append(r.candidate)
+    for k, (t, secret) in enumerate(held):
+        assert secret is None or secrets.get(k) == [secret], (t, secrets.get(k))
+    assert any(r.doc_id == len(held) - 1 and r.length > 300 for r in found)
+    assert not [r for r in found if r.doc_id >= len(held) and r.is_secret]
+    got = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    assert all(got[k] == (t.replace(secret, "[SECRET]") if secret else got[k]) for k, (t, secret) in enumerate(held))
+    for r in secret_scan.candidates(docs).collect():
+        assert r.before == texts[r.doc_id][max(0, r.start - secret_scan.BEFORE) : r.start]
+
+
 def test_forest_on_findings_it_did_not_see(spark):
     table = secret_scan.labelled_findings(spark, 150)
     numbered = table.withColumn("h", F.pmod(F.xxhash64("candidate", "before"), F.lit(3)))
