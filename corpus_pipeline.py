@@ -8,6 +8,7 @@ re-read of the stage before, not a recomputation of the pipeline.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsdesk.llm import decontaminate, packing, secret_scan, simhash, toxicity
 from newsdesk.llm.queries import WINDOW_TOKENS, table, word_tokenizer
@@ -31,7 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, found secrets replaced by a mark and ``n_chars`` with them."""
-    return secret_scan.redacted(docs)
+    return secret_scan.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

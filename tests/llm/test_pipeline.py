@@ -51,6 +51,15 @@ def test_stages(spark, sf):
     state.unpersist()
 
 
+def test_redacted_documents_have_their_own_length(spark, sf):
+    texts = ['and the token = "0c497b5014f705c0be648d68b816f88c209136eb" then', "no secret", None]
+    docs = spark.createDataFrame([(k, t, "en", "src0", t and len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.redact_secrets(spark, docs, sf)
+    rows = out.collect()
+    assert out.schema == docs.schema and "[SECRET]" in next(r.text for r in rows if r.doc_id == 0)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+
+
 def test_every_operator_is_registered(spark, sf):
     import __spark_entry__ as entry
 
