@@ -325,7 +325,7 @@ _iso = f"{EPOCH} + to_minutes(doc_id)"
 add("collected_candidates", f"""SELECT platform, external_id, source_type, source_ref, CAST(title_chars AS INT) AS title_chars, CAST(body_chars AS INT) AS body_chars, canonical_url, {stamp('published')} AS published FROM (
   SELECT 'twitter' AS platform, 'k' || doc_id AS external_id, 'x_account' AS source_type, '@' || source AS source_ref, {_short("CASE WHEN doc_id % 2 = 0 THEN 'note ' || text ELSE text END")} AS title_chars, length(CASE WHEN doc_id % 2 = 0 THEN 'note ' || text ELSE text END) AS body_chars, 'https://x.com/a/status/' || doc_id AS canonical_url, {_iso} + INTERVAL 6 HOUR AS published FROM documents WHERE doc_id % 7 = 0
   UNION ALL SELECT 'alerts', CAST(doc_id AS VARCHAR), 'alert_feed', 'https://f.com/rss', length('T k' || doc_id), length(trim(left({_c}, 1000))), 'https://n.com/' || (doc_id % 100), CASE WHEN doc_id % 2 = 0 THEN {_iso} ELSE {_iso} + INTERVAL 6 HOUR END FROM (SELECT *, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id) AS r FROM documents WHERE doc_id % 7 = 1) WHERE r = 1
-  UNION ALL SELECT 'facebook', 'k' || doc_id, 'fb_page', 'https://fb.com/p', {_short("text")}, length(text), 'https://x-collector.local/facebook/k' || doc_id, {_iso} FROM documents WHERE doc_id % 7 = 2
+  UNION ALL SELECT 'facebook', 'k' || doc_id, 'fb_page', 'https://fb.com/p', {_short("text")}, length(text), 'https://item.invalid/facebook/k' || doc_id, {_iso} FROM documents WHERE doc_id % 7 = 2
   UNION ALL SELECT 'reddit', 'k' || doc_id, 'subreddit', 'r/ai', length('k' || doc_id), length(text), 'https://www.reddit.com/r/ai/k' || doc_id, {_iso} FROM documents WHERE doc_id % 7 = 3
   UNION ALL SELECT 'qiita', 'k' || doc_id, 'qiita_tag', 'llm', length('k' || doc_id), length(text), 'https://qiita.com/k' || doc_id, {_iso} FROM documents WHERE doc_id % 7 = 4
   UNION ALL SELECT 'github', 'o/r' || (doc_id % 9) || CASE WHEN doc_id % 2 = 0 THEN ':v' || doc_id ELSE '' END, 'gh_source', 'o/r' || (doc_id % 9), length('k' || doc_id), length(text), 'https://github.com/o/r' || (doc_id % 9), {_iso} + INTERVAL 6 HOUR FROM documents WHERE doc_id % 7 = 5

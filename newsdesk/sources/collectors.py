@@ -41,7 +41,7 @@ def plain(html: Column, limit: int | None = None) -> Column:
 
 
 def _candidate(platform: str, id_: Column, kind: str, ref: Column, title: Column, body: Column, url: Column, published: Column) -> list[Column]:
-    link = F.coalesce(text.blank_to_null(url), F.concat(F.lit(f"https://x-collector.local/{platform}/"), F.url_encode(id_)))
+    link = F.coalesce(text.blank_to_null(url), F.concat(F.lit(f"https://item.invalid/{platform}/"), F.url_encode(id_)))
     return [
         F.lit(platform).alias("platform"), id_.alias("external_id"), F.lit(kind).alias("source_type"), ref.alias("source_ref"), text.blank_to_null(title).alias("title"), text.blank_to_null(body).alias("body"),
         link.alias("url"), urls.canonical(link).alias("canonical_url"), timing.clamped(published, F.col("fetched_at")).alias("published_at"), F.col("fetched_at").alias("ingested_at"),
