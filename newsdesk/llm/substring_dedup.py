@@ -1,37 +1,37 @@
-"""Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark by bucket.
-
-Each task hashes all windows of its documents.  Within a chunk of documents a window that repeats is
-settled at once: its later documents lose it, and only the chunk's smallest document sends it on (if
-several rows of different texts have the smallest id, each of them, as each has to hear of its loss).
-What is sent goes to a bucket as one sorted run of 8 bytes a window, so a passage shared by any number
-of documents reaches its bucket once per chunk, not once per document.  The bucket finds each window's
-smallest document and returns, to the documents that are not it, the windows they lose, packed by the
-bucket that the documents themselves go to.  There windows that touch merge into maximal intervals of
-words, which are removed.
-
-The bucket is chosen by a second, independent hash: 64 bits and the bucket's bits tell windows apart.
+"""Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
+
+Documents are dealt to chunks of a few megabytes by a hash.  A task hashes all windows of a chunk and
+sends one plain row per distinct window: its hash, how often the chunk has it, the chunk's smallest
+document with it.  A passage shared by any number of documents so costs one row a chunk, and all rows
+grow with the text alone.  Spark adds the counts up per window, and for those that occur again returns
+the smallest document of all to the chunks that have others.  There windows that touch merge into
+maximal intervals of words, which are removed.
+
+Rows go to partitions by a second, independent hash: 64 bits and the partition's bits tell windows apart.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
-from newsdesk.llm.common import Interner, parts, regrouped, space_words, utf8
+from newsdesk.llm.common import Interner, held, parts, space_words, utf8
 
+#: Bytes of text of a chunk, on average; a document is never parted.
 CHUNK_BYTES = 8 << 20
-#: Bytes of text per bucket.
-BUCKET_BYTES = 14 << 20
+#: Bytes of text per partition of documents and per partition of windows.
+PARTITION_BYTES = 16 << 20
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_MASK = (1 << 64) - 1
+#: Stands for a null id, after all others.
+LAST = (1 << 63) - 1
 
 
 class Rolling:
@@ -86,6 +86,11 @@ class Windows:
         return self.hashes[number]
 
 
+def hasher_of(window: int) -> Windows:
+    """One per Python worker: the words it has met stay known from chunk to chunk."""
+    return held(("windows", window), lambda: Windows(window))
+
+
 def _spans(marked: np.ndarray, window: int) -> np.ndarray:
     """Start positions of windows (ascending) as merged word intervals, flat (start, stop, start, stop, ...)."""
     if not len(marked):
@@ -95,110 +100,44 @@ def _spans(marked: np.ndarray, window: int) -> np.ndarray:
     return np.stack([marked[new], marked[last] + window], axis=1).astype(np.int32).ravel()
 
 
-#: Packed documents (ids, keys, counts) and what they have, one after the other: as kind 0 intervals of words that
-#: they lose, as kind 1 hashes of windows.  ``bucket`` is where a row goes: documents to that of their key.
-PACKED = "bucket int, kind int, ids binary, keys binary, counts binary, data binary"
-_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("ids", "keys", "counts", "data"))])
-
-
-def _packed(bucket: int, kind: int, ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, data: np.ndarray) -> dict:
-    return {"bucket": bucket, "kind": kind, "ids": np.diff(ids, prepend=0).tobytes(), "keys": keys.tobytes(), "counts": counts.astype(np.int32).tobytes(), "data": data.tobytes()}
-
-
-def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(row["data"], np.uint64 if row["kind"] else np.int32)
-    return np.cumsum(np.frombuffer(row["ids"], np.int64)), np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], np.int32), data
+WINDOWS = "chunk int, n int, doc long, hash long, bucket int"
 
 
 def _send(window: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Windows(window)
-        for table in regrouped(batches, 2, CHUNK_BYTES):
-            ids, keys = table.column(0).to_numpy(), table.column(1).to_numpy()
-            first, second, sizes = [], [], []
-            for text in table.column(2).to_pylist():
-                words = hasher.words(space_words(text))
-                first.append(hasher.rollers[0](words))
-                second.append(hasher.rollers[1](words))
-                sizes.append(len(first[-1]))
-            h, doc = np.concatenate(first), np.repeat(np.arange(len(ids)), sizes)
-            bucket = ((np.concatenate(second) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-            del first, second
-            if not len(h):
-                continue
-            shared = len(np.unique(ids)) < len(ids)
-            if shared:
-                order = np.lexsort((keys[doc], ids[doc], h))
-            else:
-                order = np.lexsort((ids[doc], h)) if (np.diff(ids) < 0).any() else np.argsort(h, kind="stable")
-            run_h, run_id = h[order], ids[doc[order]]
-            new = np.concatenate([[True], run_h[1:] != run_h[:-1]])
-            least = run_id[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            rows: list[dict] = []
-            lost = np.sort(order[run_id > least])
-            if len(lost):
-                begin = np.cumsum(sizes) - sizes
-                parts_ = np.split(lost, np.flatnonzero(np.diff(doc[lost])) + 1)
-                docs = doc[[p[0] for p in parts_]]
-                spans = [_spans(p - begin[d], window) for p, d in zip(parts_, docs.tolist(), strict=True)]
-                rows += _dealt(0, ids[docs], keys[docs], spans, buckets)
-            if shared:
-                run_key = keys[doc[order]]
-                new[1:] |= (run_id[1:] == least[1:]) & (run_key[1:] != run_key[:-1])
-            kept = order[new]
-            kept = kept[np.lexsort((kept, bucket[kept]))]
-            for part in np.split(kept, np.flatnonzero(np.diff(bucket[kept])) + 1):
-                docs, counts = np.unique(doc[part], return_counts=True)
-                rows.append(_packed(int(bucket[part[0]]), 1, ids[docs], keys[docs], counts, h[part]))
-            for k in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_pylist(rows[k : k + 256], schema=_PACKED)
-
-    return run
-
-
-def _dealt(kind: int, ids: np.ndarray, keys: np.ndarray, data: list[np.ndarray], buckets: int) -> list[dict]:
-    """What documents have, as one row for each bucket that their keys name."""
-    where = keys % buckets
-    order = np.argsort(where, kind="stable")
-    out = []
-    for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
-        own = [data[i] for i in part.tolist()]
-        out.append(_packed(int(where[part[0]]), kind, ids[part], keys[part], np.array([len(x) for x in own]), np.concatenate(own)))
-    return out
-
-
-def _settle(buckets: int):
-    """A bucket: settled intervals pass; windows that a smaller document has go to the buckets of their documents."""
+    """A chunk's distinct windows: how often it has each, the smallest document that does, and the partition to count it in."""
 
     def run(table: pa.Table) -> pa.Table:
-        out: list[dict] = []
-        ids, keys, counts, hashes = [], [], [], []
-        for row in table.to_pylist():
-            if row["kind"] == 0:
-                out.append(row)
-            else:
-                for into, x in zip((ids, keys, counts, hashes), _unpacked(row), strict=True):
-                    into.append(x)
-        if hashes:
-            run_ids, run_keys, sizes = np.concatenate(ids), np.concatenate(keys), np.concatenate(counts)
-            h, run = np.concatenate(hashes), np.repeat(np.arange(len(run_ids), dtype=np.int32), sizes)
-            order = np.argsort(h)
-            same = h[order[1:]] == h[order[:-1]]
-            order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-            if len(order):
-                order = order[np.lexsort((run_ids[run[order]], h[order]))]
-                new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
-                owner = run_ids[run[order]]
-                lost = np.sort(order[owner > owner[np.flatnonzero(new)[np.cumsum(new) - 1]]])
-                if len(lost):
-                    parts_ = np.split(lost, np.flatnonzero(np.diff(run[lost])) + 1)
-                    runs = run[[p[0] for p in parts_]]
-                    out += _dealt(1, run_ids[runs], run_keys[runs], [h[p] for p in parts_], buckets)
-        return pa.Table.from_pylist(out, schema=_PACKED)
+        hasher = hasher_of(window)
+        first, second = [], []
+        for text in table.column("text").to_pylist():
+            words = hasher.words(space_words(text))
+            first.append(hasher.rollers[0](words))
+            second.append(hasher.rollers[1](words))
+        h, sizes = np.concatenate(first), [len(x) for x in first]
+        bucket = ((np.concatenate(second) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+        del first, second
+        ids = np.repeat(table.column("doc_id").to_numpy(), sizes)
+        order = np.argsort(h)
+        begin = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]])) if len(h) else np.zeros(0, np.int64)
+        least = np.minimum.reduceat(ids[order], begin) if len(h) else ids
+        n = np.diff(np.append(begin, len(h))).astype(np.int32)
+        place = order[begin]
+        # In the order of the texts, neighbours share their document, which packs well.
+        back = np.argsort(place)
+        place = place[back]
+        chunk = np.full(len(place), table.column("chunk")[0].as_py(), np.int32)
+        return pa.Table.from_arrays([pa.array(chunk), pa.array(n[back]), pa.array(least[back]), pa.array(h[place].view(np.int64)), pa.array(bucket[place])], ["chunk", "n", "doc", "hash", "bucket"])
 
     return run
 
 
+def counted(sent: DataFrame, buckets: int) -> DataFrame:
+    """``(chunk, hash, least)``: for every chunk that has a window of some smaller document, that window and its smallest document of all."""
+    same = Window.partitionBy("bucket", "hash")
+    met = sent.repartitionById(buckets, F.col("bucket")).withColumns({"copies": F.sum("n").over(same), "least": F.min("doc").over(same)})
+    return met.filter("copies > 1 and (n > 1 or doc > least)").select("chunk", "hash", "least")
+
+
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>, kept_text string"
 
 
@@ -206,33 +145,29 @@ def _cut(window: int, with_text: bool):
     names = [c.split()[0] for c in OUT.split(", ")]
 
     def run(docs: pa.Table, lost: pa.Table) -> pa.Table:
-        hasher = Windows(window)
-        spans_of: dict[tuple[int, int], list[np.ndarray]] = {}
-        gone_of: dict[tuple[int, int], list[np.ndarray]] = {}
-        for row in lost.to_pylist():
-            ids, keys, counts, data = _unpacked(row)
-            into = gone_of if row["kind"] else spans_of
-            for i, k, x in zip(ids.tolist(), keys.tolist(), np.split(data, np.cumsum(counts)[:-1]), strict=True):
-                into.setdefault((i, k), []).append(x)
+        hasher = hasher_of(window)
+        gone, least = lost.column("hash").to_numpy().view(np.uint64), lost.column("least").to_numpy()
+        order = np.argsort(gone)
+        gone, least = gone[order], least[order]
         n_words, n_removed, digest, spans, kept_text = [], [], [], [], []
-        for i, k, text in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
+        for i, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
             words = space_words(text)
-            delta = np.zeros(len(words) + 1, np.int64)
-            for pair in spans_of.get((i, k), ()):
-                np.add.at(delta, pair[::2], 1)
-                np.add.at(delta, pair[1::2], -1)
-            if (i, k) in gone_of:
-                at = np.flatnonzero(np.isin(hasher.rollers[0](hasher.words(words)), np.concatenate(gone_of[i, k])))
-                np.add.at(delta, at, 1)
-                np.add.at(delta, at + window, -1)
-            cover = np.cumsum(delta[:-1]) > 0
-            removed = int(cover.sum())
-            kept = b" ".join(words) if not removed else b" ".join([w for w, c in zip(words, cover.tolist(), strict=True) if not c])
+            pairs = np.zeros(0, np.int32)
+            if len(gone) and len(words) >= window:
+                h = hasher.rollers[0](hasher.words(words))
+                at = np.minimum(np.searchsorted(gone, h), len(gone) - 1)
+                pairs = _spans(np.flatnonzero((gone[at] == h) & (least[at] < i)), window)
+            kept, removed, start = [], 0, 0
+            for a, b in pairs.reshape(-1, 2).tolist():
+                kept += words[start:a]
+                removed += b - a
+                start = b
+            joined = b" ".join(kept + words[start:])
             n_words.append(len(words))
             n_removed.append(removed)
-            digest.append(hashlib.sha256(kept).hexdigest())
-            spans.append(np.flatnonzero(np.diff(np.concatenate([[0], cover.view(np.int8), [0]]))).tolist())
-            kept_text.append(kept.decode("utf-8", "replace") if with_text else None)
+            digest.append(hashlib.sha256(joined).hexdigest())
+            spans.append(pairs.tolist())
+            kept_text.append(joined.decode("utf-8", "replace") if with_text else None)
         return pa.Table.from_arrays(
             [docs.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, pa.list_(pa.int32())), pa.array(kept_text, pa.string())], names
         )
@@ -240,7 +175,23 @@ def _cut(window: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, with_text: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, chunk_bytes: int = CHUNK_BYTES, partition_bytes: int = PARTITION_BYTES) -> tuple[DataFrame, DataFrame, int]:
+    """The documents dealt to chunks, ``(chunk, doc_id, text)``; their windows, ``(chunk, n, doc, hash, bucket)``; and the number of buckets.
+
+    Equal rows of different input splits go to different chunks, so that no chunk gathers a row that repeats without end.
+    """
+    doc_id = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    least = parts(docs.sparkSession)
+    chunks, n = max(least, -(-size // chunk_bytes)), max(least, -(-size // partition_bytes))
+    chunk = F.pmod(F.xxhash64(doc_id, F.col(text_col), F.spark_partition_id()), F.lit(chunks)).cast("int")
+    dealt = docs.select(chunk.alias("chunk"), doc_id.alias("doc_id"), utf8(text_col).alias("text")).repartition(n, "chunk")
+    return dealt, dealt.groupBy("chunk").applyInArrow(_send(window, n), WINDOWS), n
+
+
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, partition_bytes: int = PARTITION_BYTES
+) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256, spans, kept_text)`` of every row.
 
     A word goes if a window of ``window`` words over it also starts in a document of smaller id; the
@@ -250,13 +201,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all others: it loses what any document with an id has, and takes nothing from them.  Other columns
     are ignored.  An empty table gives an empty result.
     """
-    last = F.lit((1 << 63) - 1)
-    doc_id = F.coalesce(F.col(id_col).cast("long"), last)
-    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, F.col(text_col)).alias("key"), utf8(text_col).alias("text"))
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    buckets = max(parts(docs.sparkSession), -(-size // bucket_bytes))
-    sent = rows.mapInArrow(_send(window, buckets), PACKED)
-    back = sent.groupBy("bucket").applyInArrow(_settle(buckets), PACKED)
-    owned = rows.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
-    cut = owned.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_cut(window, with_text), OUT)
-    return cut.withColumn("doc_id", F.when(F.col("doc_id") < last, F.col("doc_id")))
+    dealt, sent, n = windows(docs, id_col, text_col, window, chunk_bytes, partition_bytes)
+    cut = dealt.groupBy("chunk").cogroup(counted(sent, n).groupBy("chunk")).applyInArrow(_cut(window, with_text), OUT)
+    return cut.withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))

@@ -297,8 +297,8 @@ def test_escapes_are_reversible():
 # --- substrings
 
 
-@pytest.mark.parametrize("bucket_bytes", [substring_dedup.BUCKET_BYTES, 50_000])
-def test_substring_dedup(documents, awkward, bucket_bytes):
+@pytest.mark.parametrize("size", [{}, {"chunk_bytes": 20_000, "partition_bytes": 50_000}])
+def test_substring_dedup(documents, awkward, size):
     docs = both(documents, awkward)
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     rank = lambda i: 1 << 62 if i is None else i
@@ -316,7 +316,7 @@ def test_substring_dedup(documents, awkward, bucket_bytes):
                 gone[k : k + 50] = True
         kept = " ".join(x for x, g in zip(w, gone.tolist(), strict=True) if not g)
         want.append((i, len(w), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest(), kept))
-    got = substring_dedup.remove_repeats(docs, with_text=True, bucket_bytes=bucket_bytes).drop("spans").collect()
+    got = substring_dedup.remove_repeats(docs, with_text=True, **size).drop("spans").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert sum(r[2] for r in want) > 140
 
@@ -335,6 +335,18 @@ def test_substring_dedup_tells_every_row_that_shares_an_id(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_windows_to_count_grow_with_the_text(spark):
+    words = np.random.default_rng(5).integers(0, 1 << 40, (400, 120)).astype(str)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words.tolist())], "doc_id long, text string")
+    rows = [substring_dedup.windows(docs.filter(f"doc_id < {n}"), chunk_bytes=4_000, partition_bytes=9_000)[1].count() for n in (200, 400)]
+    assert rows == [200 * 71, 400 * 71]
+    # A third of all rows being one row makes no chunk larger than an input split.
+    same = docs.filter("doc_id < 200").unionByName(spark.range(100).selectExpr("7L as doc_id", f"'{' '.join(words[7])}' as text")).repartition(8)
+    dealt, sent, _ = substring_dedup.windows(same, chunk_bytes=4_000)
+    assert dealt.groupBy("chunk").count().agg(F.max("count")).first()[0] < 60
+    assert substring_dedup.remove_repeats(same).agg(F.sum("n_removed")).first()[0] == 0
+
+
 def test_substring_dedup_of_nothing(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
