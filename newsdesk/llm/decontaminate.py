@@ -5,6 +5,9 @@ every term of theirs, its postings (positions within the segment, one number apa
 between documents).  A phrase is looked up per segment: the postings of its rarest term, less that
 term's offset, are the candidates, and each further term, by rising frequency, keeps those found in
 its own offset-adjusted list.  Nothing is shuffled; the index is written once and can be searched again.
+
+Phrases reach the segments by broadcast, in blocks of a bounded number of words that are searched one
+after the other: whatever the size of a benchmark, one block at a time is held.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +28,12 @@ from newsdesk.session import stored
 
 #: Text bytes of a segment; a longer document is a segment of its own.
 SEGMENT_BYTES = 6 << 20
-#: Benchmark text bytes that are broadcast at once; a larger benchmark is searched in blocks.
-BLOCK_BYTES = 32 << 20
+#: Words of phrases that are broadcast at once, on average; a larger benchmark is searched in blocks.
+BLOCK_WORDS = 500_000
+#: Windows of an item that stay together; a longer item comes in pieces that overlap by a window less one word.
+PIECE_WINDOWS = 4096
 CANDIDATES = 1 << 20
+ROWS = 1 << 16
 SCHEMA = "segment long, doc_ids binary, null_ids binary, text_hashes binary, starts binary, lengths binary, terms binary, counts binary, postings binary"
 
 
@@ -73,24 +79,43 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 @dataclass
 class Phrases:
-    """Distinct word sequences and the items that each belongs to."""
+    """Distinct word sequences and the items that each belongs to, as arrays."""
 
     vocabulary: dict[bytes, int]
     by_length: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> (phrases x length term numbers, phrase numbers)
-    items: list[list[int]]  # by phrase number
+    start: np.ndarray  # phrase number -> where its items start
+    items: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int, bytes | None]], window: int) -> Phrases:
-        vocabulary, phrases = Interner(), {}
-        for item, text in rows:
-            number = tuple(vocabulary.numbers(alnum_words(text)).tolist())
-            for k in range(max(1, len(number) - window + 1)) if number else ():
-                phrases.setdefault(number[k : k + window], set()).add(item)
-        by_length: dict[int, tuple[list, list]] = {}
-        for n, p in enumerate(phrases):
-            by_length.setdefault(len(p), ([], []))[0].append(p)
-            by_length[len(p)][1].append(n)
-        return cls(dict(vocabulary), {k: (np.array(p, np.int64), np.array(n, np.int64)) for k, (p, n) in by_length.items()}, [sorted(s) for s in phrases.values()])
+    def of(cls, rows: list[tuple[int, bytes]], window: int) -> Phrases:
+        """``rows`` are (item, words joined by spaces); every ``window`` consecutive words are a phrase, or all of fewer."""
+        vocabulary = Interner()
+        found: dict[int, tuple[list, list]] = {}
+        for item, words in rows:
+            number = vocabulary.numbers(words.split()).astype(np.int32)
+            runs = np.lib.stride_tricks.sliding_window_view(number, min(window, len(number)))
+            terms, owners = found.setdefault(runs.shape[1], ([], []))
+            terms.append(runs)
+            owners.append(np.full(len(runs), item, np.int64))
+        by_length, phrase, owner, n = {}, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for length, (terms, owners) in found.items():
+            all_terms = np.concatenate(terms)
+            terms.clear()
+            _, first, number = np.unique(all_terms.view(np.dtype((np.void, 4 * length))).ravel(), return_index=True, return_inverse=True)
+            by_length[length] = (all_terms[first], np.arange(n, n + len(first)))
+            phrase.append(number + n)
+            owner.append(np.concatenate(owners))
+            n += len(first)
+        phrase, owner = np.concatenate(phrase), np.concatenate(owner)
+        order = np.lexsort((owner, phrase))
+        phrase, owner = phrase[order], owner[order]
+        new = np.ones(len(phrase), bool)
+        new[1:] = (phrase[1:] != phrase[:-1]) | (owner[1:] != owner[:-1])
+        return cls(dict(vocabulary), by_length, np.searchsorted(phrase[new], np.arange(n + 1)), owner[new])
+
+    def items_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The distinct items of some phrases, ascending."""
+        return np.unique(np.concatenate([self.items[self.start[p] : self.start[p + 1]] for p in numbers.tolist()]))
 
 
 class Segment:
@@ -123,6 +148,11 @@ class Segment:
 
     def candidates(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For rows of terms that all occur here: (row, position of its rarest term, its terms' order by frequency), in bounded parts."""
+        for k in range(0, len(terms), ROWS):
+            for row, at, order in self._candidates(terms[k : k + ROWS]):
+                yield row + k, at, order
+
+    def _candidates(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         frequency = self.count[terms]
         alive = np.flatnonzero(frequency.min(axis=1) > 0)
         order = np.argsort(frequency[alive], axis=1, kind="stable")
@@ -148,7 +178,7 @@ class Segment:
                 if not len(row):
                     break
                 offset = order[:, k]
-                key = terms[row, offset] << 32 | (begin + offset)
+                key = terms[row, offset].astype(np.int64) << 32 | (begin + offset)
                 key[begin < 0] = -1
                 found = np.searchsorted(self.keys, key)
                 good = (found < len(self.keys)) & (self.keys[np.minimum(found, len(self.keys) - 1)] == key)
@@ -167,7 +197,7 @@ class Segment:
             for k in range(1, terms.shape[1]):
                 if not len(row):
                     break
-                term = terms[row, order[:, k]] << 32
+                term = terms[row, order[:, k]].astype(np.int64) << 32
                 found = np.searchsorted(self.keys, term | low)
                 good = (found < len(self.keys)) & (self.keys[np.minimum(found, len(self.keys) - 1)] <= (term | high))
                 row, at, order, low, high = row[good], at[good], order[good], low[good], high[good]
@@ -208,19 +238,36 @@ def search_segment(row: dict[str, bytes], phrases: Phrases) -> list[tuple[int |
         pairs = np.unique(np.stack([doc, owner], axis=1), axis=0)
         cut = np.flatnonzero(np.diff(pairs[:, 0])) + 1
         for group in np.split(pairs, cut):
-            items[int(group[0, 0])] = sorted({i for p in group[:, 1].tolist() for i in phrases.items[p]})
+            items[int(group[0, 0])] = phrases.items_of(group[:, 1]).tolist()
     hashes = np.frombuffer(row["text_hashes"], "<i8").tolist()
     return [(None if null else i, w, s, t, h) for i, null, w, s, t, h in zip(segment.doc_ids.tolist(), segment.null.tolist(), segment.lengths.tolist(), spans, items, hashes, strict=True)]
 
 
-def phrase_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, bytes | None]]]:
-    """The benchmark's rows, in driver blocks of about ``block_bytes``: within that size all at once."""
+def _pieces(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = alnum_words(text)
+                own = [words[k : k + PIECE_WINDOWS + window - 1] for k in range(0, max(1, len(words) - window + 1), PIECE_WINDOWS)] if words else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * len(own), pa.int64()), pa.array(range(len(own)), pa.int64()), pa.array([b" ".join(w) for w in own], pa.binary()), pa.array([len(w) for w in own], pa.int64())], ["item_id", "nth", "words", "n"]
+                )
+
+    return run
+
+
+def phrase_blocks(items: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> list[DataFrame]:
+    """``(item_id, words)`` of the items in blocks of about ``block_words`` words; long items in overlapping pieces."""
     rows = items.select(F.col(item_col).cast("long").alias("item_id"), utf8(text_col).alias("text")).filter("item_id is not null and text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield [(r["item_id"], bytes(r["text"])) for r in part.collect()]
+    pieces = stored(rows.mapInArrow(_pieces(window), "item_id long, nth long, words binary, n long"), "phrases")
+    blocks = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // block_words) or 1
+    parts = [pieces] if blocks == 1 else [pieces.filter(F.pmod(F.xxhash64("item_id", "nth", "words"), F.lit(blocks)) == b) for b in range(blocks)]
+    return [p.select("item_id", "words") for p in parts]
+
+
+def broadcast(block: DataFrame, window: int) -> Broadcast[Phrases]:
+    """A block's phrases for all tasks; the block's size bounds them."""
+    return block.sparkSession.sparkContext.broadcast(Phrases.of([(r["item_id"], bytes(r["words"])) for r in block.collect()], window))
 
 
 def _digest(items: list[int]) -> str:
@@ -248,72 +295,91 @@ def _keyed(batch: pa.RecordBatch, segment: int, slots: list[int]) -> pa.RecordBa
     return batch.append_column("segment", pa.array([segment] * len(slots), pa.int64())).append_column("slot", pa.array(slots, pa.int64()))
 
 
-def contamination(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _searched(index: DataFrame, held: Broadcast[Phrases]) -> DataFrame:
+    """What the phrases hit in every document of the index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                result = _result(search_segment(row, held.value))
+                yield _keyed(result, row["segment"], list(range(result.num_rows)))
+
+    return index.mapInArrow(run, KEYED)
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """One document's hits from several blocks as one row."""
+    rows = table.to_pylist()
+    spans = np.array([s for r in rows for s in r["spans"]], np.int64).reshape(-1, 2)
+    one = (rows[0]["doc_id"], rows[0]["n_words"], _spans(spans[:, 0], spans[:, 1]), sorted({i for r in rows for i in r["items"]}), rows[0]["text_hash"])
+    return pa.Table.from_batches([_keyed(_result([one]), rows[0]["segment"], [rows[0]["slot"]])])
+
+
+def contamination(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items, text_hash)`` of every indexed document.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one.  Documents and
     items of null, empty or wordless text have no words and hit nothing; items with a null id are not
     searched.  Items that repeat an id count once; repeated documents each come back.  ``spans`` are the
-    maximal hit runs of words.  A benchmark beyond ``block_bytes`` is searched block by block and the
-    blocks' spans are merged per document, so what is broadcast stays bounded.
+    maximal hit runs of words.  A benchmark beyond ``block_words`` is searched block by block, each block's
+    hits stored before the next one is broadcast, and a document's spans and items are merged at the end.
     """
-    spark = index.sparkSession
-    found: list[DataFrame] = []
-    for k, rows in enumerate(phrase_blocks(benchmark, item_col, text_col, block_bytes)):
-        held = spark.sparkContext.broadcast(Phrases.of(rows, window))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    row = batch.slice(i, 1).to_pylist()[0]
-                    result = _result(search_segment(row, held.value))
-                    yield _keyed(result, row["segment"], list(range(result.num_rows)))
-
-        found.append(index.mapInArrow(run, KEYED))
-    if len(found) == 1:
-        return found[0].drop("segment", "slot")
-    later = reduce(DataFrame.unionByName, [part.filter("n_hit > 0") for part in found[1:]])
-
-    def merge(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        spans = np.array([s for r in rows for s in r["spans"]], np.int64).reshape(-1, 2)
-        one = (rows[0]["doc_id"], rows[0]["n_words"], _spans(spans[:, 0], spans[:, 1]), sorted({i for r in rows for i in r["items"]}), rows[0]["text_hash"])
-        return pa.Table.from_batches([_result([one])])
-
-    # Only documents that a later block hit need merging.
-    again = later.select("segment", "slot").distinct().withColumn("again", F.lit(True))
-    first = found[0].join(again, ["segment", "slot"], "left")
-    twice = first.filter("again").drop("again").unionByName(later).groupBy("segment", "slot").applyInArrow(merge, OUT)
-    return first.filter("again is null").drop("again", "segment", "slot").unionByName(twice)
+    blocks = phrase_blocks(benchmark, item_col, text_col, window, block_words)
+    if len(blocks) == 1:
+        return _searched(index, broadcast(blocks[0], window)).drop("segment", "slot")
+    hits = []
+    for block in blocks:
+        held = broadcast(block, window)
+        hits.append(stored(_searched(index, held).filter("n_hit > 0"), "hits"))
+        held.destroy()
+    hit = reduce(DataFrame.unionByName, hits).groupBy("segment", "slot").applyInArrow(_merged, KEYED)
+    clean = _searched(index, broadcast(blocks[0].limit(0), window)).join(hit.select("segment", "slot"), ["segment", "slot"], "left_anti")
+    return clean.unionByName(hit).drop("segment", "slot")
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
-    """The rows of ``docs`` without any window of the benchmark, all columns as they were."""
+    """The rows of ``docs`` without any window of the benchmark, all columns as they were.
+
+    A row goes if a row of its id, null ids included, and its text holds a window; repeated rows go or stay
+    together.  Null, empty and wordless texts stay.  An empty table gives an empty result.
+    """
     hit = contamination(build_index(docs, id_col, text_col), benchmark, window=window).filter("contaminated").select(F.col("doc_id").alias("__newsdesk_id"), F.col("text_hash").alias("__newsdesk_hash"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__newsdesk_id")) & (F.xxhash64(F.col(text_col)) == F.col("__newsdesk_hash"))
     return docs.join(hit.distinct(), same, "left_anti")
 
 
-def proximity(index: DataFrame, phrases: DataFrame, distance: int, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def proximity(index: DataFrame, phrases: DataFrame, distance: int, item_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(doc_id, item_id, position)`` where all words of an item stand within ``distance`` words of its rarest one, in any order.
 
-    ``position`` is that rarest word's place in its document, from 0.  Items without words match nothing.
+    ``position`` is that rarest word's place in its document, from 0; which word is rarest is decided per
+    segment, ties by the first.  Items of null, empty or wordless text match nothing, those of a null id are
+    not searched; an item that stands twice in ``phrases`` counts once.
     """
-    spark = index.sparkSession
-    out: DataFrame | None = None
-    for rows in phrase_blocks(phrases, item_col, text_col, block_bytes):
-        held = spark.sparkContext.broadcast(Phrases.of(rows, 1 << 30))
+    whole = 1 << 30
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def searched(held: Broadcast[Phrases]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = held.value
             for batch in batches:
                 for i in range(batch.num_rows):
-                    segment = Segment(batch.slice(i, 1).to_pylist()[0], held.value.vocabulary)
-                    for terms, numbers in held.value.by_length.values():
+                    segment = Segment(batch.slice(i, 1).to_pylist()[0], found.vocabulary)
+                    for terms, numbers in found.by_length.values():
                         for row, at in segment.close(terms, distance):
                             doc = np.searchsorted(segment.starts, at, "right") - 1
-                            flat = [(None if segment.null[d] else int(segment.doc_ids[d]), item, int(p - segment.starts[d])) for n, d, p in zip(numbers[row].tolist(), doc.tolist(), at.tolist(), strict=True) for item in held.value.items[n]]
-                            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in flat], pa.int64()) for k in range(3)], ["doc_id", "item_id", "position"])
-
-        part = index.mapInArrow(run, "doc_id long, item_id long, position long")
-        out = part if out is None else out.unionByName(part)
-    return out
+                            n = np.diff(found.start)[numbers[row]]
+                            doc, at = np.repeat(doc, n), np.repeat(at, n)
+                            item = np.concatenate([found.items[found.start[p] : found.start[p + 1]] for p in numbers[row].tolist()])
+                            yield pa.RecordBatch.from_arrays([pa.array(segment.doc_ids[doc], mask=segment.null[doc]), pa.array(item), pa.array(at - segment.starts[doc])], ["doc_id", "item_id", "position"])
+
+        return index.mapInArrow(run, "doc_id long, item_id long, position long")
+
+    blocks = phrase_blocks(phrases, item_col, text_col, whole, block_words)
+    if len(blocks) == 1:
+        return searched(broadcast(blocks[0], whole))
+    out = []
+    for block in blocks:
+        held = broadcast(block, whole)
+        out.append(stored(searched(held), "near"))
+        held.destroy()
+    return reduce(DataFrame.unionByName, out)

@@ -47,8 +47,14 @@ def empty(documents):
     return documents.limit(0)
 
 
+#: Names that the operators use for columns of their own.
+CLASHING = "score fp bucket chunk hash doc n least copies key node component component_id tile side segment slot ids terms n_tokens start length spans items sequence_id label w pos path before after candidate".split()
+
+
 def both(documents, awkward):
-    return documents.select("doc_id", "text").unionByName(awkward.select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
+    """Real and awkward rows with further columns whose names clash."""
+    rows = documents.unionByName(awkward.select((F.col("doc_id") + 10_000).alias("doc_id"), "text", "lang", "source", "n_chars"))
+    return rows.withColumns({c: F.lit(c) for c in CLASHING})
 
 
 def test_words_match_their_definitions():
@@ -156,19 +162,33 @@ def test_decontamination(spark, sf, documents, awkward):
     table = spark.createDataFrame(items, "item_id long, text string")
     want = brute_contamination([(r.doc_id, r.text) for r in docs.collect()], items)
     index = decontaminate.build_index(docs, segment_bytes=200_000)
-    for block in (decontaminate.BLOCK_BYTES, 700):
-        got = decontaminate.contamination(index, table, block_bytes=block).drop("spans", "items", "text_hash").collect()
+    for block in (decontaminate.BLOCK_WORDS, 60):
+        got = decontaminate.contamination(index, table, block_words=block).drop("spans", "items", "text_hash").collect()
         assert sorted(map(tuple, got), key=str) == want
     kept = decontaminate.uncontaminated(docs, table)
     assert kept.columns == docs.columns
     assert kept.count() == sum(not r[5] for r in want)
 
 
+def test_long_items_come_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", 7)
+    words = [f"v{k}" for k in range(60)]
+    docs = [(k, " ".join(words[k : k + 12])) for k in range(48)] + [(50, None), (None, " ".join(words[:9])), (None, " ".join(words))]
+    items = [(1, " ".join(words)), (2, " ".join(words[20:29])), (2, " ".join(words[20:29])), (3, " ".join(words[30:40]))]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contamination(docs, items)
+    index = decontaminate.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    for block in (decontaminate.BLOCK_WORDS, 20):
+        got = decontaminate.contamination(index, table, block_words=block).drop("spans", "items", "text_hash").collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
 def test_decontamination_of_nothing(spark, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert decontaminate.contamination(decontaminate.build_index(empty), none).count() == 0
     assert decontaminate.contamination(decontaminate.build_index(some), none).first()["n_words"] == 3
+    assert decontaminate.uncontaminated(empty, none).count() == 0 and decontaminate.uncontaminated(some, none).count() == 1
 
 
 def test_proximity(spark):
@@ -178,6 +198,31 @@ def test_proximity(spark):
     assert got == {(1, 7), (3, 7)}
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 9])
+def test_proximity_on_a_whole_table(spark, documents, awkward, block):
+    docs = both(documents, awkward).coalesce(1)
+    words = {i: WORD.findall((t or "").translate(ASCII_LOWER)) for i, t in docs.select("doc_id", "text").collect() if i is not None}
+    asked = [(i, w[k + 3] + " " + w[k] + " " + w[k + 9]) for i, w in list(words.items())[::9] if len(w) > 40 for k in (5, 21)] + [(-5, None), (-6, " "), (-7, "shared3 shared9"), (-7, "shared3 shared9"), (None, "the")]
+    count = {}
+    for w in words.values():
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    want = set()
+    for item, text in asked:
+        terms = (text or "").split()
+        if item is None or not terms:
+            continue
+        rarest = min(terms, key=lambda x: count.get(x, 0))
+        for i, w in words.items():
+            for p in [p for p, x in enumerate(w) if x == rarest]:
+                if set(terms) <= set(w[max(0, p - 12) : p + 13]):
+                    want.add((i, item, p))
+    index = decontaminate.build_index(docs.filter("doc_id is not null"))
+    assert index.count() == 1
+    got = decontaminate.proximity(index, spark.createDataFrame(asked, "item_id long, text string"), 12, block_words=block).collect()
+    assert len(want) > 20 and {tuple(r) for r in got} == want
+
+
 # --- SimHash
 
 
