@@ -1,18 +1,22 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-Documents are dealt to chunks of a few megabytes by a hash.  A task hashes all windows of a chunk and
-sends one plain row per distinct window: its hash, how often the chunk has it, the chunk's smallest
-document with it.  A passage shared by any number of documents so costs one row a chunk, and all rows
-grow with the text alone.  Spark adds the counts up per window, and for those that occur again returns
-the smallest document of all to the chunks that have others.  There windows that touch merge into
-maximal intervals of words, which are removed.
-
-Rows go to partitions by a second, independent hash: 64 bits and the partition's bits tell windows apart.
+Documents are dealt to chunks of a few megabytes by a hash, and every window of every document is
+hashed.  What Spark counts are plain rows, one per distinct hash and chunk, so a passage shared by any
+number of documents costs one row a chunk and all rows grow with the text alone.  It counts twice.  First
+anchors: the smallest hash of any 16 words within a window.  Neighbouring windows mostly have one anchor,
+which makes them few, and equal windows have equal anchors, so a window whose anchor stands nowhere else
+is known to be the only one of its kind.  Then all other windows: for those that occur again the chunks
+that don't hold the smallest document learn of it.  There windows that touch merge into maximal
+intervals of words, which are removed.
+
+Rows of windows go to partitions by a second, independent hash: 64 bits and the partition's bits tell
+windows apart.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import islice, repeat
 
 import numpy as np
@@ -67,7 +71,9 @@ class Windows:
     KEEP = 500_000
 
     def __init__(self, window: int) -> None:
+        self.window, self.inner = window, max(1, window // 3)
         self.rollers = [Rolling(b, window) for b in BASES]
+        self.within = Rolling(BASES[0], self.inner)
         self.numbers, self.hashes = Interner(), np.zeros(0, np.uint64)
 
     def words(self, words: list[bytes]) -> np.ndarray:
@@ -85,6 +91,21 @@ class Windows:
             self.hashes[known : known + len(more)] = more
         return self.hashes[number]
 
+    def anchors(self, words: np.ndarray) -> np.ndarray:
+        """Each window's smallest hash of ``inner`` words in it."""
+        if len(words) < self.window:
+            return np.zeros(0, np.uint64)
+        least, have, need = self.within(words), 1, self.window - self.inner + 1
+        while have < need:
+            step = min(have, need - have)
+            least, have = np.minimum(least[:-step], least[step:]), have + step
+        return least
+
+    def texts(self, table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """(id, hashes of words) of the documents of a chunk."""
+        for i, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True):
+            yield i, self.words(space_words(text))
+
 
 def hasher_of(window: int) -> Windows:
     """One per Python worker: the words it has met stay known from chunk to chunk."""
@@ -100,63 +121,92 @@ def _spans(marked: np.ndarray, window: int) -> np.ndarray:
     return np.stack([marked[new], marked[last] + window], axis=1).astype(np.int32).ravel()
 
 
-WINDOWS = "chunk int, n int, doc long, hash long, bucket int"
+ROWS = "chunk int, n int, doc long, hash long, bucket int"
+
 
+def _rows(chunk: int, h: np.ndarray, ids: np.ndarray, bucket: np.ndarray) -> pa.Table:
+    """A chunk's distinct hashes: how often it has each, the smallest document that does, and the partition to count it in."""
+    order = np.argsort(h)
+    begin = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]])) if len(h) else np.zeros(0, np.int64)
+    least = np.minimum.reduceat(ids[order], begin) if len(h) else ids
+    n = np.diff(np.append(begin, len(h))).astype(np.int32)
+    place = order[begin]
+    # In the order of the texts, neighbours share their document, which packs well.
+    back = np.argsort(place)
+    place = place[back]
+    columns = [pa.array(np.full(len(place), chunk, np.int32)), pa.array(n[back]), pa.array(least[back]), pa.array(h[place].view(np.int64)), pa.array(bucket[place].astype(np.int32))]
+    return pa.Table.from_arrays(columns, ["chunk", "n", "doc", "hash", "bucket"])
 
-def _send(window: int, buckets: int):
-    """A chunk's distinct windows: how often it has each, the smallest document that does, and the partition to count it in."""
 
+def _anchors(window: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        hasher = hasher_of(window)
-        first, second = [], []
-        for text in table.column("text").to_pylist():
-            words = hasher.words(space_words(text))
-            first.append(hasher.rollers[0](words))
-            second.append(hasher.rollers[1](words))
-        h, sizes = np.concatenate(first), [len(x) for x in first]
-        bucket = ((np.concatenate(second) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-        del first, second
-        ids = np.repeat(table.column("doc_id").to_numpy(), sizes)
-        order = np.argsort(h)
-        begin = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]])) if len(h) else np.zeros(0, np.int64)
-        least = np.minimum.reduceat(ids[order], begin) if len(h) else ids
-        n = np.diff(np.append(begin, len(h))).astype(np.int32)
-        place = order[begin]
-        # In the order of the texts, neighbours share their document, which packs well.
-        back = np.argsort(place)
-        place = place[back]
-        chunk = np.full(len(place), table.column("chunk")[0].as_py(), np.int32)
-        return pa.Table.from_arrays([pa.array(chunk), pa.array(n[back]), pa.array(least[back]), pa.array(h[place].view(np.int64)), pa.array(bucket[place])], ["chunk", "n", "doc", "hash", "bucket"])
+        hasher, found, ids = hasher_of(window), [], []
+        for i, words in hasher.texts(table):
+            a = hasher.anchors(words)
+            a = a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+            found.append(a)
+            ids.append(np.full(len(a), i, np.int64))
+        h = np.concatenate(found)
+        return _rows(table.column("chunk")[0].as_py(), h, np.concatenate(ids), (h >> np.uint64(17)) % np.uint64(buckets))
+
+    return run
+
+
+def _windows(window: int, buckets: int):
+    """The windows of a chunk whose anchor stands elsewhere too."""
+
+    def run(table: pa.Table, again: pa.Table) -> pa.Table:
+        hasher, anchors = hasher_of(window), np.sort(again.column("hash").to_numpy().view(np.uint64))
+        found, second, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, words in hasher.texts(table) if len(anchors) else ():
+            a = hasher.anchors(words)
+            at = np.flatnonzero(anchors[np.minimum(np.searchsorted(anchors, a), len(anchors) - 1)] == a)
+            if len(at):
+                found.append(hasher.rollers[0](words)[at])
+                second.append(hasher.rollers[1](words)[at])
+                ids.append(np.full(len(at), i, np.int64))
+        chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
+        return _rows(chunk, np.concatenate(found), np.concatenate(ids), (np.concatenate(second) >> np.uint64(33)) % np.uint64(buckets))
 
     return run
 
 
 def counted(sent: DataFrame, buckets: int) -> DataFrame:
-    """``(chunk, hash, least)``: for every chunk that has a window of some smaller document, that window and its smallest document of all."""
+    """``sent`` with ``copies``, how often a hash occurs in all chunks, and ``least``, the smallest document that has it."""
     same = Window.partitionBy("bucket", "hash")
-    met = sent.repartitionById(buckets, F.col("bucket")).withColumns({"copies": F.sum("n").over(same), "least": F.min("doc").over(same)})
-    return met.filter("copies > 1 and (n > 1 or doc > least)").select("chunk", "hash", "least")
+    return sent.repartitionById(buckets, F.col("bucket")).withColumns({"copies": F.sum("n").over(same), "least": F.min("doc").over(same)})
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>, kept_text string"
 
 
+def _lost(h: np.ndarray, ids: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+    """Which windows of a chunk some smaller document has: one of the chunk, or one that ``elsewhere`` (sorted hashes) tells of."""
+    order = np.argsort(h)
+    begin = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]])) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(h)))
+    foreign = np.zeros(len(begin), bool)
+    if len(elsewhere) and len(h):
+        first = h[order[begin]]
+        foreign = elsewhere[np.minimum(np.searchsorted(elsewhere, first), len(elsewhere) - 1)] == first
+    out = np.zeros(len(h), bool)
+    least = np.minimum.reduceat(ids[order], begin) if len(h) else ids
+    out[order] = (ids[order] > np.repeat(least, size)) | np.repeat(foreign, size)
+    return out
+
+
 def _cut(window: int, with_text: bool):
     names = [c.split()[0] for c in OUT.split(", ")]
 
     def run(docs: pa.Table, lost: pa.Table) -> pa.Table:
         hasher = hasher_of(window)
-        gone, least = lost.column("hash").to_numpy().view(np.uint64), lost.column("least").to_numpy()
-        order = np.argsort(gone)
-        gone, least = gone[order], least[order]
+        own = [hasher.rollers[0](words) for _, words in hasher.texts(docs)]
+        sizes = np.array([len(h) for h in own], np.int64)
+        marked = _lost(np.concatenate([np.zeros(0, np.uint64), *own]), np.repeat(docs.column("doc_id").to_numpy(), sizes), np.sort(lost.column("hash").to_numpy().view(np.uint64)))
         n_words, n_removed, digest, spans, kept_text = [], [], [], [], []
-        for i, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+        for text, stop, size in zip(docs.column("text").to_pylist(), np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
             words = space_words(text)
-            pairs = np.zeros(0, np.int32)
-            if len(gone) and len(words) >= window:
-                h = hasher.rollers[0](hasher.words(words))
-                at = np.minimum(np.searchsorted(gone, h), len(gone) - 1)
-                pairs = _spans(np.flatnonzero((gone[at] == h) & (least[at] < i)), window)
+            pairs = _spans(np.flatnonzero(marked[stop - size : stop]), window)
             kept, removed, start = [], 0, 0
             for a, b in pairs.reshape(-1, 2).tolist():
                 kept += words[start:a]
@@ -175,8 +225,8 @@ def _cut(window: int, with_text: bool):
     return run
 
 
-def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, chunk_bytes: int = CHUNK_BYTES, partition_bytes: int = PARTITION_BYTES) -> tuple[DataFrame, DataFrame, int]:
-    """The documents dealt to chunks, ``(chunk, doc_id, text)``; their windows, ``(chunk, n, doc, hash, bucket)``; and the number of buckets.
+def dealt(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, partition_bytes: int) -> tuple[DataFrame, int]:
+    """``(chunk, doc_id, text)`` of all rows, together by chunk, and the number of partitions that their text needs.
 
     Equal rows of different input splits go to different chunks, so that no chunk gathers a row that repeats without end.
     """
@@ -185,8 +235,14 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     least = parts(docs.sparkSession)
     chunks, n = max(least, -(-size // chunk_bytes)), max(least, -(-size // partition_bytes))
     chunk = F.pmod(F.xxhash64(doc_id, F.col(text_col), F.spark_partition_id()), F.lit(chunks)).cast("int")
-    dealt = docs.select(chunk.alias("chunk"), doc_id.alias("doc_id"), utf8(text_col).alias("text")).repartition(n, "chunk")
-    return dealt, dealt.groupBy("chunk").applyInArrow(_send(window, n), WINDOWS), n
+    return docs.select(chunk.alias("chunk"), doc_id.alias("doc_id"), utf8(text_col).alias("text")).repartition(n, "chunk"), n
+
+
+def windows(rows: DataFrame, n: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """What Spark counts of dealt documents: all distinct anchors of each chunk, and its windows whose anchor occurs again."""
+    anchors = rows.groupBy("chunk").applyInArrow(_anchors(window, n), ROWS)
+    again = counted(anchors, n).filter("copies > 1").select("chunk", "hash")
+    return anchors, rows.groupBy("chunk").cogroup(again.groupBy("chunk")).applyInArrow(_windows(window, n), ROWS)
 
 
 def remove_repeats(
@@ -201,6 +257,8 @@ def remove_repeats(
     all others: it loses what any document with an id has, and takes nothing from them.  Other columns
     are ignored.  An empty table gives an empty result.
     """
-    dealt, sent, n = windows(docs, id_col, text_col, window, chunk_bytes, partition_bytes)
-    cut = dealt.groupBy("chunk").cogroup(counted(sent, n).groupBy("chunk")).applyInArrow(_cut(window, with_text), OUT)
+    rows, n = dealt(docs, id_col, text_col, chunk_bytes, partition_bytes)
+    # Every row of a chunk that has a smaller document elsewhere; what its own documents have, a chunk sees itself.
+    lost = counted(windows(rows, n, window)[1], n).filter("copies > 1 and doc > least").select("chunk", "hash")
+    cut = rows.groupBy("chunk").cogroup(lost.groupBy("chunk")).applyInArrow(_cut(window, with_text), OUT)
     return cut.withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))

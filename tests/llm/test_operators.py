@@ -380,18 +380,33 @@ def test_substring_dedup_tells_every_row_that_shares_an_id(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_windows_to_count_grow_with_the_text(spark):
+def test_rows_to_count_grow_with_the_text(spark):
     words = np.random.default_rng(5).integers(0, 1 << 40, (400, 120)).astype(str)
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words.tolist())], "doc_id long, text string")
-    rows = [substring_dedup.windows(docs.filter(f"doc_id < {n}"), chunk_bytes=4_000, partition_bytes=9_000)[1].count() for n in (200, 400)]
-    assert rows == [200 * 71, 400 * 71]
-    # A third of all rows being one row makes no chunk larger than an input split.
+    copies = docs.unionByName(docs.selectExpr("doc_id + 1000 as doc_id", "concat(text, ' and more') as text"))
+    counts = []
+    for n in (200, 400):
+        for table in (docs, copies):
+            rows, buckets = substring_dedup.dealt(table.filter(f"doc_id % 1000 < {n}"), "doc_id", "text", 4_000, 9_000)
+            counts.append([x.count() for x in substring_dedup.windows(rows, buckets, 50)])
+    (once, none), (twice, met), (once2, none2), (twice2, met2) = counts
+    assert none == none2 == 0 and 200 * 71 / 25 < once < 200 * 71 / 8 and abs(once2 / once - 2) < 0.1
+    assert abs(met2 / met - 2) < 0.1 and abs(twice2 / twice - 2) < 0.1 and 200 * 71 < met <= 200 * 144
+    # A quarter of all rows being one row makes no chunk larger than an input split.
     same = docs.filter("doc_id < 200").unionByName(spark.range(100).selectExpr("7L as doc_id", f"'{' '.join(words[7])}' as text")).repartition(8)
-    dealt, sent, _ = substring_dedup.windows(same, chunk_bytes=4_000)
-    assert dealt.groupBy("chunk").count().agg(F.max("count")).first()[0] < 60
+    rows, _ = substring_dedup.dealt(same, "doc_id", "text", 4_000, 9_000)
+    assert rows.groupBy("chunk").count().agg(F.max("count")).first()[0] < 60
     assert substring_dedup.remove_repeats(same).agg(F.sum("n_removed")).first()[0] == 0
 
 
+def test_anchors_are_smallest_inner_hashes():
+    hasher = substring_dedup.Windows(50)
+    words = np.random.default_rng(1).integers(0, 1 << 60, 300).astype(np.uint64)
+    inner = hasher.within(words)
+    assert hasher.anchors(words).tolist() == [inner[k : k + 35].min() for k in range(251)]
+    assert len(hasher.anchors(words[:49])) == 0 and len(hasher.anchors(words[:50])) == 1
+
+
 def test_substring_dedup_of_nothing(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
