@@ -29,9 +29,9 @@ from xxhash import xxh3_64_intdigest
 from newsdesk.llm.common import Interner, held, parts, space_words, utf8
 
 #: Bytes of text of a chunk, on average; a document is never parted.
-CHUNK_BYTES = 8 << 20
-#: Bytes of text per partition of documents and per partition of windows.
-PARTITION_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
+#: Bytes of text at most, on average, per partition of documents and of windows; the session may ask for more partitions.
+PARTITION_BYTES = 128 << 20
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Stands for a null id, after all others.
