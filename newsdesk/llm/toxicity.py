@@ -1,49 +1,65 @@
-"""Toxicity: a subsequence string-kernel SVM with Nyström landmarks.
+"""Toxicity: a subsequence string-kernel SVM over sentences, with Nyström landmarks.
 
 Words are compared by their gapped subsequences of three characters, weighted by how far they stretch,
 so an insult with characters inserted, dropped or swapped for look-alikes stays close to the plain one.
-The kernel's features are explicit, which makes scoring a word a short sum: the landmarks' weights
-collapse into one weight per subsequence.  Training is by sentences whose label is their document's:
-the words that tell toxic documents apart, with inserted-character variants, against words of clean
-ones; then a calibration of documents by their strongest words on labelled rows kept out of it.
+A sentence's kernel with a landmark is the sum, over its words, of the cube of that kernel: one near hit
+counts, many faint likenesses don't.  Training is by sentences whose label is their document's.  As most
+sentences of a toxic document are harmless, each round of the SVM takes of such a document the sentences
+that the round before places on the toxic side, its foremost one at least.  Then documents are calibrated
+by their foremost sentences, as scored by models that other documents trained.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
 import unicodedata
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsdesk.llm.common import Interner, bounded, space_words, utf8
+from newsdesk.llm.common import Interner, bounded, utf8
 from newsdesk.llm.common import held as kept
 from newsdesk.session import stored
 
 #: Bound of the labelled sample for training, of each label.
 SAMPLE_DOCS = 2500
-#: Bounds of the word tables for training.
-POSITIVE_WORDS, NEGATIVE_WORDS = 1500, 15000
-LANDMARKS = 256
-DECAY, SPAN, BASE = 0.5, 5, 32
+#: Size of the model: landmarks that tell toxic documents apart, ordinary ones most like them, and frequent ones.
+TELLING, LIKE, FREQUENT = 128, 64, 64
+DECAY, SPAN, BASE, POWER = 0.5, 5, 32, 3
 LONGEST = 48
 #: Length of the word beginnings whose counts stand in for inflected words too rare to count alone.
 STEM = 5
+#: Words of a sentence; one without an end is cut there.
+SENTENCE_WORDS = 40
+#: Rounds of the SVM, its ridge, and what all harmless sentences weigh against all toxic ones.
+ROUNDS, RIDGE, HARMLESS = 8, 1e-3, 10.0
+#: Parts of the labelled sample; a document is calibrated by a model of the other parts.
+FOLDS = 3
+#: What calibration sees of a document: its foremost sentences' scores, within these bounds.
+FOREMOST, LOW, HIGH = 3, -3.0, 8.0
 BATCH_BYTES = 4 << 20
 #: Characters that stand in for letters.
 LOOK_ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"})
+#: What ends a sentence, at the end of a word.
+ENDS = (b".", b"!", b"?", "。".encode(), "！".encode(), "？".encode(), "…".encode())
+_LINE = b"\x00"
 _STEPS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
 _LETTERS = re.compile(r"[a-z~]+")
 
 
+def chunks(text: bytes | None) -> list[bytes]:
+    """What stands between white space, with a mark of its own for each line end."""
+    return text.replace(b"\n", b" \x00 ").split() if text else []
+
+
 def folded(chunk: bytes) -> list[str]:
     """The words a chunk between spaces may stand for: its letter runs, all its letters, and its look-alikes read as letters."""
     text = chunk.decode("utf-8", "replace")
@@ -91,64 +107,121 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(codes), np.concatenate(values)
 
 
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel of words against landmarks."""
-    row, code, value = features(landmarks)
-    norm = np.sqrt(np.bincount(row, value**2, len(landmarks)))
-    table = np.zeros((BASE**3, len(landmarks)), np.float32)
-    table[code, row] = value / norm[row]
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    for start in range(0, len(words), 2048):
-        part = words[start : start + 2048]
-        row, code, value = features(part)
-        order = np.argsort(row, kind="stable")
-        row, code, value = row[order], code[order], value[order]
-        norm = np.sqrt(np.bincount(row, value**2, len(part)))
-        for k in range(0, len(row), 1 << 13):
-            at = slice(k, k + (1 << 13))
-            np.add.at(out, start + row[at], table[code[at]] * (value[at] / norm[row[at]])[:, None].astype(np.float32))
-    return out
+class Landmarks:
+    """Landmark words opened for comparison with others: the few of them that have a subsequence, by subsequence."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.names = words
+        row, code, value = features(words)
+        norm = np.sqrt(np.bincount(row, value**2, len(words)))
+        order = np.argsort(code, kind="stable")
+        self.owner, self.value = row[order], (value / norm[row])[order]
+        self.count = np.bincount(code, minlength=BASE**3)
+        self.first = np.cumsum(self.count) - self.count
+
+    def kernel(self, words: list[str], power: int = POWER) -> np.ndarray:
+        """Powers of the normalised kernel of words against the landmarks."""
+        out = np.zeros((len(words), len(self.names)), np.float32)
+        for start in range(0, len(words), 4096):
+            part = words[start : start + 4096]
+            row, code, value = features(part)
+            norm = np.sqrt(np.bincount(row, value**2, len(part)))
+            n = self.count[code]
+            end = np.cumsum(n)
+            at = np.arange(end[-1] if len(end) else 0) + np.repeat(self.first[code] - end + n, n)
+            place = np.repeat(row, n) * len(self.names) + self.owner[at]
+            dot = np.bincount(place, np.repeat(value / norm[row], n) * self.value[at], len(part) * len(self.names))
+            out[start : start + len(part)] = dot.reshape(len(part), -1)
+        return out**power
+
+    def chunks(self, found: list[bytes]) -> np.ndarray:
+        """The same for chunks between spaces, of whose readings the nearest counts; letterless ones are near nothing."""
+        words, sizes = [], []
+        for c in found:
+            w = folded(c)
+            words += w
+            sizes.append(len(w))
+        sizes = np.array(sizes, np.int64)
+        out = np.zeros((len(found), len(self.names)), np.float32)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            out[some] = np.maximum.reduceat(self.kernel(words), (np.cumsum(sizes) - sizes)[some], axis=0)
+        return out
+
+
+def sentence_starts(ends: np.ndarray) -> np.ndarray:
+    """Where sentences start in a text of chunks, given which chunks end one; long ones are cut."""
+    start = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
+    size = np.diff(np.append(start, len(ends)))
+    pieces = -(-size // SENTENCE_WORDS)
+    return np.repeat(start, pieces) + SENTENCE_WORDS * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+
+
+def spaced(single: np.ndarray) -> list[tuple[int, str]]:
+    """(place, word) of words spelt with spaces: runs of four or more single letters, long ones in overlapping parts of eight."""
+    on = np.flatnonzero(np.diff(np.concatenate([[0], (single > 0).view(np.int8), [0]])))
+    runs = [(s, e) for s, e in on.reshape(-1, 2).tolist() if e - s >= 4]
+    return [(a, single[a : min(e, a + 8)].tobytes().decode().lower()) for s, e in runs for a in range(s, max(s + 1, e - 4), 4)]
+
+
+class Chunks:
+    """Numbers of chunks, kept up to a bound, with what is known of each: a value, whether it ends a sentence, its letter if it is one."""
+
+    KEEP = 300_000
+
+    def __init__(self, value, width: int) -> None:
+        self.value, self.width = value, width
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.known = Interner(), 0
+        self.values, self.ends, self.single = np.zeros((1 << 14, self.width), np.float32), np.zeros(1 << 14, bool), np.zeros(1 << 14, np.uint8)
+
+    def _learn(self) -> None:
+        fresh = list(islice(reversed(self.numbers), len(self.numbers) - self.known))[::-1]
+        while len(self.ends) < len(self.numbers):
+            self.values, self.ends, self.single = (np.concatenate([x, np.zeros_like(x)]) for x in (self.values, self.ends, self.single))
+        for k in range(0, len(fresh), 4096):
+            part, at = fresh[k : k + 4096], slice(self.known + k, self.known + min(k + 4096, len(fresh)))
+            self.values[at] = self.value(part)
+            self.ends[at] = [c == _LINE or c.endswith(ENDS) for c in part]
+            self.single[at] = [c[0] if len(c) == 1 and c.isalpha() else 0 for c in part]
+        self.known = len(self.numbers)
+
+    def sentences(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """Each text's (sentences x width) sums of values."""
+        if len(self.numbers) > self.KEEP:
+            self._forget()
+        numbers = [self.numbers.numbers(chunks(t)) for t in texts]
+        if len(self.numbers) > self.known:
+            self._learn()
+        for n in numbers:
+            if not len(n):
+                yield np.zeros((0, self.width), np.float32)
+                continue
+            start = sentence_starts(self.ends[n])
+            sentence = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(n))))
+            # Each distinct word of a sentence counts once.
+            key = np.unique(sentence << 32 | n)
+            out = np.add.reduceat(self.values[key & 0xFFFFFFFF], np.searchsorted(key >> 32, np.arange(len(start))), axis=0)
+            if found := spaced(self.single[n]):
+                np.add.at(out, np.searchsorted(start, [a for a, _ in found], "right") - 1, self.value([w.encode() for _, w in found]))
+            yield out
 
 
 @dataclass
 class Model:
-    """One weight per subsequence, a bias, and the calibration of documents."""
+    """Landmarks with a weight each, a bias, and the calibration of documents."""
 
+    landmarks: list[str]
     weights: np.ndarray
     bias: float
     calibration: np.ndarray
 
-    def words(self, words: list[str]) -> np.ndarray:
-        row, code, value = features(words)
-        norm = np.sqrt(np.bincount(row, value**2, len(words)))
-        return np.bincount(row, value * self.weights[code], len(words)) / np.maximum(norm, 1e-9) + self.bias
-
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -40, 40)))
 
 
-def svm(z: np.ndarray, y: np.ndarray, importance: np.ndarray, c: float = 4.0, block: int = 2048) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss, by Newton steps on the active rows; sums run over blocks, so memory is that of ``z``."""
-    w = np.zeros(z.shape[1] + 1)
-    active = np.ones(len(z), bool)
-    rows = [slice(k, k + block) for k in range(0, len(z), block)]
-    wide = lambda r: np.concatenate([z[r], np.ones((len(z[r]), 1))], axis=1)
-    for _ in range(30):
-        square, right = np.eye(len(w)), np.zeros(len(w))
-        square[-1, -1] = 1e-3
-        for r in rows:
-            x = wide(r)[active[r]]
-            sx = x.T * (c * importance[r][active[r]])
-            square += sx @ x
-            right += sx @ y[r][active[r]]
-        w = np.linalg.solve(square, right)
-        now = np.concatenate([y[r] * (wide(r) @ w) < 1 for r in rows])
-        if (now == active).all():
-            break
-        active = now
-    return w[:-1], float(w[-1])
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Logistic regression by Newton steps; the last weight is the bias."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
@@ -162,98 +235,29 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def with_insertions(words: list[str], seed: int = 7) -> list[str]:
-    """For each word one variant with a character inserted; the same each time."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for w in words:
-        at = int(rng.integers(1, max(2, len(w))))
-        out.append(w[:at] + chr(97 + int(rng.integers(26))) + w[at:])
-    return out
-
-
-def train_words(positive: list[str], strength: list[float], negative: list[str], frequency: list[int]) -> tuple[np.ndarray, float]:
-    """Collapsed landmark weights and bias of the word classifier."""
-    near = kernel(negative, positive[:64]).max(axis=1)
-    chosen = np.argsort(-near, kind="stable")[: LANDMARKS // 4]
-    spread = np.linspace(0, len(negative) - 1, min(len(negative), LANDMARKS // 4)).astype(int)
-    landmarks = list(dict.fromkeys(positive[: LANDMARKS // 2] + [negative[i] for i in chosen.tolist()] + [negative[i] for i in spread.tolist()]))
-    variants = with_insertions(positive)
-    words = positive + variants + negative
-    y = np.array([1.0] * (2 * len(positive)) + [-1.0] * len(negative))
-    importance = np.array(list(strength) + [0.5 * s for s in strength] + [1 + np.log1p(f) for f in frequency])
-    importance[y > 0] *= 0.5 * importance[y < 0].sum() / importance[y > 0].sum()
-    importance /= importance.mean()
-    values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
-    good = values > 1e-6 * values[-1]
-    map_ = vectors[:, good] / np.sqrt(values[good])
-    w, bias = svm(kernel(words, landmarks) @ map_.astype(np.float32), y, importance)
-    alpha = map_ @ w
-    row, code, value = features(landmarks)
-    norm = np.sqrt(np.bincount(row, value**2, len(landmarks)))
-    return np.bincount(code, alpha[row] * value / norm[row], BASE**3), bias
-
-
 class Scorer:
-    """Scores of chunks between spaces, kept up to a bound, and of documents by their strongest words."""
-
-    KEEP = 300_000
-    LOW = -3.0
+    """Scores of sentences under a model, and what calibration sees of documents."""
 
     def __init__(self, model: Model) -> None:
+        landmarks, weights = Landmarks(model.landmarks), model.weights.astype(np.float32)
         self.model = model
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers, self.score, self.single, self.known = Interner(), np.zeros(1 << 14), np.zeros(1 << 14, np.uint8), 0
-
-    def _learn(self) -> None:
-        chunks = list(islice(reversed(self.numbers), len(self.numbers) - self.known))[::-1]
-        words, owner = [], []
-        for k, chunk in enumerate(chunks):
-            for w in folded(chunk):
-                words.append(w)
-                owner.append(k)
-        score = np.full(len(chunks), self.LOW)
-        for start in range(0, len(words), 20_000):
-            np.maximum.at(score, owner[start : start + 20_000], self.model.words(words[start : start + 20_000]))
-        while len(self.score) < len(self.numbers):
-            self.score, self.single = (np.concatenate([x, np.zeros_like(x)]) for x in (self.score, self.single))
-        self.score[self.known : len(self.numbers)] = score
-        self.single[self.known : len(self.numbers)] = [c[0] if len(c) == 1 and c.isalpha() else 0 for c in chunks]
-        self.known = len(self.numbers)
+        self.chunks = Chunks(lambda found: (landmarks.chunks(found) @ weights)[:, None], 1)
 
     def documents(self, texts: list[bytes | None]) -> np.ndarray:
-        """Per document: its three strongest word scores, how many are positive, and how many words it has, the last two as logarithms."""
-        if len(self.numbers) > self.KEEP:
-            self._forget()
-        numbers = [self.numbers.numbers(space_words(t)) for t in texts]
-        if len(self.numbers) > self.known:
-            self._learn()
-        out = np.full((len(texts), 5), self.LOW)
-        out[:, 3:] = 0
-        for k, n in enumerate(numbers):
-            if not len(n):
-                continue
-            distinct = np.unique(n)
-            score = self.score[distinct]
-            spaced = self._spaced(self.single[n])
-            if spaced:
-                score = np.concatenate([score, self.model.words(spaced)])
-            top = np.sort(np.partition(score, -3)[-3:] if len(score) > 3 else score)[::-1]
-            out[k, : len(top)] = top
-            out[k, 3], out[k, 4] = np.log1p((score > 0).sum()), np.log1p(len(distinct))
-        return out
+        return np.array([foremost(s[:, 0].astype(float) + self.model.bias) for s in self.chunks.sentences(texts)]).reshape(-1, FOREMOST + 2)
+
 
-    @staticmethod
-    def _spaced(single: np.ndarray) -> list[str]:
-        """Words spelt with spaces: runs of four or more single letters."""
-        on = np.flatnonzero(np.diff(np.concatenate([[0], (single > 0).view(np.int8), [0]])))
-        return [single[a : min(b, a + LONGEST)].tobytes().decode().lower() for s, e in on.reshape(-1, 2).tolist() if e - s >= 4 for a in range(s, e, LONGEST // 2) for b in (e,)]
+def foremost(scores: np.ndarray) -> np.ndarray:
+    """Of a document's sentences: the foremost scores, how many are on the toxic side, and how many there are, the last two as logarithms."""
+    out = np.full(FOREMOST + 2, LOW)
+    top = np.sort(np.clip(scores, LOW, HIGH))[::-1][:FOREMOST]
+    out[: len(top)] = top
+    out[FOREMOST:] = np.log1p((scores > 0).sum()), np.log1p(len(scores))
+    return out
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, allowed: str | None) -> DataFrame:
-    """A bounded, stored sample of labelled documents: (text, y, part), for each label the ``SAMPLE_DOCS`` smallest hashes of ids."""
+    """A bounded, stored sample of labelled documents: (text, y, part), for each label the ``SAMPLE_DOCS`` smallest hashes of ids; of an id that repeats, the least text."""
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     if allowed:
         rows = rows.filter(allowed)
@@ -261,42 +265,23 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     picked = rows.filter("y = 1").orderBy("rank", "doc_id").limit(SAMPLE_DOCS).unionByName(rows.filter("y = 0").orderBy("rank", "doc_id").limit(SAMPLE_DOCS))
     # At most 2 * SAMPLE_DOCS rows of 12 bytes.
     met = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).join(F.broadcast(picked.drop("rank")), "doc_id")
-    return stored(met.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)).alias("part")), "toxicity-sample")
+    one = met.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return stored(one.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(FOLDS)).cast("int").alias("part")), "toxicity-sample")
 
 
-def _fitted(spark: SparkSession, examples: tuple[list[str], list[float], list[str], list[int]]) -> tuple[np.ndarray, float]:
-    """``train_words`` in one task, so that its matrices never weigh on the driver; the word lists are bounded."""
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                weights, bias = train_words(*pickle.loads(packed))
-                yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
-
-    row = spark.createDataFrame([(bytearray(pickle.dumps(examples)),)], "examples binary").mapInArrow(fit, "weights binary, bias double").first()
-    return np.frombuffer(bytes(row["weights"]), "<f8"), row["bias"]
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", allowed: str | None = None) -> Model | None:
-    """A model from at most ``SAMPLE_DOCS`` labelled documents of each label that ``allowed`` (SQL on doc_id) admits.
-
-    None if either label has no document; scores are then all 0.
-    """
-    sample = _sample(docs, labels, id_col, text_col, label_col, allowed)
-    counts = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
-        return None
+def _landmarks(fit: DataFrame) -> list[str]:
+    """Words of the sample: those that tell toxic documents apart, the other ones most like them, and frequent ones."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 0, BATCH_BYTES):
-            found = [sorted({w for c in set(space_words(t)) for w in folded(c)}) for t in batch.column(0).to_pylist()]
+            found = [sorted({w for c in set(chunks(t)) for w in folded(c)}) for t in batch.column(0).to_pylist()]
             found = [f + sorted({f"{w[:STEM]}*" for w in f if len(w) > STEM}) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["words", "y"])
 
-    both = min(counts.values()) >= 20
-    fit = sample.filter("part < 7") if both else sample
-    rest = sample.filter("part >= 7") if both else sample
-    p, n = (fit.filter(f"y = {k}").count() for k in (1, 0))
+    count = {r["y"]: r["n"] for r in fit.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    p, n = count.get(1, 0), count.get(0, 0)
+    if not p or not n:
+        return []
     seen = (
         fit.select("text", "y").mapInArrow(words, "words array<string>, y int").select("y", F.explode("words").alias("word"))
         .groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
@@ -304,35 +289,106 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total, df = float(p + n), F.col("p") + F.col("n")
     gain = F.col("p") * F.log((F.col("p") + 1e-9) * total / (df * p)) + F.col("n") * F.log((F.col("n") + 1e-9) * total / (df * n))
     seen = stored(seen.withColumn("gain", 2 * gain), "toxicity-words")
-    telling = F.col("p") * n > 8 * F.col("n") * p
+    telling, is_stem = F.col("p") * n > 8 * F.col("n") * p, F.col("word").endswith("*")
     # A word counts by its own gain or, weaker, by that of its beginning, which it shares with its other forms.
-    stems = seen.filter(telling & F.col("word").endswith("*")).select(F.col("word").alias("stem"), F.col("gain").alias("stem_gain")).filter("stem_gain > 10").orderBy(F.desc("stem_gain"), "stem").limit(POSITIVE_WORDS)
-    words_ = seen.filter(telling & ~F.col("word").endswith("*")).withColumn("stem", F.when(F.length("word") > STEM, F.concat(F.substring("word", 1, STEM), F.lit("*"))))
-    # At most POSITIVE_WORDS short rows.
-    raised = words_.join(F.broadcast(stems), "stem", "left").withColumn("gain", F.greatest("gain", F.coalesce("stem_gain", F.lit(0.0)) / 2))
-    top = raised.orderBy(F.desc("gain"), "word").limit(POSITIVE_WORDS).collect()
-    strong = [r for r in top if r["gain"] > max(5.0, top[0]["gain"] / 20)] or top[:20]
-    ordinary = seen.filter(~F.col("word").endswith("*") & (F.col("n") > 0)).orderBy(F.desc("n"), F.xxhash64("word"), "word").limit(NEGATIVE_WORDS).collect()
-    positive = [r["word"] for r in strong]
-    taken = set(positive)
-    negative = [(r["word"], r["n"]) for r in ordinary if r["word"] not in taken]
-    if not positive or not negative:
+    stems = seen.filter(telling & is_stem & (F.col("gain") > 10)).select(F.col("word").alias("stem"), F.col("gain").alias("stem_gain"))
+    words_ = seen.filter(telling & ~is_stem).withColumn("stem", F.when(F.length("word") > STEM, F.concat(F.substring("word", 1, STEM), F.lit("*"))))
+    raised = words_.join(stems, "stem", "left").withColumn("gain", F.greatest("gain", F.coalesce("stem_gain", F.lit(0.0)) / 2))
+    top = raised.orderBy(F.desc("gain"), "word").limit(TELLING).collect()
+    strong = [r["word"] for r in top if r["gain"] > max(5.0, top[0]["gain"] / 20)] or [r["word"] for r in top[:20]]
+    if not strong:
+        return []
+    ordinary = seen.filter(~is_stem & (F.col("n") > 0) & ~F.col("word").isin(strong)).select("word", "n")
+
+    def likened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        against = Landmarks(strong)
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.append_column("like", pa.array(against.kernel(batch.column(0).to_pylist(), 1).max(axis=1).astype(float)))
+
+    like = ordinary.mapInArrow(likened, "word string, n long, like double").orderBy(F.desc("like"), "word").limit(LIKE).collect()
+    frequent = ordinary.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    return list(dict.fromkeys([*strong, *(r["word"] for r in like), *(r["word"] for r in frequent)]))
+
+
+def _sums(batches: Iterator[pa.RecordBatch], size: int, w: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """A task's part of one round: for either label the second moments and sums of the sentences within the margin, and how much all of them weigh.
+
+    Without ``w``, the first round, all sentences of a toxic document count, together as one.  Later those on
+    the toxic side do, or else the foremost one.  Every sentence of a clean document counts as harmless.
+    """
+    square, right, weight = np.zeros((2, size, size)), np.zeros((2, size)), np.zeros(2)
+    for batch in batches:
+        for y, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(raw, "<f4").reshape(-1, size - 1).astype(float)
+            if not len(x):
+                continue
+            x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+            active = np.ones(len(x), bool)
+            if w is not None:
+                score = x @ w
+                if y:
+                    own = score > 0
+                    own[score.argmax()] = True
+                    x, score = x[own], score[own]
+                active = score * (1 if y else -1) < 1
+            each = 1 / len(x) if y else 1.0
+            weight[y] += each * len(x)
+            x = x[active]
+            square[y] += each * (x.T @ x)
+            right[y] += each * (1 if y else -1) * x.sum(axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array([v.astype("<f8").tobytes()], pa.binary()) for v in (square, right, weight)], ["square", "right", "weight"])
+
+
+def svm(sentences: DataFrame, size: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights and bias of a linear SVM with squared hinge loss over stored sentences ``(y, x)``, by Newton steps.
+
+    A step sums over the active sentences in tasks; the driver gets one matrix a task, of a model's size.
+    """
+    rows, w = sentences.coalesce(8), None
+    for _ in range(rounds):
+        now = w
+        parts = rows.select("y", "x").mapInArrow(lambda batches, now=now: _sums(batches, size, now), "square binary, right binary, weight binary").collect()
+        square, right, weight = (reduce(np.add, [np.frombuffer(bytes(p[k]), "<f8") for p in parts]) for k in ("square", "right", "weight"))
+        scale = np.array([HARMLESS, 1.0]) / np.maximum(weight, 1e-9)
+        ridge = RIDGE * np.eye(size)
+        ridge[-1, -1] = 1e-6
+        w = np.linalg.solve(np.tensordot(scale, square.reshape(2, size, size), 1) + ridge, scale @ right.reshape(2, size))
+    return w
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", allowed: str | None = None) -> Model | None:
+    """A model from at most ``SAMPLE_DOCS`` labelled documents of each label that ``allowed`` (SQL on doc_id) admits, with all their sentences.
+
+    None if either label has no document or no word; scores are then all 0.
+    """
+    sample = _sample(docs, labels, id_col, text_col, label_col, allowed)
+    names = _landmarks(sample)
+    if not names:
         return None
-    examples = (positive, [float(r["gain"]) ** 0.5 for r in strong], [w for w, _ in negative], [f for _, f in negative])
-    weights, bias = _fitted(docs.sparkSession, examples)
-    model = Model(weights, bias, np.zeros(6))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    values, vectors = np.linalg.eigh(Landmarks(names).kernel(names).astype(np.float64))
+    good = values > 1e-6 * values[-1]
+    nystroem = vectors[:, good] / np.sqrt(values[good])
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
-        for batch in bounded(batches, 0, BATCH_BYTES):
-            x = scorer.documents(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        landmarks, into = Landmarks(names), nystroem.astype(np.float32)
+        for batch in bounded(batches, 0, BATCH_BYTES // 4):
+            found = Chunks(lambda c: landmarks.chunks(c) @ into, into.shape[1])
+            x = [x.astype("<f4").tobytes() for x in found.sentences(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(x, pa.binary())], ["y", "part", "x"])
 
-    rows = rest.select("text", "y").mapInArrow(measure, "x array<double>, y int").collect()
-    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
-    model.calibration = logistic(x, y)
-    return model
+    size = nystroem.shape[1] + 1
+    sentences = stored(sample.mapInArrow(mapped, "y int, part int, x binary"), "toxicity-sentences")
+    apart = [svm(sentences.filter(F.col("part") != k), size) for k in range(FOLDS)]
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [foremost(np.frombuffer(raw, "<f4").reshape(-1, size - 1) @ apart[k][:-1] + apart[k][-1]) for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([v.tolist() for v in x], pa.list_(pa.float64())), batch.column(2)], ["x", "y"])
+
+    rows = sorted((r["x"], r["y"]) for r in sentences.select("part", "x", "y").mapInArrow(measured, "x array<double>, y int").collect())
+    w = svm(sentences, size)
+    return Model(names, nystroem @ w[:-1], float(w[-1]), logistic(np.array([x for x, _ in rows]), np.array([y for _, y in rows], float)))
 
 
 def scorer_of(mark: str, model: Model) -> Scorer:
@@ -365,7 +421,10 @@ def scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, all columns as they were; every labelled row may teach."""
+    """The rows of ``docs`` whose score is below ``threshold``, all columns as they were; every labelled row may teach.
+
+    Each row is judged by its own text, repeated ids and null ids too; an empty table gives an empty result.
+    """
     return scored(docs, train(docs, labels, id_col, text_col, label_col), "__newsdesk_score", text_col).filter(F.col("__newsdesk_score") < threshold).drop("__newsdesk_score")
 
 

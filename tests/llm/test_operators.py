@@ -573,6 +573,37 @@ def test_toxicity(spark):
     assert toxicity.toxic(docs.limit(0), table).count() == 0
 
 
+def test_a_document_is_scored_by_its_sentences():
+    names, weights, bias = ["idiot", "scum", "there"], np.array([2.0, 1.5, -0.25]), -0.75
+    text = "there idiot idiot\nyou sc*um. i d i o t and more words than one there! 日本。 " + "long " * 90
+
+    def plain(word, name):
+        return float(toxicity.Landmarks([name]).kernel([word], 1)[0, 0]) ** 3
+
+    scores = []
+    sentences = [["there", "idiot"], ["\0"], ["you", "sc*um."], ["i", "d", "o", "t", "and", "more", "words", "than", "one", "there!"], ["日本。"], ["long"], ["long"], ["long"]]
+    for k, sentence in enumerate(sentences):
+        words = [*sentence, "idiot"] if k == 3 else sentence
+        near = [[max((plain(r, name) for r in toxicity.folded(w.encode())), default=0.0) for name in names] for w in words]
+        scores.append(float(np.sum(np.array(near) @ weights)) + bias)
+    # The line end belongs to the sentence it ends.
+    scores[0] += scores.pop(1) - bias
+    x = toxicity.Scorer(toxicity.Model(names, weights, bias, np.zeros(6))).documents([text.encode(), b"", None])
+    top = sorted(scores, reverse=True)[:3]
+    assert x[0] == pytest.approx([*top, np.log1p(sum(s > 0 for s in scores)), np.log1p(len(scores))], abs=1e-4)
+    assert x[1].tolist() == x[2].tolist() == [toxicity.LOW] * 3 + [0, 0]
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """On real labels: of 18 held-out toxic documents, few of them in each language, at least two thirds, and no more than one false alarm."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.toxic(docs, labels).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").filter("held_out").collect()
+    caught, toxic_ones = sum(r.predicted and r.toxic for r in rows), sum(r.toxic for r in rows)
+    print(f"caught {caught} of {toxic_ones}, {sum(r.predicted and not r.toxic for r in rows)} false alarms in {len(rows) - toxic_ones}")
+    assert caught >= 2 / 3 * toxic_ones and sum(r.predicted and not r.toxic for r in rows) <= 1
+
+
 def test_kernel_is_the_gapped_subsequence_kernel():
     import itertools
 
@@ -584,7 +615,7 @@ def test_kernel_is_the_gapped_subsequence_kernel():
         return out
 
     words = ["idiot", "idxiot", "aaaa", "of"]
-    k = toxicity.kernel(words, words)
+    k = toxicity.Landmarks(words).kernel(words, 1)
     for a, b in itertools.product(range(len(words)), repeat=2):
         x, y = plain(words[a]), plain(words[b])
         dot = sum(v * y.get(g, 0) for g, v in x.items())
