@@ -2,15 +2,18 @@
 
 Each round is two grouped minima and two joins, so no vertex's neighbour list is
 ever gathered, and the number of rounds grows with the logarithm of the longest
-path.  Every round is checkpointed: lineage stays short, lost executors are cheap.
+path.  Every round is written to the shared folder, and the one before deleted: lineage stays
+short, lost executors are cheap.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.session import checkpointed
+from newsdesk.session import counted
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,9 +31,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _signature(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"] or 0
+def _written(edges: DataFrame) -> tuple[DataFrame, dict, Callable[[], None]]:
+    """Edges stored, with what tells whether a round changed anything: their number and a hash of them all."""
+    return counted(edges, "edges", n=F.count("*"), x=F.bit_xor(F.xxhash64("u", "v")))
 
 
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v", max_rounds: int = 100) -> DataFrame:
@@ -41,13 +44,13 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
     table gives an empty result.
     """
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a <> b")
-    state = checkpointed(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = _signature(state)
+    state, before, discard = _written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
-        if before[0] == 0:
+        if before["n"] == 0:
             break
-        state = checkpointed(_small_star(_large_star(state)))
-        now = _signature(state)
+        after, now, later = _written(_small_star(_large_star(state)))
+        discard()
+        state, discard = after, later
         if now == before:
             break
         before = now

@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(app: str = "newsdesk", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -31,19 +32,23 @@ def local_session(app: str = "newsdesk", cores: int | str = "*", **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a temporary one only where the cluster names none."""
+    """The shared folder for checkpoints: what ``spark.checkpoint.dir`` names, else what the session has been given.
+
+    A session on one machine gets a temporary one; on a cluster, where executors don't see each other's
+    disks, the lack of a name is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='newsdesk-')}")
-        current = spark.sparkContext.getCheckpointDir()
-    return named or os.path.dirname(current)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not named and not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='newsdesk-')}")
+    return named or os.path.dirname(context.getCheckpointDir())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage cut."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -51,11 +56,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/newsdesk/{name}-{uuid.uuid4().hex}"
 
 
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back; the files go when the driver ends."""
+    return counted(df, name)[0]
+
+
+def counted(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict, Callable[[], None]]:
+    """``stored``, besides what aggregates over its rows give, found in the job that writes them, and a call that deletes the files."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    (df.observe(seen, *[c.alias(k) for k, c in measures.items()]) if measures else df).write.parquet(path)
+    files, at = _file(spark, path)
+    files.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path), seen.get if measures else {}, lambda: files.delete(at, True)

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from newsdesk import session
 from newsdesk.functions import html, text, timing, urls
 from newsdesk.operators import relational as R
 from newsdesk.operators.components import connected_components
@@ -141,3 +142,36 @@ def test_classifier_handles_nulls_and_no_rows(spark):
 def test_scores_stay_in_range():
     assert scoring.log_boost(1, 1) == 0.0
     assert scoring.log_boost(3, 2) == pytest.approx(2 * 1.5)
+
+
+class _Elsewhere:
+    """A session of a cluster, as far as scratch folders ask."""
+
+    class conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(_Elsewhere)
+    assert session.is_local("local") and session.is_local("local[8]") and not session.is_local("local-cluster[2,1,1024]") and not session.is_local("yarn")
+    assert session.checkpoint_dir(spark)
+
+
+def test_components_leave_one_table_behind(spark):
+    import glob
+
+    folder = session.checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/newsdesk/edges-*"))
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long")
+    assert {r.component for r in connected_components(path).collect()} == {0}
+    assert len(set(glob.glob(f"{folder}/newsdesk/edges-*")) - before) == 1
