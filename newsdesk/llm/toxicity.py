@@ -30,9 +30,9 @@ from newsdesk.llm.common import held as kept
 from newsdesk.session import stored
 
 #: Bound of the labelled sample for training, of each label.
-SAMPLE_DOCS = 2500
+SAMPLE_DOCS = 1500
 #: Size of the model: landmarks that tell toxic documents apart, ordinary ones most like them, and frequent ones.
-TELLING, LIKE, FREQUENT = 128, 64, 64
+TELLING, LIKE, FREQUENT = 96, 48, 48
 DECAY, SPAN, BASE, POWER = 0.5, 5, 32, 3
 LONGEST = 48
 #: Length of the word beginnings whose counts stand in for inflected words too rare to count alone.
@@ -40,7 +40,7 @@ STEM = 5
 #: Words of a sentence; one without an end is cut there.
 SENTENCE_WORDS = 40
 #: Rounds of the SVM, its ridge, and what all harmless sentences weigh against all toxic ones.
-ROUNDS, RIDGE, HARMLESS = 8, 1e-3, 10.0
+ROUNDS, RIDGE, HARMLESS = 6, 1e-3, 10.0
 #: Parts of the labelled sample; a document is calibrated by a model of the other parts.
 FOLDS = 3
 #: What calibration sees of a document: its foremost sentences' scores, within these bounds.
@@ -122,8 +122,8 @@ class Landmarks:
     def kernel(self, words: list[str], power: int = POWER) -> np.ndarray:
         """Powers of the normalised kernel of words against the landmarks."""
         out = np.zeros((len(words), len(self.names)), np.float32)
-        for start in range(0, len(words), 4096):
-            part = words[start : start + 4096]
+        for start in range(0, len(words), 1024):
+            part = words[start : start + 1024]
             row, code, value = features(part)
             norm = np.sqrt(np.bincount(row, value**2, len(part)))
             n = self.count[code]
@@ -181,8 +181,8 @@ class Chunks:
         fresh = list(islice(reversed(self.numbers), len(self.numbers) - self.known))[::-1]
         while len(self.ends) < len(self.numbers):
             self.values, self.ends, self.single = (np.concatenate([x, np.zeros_like(x)]) for x in (self.values, self.ends, self.single))
-        for k in range(0, len(fresh), 4096):
-            part, at = fresh[k : k + 4096], slice(self.known + k, self.known + min(k + 4096, len(fresh)))
+        for k in range(0, len(fresh), 1024):
+            part, at = fresh[k : k + 1024], slice(self.known + k, self.known + min(k + 1024, len(fresh)))
             self.values[at] = self.value(part)
             self.ends[at] = [c == _LINE or c.endswith(ENDS) for c in part]
             self.single[at] = [c[0] if len(c) == 1 and c.isalpha() else 0 for c in part]
@@ -311,49 +311,53 @@ def _landmarks(fit: DataFrame) -> list[str]:
     return list(dict.fromkeys([*strong, *(r["word"] for r in like), *(r["word"] for r in frequent)]))
 
 
-def _sums(batches: Iterator[pa.RecordBatch], size: int, w: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """A task's part of one round: for either label the second moments and sums of the sentences within the margin, and how much all of them weigh.
+def _sums(batches: Iterator[pa.RecordBatch], w: np.ndarray, first: bool) -> Iterator[pa.RecordBatch]:
+    """A task's part of one round of several models, each of which leaves out the documents of its own number.
 
-    Without ``w``, the first round, all sentences of a toxic document count, together as one.  Later those on
-    the toxic side do, or else the foremost one.  Every sentence of a clean document counts as harmless.
+    Per model and label: the second moments and sums of the sentences within the margin, and how much all
+    of them weigh.  In the first round all sentences of a toxic document count, together as one.  Later those
+    on the toxic side do, or else the foremost one.  Every sentence of a clean document counts as harmless.
     """
-    square, right, weight = np.zeros((2, size, size)), np.zeros((2, size)), np.zeros(2)
+    models, size = w.shape
+    square, right, weight = np.zeros((models, 2, size, size)), np.zeros((models, 2, size)), np.zeros((models, 2))
     for batch in batches:
-        for y, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(raw, "<f4").reshape(-1, size - 1).astype(float)
+        for y, part, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            x = np.frombuffer(raw, "<f4").reshape(-1, size - 1)
             if not len(x):
                 continue
-            x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-            active = np.ones(len(x), bool)
-            if w is not None:
-                score = x @ w
-                if y:
+            x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+            scores = x @ w.T.astype(np.float32)
+            for m in range(models):
+                if m == part:
+                    continue
+                score, own = scores[:, m], np.ones(len(x), bool)
+                if y and not first:
                     own = score > 0
                     own[score.argmax()] = True
-                    x, score = x[own], score[own]
-                active = score * (1 if y else -1) < 1
-            each = 1 / len(x) if y else 1.0
-            weight[y] += each * len(x)
-            x = x[active]
-            square[y] += each * (x.T @ x)
-            right[y] += each * (1 if y else -1) * x.sum(axis=0)
+                each = 1 / own.sum() if y else 1.0
+                weight[m, y] += each * own.sum()
+                active = x[own if first else own & (score * (1 if y else -1) < 1)]
+                square[m, y] += each * (active.T @ active)
+                right[m, y] += each * (1 if y else -1) * active.sum(axis=0)
     yield pa.RecordBatch.from_arrays([pa.array([v.astype("<f8").tobytes()], pa.binary()) for v in (square, right, weight)], ["square", "right", "weight"])
 
 
 def svm(sentences: DataFrame, size: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights and bias of a linear SVM with squared hinge loss over stored sentences ``(y, x)``, by Newton steps.
+    """Linear SVMs with squared hinge loss over stored sentences ``(y, part, x)``, by Newton steps: for each part one
+    without it, then one of all; a row of weights and the bias each.
 
-    A step sums over the active sentences in tasks; the driver gets one matrix a task, of a model's size.
+    A step sums over the active sentences in tasks, for all models at once; the driver gets matrices of the
+    models' size from each of at most eight tasks.
     """
-    rows, w = sentences.coalesce(8), None
-    for _ in range(rounds):
-        now = w
-        parts = rows.select("y", "x").mapInArrow(lambda batches, now=now: _sums(batches, size, now), "square binary, right binary, weight binary").collect()
-        square, right, weight = (reduce(np.add, [np.frombuffer(bytes(p[k]), "<f8") for p in parts]) for k in ("square", "right", "weight"))
-        scale = np.array([HARMLESS, 1.0]) / np.maximum(weight, 1e-9)
-        ridge = RIDGE * np.eye(size)
-        ridge[-1, -1] = 1e-6
-        w = np.linalg.solve(np.tensordot(scale, square.reshape(2, size, size), 1) + ridge, scale @ right.reshape(2, size))
+    rows, w = sentences.select("y", "part", "x").coalesce(8), np.zeros((FOLDS + 1, size))
+    ridge = RIDGE * np.eye(size)
+    ridge[-1, -1] = 1e-6
+    for k in range(rounds):
+        now, first = w, k == 0
+        parts = rows.mapInArrow(lambda batches, now=now, first=first: _sums(batches, now, first), "square binary, right binary, weight binary").collect()
+        square, right, weight = (reduce(np.add, [np.frombuffer(bytes(p[c]), "<f8") for p in parts]) for c in ("square", "right", "weight"))
+        scale = np.array([HARMLESS, 1.0]) / np.maximum(weight.reshape(-1, 2), 1e-9)
+        w = np.stack([np.linalg.solve(np.tensordot(a, q, 1) + ridge, a @ r) for a, q, r in zip(scale, square.reshape(-1, 2, size, size), right.reshape(-1, 2, size), strict=True)])
     return w
 
 
@@ -372,23 +376,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         landmarks, into = Landmarks(names), nystroem.astype(np.float32)
-        for batch in bounded(batches, 0, BATCH_BYTES // 4):
+        for batch in bounded(batches, 0, BATCH_BYTES // 8):
             found = Chunks(lambda c: landmarks.chunks(c) @ into, into.shape[1])
             x = [x.astype("<f4").tobytes() for x in found.sentences(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(x, pa.binary())], ["y", "part", "x"])
 
     size = nystroem.shape[1] + 1
     sentences = stored(sample.mapInArrow(mapped, "y int, part int, x binary"), "toxicity-sentences")
-    apart = [svm(sentences.filter(F.col("part") != k), size) for k in range(FOLDS)]
+    w = svm(sentences, size)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [foremost(np.frombuffer(raw, "<f4").reshape(-1, size - 1) @ apart[k][:-1] + apart[k][-1]) for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            x = [foremost(np.frombuffer(raw, "<f4").reshape(-1, size - 1) @ w[k, :-1] + w[k, -1]) for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([v.tolist() for v in x], pa.list_(pa.float64())), batch.column(2)], ["x", "y"])
 
-    rows = sorted((r["x"], r["y"]) for r in sentences.select("part", "x", "y").mapInArrow(measured, "x array<double>, y int").collect())
-    w = svm(sentences, size)
-    return Model(names, nystroem @ w[:-1], float(w[-1]), logistic(np.array([x for x, _ in rows]), np.array([y for _, y in rows], float)))
+    rows = sorted((r["x"], r["y"]) for r in sentences.select("part", "x", "y").coalesce(8).mapInArrow(measured, "x array<double>, y int").collect())
+    return Model(names, nystroem @ w[-1, :-1], float(w[-1, -1]), logistic(np.array([x for x, _ in rows]), np.array([y for _, y in rows], float)))
 
 
 def scorer_of(mark: str, model: Model) -> Scorer:
