@@ -111,6 +111,7 @@ TRUST_WEIGHTS = {"item_quality": 0.45, "selection": 0.25, "prior": 0.15, "freshn
 MIN_CLASSIFIED, PRIOR_DECAY_ITEMS = 15, 50
 
 # Voices.
+VOICE_MODEL = "rule-based:v1"
 SOCIAL_PLATFORMS = ("twitter", "facebook", "reddit", "instagram")
 POSITIVE = (
     "great", "good", "love", "amazing", "awesome", "excellent", "impressive", "useful", "helpful", "fast", "faster", "stable", "smooth", "best", "solid", "works",

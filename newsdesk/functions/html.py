@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,23 +14,32 @@ ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "
 
 
 def decoded(text: Column) -> Column:
-    """Six named and all numeric character references decoded, once each, in one pass over the text."""
+    """Six named and all numeric character references decoded, once each, in one pass over the text; null stays null."""
     pattern = r"&(?:#x?[0-9a-fA-F]+|[a-zA-Z]+);"
-    refs, rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def one(ref: Column) -> Column:
-        body = F.substring(ref, 2, 1 << 20)
-        name = F.regexp_replace(body, ";$", "")
+        name = F.substring(ref, 2, 1 << 20)
+        name = F.substr(name, F.lit(1), F.length(name) - 1)
         hexa = F.try_to_number(F.conv(F.regexp_extract(name, "^#[xX]([0-9a-fA-F]{1,6})$", 1), 16, 10), F.lit("99999999")).cast("int")
         deci = F.regexp_extract(name, "^#([0-9]{1,7})$", 1).try_cast("int")
         code = F.when(name.rlike("^#[xX]"), hexa).otherwise(deci)
         value = F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), _character(code))
+        named = F.lit(None).cast("string")
         for k, v in ENTITIES:
-            value = F.when(name == k, F.lit(v)).otherwise(value)
-        return F.coalesce(value, ref)
+            named = F.when(name == k, F.lit(v)).otherwise(named)
+        return F.coalesce(F.when(F.startswith(name, F.lit("#")), value).otherwise(named), ref)
+
+    def parts(t: Column) -> Column:
+        met = F.arrays_zip(F.split(t, pattern, -1).alias("text"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("ref"))
+        joined = F.array_join(F.transform(met, lambda p: F.concat(p["text"], F.when(p["ref"].isNotNull(), one(p["ref"])).otherwise(""))), "")
+        return F.when(F.contains(t, F.lit("&")), joined).otherwise(t)
+
+    return once(text, parts)
+
 
-    characters = F.transform(refs, one)
-    return F.array_join(F.transform(rest, lambda part, i: F.concat(part, F.coalesce(F.get(characters, i), F.lit("")))), "")
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _character(code: Column) -> Column:

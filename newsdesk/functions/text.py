@@ -37,18 +37,22 @@ def sanitised(text: Column) -> Column:
     return F.replace(F.make_valid_utf8(text), F.lit("\x00"), F.lit(""))
 
 
+def held(text: Column, keywords: Iterable[str]) -> Column:
+    """Those of the keywords that the text holds as substrings, in their order; the text comes lower-cased."""
+    words = list(keywords)
+    if not words:
+        return F.array().cast("array<string>")
+    return F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(text, F.lower(k)))
+
+
 def hits(text: Column, keywords: Iterable[str]) -> Column:
-    """How many of the keywords the text holds as substrings; the text comes lower-cased."""
-    total = F.lit(0)
-    for k in keywords:
-        total = total + F.contains(text, F.lit(k.lower())).cast("int")
-    return total
+    """How many of the keywords the text holds."""
+    return F.size(held(text, keywords))
 
 
 def matches(text: Column, keywords: Iterable[str], prefix: str) -> Column:
     """``prefix:keyword`` for each keyword that the text holds, in the keywords' order."""
-    found = [F.when(F.contains(text, F.lit(k.lower())), F.lit(f"{prefix}:{k}")) for k in keywords]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    return F.transform(held(text, keywords), lambda k: F.concat(F.lit(f"{prefix}:"), k))
 
 
 def key(text: Column, minimum: int) -> Column:

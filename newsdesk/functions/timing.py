@@ -38,9 +38,9 @@ def in_window(published: Column, ingested: Column, start: Column, stop: Column)
 
 
 def strict_instant(text: Column) -> Column:
-    """An ISO 8601 date-time with zone, or null; dates that don't exist are null too."""
-    good = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,3})?)?(Z|[+-]\d{2}:\d{2})$")
-    return F.when(good, F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, r"Z$", "+00:00"), r"T(\d{2}:\d{2})([+-])", "T$1:00$2")))
+    """An ISO 8601 date-time with seconds and zone, or null; dates that don't exist are null too."""
+    good = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,3})?(Z|[+-]\d{2}:\d{2})$")
+    return F.when(good, F.try_to_timestamp(F.regexp_replace(text, r"Z$", "+00:00")))
 
 
 def strict_date(text: Column) -> Column:

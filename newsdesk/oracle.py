@@ -50,7 +50,7 @@ ITEMS = f"""items AS (
   FROM documents)"""
 CLASSES = f"""classes AS (
   SELECT doc_id * 10 + v AS classification_id, 'd' || doc_id AS item_id, doc_id AS n, CASE WHEN v = 1 THEN quality = 0 AND toxic = 1 ELSE quality = 0 END AS noise, (1 + quality) / 2.0 AS score,
-    {nth(C.PRIMARY_ORDER, "(doc_id + v) % 11")} AS primary_tag, {nth(C.ACTION_ORDER, "doc_id % 4")} AS action_tag, doc_id % 13 = 0 AS is_headline, doc_id % 19 = 0 AS is_dup, doc_id % 23 = 0 AS is_published,
+    {nth(C.PRIMARY_ORDER, "(doc_id + v) % 11")} AS primary_tag, {nth(C.ACTION_ORDER, "doc_id % 4")} AS action_tag, CASE WHEN doc_id % 5 <> 0 THEN {nth(("PROMPT", "PAPER", "MCP"), "(doc_id + v) % 3")} END AS sub_tag, doc_id % 13 = 0 AS is_headline, doc_id % 19 = 0 AS is_dup, doc_id % 23 = 0 AS is_published,
     {EPOCH} + to_minutes(doc_id) + to_hours(v) AS classified_at
   FROM labels, (VALUES (0), (1)) AS t(v)),
 latest_class AS (SELECT DISTINCT ON (item_id) * FROM classes ORDER BY item_id, classified_at DESC, classification_id DESC)"""
@@ -101,8 +101,9 @@ _TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
 add("page_titles", f"SELECT page_id, nullif({collapse(decoded(_TITLE))}, '') AS title FROM pages")
 add("readable_pages", f"SELECT page_id, CAST(length(r) AS INT) AS chars, sha256(r) AS text_sha256 FROM (SELECT page_id, {collapse(decoded(_OUT))} AS r FROM pages)")
 add("video_ids", "SELECT 'd' || doc_id AS id, lpad(CAST(doc_id AS VARCHAR), 11, 'a') AS video_id, lpad(CAST(doc_id AS VARCHAR), 11, 'b') AS short_id FROM documents")
-add("strict_times", "SELECT doc_id, strftime(TRY_CAST(r AS DATE), '%Y-%m-%d') AS day, strftime(TRY_CAST(r AS DATE), '%Y-%m-%d 10:00:00') AS instant FROM (SELECT doc_id, '2024-02-' || lpad(CAST(doc_id % 33 AS VARCHAR), 2, '0') AS r FROM documents)")
-add("entities_decoded", "SELECT id, left(title, 20) || ' &lt; é😀 &nope; \"' AS decoded FROM items", ITEMS)
+add("strict_times", """SELECT doc_id, strftime(d, '%Y-%m-%d') AS day, strftime(CASE WHEN doc_id % 5 < 2 THEN d + INTERVAL 10 HOUR WHEN doc_id % 5 = 2 THEN d + INTERVAL 30 MINUTE END, '%Y-%m-%d %H:%M:%S') AS instant
+FROM (SELECT doc_id, TRY_CAST('2024-02-' || lpad(CAST(doc_id % 33 AS VARCHAR), 2, '0') AS DATE) AS d FROM documents)""")
+add("entities_decoded", "SELECT id, title || ' &lt; é😀 &nope; \"' AS decoded FROM items", ITEMS)
 
 # --- classification
 _text = collapse("lower(concat_ws(chr(10), CASE WHEN trim(title) <> '' THEN title END, CASE WHEN trim(body) <> '' THEN body END, source_ref, url))")
@@ -167,7 +168,7 @@ add("title_jaccard_pairs", "SELECT u, v, similarity::DOUBLE AS similarity FROM t
 add("prefilter_clusters", "SELECT id, component, master_id, detail FROM mem JOIN top USING (component)", ITEMS, _KEYS("prefilter"), _TOKENS, _PAIRS, _FIRSTS, "exact AS (SELECT k.n AS u, m.v FROM keyed k JOIN (SELECT reason, key, min(n) AS v, count(*) AS c FROM keyed GROUP BY ALL HAVING count(*) > 1) m USING (reason, key) WHERE k.n <> m.v), edge AS (SELECT u, v FROM exact UNION SELECT u, v FROM tied)", _COMP, _MASTER("prefilter"), recursive=True)
 _COS = lambda t: f"cos AS (SELECT a.vec_id AS u, b.vec_id AS v, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), edge AS (SELECT u, v, c FROM cos WHERE c >= {t})"
 add("cosine_pairs", "SELECT u, v, round(c, 6) AS cosine FROM edge", _COS(0.45))
-add("topic_clusters", f"""SELECT vec_id, topic_key, size, sources, platforms, round(CASE WHEN size >= 2 THEN log2(1 + size) * (1 + {C.CLUSTER_GAMMA} * (platforms - 1)) ELSE 0 END::DOUBLE, 6) AS boost
+add("topic_clusters", f"""SELECT vec_id, topic_key, size, sources, platforms, round(CASE WHEN sources >= 2 THEN log2(1 + sources) * (1 + {C.CLUSTER_GAMMA} * (platforms - 1)) ELSE 0 END::DOUBLE, 6) AS boost
 FROM m JOIN (SELECT component, 'tc_' || left(sha256(string_agg(CAST(vec_id AS VARCHAR), '|' ORDER BY CAST(vec_id AS VARCHAR))), 16) AS topic_key, count(*) AS size, count(DISTINCT (label % 3) || ':' || label) AS sources, count(DISTINCT label % 3) AS platforms FROM m GROUP BY component) USING (component)""",
     _COS(0.40), _COMP, "m AS (SELECT vec_id, label, coalesce(component, vec_id) AS component FROM embeddings LEFT JOIN comp ON n = vec_id)", recursive=True)
 add("event_components", "SELECT n AS node, component FROM comp", "edge AS (SELECT DISTINCT user_id AS u, event_id % 40 + 100000 AS v FROM events WHERE event_type = 'purchase')", _COMP, recursive=True)
@@ -245,13 +246,14 @@ add("rescue_union", f"""SELECT id, origin, (SELECT count(*) > 150 FROM ev WHERE
 add("window_items", "SELECT id FROM items WHERE " + _in("TIMESTAMP '2024-01-01 02:00:00'", "TIMESTAMP '2024-01-01 12:00:00'"), ITEMS)
 add("repair_gate", f"""SELECT count(*) AS items, count(fallback) AS decided, count(*) FILTER (fallback) AS fallbacks, count(*) > 0 AND (count(*) FILTER (fallback) > 0 OR count(fallback) = 0) AS needed
 FROM items LEFT JOIN (SELECT item_id, fallback FROM decisions WHERE decision_id % 2 = 0) d ON d.item_id = id WHERE {_in("TIMESTAMP '2024-01-01 00:00:00'", "TIMESTAMP '2024-01-01 12:00:00'")}""", ITEMS, DECISIONS)
-add("trust_badges", f"SELECT id, CASE WHEN trust_label <> 'blocked' THEN trust_label END AS badge, CAST({cases('trust_label', C.TRUST_MULTIPLIERS, '1.0')} AS DOUBLE) AS factor FROM items LEFT JOIN sources s ON {_handle('s.handle')} = {_handle('source_ref')} WHERE platform = 'twitter'", ITEMS, SOURCES)
+add("trust_badges", f"""SELECT id, CASE WHEN trust_label <> 'blocked' THEN trust_label END AS badge, CAST({cases('trust_label', C.TRUST_MULTIPLIERS, '1.0')} AS DOUBLE) AS factor
+FROM items LEFT JOIN (SELECT handle, CASE WHEN source_id % 2 = 0 THEN {nth(("low", "blocked", "high"), "source_id % 3")} ELSE trust_label END AS trust_label FROM sources) s ON {_handle('s.handle')} = {_handle('source_ref')} WHERE platform = 'twitter'""", ITEMS, SOURCES)
 
 # --- feeds
 _feed = lambda n: f"cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY published_at DESC NULLS LAST, id) AS r FROM items) WHERE r <= {n})"
 add("feed_search", "SELECT id, platform, CAST(length(left(body, 500)) AS INT) AS chars FROM cut WHERE (contains(lower(left(body, 500)), 'an') OR contains(lower(CASE WHEN length(title) > 100 THEN left(title, 100) || '…' ELSE title END), 'an')) AND contains(lower(source_ref), 'src1') ORDER BY published_at DESC NULLS LAST, id LIMIT 100", ITEMS, _feed(50))
 add("feed_counts", "SELECT platform, count(*) AS items FROM (SELECT * FROM cut ORDER BY published_at DESC NULLS LAST, id LIMIT 150) GROUP BY 1", ITEMS, _feed(40))
-FAMILY = """hit AS (SELECT c.*, i.published_at FROM classes c JOIN items i ON i.id = c.item_id WHERE NOT noise AND (primary_tag IN ('SECURITY', 'AGENT', 'APPLY', 'TECH') OR action_tag IN ('SECURITY', 'AGENT', 'APPLY', 'TECH')) AND classified_at BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-01 12:00:00' ORDER BY classified_at, classification_id LIMIT 250),
+FAMILY = """hit AS (SELECT c.*, i.published_at FROM classes c JOIN items i ON i.id = c.item_id WHERE NOT noise AND (primary_tag IN ('SECURITY', 'AGENT', 'APPLY', 'PAPER') OR sub_tag IN ('SECURITY', 'AGENT', 'APPLY', 'PAPER') OR action_tag IN ('SECURITY', 'AGENT', 'APPLY', 'PAPER')) AND classified_at BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-01 12:00:00' ORDER BY classified_at, classification_id LIMIT 250),
 safe AS (SELECT *, (SELECT count(*) FROM hit) AS read FROM hit WHERE (SELECT count(*) FROM hit) < 250 OR classified_at < (SELECT max(classified_at) FROM hit) OR (SELECT min(classified_at) = max(classified_at) FROM hit)),
 newest AS (SELECT DISTINCT ON (item_id) * FROM safe ORDER BY item_id, classified_at DESC, classification_id DESC),
 grouped AS (SELECT n.*, d.headline_score, d.priority_score, CASE WHEN d.topic_cluster_key IS NOT NULL AND d.distinct_sources >= 2 THEN d.topic_cluster_key ELSE 'id:' || item_id END AS g FROM newest n LEFT JOIN decisions d USING (item_id)),
@@ -285,8 +287,13 @@ _use = [(k, "u_" + k) for k in C.USAGE_CONTEXTS]
 add("voice_sentiment", f"""SELECT id, CASE WHEN p - g >= 1 THEN 'positive' WHEN p - g <= -1 THEN 'negative' ELSE 'neutral' END AS sentiment, use AS usage_context,
   round(greatest(0.4, least(0.95, greatest(0.42, least(0.93, 0.54::DOUBLE + least(abs(p - g), 4) * 0.09 - CASE WHEN p > 0 AND g > 0 THEN 0.08 ELSE 0 END - CASE WHEN p = 0 AND g = 0 THEN 0.08 ELSE 0 END)) + CASE WHEN use = 'general' THEN -0.04 ELSE 0.04 END + (score - 0.5) * 0.2))::DOUBLE, 3) AS confidence
 FROM (SELECT *, CASE WHEN greatest({', '.join(c for _, c in _use)}) > 0 THEN {_arg(_use)} ELSE 'general' END AS use FROM (SELECT *, {hits('t', C.POSITIVE)} AS p, {hits('t', C.NEGATIVE)} AS g, {', '.join(f"{hits('t', w)} AS u_{k}" for k, w in C.USAGE_CONTEXTS.items())} FROM (SELECT *, lower({collapse("concat_ws(chr(10), body, source_ref)")}) AS t FROM voices)))""", VOICES)
-add("voice_targets", """SELECT f.id AS item_id, CASE WHEN kind IS NOT NULL THEN n * 10 END AS signal_id, CAST(kind AS INT) AS kind FROM (
-  SELECT *, CASE WHEN n % 4 = 0 THEN NULL WHEN n % 3 = n % 2 AND n % 3 = 1 THEN 1 WHEN n % 3 = n % 2 THEN 2 WHEN n % 3 = 1 THEN 3 END AS kind FROM voices) f""", VOICES)
+_old = """old AS (SELECT id AS item_id, n * 10 + k AS signal_id, CASE WHEN (n + k) % 4 > 0 THEN 'e' || ((n + k) % 4) END AS edition_id, CASE WHEN k = 2 THEN 'other:v2' ELSE 'rule-based:v1' END AS model, 't' || (n % 2 + k % 2) AS topic,
+  CASE WHEN (n + k) % 3 = 0 THEN 'positive' ELSE 'neutral' END AS sentiment, CASE WHEN k <> 1 THEN 'general' END AS usage_context, recency + to_minutes(n * k % 3) AS created_at FROM voices, (VALUES (0), (1), (2), (3)) AS t(k) WHERE n % 5 <> 0)"""
+add("voice_targets", """SELECT item_id, CASE WHEN NOT skipped THEN signal_id END AS signal_id, CAST(kind AS INT) AS kind, CASE WHEN kind IS NULL THEN 'created' WHEN skipped THEN 'skipped' ELSE 'updated' END AS action FROM (
+  SELECT *, coalesce(edition_id IN ('e1', 'e3') AND edition_id IS DISTINCT FROM wanted, false) AS skipped FROM (
+    SELECT DISTINCT ON (f.id) f.id AS item_id, s.signal_id, s.edition_id, wanted, CASE WHEN s.signal_id IS NULL THEN NULL WHEN s.edition_id IS NOT DISTINCT FROM wanted AND s.topic = f.topic AND s.sentiment = f.sentiment AND s.usage_context IS NOT DISTINCT FROM f.usage_context THEN 1 WHEN s.edition_id IS NOT DISTINCT FROM wanted THEN 2 ELSE 3 END AS kind
+    FROM (SELECT id, CASE WHEN n % 4 > 0 THEN 'e' || (n % 4) END AS wanted, 't' || (n % 2) AS topic, CASE WHEN n % 3 = 0 THEN 'positive' ELSE 'neutral' END AS sentiment, CASE WHEN n % 7 > 0 THEN 'general' END AS usage_context FROM voices) f LEFT JOIN old s ON s.item_id = f.id AND s.model = 'rule-based:v1'
+    ORDER BY f.id, kind NULLS LAST, s.created_at DESC NULLS LAST, s.signal_id DESC))""", VOICES, _old)
 
 # --- maintenance
 add("mention_signals", f"""SELECT handle, count(DISTINCT id) AS posts, array_to_string(list_sort(list(DISTINCT by_)), ',') AS mentioned_by, count(DISTINCT by_) AS mentioners FROM (

@@ -55,7 +55,7 @@ def classify(items: DataFrame, as_of: Column) -> DataFrame:
     """Each item's classification; tags are null for noise."""
     rows = scored(items, as_of)
     t, p, ok = F.col("text"), F.col("platform"), ~F.col("noise")
-    rows = rows.withColumn("_p", primary(t, p)).withColumn("_a", best([(tag, boosted(t, p, tag, C.ACTION_KEYWORDS[tag], C.ACTION_BOOSTS)) for tag in C.ACTION_ORDER]))
+    rows = rows.withColumn("_p", F.when(ok, primary(t, p))).withColumn("_a", F.when(ok, best([(tag, boosted(t, p, tag, C.ACTION_KEYWORDS[tag], C.ACTION_BOOSTS)) for tag in C.ACTION_ORDER])))
     rows = rows.withColumn("primary_tag", F.when(F.col("_p.score") > 0, F.col("_p.tag")).otherwise("OTHER")).withColumn("_ps", F.greatest(F.col("_p.score"), F.lit(1)))
     rows = rows.withColumn("action_tag", F.when(F.col("_a.score") > 0, F.col("_a.tag")).otherwise("INFO"))
     sub = F.lit(None).cast("struct<score:int,order:int,tag:string>")

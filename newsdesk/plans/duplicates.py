@@ -79,26 +79,31 @@ def published_matches(candidates: DataFrame, published: DataFrame) -> DataFrame:
 
 
 def similar_titles(items: DataFrame, threshold: float = C.TITLE_JACCARD, first: int = 4, cap: int | None = None) -> DataFrame:
-    """(u, v, similarity) of items whose titles' words overlap by ``threshold``.
+    """(u, v, similarity) of items whose titles' words overlap by ``threshold`` and share one of the earlier item's ``first`` words.
 
-    Candidates share one of the earlier item's first words; words that single items have tie nothing and
-    are dropped before the join.  ``cap`` keeps that many candidates of an item, in order of number.
+    Of k words in order of rarity, two lists at the threshold share one of the first k - ceil(threshold k) + 1
+    of each: only items that share one of these rare words meet, by id alone.  ``cap`` keeps that many
+    candidates of an item, in order of number.
     """
     t = items.select(F.col("n").alias("node"), text.tokens(F.col("title")).alias("words")).filter(F.size("words") >= first)
     # Equal word lists collapse: candidates are found between distinct lists only.
     lists = t.groupBy("words").agg(F.min("node").alias("node"))
-    all_words = lists.select("node", "words", F.explode("words").alias("word"))
-    frequent = all_words.groupBy("word").agg(F.count("*").alias("df")).filter("df > 1").select("word")
-    probe = lists.select(F.col("node").alias("u"), F.col("words").alias("wu"), F.explode(F.slice("words", 1, first)).alias("word")).join(frequent, "word")
-    other = all_words.join(frequent, "word").select(F.col("node").alias("v"), F.col("words").alias("wv"), "word")
+    each = lists.select("node", F.explode("words").alias("word"))
+    counts = each.groupBy("word").agg(F.count("*").alias("df"))
+    by_rarity = each.join(counts, "word").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ranked"))
+    telling = F.size("ranked") - F.ceil(F.size("ranked") * threshold - 1e-9).cast("int") + 1
+    rare = by_rarity.select("node", F.size("ranked").alias("size"), F.inline(F.slice("ranked", 1, telling))).filter("df > 1").drop("df")
+    other = rare.select(F.col("node").alias("v"), F.col("size").alias("sv"), "word")
     # A pair at the threshold has sizes within it: what differs more is never compared.
-    fits = (F.size("wv") >= threshold * F.size("wu")) & (F.size("wu") >= threshold * F.size("wv"))
-    pairs = probe.join(other, "word").filter((F.col("u") < F.col("v")) & fits).select("u", "v", "wu", "wv").distinct()
+    fits = (F.col("sv") >= threshold * F.col("size")) & (F.col("size") >= threshold * F.col("sv"))
+    pairs = rare.withColumnRenamed("node", "u").join(other, "word").filter((F.col("u") < F.col("v")) & fits).select("u", "v").distinct()
+    met = pairs.join(lists.select(F.col("node").alias("u"), F.col("words").alias("wu")), "u").join(lists.select(F.col("node").alias("v"), F.col("words").alias("wv")), "v")
+    met = met.filter(F.arrays_overlap(F.slice("wu", 1, first), F.col("wv")))
     if cap:
         from newsdesk.operators.relational import top_per_group
 
-        pairs = top_per_group(pairs, ["u"], [F.col("v")], cap).drop("rank")
-    found = pairs.withColumn("similarity", text.jaccard(F.col("wu"), F.col("wv"))).filter(F.col("similarity") >= threshold).select("u", "v", F.round("similarity", 3).alias("similarity"))
+        met = top_per_group(met, ["u"], [F.col("v")], cap).drop("rank")
+    found = met.withColumn("similarity", text.jaccard(F.col("wu"), F.col("wv"))).filter(F.col("similarity") >= threshold).select("u", "v", F.round("similarity", 3).alias("similarity"))
     same = t.join(lists.withColumnRenamed("node", "v"), "words").filter("node <> v").select(F.col("v").alias("u"), F.col("node").alias("v"), F.lit(1.0).alias("similarity"))
     return found.unionByName(same)
 
@@ -107,13 +112,13 @@ def cosine_pairs(vectors: DataFrame, threshold: float = C.COSINE_THRESHOLD, bloc
     """(u, v, cosine) for u < v with cosine at least ``threshold``, of vectors (vec_id, embedding).
 
     Blocks of rows meet in pairs, each pair one matrix product in one task: memory is bounded by two
-    blocks.  Null, zero and non-finite vectors are left out.
+    blocks.  Null, zero and non-finite vectors are left out; vectors of other lengths are no pair.
     """
     usable = vectors.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
     blocks = max(1, -(-usable.count() // block_rows))
     dealt = usable.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    seats = dealt.select("id", "x", "b", F.explode(others).alias("o")).select("id", "x", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), (F.col("b") > F.col("o")).alias("side"))
+    seats = dealt.select("id", "x", "b", F.explode(others).alias("o")).select("id", "x", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), (F.col("b") > F.col("o")).alias("side"), F.size("x").alias("dim"))
 
     def product(group: pd.DataFrame) -> pd.DataFrame:
         ids, x = group["id"].to_numpy(), np.stack(group["x"].to_numpy()).astype(float)
@@ -127,7 +132,7 @@ def cosine_pairs(vectors: DataFrame, threshold: float = C.COSINE_THRESHOLD, bloc
         keep = u < v if own else u != v
         return pd.DataFrame({"u": np.minimum(u, v)[keep], "v": np.maximum(u, v)[keep], "cosine": c[keep]})
 
-    return seats.groupBy("p", "q").applyInPandas(product, "u long, v long, cosine double")
+    return seats.groupBy("dim", "p", "q").applyInPandas(product, "u long, v long, cosine double")
 
 
 def topic_clusters(vectors: DataFrame, edges: DataFrame) -> DataFrame:
@@ -137,6 +142,7 @@ def topic_clusters(vectors: DataFrame, edges: DataFrame) -> DataFrame:
         F.concat(F.lit("tc_"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("vec_id").cast("string"))), "|"), 256), 1, 16)).alias("topic_key"),
         F.count("*").alias("size"), F.countDistinct(F.concat_ws(":", "platform", F.lower("source_ref"))).alias("sources"), F.countDistinct("platform").alias("platforms"),
     )
-    boost = F.when(F.col("size") >= 2, F.log2(1 + F.col("size")) * (1 + C.CLUSTER_GAMMA * (F.col("platforms") - 1))).otherwise(0.0)
+    # What counts is how many sources tell of it: a source repeating itself is no topic.
+    boost = F.when(F.col("sources") >= 2, F.log2(1 + F.col("sources")) * (1 + C.CLUSTER_GAMMA * (F.col("platforms") - 1))).otherwise(0.0)
     return members.select("vec_id", "component").join(stats, "component").select("vec_id", "topic_key", "size", "sources", "platforms", F.round(boost, 6).alias("boost"))
 

@@ -88,7 +88,7 @@ def tag_filter(p: FeedParams) -> Column:
     elif not p.tags:
         out = out & F.col("primary_tag").isNotNull()
     if p.tags:
-        out = out & (F.col("primary_tag").isin(*p.tags) | F.coalesce(F.col("action_tag").isin(*p.tags), F.lit(False)))
+        out = out & reduce(lambda a, b: a | b, [F.coalesce(F.col(c).isin(*p.tags), F.lit(False)) for c in ("primary_tag", "sub_tag", "action_tag")])
     return out & (F.col("action_tag") == p.action) if p.action else out
 
 

@@ -28,12 +28,18 @@ def is_fallback(input_hash: Column) -> Column:
     return F.coalesce(F.startswith(input_hash, F.lit(C.FALLBACK_HASH_PREFIX)), F.lit(False))
 
 
+def trust_by_handle(sources: DataFrame) -> DataFrame:
+    """(_h, trust_label): one row for each account name, whatever its case and sign; of several sources the last counts."""
+    named = sources.select(text.handle(F.col("handle")).alias("_h"), "trust_label", "source_id").filter("_h is not null")
+    return named.groupBy("_h").agg(F.max_by("trust_label", "source_id").alias("trust_label"))
+
+
 def eligible(items: DataFrame, classes: DataFrame, decisions: DataFrame, sources: DataFrame) -> DataFrame:
     """Items that may be published with their weighted priority: latest classification clean, unpublished, not blocked, and headline or tagged."""
     c = latest(classes, "item_id", "classified_at", "classification_id").withColumnRenamed("item_id", "id")
     d = latest(decisions, "item_id", "created_at", "decision_id").select(F.col("item_id").alias("id"), "decision_id", "priority_score", "headline_candidate", "input_hash")
     # A dimension: one row an account, compared by size before it is broadcast.
-    trust = sources.select(text.handle(F.col("handle")).alias("_h"), "trust_label").filter("_h is not null")
+    trust = trust_by_handle(sources)
     rows = items.join(c, "id").join(d, "id", "left").withColumn("_h", F.when(F.col("platform") == "twitter", text.handle(F.col("source_ref")))).join(trust, "_h", "left")
     decided = F.col("decision_id").isNotNull()
     headline = F.coalesce(decided & ~is_fallback(F.col("input_hash")) & F.col("headline_candidate"), F.lit(False))

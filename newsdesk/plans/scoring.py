@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -155,8 +153,3 @@ def demotions(events: DataFrame) -> DataFrame:
 def candidate_status(score: Column, confidence: Column, mentioners: Column) -> Column:
     """The ladder of a discovered account: rejected, watch, needs_review, approved."""
     return F.when(score < 45, "rejected").when(score < 65, "watch").when((score >= 78) & (confidence >= 0.7) & (mentioners >= 2), "approved").otherwise("needs_review")
-
-
-def log_boost(size: int, platforms: int) -> float:
-    """The boost of a cluster, as a plain number."""
-    return math.log2(1 + size) * (1 + C.CLUSTER_GAMMA * (platforms - 1)) if size >= 2 else 0.0

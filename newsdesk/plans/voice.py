@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,9 +91,18 @@ def topic_summary(signals: DataFrame, limit: int = 12) -> DataFrame:
     return totals.join(use, "topic").join(samples, "topic").orderBy(F.desc("total"), "topic").limit(limit)
 
 
-def upsert_targets(fresh: DataFrame, stored: DataFrame) -> DataFrame:
-    """For each fresh signal the stored one it replaces: the exact edition, else one without edition, else any of the model, newest first."""
-    met = fresh.alias("f").join(stored.alias("s"), F.col("f.item_id") == F.col("s.item_id"), "left")
-    kind = F.when(F.col("s.edition_id").eqNullSafe(F.col("f.edition_id")) & (F.col("s.model") == F.col("f.model")), 1).when(F.col("s.edition_id").eqNullSafe(F.col("f.edition_id")), 2).when(F.col("s.model") == F.col("f.model"), 3)
-    rows = met.select(F.col("f.item_id").alias("item_id"), F.when(kind.isNotNull(), F.col("s.signal_id")).alias("signal_id"), kind.alias("kind"), F.col("s.updated_at").alias("updated_at"))
-    return first_per_key(rows, ["item_id"], [F.col("kind").asc_nulls_last(), F.col("updated_at").desc_nulls_last(), F.col("signal_id").desc()]).select("item_id", "signal_id", "kind")
+def upsert_targets(fresh: DataFrame, stored: DataFrame, model: str = C.VOICE_MODEL) -> DataFrame:
+    """(item_id, signal_id, kind, action) of each fresh signal (item_id, edition_id, topic, sentiment, usage_context).
+
+    The stored signal (those columns, signal_id, model, created_at, frozen) that it replaces is one of its
+    own model: kind 1 agrees in edition, topic, sentiment and use, 2 in the edition, 3 is any; the newest of
+    the best kind counts.  One of another edition that is frozen stays as it is: the fresh signal is skipped.
+    """
+    met = fresh.alias("f").join(stored.filter(F.col("model") == model).alias("s"), F.col("f.item_id") == F.col("s.item_id"), "left")
+    agrees = lambda *names: reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in names])
+    kind = F.when(F.col("s.signal_id").isNull(), None).when(agrees("edition_id", "topic", "sentiment", "usage_context"), 1).when(agrees("edition_id"), 2).otherwise(3)
+    skipped = F.coalesce(F.col("s.frozen") & ~agrees("edition_id"), F.lit(False))
+    rows = met.select(F.col("f.item_id").alias("item_id"), F.col("s.signal_id").alias("signal_id"), kind.alias("kind"), skipped.alias("skipped"), F.col("s.created_at").alias("created_at"))
+    target = first_per_key(rows, ["item_id"], [F.col("kind").asc_nulls_last(), F.col("created_at").desc_nulls_last(), F.col("signal_id").desc()])
+    action = F.when(F.col("kind").isNull(), "created").when(F.col("skipped"), "skipped").otherwise("updated")
+    return target.select("item_id", F.when(~F.col("skipped"), F.col("signal_id")).alias("signal_id"), "kind", action.alias("action"))

@@ -132,7 +132,7 @@ def page_links(s, d):
 
 @query
 def entities_decoded(s, d):
-    marked = F.concat(F.substring("title", 1, 20), F.lit(" &amp;lt; &#233;&#x1F600; &nope; &quot;"))
+    marked = F.concat("title", F.lit(" &amp;lt; &#233;&#x1F600; &nope; &quot;"))
     return X.items(s, d).select("id", html.decoded(marked).alias("decoded"))
 
 
@@ -146,7 +146,9 @@ def video_ids(s, d):
 def strict_times(s, d):
     i = F.col("doc_id")
     raw = F.concat(F.lit("2024-02-"), F.lpad((i % 33).cast("string"), 2, "0"))
-    return X.table(s, d, "documents").select("doc_id", F.date_format(timing.strict_date(raw), "yyyy-MM-dd").alias("day"), stamp(timing.strict_instant(F.concat(raw, F.lit("T10:00:00Z")))).alias("instant"))
+    # Whole, with a fraction, with an offset; without seconds and without a zone, which are refused.
+    of_day = X.nth(("T10:00:00Z", "T10:00:00.250+00:00", "T09:30:00+09:00", "T10:00Z", "T10:00:00"), i % 5)
+    return X.table(s, d, "documents").select("doc_id", F.date_format(timing.strict_date(raw), "yyyy-MM-dd").alias("day"), stamp(timing.strict_instant(F.concat(raw, of_day))).alias("instant"))
 
 
 # --- classification ------------------------------------------------------------
@@ -453,9 +455,11 @@ def repair_gate(s, d):
 
 @query
 def trust_badges(s, d):
-    t = X.sources(s, d).select(text.handle(F.col("handle")).alias("h"), "trust_label")
-    i = X.items(s, d).filter("platform = 'twitter'").withColumn("h", text.handle(F.col("source_ref")))
-    return i.join(t, "h", "left").select("id", F.when(F.col("trust_label") != "blocked", F.col("trust_label")).alias("badge"), scoring.trust_factor(F.col("trust_label")).alias("factor"))
+    # Every account stands twice, the second time in capitals, with another label.
+    again = X.sources(s, d).select(F.concat(F.lit(" @"), F.upper("handle")).alias("handle"), X.nth(("low", "blocked", "high"), F.col("source_id") % 3).alias("trust_label"), (F.col("source_id") + 1000).alias("source_id"))
+    t = publish.trust_by_handle(X.sources(s, d).select("handle", "trust_label", "source_id").unionByName(again.filter("source_id % 2 = 0")))
+    i = X.items(s, d).filter("platform = 'twitter'").withColumn("_h", text.handle(F.col("source_ref")))
+    return i.join(t, "_h", "left").select("id", F.when(F.col("trust_label") != "blocked", F.col("trust_label")).alias("badge"), scoring.trust_factor(F.col("trust_label")).alias("factor"))
 
 
 # --- feeds ---------------------------------------------------------------------
@@ -471,7 +475,7 @@ def feed_counts(s, d):
     return feeds.counts(feeds.search(X.items(s, d), per_platform=40, limit=150))
 
 
-PARAMS = feeds.FeedParams("2024-01-01 00:00:00", "2024-01-01 12:00:00", tags=("SECURITY", "AGENT", "APPLY", "TECH"), limit=25)
+PARAMS = feeds.FeedParams("2024-01-01 00:00:00", "2024-01-01 12:00:00", tags=("SECURITY", "AGENT", "APPLY", "PAPER"), limit=25)
 
 
 @query
@@ -587,9 +591,16 @@ def voice_topic_summary(s, d):
 
 @query
 def voice_targets(s, d):
-    v = _voices(s, d)
-    fresh = v.select(F.col("id").alias("item_id"), F.concat(F.lit("e"), F.col("n") % 3).alias("edition_id"), F.lit("m1").alias("model"))
-    stored = v.filter("n % 4 <> 0").select(F.col("id").alias("item_id"), (F.col("n") * 10).alias("signal_id"), F.concat(F.lit("e"), F.col("n") % 2).alias("edition_id"), F.concat(F.lit("m"), F.col("n") % 3).alias("model"), F.col("recency").alias("updated_at"))
+    v, n, k = _voices(s, d), F.col("n"), F.col("k")
+    edition = lambda x: F.when(x % 4 > 0, F.concat(F.lit("e"), x % 4))
+    tone = lambda x: F.when(x % 3 == 0, "positive").otherwise("neutral")
+    fresh = v.select(F.col("id").alias("item_id"), edition(n).alias("edition_id"), F.concat(F.lit("t"), n % 2).alias("topic"), tone(n).alias("sentiment"), F.when(n % 7 > 0, "general").alias("usage_context"))
+    # Four stored signals an item, one of another model; editions e1 and e3 are published.
+    old = v.filter("n % 5 <> 0").withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
+    stored = old.select(
+        F.col("id").alias("item_id"), (n * 10 + k).alias("signal_id"), edition(n + k).alias("edition_id"), F.when(k == 2, "other:v2").otherwise(C.VOICE_MODEL).alias("model"), F.concat(F.lit("t"), n % 2 + k % 2).alias("topic"), tone(n + k).alias("sentiment"),
+        F.when(k != 1, "general").alias("usage_context"), F.timestamp_seconds(F.unix_timestamp("recency") + 60 * (n * k % 3)).alias("created_at"), F.coalesce(edition(n + k).isin("e1", "e3"), F.lit(False)).alias("frozen"),
+    )
     return voice.upsert_targets(fresh, stored)
 
 

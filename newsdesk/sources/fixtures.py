@@ -50,7 +50,7 @@ def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         (i * 10 + v).alias("classification_id"), F.concat(F.lit("d"), i).alias("item_id"), i.alias("n"),
         F.when(v == 1, (F.col("quality") == 0) & (F.col("toxic") == 1)).otherwise(F.col("quality") == 0).alias("noise"),
-        ((1 + F.col("quality")) / 2.0).alias("score"), nth(PRIMARY_ORDER, (i + v) % 11).alias("primary_tag"), nth(ACTION_ORDER, i % 4).alias("action_tag"),
+        ((1 + F.col("quality")) / 2.0).alias("score"), nth(PRIMARY_ORDER, (i + v) % 11).alias("primary_tag"), nth(ACTION_ORDER, i % 4).alias("action_tag"), F.when(i % 5 != 0, nth(("PROMPT", "PAPER", "MCP"), (i + v) % 3)).alias("sub_tag"),
         (i % 13 == 0).alias("is_headline"), (i % 19 == 0).alias("is_dup"), (i % 23 == 0).alias("is_published"),
         (minutes_after_epoch(i) + F.make_interval(hours=v)).alias("classified_at"),
     )

@@ -139,9 +139,17 @@ def test_classifier_handles_nulls_and_no_rows(spark):
     assert classify(spark.createDataFrame([], schema), as_of).count() == 0
 
 
-def test_scores_stay_in_range():
-    assert scoring.log_boost(1, 1) == 0.0
-    assert scoring.log_boost(3, 2) == pytest.approx(2 * 1.5)
+def test_a_source_that_repeats_itself_is_no_topic(spark):
+    vectors = spark.createDataFrame([(1, "x", "A"), (2, "x", "a"), (3, "x", "b"), (4, "y", "b"), (5, "y", "c")], "vec_id long, platform string, source_ref string")
+    edges = spark.createDataFrame([(1, 2), (3, 4), (4, 5)], "u long, v long")
+    got = {r.vec_id: (r.size, r.sources, r.boost) for r in duplicates.topic_clusters(vectors, edges).collect()}
+    assert got[1] == (2, 1, 0.0) and got[3] == (3, 3, 2 * 1.5)
+
+
+def test_vectors_of_several_lengths_are_no_pairs(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [3.0, None])]
+    pairs = duplicates.cosine_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9, block_rows=2).collect()
+    assert [(r.u, r.v) for r in pairs] == [(1, 2)]
 
 
 class _Elsewhere:
