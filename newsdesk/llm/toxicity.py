@@ -60,17 +60,35 @@ def chunks(text: bytes | None) -> list[bytes]:
     return text.replace(b"\n", b" \x00 ").split() if text else []
 
 
+class _Fold(dict):
+    """Characters beyond ASCII: accents go, other letters become one sign, the rest spaces."""
+
+    def __missing__(self, code: int) -> str | int | None:
+        c = chr(code)
+        self[code] = out = code if c.isascii() else None if unicodedata.combining(c) else "~" if c.isalpha() else " "
+        return out
+
+
+_FOLD = _Fold()
+#: Signs around a word.
+_SIGNS = "!|+.,;:?\"'()[]{}<>*#%&-_=/\\~`^$@"
+
+
 def folded(chunk: bytes) -> list[str]:
     """The words a chunk between spaces may stand for: its letter runs, all its letters, and its look-alikes read as letters."""
+    plain = chunk.strip(_SIGNS.encode())
+    if plain.isalpha() and len(plain) <= LONGEST and b"~" not in chunk:
+        # Letters of ASCII alone, which is what bytes call letters: one reading.
+        return [plain.lower().decode()]
     text = chunk.decode("utf-8", "replace")
     if not text.isascii():
-        text = "".join(c if c.isascii() else "~" if c.isalpha() else " " for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = unicodedata.normalize("NFKD", text).translate(_FOLD)
     text = text.lower()
     runs = _LETTERS.findall(text)
     words = list(runs)
     if len(runs) > 1:
         words.append("".join(runs))
-    inner = text.strip("!|+.,;:?\"'()[]{}<>*#%&-_=/\\~`^$@")
+    inner = text.strip(_SIGNS)
     seen = "".join(_LETTERS.findall(inner.translate(LOOK_ALIKE)))
     if seen and seen not in words and any(c.isalpha() for c in inner):
         words.append(seen)
@@ -167,7 +185,7 @@ def spaced(single: np.ndarray) -> list[tuple[int, str]]:
 class Chunks:
     """Numbers of chunks, kept up to a bound, with what is known of each: a value, whether it ends a sentence, its letter if it is one."""
 
-    KEEP = 300_000
+    KEEP = 600_000
 
     def __init__(self, value, width: int) -> None:
         self.value, self.width = value, width
@@ -181,8 +199,8 @@ class Chunks:
         fresh = list(islice(reversed(self.numbers), len(self.numbers) - self.known))[::-1]
         while len(self.ends) < len(self.numbers):
             self.values, self.ends, self.single = (np.concatenate([x, np.zeros_like(x)]) for x in (self.values, self.ends, self.single))
-        for k in range(0, len(fresh), 1024):
-            part, at = fresh[k : k + 1024], slice(self.known + k, self.known + min(k + 1024, len(fresh)))
+        for k in range(0, len(fresh), 4096):
+            part, at = fresh[k : k + 4096], slice(self.known + k, self.known + min(k + 4096, len(fresh)))
             self.values[at] = self.value(part)
             self.ends[at] = [c == _LINE or c.endswith(ENDS) for c in part]
             self.single[at] = [c[0] if len(c) == 1 and c.isalpha() else 0 for c in part]
@@ -238,10 +256,26 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 class Scorer:
     """Scores of sentences under a model, and what calibration sees of documents."""
 
+    KEEP = 600_000
+
     def __init__(self, model: Model) -> None:
-        landmarks, weights = Landmarks(model.landmarks), model.weights.astype(np.float32)
-        self.model = model
-        self.chunks = Chunks(lambda found: (landmarks.chunks(found) @ weights)[:, None], 1)
+        self.model, self.landmarks, self.weights = model, Landmarks(model.landmarks), model.weights.astype(np.float32)
+        self.words: dict[str, float] = {}
+        self.chunks = Chunks(self._values, 1)
+
+    def _values(self, found: list[bytes]) -> np.ndarray:
+        """Chunks' shares in a sentence's score.  Many chunks are one word in other cases and signs, which is compared once."""
+        readings = [folded(c) for c in found]
+        if len(self.words) > self.KEEP:
+            self.words.clear()
+        fresh = list({r[0] for r in readings if len(r) == 1} - self.words.keys())
+        if fresh:
+            self.words.update(zip(fresh, (self.landmarks.kernel(fresh) @ self.weights).tolist(), strict=True))
+        out = np.array([[self.words[r[0]] if len(r) == 1 else 0.0] for r in readings], np.float32)
+        several = [k for k, r in enumerate(readings) if len(r) > 1]
+        if several:
+            out[several, 0] = self.landmarks.chunks([found[k] for k in several]) @ self.weights
+        return out
 
     def documents(self, texts: list[bytes | None]) -> np.ndarray:
         return np.array([foremost(s[:, 0].astype(float) + self.model.bias) for s in self.chunks.sentences(texts)]).reshape(-1, FOREMOST + 2)

@@ -524,6 +524,39 @@ def test_embedding_dedup(spark, tile_rows):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_vectors_of_any_finite_size(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 0.0]), (3, [3e-320, 0.0]), (4, [1e308, 1e307]), (5, [-1e200, 0.0]), (6, [float("inf"), 1.0]), (7, [5e-324, 5e-324]), (8, [1.0, 1.0]), (9, [0.0, -0.0]), (2, [0.0, 7.0])]
+    table = spark.createDataFrame([(i, v, "a") for i, v in rows], "vec_id long, embedding array<double>, label string")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(table).collect())
+    assert got == [(1, 3, 1), (2, 0, 2), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5), (6, 0, 6), (7, 1, 7), (8, 1, 7), (9, 0, 9)]
+
+
+def test_large_labels_meet_in_cells(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal((30, 24))
+    x = np.concatenate([centre[k % 30] + 0.11 * rng.standard_normal((1, 24)) for k in range(500)])
+    table = spark.createDataFrame([(k, v, int(k % 10 == 0)) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.arange(500) % 10 == 0
+    links = (u @ u.T >= 0.98) & (label[:, None] == label) & ~np.eye(500, dtype=bool)
+    got = embedding_dedup.near_duplicates(table, tile_rows=40).collect()
+    assert 0 < links.sum() and [r.n_links for r in sorted(got)] == links.sum(axis=1).tolist()
+
+
+def test_what_tiles_ship_per_vector(spark):
+    """One label of random vectors at two sizes: a vector goes to as many tiles as there are parts to compare with, in 8 bits a component."""
+    rng = np.random.default_rng(3)
+    seen = []
+    for n in (400, 800):
+        table = spark.createDataFrame([(k, v, 1) for k, v in enumerate(rng.standard_normal((n, 32)).tolist())], "vec_id long, embedding array<double>, label int")
+        _, groups = embedding_dedup.grouped(table, "vec_id", "embedding", "label")
+        row = embedding_dedup.dealt(groups, 0.98, 100).agg(F.count("*").alias("n"), F.max(F.length("q")).alias("bytes")).first()
+        assert row["bytes"] == 32
+        seen.append(row["n"] / n)
+    print("tiles a vector goes to:", seen)
+    assert seen[1] < 27 + 8
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((200, 64))
