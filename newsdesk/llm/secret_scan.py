@@ -7,6 +7,8 @@ share of it that dictionary words cover, its path and its neighbouring words.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -24,6 +26,8 @@ CANDIDATE = (
     rf"|(?<!{_RUN})(?={_RUN}{{16}})(?=[A-Za-z+/_\-]*+[0-9]|(?=[A-Z+/_\-]*+[a-z])[a-z+/_\-]*+[A-Z]){_RUN}{{16,}}+={{0,2}}"
     rf"|(?<=[:=>][ \t]{{0,4}}[\"']?|{_SCHEME} {{1,2}})(?<={_NAME}[\"']?[ \t]{{0,4}}(?:=>|[:=]{{1,2}})[ \t]{{0,4}}[\"']?(?:{_SCHEME} {{1,2}})?)(?!{_SCHEME}\s)[^\s\"']{{6,}}+"
 )
+#: What every candidate needs, and is found faster: a long run, or in lower case a key's or a name's letters.
+LONG_RUN, NAMES = rf"(?<!{_RUN}){_RUN}{{16}}", ("private key", "passw", "passphrase", "pwd", "secret", "token", "key", "auth", "credential")
 #: Fewest characters of a candidate.
 LEAST = 6
 BEFORE, AFTER = 48, 24
@@ -90,7 +94,7 @@ def labelled_findings(spark: SparkSession, per_shape: int = 400) -> DataFrame:
     spoken = F.concat(filler, pick("o", "token: ", "Password: ", "key: ", "auth: ", "secret = ", "Token: "))
     line = lambda i: F.substring(F.base64(F.unhex(F.sha2(F.concat_ws(" ", n, i), 512))), 1, 64)
     pem = lambda kind, lines: F.concat(F.lit(f"-----BEGIN {kind}PRIVATE KEY-----\n"), many(lines, line, "\n"), F.lit(f"\n-----END {kind}PRIVATE KEY-----"))
-    code, test, any_path = pick("p", "src3", "app/settings", "deploy", "src0", ""), pick("t", "tests/fixtures", "docs/example", "mock/data"), pick("a", "src1", "docs/guide", "lib/core", "tests/unit", "")
+    code, test, any_path = pick("p", "app/settings", "deploy", "lib/client", ""), pick("t", "tests/fixtures", "docs/example", "mock/data"), pick("a", "docs/guide", "lib/core", "tests/unit", "")
     shapes = [
         (hexes("h", 40), named, '"', code, 1), (hexes("i", 32), named, '"', code, 1), (hexes("j", 64), bearer, "\n", code, 1), (b64("k", 40), named, '"', code, 1), (b64("l", 36), bearer, " ", code, 1),
         (F.upper(hexes("u", 40)), named, '"', code, 1), (F.concat(F.lit("AKIA"), F.upper(hexes("m", 16))), named, '"', any_path, 1), (F.concat(F.lit("ghp_"), b64("o", 36)), filler, " ", any_path, 1),
@@ -119,9 +123,15 @@ def train(findings: DataFrame) -> PipelineModel:
     return PipelineModel([assembler, forest.fit(assembler.transform(features(findings)))])
 
 
+def may_hold(text_col: str) -> Column:
+    """Whether a text may hold a candidate; most texts can't, and the pattern itself is slow."""
+    low = F.lower(text_col)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(n)) for n in NAMES], F.col(text_col).rlike(LONG_RUN))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """``(doc_id, text_hash, nth, start, candidate, before, after, path)`` of every candidate of every row; ``start`` counts characters from 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(path_col).cast("string").alias("path")).filter(F.col("text").rlike(CANDIDATE))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(path_col).cast("string").alias("path")).filter(may_hold("text")).filter(F.col("text").rlike(CANDIDATE))
     cut = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split("text", CANDIDATE, -1).alias("p"))
     index = F.sequence(F.lit(0), F.size("c") - 1)
     ends = F.aggregate(
@@ -148,14 +158,18 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
 
 
 def redacted(docs: DataFrame, findings: DataFrame | None = None, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``docs`` with every found secret replaced by ``mark``; all other characters, rows and columns stay."""
+    """``docs`` with every found secret replaced by ``mark``; all other characters, rows and columns stay.
+
+    Null and empty texts stay as they are; rows of one id, null ids included, and one text are treated alike.
+    Columns may have any names but those that begin with ``__newsdesk``.  An empty table gives an empty result.
+    """
+    # Of a text with a secret: for each of its candidates, in order, whether it is one.
     found = (
-        scan(docs, findings, id_col=id_col, text_col=text_col, path_col=path_col).filter("is_secret")
-        .groupBy(F.col("doc_id").alias("__newsdesk_id"), F.col("text_hash").alias("__newsdesk_hash")).agg(F.collect_set("nth").alias("__newsdesk_at"))
+        scan(docs, findings, id_col=id_col, text_col=text_col, path_col=path_col)
+        .groupBy(F.col("doc_id").alias("__newsdesk_id"), F.col("text_hash").alias("__newsdesk_hash"))
+        .agg(F.transform(F.array_sort(F.collect_set(F.struct("nth", "is_secret"))), lambda x: x["is_secret"]).alias("__newsdesk_secret")).filter(F.exists("__newsdesk_secret", lambda x: x))
     )
     met = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__newsdesk_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__newsdesk_hash")), "left")
-    cut = F.transform(
-        F.split(F.col(text_col), CANDIDATE, -1),
-        lambda p, i: F.concat(p, F.coalesce(F.when(F.array_contains("__newsdesk_at", i), F.lit(mark)).otherwise(F.get(F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0)), i)), F.lit(""))),
-    )
-    return met.withColumn(text_col, F.when(F.col("__newsdesk_at").isNotNull(), F.array_join(cut, "")).otherwise(F.col(text_col))).drop("__newsdesk_id", "__newsdesk_hash", "__newsdesk_at")
+    pieces = F.arrays_zip(F.split(F.col(text_col), CANDIDATE, -1).alias("text"), F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0)).alias("candidate"))
+    cut = F.transform(pieces, lambda p, i: F.concat(p["text"], F.when(p["candidate"].isNull(), "").when(F.get("__newsdesk_secret", i), mark).otherwise(p["candidate"])))
+    return met.withColumn(text_col, F.when(F.col("__newsdesk_secret").isNotNull(), F.array_join(cut, "")).otherwise(F.col(text_col))).drop("__newsdesk_id", "__newsdesk_hash", "__newsdesk_secret")

@@ -458,6 +458,42 @@ def test_secrets_without_digits_by_any_name_and_whole_keys(spark):
         assert r.before == texts[r.doc_id][max(0, r.start - secret_scan.BEFORE) : r.start]
 
 
+def test_candidates_and_redaction_against_brute_force(spark, documents):
+    import regex
+
+    many = " ".join(f'token{k} = "{hashlib.sha256(str(k).encode()).hexdigest()}" word' for k in range(3000))
+    docs = documents.unionByName(spark.createDataFrame([(50_000, many, "en", "src0", len(many)), (None, many[:900], "en", None, 900), (50_001, "Key: aB1cD2", "en", "x", 11)], documents.schema))
+    pattern = regex.compile(secret_scan.CANDIDATE, regex.ASCII)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = sorted((str(i), m.start(), m[0]) for i, t in texts.items() for m in pattern.finditer(t or ""))
+    found = secret_scan.scan(docs).collect()
+    assert sorted((str(r.doc_id), r.start, r.candidate) for r in found) == want and len(want) > 3000
+    secrets = {}
+    for r in found:
+        if r.is_secret:
+            secrets.setdefault(r.doc_id, []).append((r.start, r.length))
+    for r in secret_scan.redacted(docs).collect():
+        out, at = "", 0
+        for start, n in sorted(secrets.get(r.doc_id, [])):
+            out, at = out + texts[r.doc_id][at:start] + "[SECRET]", start + n
+        assert r.text == (out + texts[r.doc_id][at:] if texts[r.doc_id] is not None else None)
+    assert len(secrets[50_000]) > 2900
+
+
+def test_forest_learns_from_given_findings(spark):
+    """Findings of shapes that the rule-made table doesn't have: here what ends in x is a secret."""
+    rng = np.random.default_rng(2)
+    value = lambda n: "".join(rng.choice(list("abcdef0123456789"), n))
+    rows = [(value(30) + "XYZW" * y, "note: ", " ", "src", float(y)) for _ in range(150) for y in (0, 1)]
+    findings = spark.createDataFrame(rows, "candidate string, before string, after string, path string, label double")
+    a, b = value(30), value(30)
+    docs = spark.createDataFrame([(1, f"note: {a}XYZW and {b} here", None), (2, None, "x"), (3, "", "")], "doc_id long, text string, source string")
+    got = {r.candidate: r.is_secret for r in secret_scan.scan(docs, findings).collect()}
+    assert got == {f"{a}XYZW": True, b: False}
+    assert {r.doc_id: r.text for r in secret_scan.redacted(docs, findings).collect()} == {1: f"note: [SECRET] and {b} here", 2: None, 3: ""}
+    assert secret_scan.redacted(docs.limit(0), findings).count() == 0
+
+
 def test_forest_on_findings_it_did_not_see(spark):
     table = secret_scan.labelled_findings(spark, 150)
     numbered = table.withColumn("h", F.pmod(F.xxhash64("candidate", "before"), F.lit(3)))
