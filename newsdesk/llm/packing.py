@@ -27,8 +27,8 @@ from newsdesk.session import stored
 BATCH_BYTES = 6 << 20
 #: Bytes of stored ids (4 a token) of a shard; a longer document is a shard of its own.
 SHARD_BYTES = 16 << 20
+#: How many of a seed's strongest terms are looked up.
 QUERY_TERMS = 12
-NEIGHBOURS = 16
 K1, B = 1.2, 0.75
 
 def encoder(path: str) -> WordEncoder:
@@ -92,20 +92,24 @@ class Shard:
         self.doc_stop = np.cumsum(np.bincount(self.doc, minlength=self.n))
         self.used = np.zeros(self.n, bool)
 
-    def neighbours(self, doc: int) -> list[int]:
-        """Unused documents by BM25 score against the strongest terms of ``doc``, best first; ties by position."""
+    def neighbours(self, doc: int, query_terms: int = QUERY_TERMS) -> Iterator[int]:
+        """Unused documents that share one of the strongest terms of ``doc``, by BM25 score, best first; ties by position."""
         low, high = int(self.doc_stop[doc - 1]) if doc else 0, int(self.doc_stop[doc])
-        strength = self.strength[low:high]
-        best = np.argpartition(-strength, QUERY_TERMS)[:QUERY_TERMS] if high - low > QUERY_TERMS else np.arange(high - low)
+        best = np.argsort(-self.strength[low:high], kind="stable")[:query_terms]
         slices = [slice(self.start[t], self.stop[t]) for t in self.terms[low:high][best].tolist()]
-        score = np.bincount(np.concatenate([self.doc[s] for s in slices]), np.concatenate([self.weight[s] for s in slices]), self.n)
-        score[self.used] = 0
-        top = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        top = top[score[top] > 0]
-        return top[np.lexsort((top, -score[top]))].tolist()
-
-
-def pack_shard(lists: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int) -> list[tuple[int, int, int, int, int, int]]:
+        touched, of = np.unique(np.concatenate([self.doc[s] for s in slices]), return_inverse=True)
+        score = np.bincount(of, np.concatenate([self.weight[s] for s in slices]))
+        open_ = ~self.used[touched] & (score > 0)
+        touched, score, ahead = touched[open_], score[open_], 16
+        # A few fill most windows: the rest is ordered only when it is asked for.
+        while len(touched):
+            bar = np.partition(score, -ahead)[-ahead] if len(score) > ahead else -np.inf
+            now = score >= bar
+            yield from touched[now][np.lexsort((touched[now], -score[now]))].tolist()
+            touched, score, ahead = touched[~now], score[~now], 4 * ahead
+
+
+def pack_shard(lists: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int, query_terms: int = QUERY_TERMS) -> list[tuple[int, int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset, seed document) of a shard; sequences count from 0."""
     shard = Shard(lists, idf, mean_length)
     pieces: list[tuple[int, int, int, int, int, int]] = []
@@ -136,7 +140,7 @@ def pack_shard(lists: list[np.ndarray], idf: np.ndarray, mean_length: float, win
             pass
         if not filled:
             continue
-        for doc in shard.neighbours(seed):
+        for doc in shard.neighbours(seed, query_terms):
             shard.used[doc] = True
             if (at := place(doc, 0)) is not None:
                 rest = (doc, at)
@@ -164,13 +168,16 @@ def _halved(pieces: list[tuple], last: int, filled: int) -> list[tuple]:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, seed_doc_id long, ids binary"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, with_ids: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, with_ids: bool = True, shard_bytes: int = SHARD_BYTES, query_terms: int = QUERY_TERMS) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, seed_doc_id, ids)`` of all rows.
 
     Every id of every row, its ``end_id`` included, lies in exactly one piece; a sequence's pieces follow
     each other from offset 0.  Null and empty texts are the end id alone.  Rows that repeat an id, or
-    have a null one, are packed like any other.  ``ids`` are little-endian uint32, null unless
-    ``with_ids``.  Other columns are ignored.  An empty table gives no piece.
+    have a null one, are packed like any other; very long texts fill windows of their own.  A seed's
+    ``query_terms`` strongest terms are looked up in its shard, and every unused document with one of them
+    may fill the window, equal scores in order of position; once none is left, the next unused document
+    seeds the rest of it.  ``ids`` are little-endian uint32, null unless ``with_ids``.  Other columns are
+    ignored.  An empty table gives no piece.
     """
     spark = docs.sparkSession
     tokens = tokenised(docs, tokenizer_path, id_col, text_col, end_id)
@@ -189,7 +196,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         for table in regrouped(batches, 1, shard_bytes):
             ids = table.column(0).to_pylist()
             lists = [np.frombuffer(x, "<u4") for x in table.column(1).to_pylist()]
-            pieces = pack_shard(lists, idf.value, mean_length, window)
+            pieces = pack_shard(lists, idf.value, mean_length, window, query_terms)
             raw = [lists[d][s : s + k].tobytes() for d, s, k, *_ in pieces]
             cols = [np.array(c, np.int64) for c in zip(*pieces, strict=True)]
             yield pa.RecordBatch.from_arrays(

@@ -168,15 +168,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = stored(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
     groups = grouped(each, radius, tile_rows).filter("node <=> component_id")
     chosen = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min("fp").alias("fp"))
+    rows = each.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     kept = (
-        each.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-        .join(chosen.select("fp", F.col("component_id").alias("node")), "fp").filter("doc_id <=> node")
-        .groupBy("fp").agg(F.min_by(F.struct("doc_id", "text_hash"), "text_hash").alias("row"), F.min_by("n", "text_hash").alias("__newsdesk_n"))
-        .select(F.col("row.doc_id").alias("__newsdesk_id"), F.col("row.text_hash").alias("__newsdesk_hash"), "__newsdesk_n")
+        rows.join(chosen.select("fp", F.col("component_id").alias("node")), "fp").filter("doc_id <=> node")
+        .groupBy("fp").agg(F.min_by(F.struct("doc_id", "text_hash"), "text_hash").alias("row"), F.min_by("n", "text_hash").alias("n"))
+        .select(F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"), "n")
     )
+    named = lambda t: t.select(F.col("doc_id").alias("__newsdesk_id"), F.col("text_hash").alias("__newsdesk_hash"))
+    gone = rows.join(kept.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h")), "left_anti")
+    # Only rows repeated word for word, id included, need numbering; what goes is mostly far less than what stays.
+    repeated = named(kept.filter("n > 1"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__newsdesk_id")) & (F.xxhash64(F.col(text_col)) == F.col("__newsdesk_hash"))
-    met = docs.join(kept, same)
-    # Only rows repeated word for word, id included, need numbering.
-    again = met.filter("__newsdesk_n > 1").withColumn("__newsdesk_row", F.row_number().over(Window.partitionBy("__newsdesk_id", "__newsdesk_hash").orderBy(F.lit(0))))
+    again = docs.join(repeated, same).withColumn("__newsdesk_row", F.row_number().over(Window.partitionBy("__newsdesk_id", "__newsdesk_hash").orderBy(F.lit(0))))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return met.filter("__newsdesk_n = 1").select(columns).unionByName(again.filter("__newsdesk_row = 1").select(columns))
+    return docs.join(named(gone).unionByName(repeated), same, "left_anti").unionByName(again.filter("__newsdesk_row = 1").select(columns))

@@ -117,6 +117,26 @@ def test_packing_retrieves_neighbours():
     assert np.mean(own) > 0.9
 
 
+def test_neighbours_are_all_that_score_best_first():
+    rng = np.random.default_rng(4)
+    lists = [rng.integers(0, 300, rng.integers(1, 30)).astype(np.uint32) for _ in range(200)] + [np.full(3, 7, np.uint32)] * 40
+    idf = np.linspace(0.1, 3, 300)
+    shard = packing.Shard(lists, idf, 15.0)
+    shard.used[rng.integers(0, 240, 60)] = True
+    k1, b = packing.K1, packing.B
+    weight = lambda d, t: idf[t] * (tf := (lists[d] == t).sum()) * (k1 + 1) / (tf + k1 * (1 - b + b * len(lists[d]) / 15.0))
+    for seed in (0, 5, 77, 210):
+        terms = sorted(set(lists[seed].tolist()), key=lambda t: (-weight(seed, t), t))[:12]
+        score = {d: sum(weight(d, t) for t in terms if t in lists[d]) for d in range(240) if not shard.used[d]}
+        want = sorted((d for d in score if score[d] > 0), key=lambda d: (-round(score[d], 9), d))
+        got = list(shard.neighbours(seed))
+        assert sorted(got) == sorted(want) and [round(score[d], 9) for d in got] == [round(score[d], 9) for d in want]
+    # Forty documents of one term tie: they come in order.
+    got = list(shard.neighbours(210))
+    tied = [d for d in got if d >= 200]
+    assert tied == sorted(tied)
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty, PATH).count() == 0
 
