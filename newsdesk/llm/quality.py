@@ -1,15 +1,15 @@
 """Quality by co-training: a text classifier and a metadata classifier teach each other, then vote.
 
-Both views start from the same labelled sample.  In each round either one labels the unlabelled
-documents that it is surest of, and those join the other's training rows.  Each view is then calibrated
-on labelled documents kept out of training, and a last regression weighs the two calibrated views.
-Every document is scored in one pass over the corpus.
+Every document's features are measured once and stored.  Both views start from the same labelled sample.
+In each round either one scores all unlabelled documents and labels the ones that it is surest of; those
+join the other's training rows.  Each view is then calibrated on labelled documents kept out of training,
+and a last regression weighs the two calibrated views and scores every document.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +19,16 @@ from pyspark.sql import functions as F
 
 from newsdesk.llm.common import bounded, space_words, utf8
 from newsdesk.llm.toxicity import logistic
+from newsdesk.session import stored
 
-#: Bounds of the labelled and the unlabelled sample.
-LABELLED, UNLABELLED = 6000, 6000
+#: Bound of the labelled sample.
+LABELLED = 6000
 ROUNDS = 3
-#: Share of the unlabelled sample that a view may label per round, and the confidence it needs.
-SHARE, SURE = 0.05, 0.9
+#: Share of all unlabelled documents that a view may label in a round, the confidence it needs, and how many of
+#: a label are fitted at most: the surest ones of the whole table.
+SHARE, SURE, FITTED = 0.05, 0.9, 600
+#: Kinds of three successive bytes, by hash.
+GRAMS = 64
 META_BUCKETS = 64
 BATCH_BYTES = 4 << 20
 #: Byte classes of the text view: each printable ASCII sign that is no letter or digit on its own, then groups.
@@ -47,15 +51,20 @@ for _b in range(256):
     else:
         _CLASS[_b] = 7 + sum(1 for c in range(33, _b) if not chr(c).isalnum())
 CLASSES = int(_CLASS.max()) + 1
-TEXT_SIZE = 2 * CLASSES + 10
+_LOWER = np.array([b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint32)
+TEXT_SIZE = 2 * CLASSES + 10 + GRAMS
 
 
 def text_features(text: bytes | None) -> np.ndarray:
-    """The content view: shares of byte classes, how words repeat, their lengths, lines and length."""
+    """The content view: shares of byte classes and of hashed triples of bytes, how words repeat, their lengths, lines and length."""
     out = np.zeros(TEXT_SIZE)
     if not text:
         return out
-    counts = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=CLASSES)
+    raw = np.frombuffer(text, np.uint8)
+    counts = np.bincount(_CLASS[raw], minlength=CLASSES)
+    low = _LOWER[raw]
+    triple = (low[:-2] * np.uint32(31) + low[1:-1]) * np.uint32(31) + low[2:]
+    out[-GRAMS:] = np.sqrt(np.bincount((triple * np.uint32(0x9E3779B1)) >> np.uint32(26), minlength=GRAMS) / max(1, len(triple)))
     share = counts / len(text)
     out[:CLASSES] = np.sqrt(share)
     out[CLASSES : 2 * CLASSES] = np.log1p(1000 * share) / 7
@@ -63,7 +72,7 @@ def text_features(text: bytes | None) -> np.ndarray:
     n = max(1, len(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     lines = [x for x in text.split(b"\n") if x]
-    out[2 * CLASSES :] = (
+    out[2 * CLASSES : -GRAMS] = (
         np.log1p(len(words)) / 10, len(set(words)) / n, lengths.mean() / 10 if len(words) else 0, (lengths.std() / 5) if len(words) else 0,
         (lengths == 1).sum() / n, len(set(lines)) / max(1, len(lines)), np.log1p(len(lines) / n * 100) / 5,
         sum(w[-1:].isalpha() or w[-1:] >= b"\x80" for w in words) / n, sum(w.isupper() for w in words) / n, 1.0,
@@ -111,32 +120,24 @@ def _apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
 _logit = _apply
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, text_u: np.ndarray, meta_u: np.ndarray, rounds: int = ROUNDS) -> Model:
+#: For each view, given both models and the round: rows that it labels, as (text features, metadata features, label).
+Surest = Callable[[list[np.ndarray]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Surest, rounds: int = ROUNDS) -> Model:
     """Both classifiers after ``rounds`` of exchange, calibrated on every fourth labelled row, which neither trains on."""
     kept = np.arange(len(y)) % 4 == 3 if min((y == 0).sum(), (y == 1).sum()) >= 16 else np.zeros(len(y), bool)
     fit, held = ~kept, kept if kept.any() else ~kept
-    views = [(text, text_u), (meta, meta_u)]
-    extra: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has been given
+    views = [text, meta]
+    given: list[tuple[np.ndarray, np.ndarray]] = [(x[:0], y[:0]) for x in views]  # what the other view labels for each
     models = [np.zeros(0), np.zeros(0)]
     for step in range(rounds + 1):
-        for k, (x, u) in enumerate(views):
-            given = np.array(list(extra[k]), np.int64)
-            models[k] = logistic(np.concatenate([x[fit], u[given]]), np.concatenate([y[fit], np.array([extra[k][i] for i in given.tolist()])]), ridge=1.0)
-        if step == rounds or not len(text_u):
-            break
-        base = y[fit].mean()
-        for k, (_, u) in enumerate(views):
-            p = _sigmoid(_apply(models[k], u))
-            order = np.argsort(p, kind="stable")
-            top, low = max(1, int(SHARE * base * len(p))), max(1, int(SHARE * (1 - base) * len(p)))
-            for i in order[-top:].tolist():
-                if p[i] >= SURE:
-                    extra[1 - k].setdefault(i, 1.0)
-            for i in order[:low].tolist():
-                if p[i] <= 1 - SURE:
-                    extra[1 - k].setdefault(i, 0.0)
-    scales = [logistic(_apply(m, x[held])[:, None], y[held]) for m, (x, _) in zip(models, views, strict=True)]
-    both = np.stack([_apply(s, _apply(m, x[held])[:, None]) for s, m, (x, _) in zip(scales, models, views, strict=True)], axis=1)
+        models = [logistic(np.concatenate([x[fit], u]), np.concatenate([y[fit], v]), ridge=1.0) for x, (u, v) in zip(views, given, strict=True)]
+        if step < rounds:
+            by_text, by_meta = surest(models)
+            given = [(by_meta[0], by_meta[2]), (by_text[1], by_text[2])]
+    scales = [logistic(_apply(m, x[held])[:, None], y[held]) for m, x in zip(models, views, strict=True)]
+    both = np.stack([_apply(s, _apply(m, x[held])[:, None]) for s, m, x in zip(scales, models, views, strict=True)], axis=1)
     return Model(models[0], models[1], scales[0], scales[1], logistic(both, y[held], ridge=0.1))
 
 
@@ -144,37 +145,65 @@ def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", allowed: str | None = None) -> Model | None:
-    """A model from at most ``LABELLED`` labelled and ``UNLABELLED`` other documents, taken by the smallest hashes of ids.
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, x)`` of every row, stored: the features of both views."""
 
-    Labels other than 0 and 1 are ignored; ``allowed`` (SQL on doc_id) says which rows may teach.  None if a label is missing.
-    """
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
-    if allowed:
-        known = known.filter(allowed)
-    known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
-    each = LABELLED // 2
-    ranked = known.withColumn("rank", F.xxhash64("doc_id"))
-    labelled = ranked.filter("y = 1").orderBy("rank", "doc_id").limit(each).unionByName(ranked.filter("y = 0").orderBy("rank", "doc_id").limit(each)).drop("rank")
-    others = docs.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED).distinct()
-    # At most LABELLED + UNLABELLED rows of 12 bytes.
-    picked = F.broadcast(others.join(labelled, "doc_id", "full_outer"))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 1, BATCH_BYTES):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(batch), batch.column(5)], ["doc_id", "x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(batch)], ["doc_id", "x"])
 
-    rows = _input(docs, id_col, text_col).join(picked, "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "y").mapInArrow(measure, "doc_id long, x binary, y int").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["x"]))
-    if not rows:
-        return None
-    x = np.stack([np.frombuffer(r["x"], "<f4") for r in rows]).astype(np.float64)
-    y = np.array([-1 if r["y"] is None else r["y"] for r in rows])
+    return stored(_input(docs, id_col, text_col).mapInArrow(run, "doc_id long, x binary"), "quality-features")
+
+
+def _unpacked(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<f4").reshape(-1, TEXT_SIZE + META_BUCKETS + 28).astype(np.float64)
+
+
+def _surest(pool: DataFrame, total: int, base: float) -> Surest:
+    """Of all rows of ``pool``: those that either view is surest of, the other view's next training rows."""
+
+    def of(models: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = _unpacked(batch.column(1).to_pylist())
+                    p = [_sigmoid(_apply(m, v)) for m, v in zip(models, (x[:, :TEXT_SIZE], x[:, TEXT_SIZE:]), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, p)], ["doc_id", "x", "p0", "p1"])
+
+        scored = pool.mapInArrow(run, "doc_id long, x binary, p0 double, p1 double")
+        out = []
+        for p in ("p0", "p1"):
+            found = []
+            for label, share, sure, order in ((1.0, base, F.col(p) >= SURE, F.desc(p)), (0.0, 1 - base, F.col(p) <= 1 - SURE, F.asc(p))):
+                top = scored.filter(sure).orderBy(order, "doc_id", "x").limit(min(FITTED, max(1, int(SHARE * share * total)))).select("x").collect()
+                found.append((_unpacked([bytes(r["x"]) for r in top]), np.full(len(top), label)))
+            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+            out.append((x[:, :TEXT_SIZE], x[:, TEXT_SIZE:], y))
+        return out
+
+    return of
+
+
+def train(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", allowed: str | None = None) -> Model | None:
+    """A model from at most ``LABELLED`` labelled documents, taken by the smallest hashes of ids, and of all others those that a view is surest of.
+
+    Labels other than 0 and 1 are ignored; ``allowed`` (SQL on doc_id) says which rows may teach, labelled or
+    not.  Of rows that repeat a labelled id one teaches.  None if a label is missing.
+    """
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
+    may = features.filter(F.col("doc_id").isNotNull() & F.expr(allowed or "true"))
+    ranked = known.groupBy("doc_id").agg(F.min("y").alias("y")).filter(allowed or "true").withColumn("rank", F.xxhash64("doc_id"))
+    labelled = [ranked.filter(f"y = {k}").orderBy("rank", "doc_id").limit(LABELLED // 2) for k in (1, 0)]
+    # At most LABELLED rows of 12 bytes.
+    picked = F.broadcast(labelled[0].unionByName(labelled[1]).drop("rank"))
+    rows = may.join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    y = np.array([r["y"] for r in rows], float)
     if not ((y == 0).any() and (y == 1).any()):
         return None
-    text, meta = x[:, :TEXT_SIZE], x[:, TEXT_SIZE:]
-    on, off = y >= 0, y < 0
-    return co_train(text[on], meta[on], y[on].astype(float), text[off], meta[off])
+    x = _unpacked([bytes(r["x"]) for r in rows])
+    pool = may.join(picked.select("doc_id"), "doc_id", "left_anti")
+    return co_train(x[:, :TEXT_SIZE], x[:, TEXT_SIZE:], y, _surest(pool, pool.count(), float(y.mean())))
 
 
 def _matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -194,15 +223,16 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: st
     judged by that.  Repeated rows and null ids each come back.  Without labels of both kinds every score
     is 0.5.  An empty table gives an empty result.
     """
-    model = train(docs, labels, id_col, text_col, label_col, allowed)
-    rows = _input(docs, id_col, text_col)
+    features = measured(docs, id_col, text_col)
+    model = train(features, labels, id_col, label_col, allowed)
     if model is None:
-        return rows.select("doc_id", *[F.lit(0.5).alias(c) for c in ("text_score", "meta_score", "score")], F.lit(0.5 >= threshold).alias("keep"))
+        return features.select("doc_id", *[F.lit(0.5).alias(c) for c in ("text_score", "meta_score", "score")], F.lit(0.5 >= threshold).alias("keep"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, 1, BATCH_BYTES):
-            found = held.value.views(*_matrices(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], ["doc_id", "text_score", "meta_score", "score"])
+        for batch in batches:
+            if batch.num_rows:
+                x = _unpacked(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, held.value.views(x[:, :TEXT_SIZE], x[:, TEXT_SIZE:]))], ["doc_id", "text_score", "meta_score", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double").withColumn("keep", F.col("score") >= threshold)
+    return features.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double").withColumn("keep", F.col("score") >= threshold)

@@ -542,13 +542,51 @@ def test_quality_of_awkward_rows(spark, awkward, sf, empty):
     assert quality.score(empty, labels).count() == 0
 
 
+def test_quality_against_brute_force(spark, documents, sf):
+    """The same co-training over all documents, in one process: the surest rows come from the whole table."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect()
+    docs = documents.collect()
+    known = {r.doc_id: float(r.quality) for r in labels if r.quality in (0, 1) and r.doc_id % 3}
+    x = {r.doc_id: np.concatenate([quality.text_features(r.text.encode()), quality.meta_features(r.lang, r.source, r.n_chars)]).astype("<f4").astype(float) for r in docs}
+    ids = sorted((i for i in x if i in known), key=lambda i: (zlib.crc32(str(i).encode()), i))
+    pool = sorted(i for i in x if i not in known and i % 3)
+    y, u, n = np.array([known[i] for i in ids]), np.stack([x[i] for i in pool]), quality.TEXT_SIZE
+
+    def surest(models):
+        out = []
+        for m, v in zip(models, (u[:, :n], u[:, n:]), strict=True):
+            p = quality._sigmoid(quality._apply(m, v))
+            tops = [(1.0, y.mean(), -p, p >= quality.SURE), (0.0, 1 - y.mean(), p, p <= 1 - quality.SURE)]
+            at = [(label, [k for k in np.lexsort((pool, by)).tolist() if sure[k]][: max(1, int(quality.SHARE * share * len(pool)))]) for label, share, by, sure in tops]
+            rows = [k for _, chosen in at for k in chosen]
+            out.append((u[rows][:, :n], u[rows][:, n:], np.array([label for label, chosen in at for _ in chosen])))
+        return out
+
+    labelled = np.stack([x[i] for i in ids])
+    model = quality.co_train(labelled[:, :n], labelled[:, n:], y, surest)
+    everything = np.stack([x[r.doc_id] for r in docs])
+    want = model.views(everything[:, :n], everything[:, n:])[2]
+    got = {r.doc_id: r.score for r in quality.score(documents, spark.read.parquet(f"{sf}/labels.parquet"), allowed="doc_id % 3 <> 0").collect()}
+    assert [got[r.doc_id] for r in docs] == pytest.approx(want.tolist(), abs=1e-6)
+
+
 def test_views_exchange_labels():
     rng = np.random.default_rng(3)
     y = rng.integers(0, 2, 60).astype(float)
     u = rng.integers(0, 2, 600).astype(float)
     text = lambda v: np.stack([v + 0.1 * rng.standard_normal(len(v)), np.ones(len(v))], 1)
     meta = lambda v: np.stack([v + 0.8 * rng.standard_normal(len(v)), np.ones(len(v))], 1)
-    model = quality.co_train(text(y), meta(y), y, text(u), meta(u))
+    xt, xm = text(u), meta(u)
+
+    def surest(models):
+        out = []
+        for m, x in zip(models, (xt, xm), strict=True):
+            p = quality._sigmoid(quality._apply(m, x))
+            at = np.concatenate([np.argsort(-p)[:20], np.argsort(p)[:20]])
+            out.append((xt[at], xm[at], np.repeat([1.0, 0.0], 20)))
+        return out
+
+    model = quality.co_train(text(y), meta(y), y, surest)
     _, _, p = model.views(text(u), meta(u))
     assert np.mean((p > 0.5) == (u == 1)) > 0.97
 
