@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.session import counted
+from newsdesk.session import discardable
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,9 +31,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, dict, Callable[[], None]]:
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int], Callable[[], None]]:
     """Edges stored, with what tells whether a round changed anything: their number and a hash of them all."""
-    return counted(edges, "edges", n=F.count("*"), x=F.bit_xor(F.xxhash64("u", "v")))
+    table, discard = discardable(edges, "edges")
+    row = table.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+    return table, (row["n"], row["x"] or 0), discard
 
 
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v", max_rounds: int = 100) -> DataFrame:
@@ -46,7 +48,7 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a <> b")
     state, before, discard = _written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
-        if before["n"] == 0:
+        if before[0] == 0:
             break
         after, now, later = _written(_small_star(_large_star(state)))
         discard()

@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "newsdesk", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -63,15 +63,14 @@ def _file(spark: SparkSession, path: str):
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back; the files go when the driver ends."""
-    return counted(df, name)[0]
+    return discardable(df, name)[0]
 
 
-def counted(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict, Callable[[], None]]:
-    """``stored``, besides what aggregates over its rows give, found in the job that writes them, and a call that deletes the files."""
+def discardable(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``stored``, and a call that deletes the files when nothing reads them any longer."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    seen = Observation()
-    (df.observe(seen, *[c.alias(k) for k, c in measures.items()]) if measures else df).write.parquet(path)
+    df.write.parquet(path)
     files, at = _file(spark, path)
     files.deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path), seen.get if measures else {}, lambda: files.delete(at, True)
+    return spark.read.schema(df.schema).parquet(path), lambda: files.delete(at, True)
