@@ -102,9 +102,19 @@ SECTION_TITLES = {
     "1_latest_ai_news": "最新AIニュース", "2_update": "アップデート情報", "2b_agent": "エージェント動向", "3_mcp_api": "MCPサーバー・API情報", "4_tech": "技術速報", "4b_research": "リサーチ・論文",
     "5_device": "AIデバイス情報", "6_security": "セキュリティリスク", "7_regulation": "規制・政策・ガバナンス", "8_business": "ビジネス・資金調達", "9_other": "その他注目の内容", "10_column": "AIおもしろコラム", "11_market_voice": "市場の声・実ユーザー評価",
 }
+# Articles of a section, elsewhere SECTION_LIMIT.
+SECTION_LIMITS = {
+    "1_latest_ai_news": 8, "2_update": 10, "3_mcp_api": 8, "4_tech": 12, "5_device": 6, "6_security": 8, "7_regulation": 6, "8_business": 8, "9_other": 5, "10_column": 6,
+}
 SELECTION_LIMIT, MAIN_LIMIT, RESCUE_LIMIT, SECTION_LIMIT = 120, 2000, 500, 8
+#: Candidates that make a section dense, and articles that it then has to print.
+DENSE_ITEMS = 3
 FALLBACK_HASH_PREFIX = "llm_error_fallback::"
 
+# Parameters that alert links lose when they are collected, and when their pages are fetched.
+ALERT_PARAMS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source")
+FETCH_PARAMS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid")
+
 # Trust.
 TRUST_MULTIPLIERS = {"high": 1.08, "medium": 1.0, "unknown": 0.95, "low": 0.8}
 TRUST_WEIGHTS = {"item_quality": 0.45, "selection": 0.25, "prior": 0.15, "freshness": 0.05}

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsdesk.functions.text import collapse
+from newsdesk.functions.text import collapse, once
 
 #: The named entities that are decoded.
 ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&"))
@@ -37,11 +35,6 @@ def decoded(text: Column) -> Column:
     return once(text, parts)
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it occurs there."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _character(code: Column) -> Column:
     """A code point as a string, by its UTF-16 units."""
     low = code - 0x10000

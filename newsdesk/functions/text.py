@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 #: White space as JavaScript's \s has it, spelt out for Java and RE2 alike.
 SPACE = "[ \\t\\n\\r\\x0B\\f\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 EDGES = f"^{SPACE}|{SPACE}$"
+#: The same for Java alone: what cannot be white space is ruled out by one comparison.
+_RUN = f"(?:(?![!-\\x9f]){SPACE[:-1]})+"
 
 
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends; null stays null."""
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+    return F.trim(F.regexp_replace(text, _RUN, " "))
 
 
 def strip(text: Column) -> Column:
@@ -38,11 +40,9 @@ def sanitised(text: Column) -> Column:
 
 
 def held(text: Column, keywords: Iterable[str]) -> Column:
-    """Those of the keywords that the text holds as substrings, in their order; the text comes lower-cased."""
-    words = list(keywords)
-    if not words:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(text, F.lower(k)))
+    """Those of the keywords that the text holds as substrings, in their order and lower case; the text comes lower-cased."""
+    words = [k.lower() for k in keywords]
+    return F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(text, k)) if words else F.array().cast("array<string>")
 
 
 def hits(text: Column, keywords: Iterable[str]) -> Column:
@@ -51,16 +51,21 @@ def hits(text: Column, keywords: Iterable[str]) -> Column:
 
 
 def matches(text: Column, keywords: Iterable[str], prefix: str) -> Column:
-    """``prefix:keyword`` for each keyword that the text holds, in the keywords' order."""
+    """``prefix:keyword`` for each keyword that the text holds, in the keywords' order; keywords are lower case."""
     return F.transform(held(text, keywords), lambda k: F.concat(F.lit(f"{prefix}:"), k))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def key(text: Column, minimum: int) -> Column:
     """A title as a key: lower case, no links, only a-z, 0-9, kana and CJK; null if shorter than ``minimum``."""
     low = F.lower(F.coalesce(text, F.lit("")))
     plain = F.regexp_replace(F.regexp_replace(low, "https?://[^ \\t\\n\\r]+", " "), "[^a-z0-9぀-ヿ㐀-鿿 \\t\\n\\r]+", " ")
     value = F.trim(F.regexp_replace(plain, "[ \\t\\n\\r]+", " "))
-    return F.when(F.length(value) >= minimum, value)
+    return once(value, lambda v: F.when(F.length(v) >= minimum, v))
 
 
 def tokens(text: Column, minimum: int = 4) -> Column:

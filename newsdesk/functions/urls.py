@@ -41,6 +41,22 @@ def canonical(url: Column, tracking: str = TRACKING_PARAMS) -> Column:
     return F.when(u.rlike(_PARTS), F.concat(scheme, F.lit("://"), host, path, F.when(params != "", F.concat(F.lit("?"), params)).otherwise(""))).otherwise(original)
 
 
+def alert_link(url: Column, params: tuple[str, ...]) -> Column:
+    """An alert's link: redirect unwrapped, host in lower case without default port, named parameters off, one final slash off; order and fragment stay.
+
+    Anything that isn't an http(s) link comes back as it is.
+    """
+    host = F.lower(_part(url, 2))
+    target = F.try_url_decode(_param(_part(url, 4), "url"))
+    u = F.when(F.contains(host, F.lit("google.com")) & (_part(url, 3) == "/url"), F.coalesce(target, url)).otherwise(url)
+    scheme, host, path = F.lower(_part(u, 1)), F.lower(_part(u, 2)), _part(u, 3)
+    host = F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
+    path = F.when(path == "", "/").otherwise(path)
+    kept = F.filter(F.split(F.substr(_part(u, 4), F.lit(2)), "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*params))
+    out = F.concat(scheme, F.lit("://"), host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""), _part(u, 5))
+    return F.when(u.rlike(_PARTS), F.when(path != "/", F.regexp_replace(out, "/$", "")).otherwise(out)).otherwise(url)
+
+
 def rules_key(url: Column) -> Column:
     return F.nullif(F.lower(F.trim(canonical(url))), F.lit(""))
 

@@ -75,6 +75,19 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], values
     return both.select(*keys, *[F.when(F.col("_i").isNotNull(), F.col(f"_i_{v}")).otherwise(F.col(f"_e_{v}")).alias(v) for v in values], *[F.col(f"_e_{v}").alias(v) for v in keep], action.alias("action"))
 
 
+def identified(incoming: DataFrame, existing: DataFrame, ident: str, *key_sets: Sequence[str]) -> DataFrame:
+    """``incoming`` with the ``ident`` of the existing row that agrees in the first set of keys, else in the next one; null if none does.
+
+    Of several existing rows of a key the smallest counts; null keys agree with nothing.
+    """
+    out, found = incoming, []
+    for k, keys in enumerate(key_sets):
+        known = existing.groupBy(*keys).agg(F.min(ident).alias(f"_{ident}{k}"))
+        out = out.join(known, list(keys), "left")
+        found.append(F.col(f"_{ident}{k}"))
+    return out.withColumn(ident, F.coalesce(*found)).select(*incoming.columns, ident)
+
+
 def unchanged_skipped(incoming: DataFrame, ledger: DataFrame, keys: Sequence[str], hash_col: str) -> DataFrame:
     """Incoming rows whose key and hash no earlier run has."""
     return incoming.join(ledger.select(*keys, hash_col).distinct(), [*keys, hash_col], "left_anti")

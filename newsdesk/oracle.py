@@ -77,6 +77,8 @@ p AS (SELECT page_id, u, list_sort(list_filter(string_split(u.query[2:], '&'), l
 k AS (SELECT page_id, u.scheme || '://' || lower(u.host) || CASE WHEN u.path = '' THEN '/' WHEN length(u.path) > 1 THEN regexp_replace(u.path, '/$', '') ELSE u.path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM p)"""
 add("canonical_urls", "SELECT page_id, canonical, lower(canonical) AS rules_key FROM k", _CANON)
 add("item_urls", "SELECT id, canonical_url AS canonical, lower(regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://', ''), '#.*$', ''), '/?$', '')) AS prefilter_key, lower(split_part(canonical_url, '?', 1)) AS article_key FROM items", ITEMS)
+_alert = lambda names: f"""regexp_replace(u.scheme || '://' || lower(u.host) || CASE WHEN u.path = '' THEN '/' ELSE u.path END || coalesce('?' || nullif(array_to_string(list_filter(string_split(u.query[2:], '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ({', '.join(map(lit, names))})), '&'), ''), '') || regexp_extract(url, '#.*$'), CASE WHEN u.path IN ('', '/') THEN '^$' ELSE '/$' END, '')"""
+add("alert_links", f"SELECT page_id, {_alert(C.ALERT_PARAMS)} AS collected, {_alert(C.FETCH_PARAMS)} AS fetched FROM c JOIN pages USING (page_id)", _CANON.partition(",\np AS")[0])
 add("url_key_prefilter", "SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '#.*$', ''), '/?$', ''), '') AS key FROM pages")
 add("content_hash", f"SELECT id, sha256(platform || '|' || id || '|' || coalesce(title, '') || '|' || coalesce(body, '') || '|' || coalesce({stamp('published_at')}, '')) AS content_hash FROM items", ITEMS)
 add("title_keys", f"SELECT id, {key('title', 24)} AS rules_key, {key('title', 20)} AS prefilter_key FROM items", ITEMS)
@@ -211,6 +213,7 @@ add("noise_percentile", "SELECT round(quantile_cont(rate, 0.1), 9) AS bottom_dec
 add("lifecycle_flags", """SELECT source_id, concat_ws('+', CASE WHEN rate >= 0.35 AND rate >= nm + 0.15 THEN 'noisy' END, CASE WHEN mean_priority <= lo THEN 'low_priority' END, CASE WHEN trust_score < 45 THEN 'low_trust' END) AS condition_keys, coalesce(rate, 0) >= 0.85 AS severe,
   (coalesce(rate >= 0.35 AND rate >= nm + 0.15, false) OR coalesce(mean_priority <= lo, false) OR coalesce(trust_score < 45, false)) AND classified_28 >= 20 AS should_act
 FROM (SELECT *, CASE WHEN classes_28 > 0 THEN noise_28 / classes_28 END AS rate FROM summ JOIN labelled USING (source_id)), (SELECT median(noise_28 / classes_28) FILTER (classes_28 > 0) AS nm, quantile_cont(mean_priority, 0.1) AS lo FROM summ WHERE classified_28 >= 20)""", *_base, TRUST)
+add("lifecycle_due", f"SELECT source_id, {stamp('u')} AS cooldown FROM (SELECT source_id, CASE WHEN source_id % 3 > 0 THEN {STOP} - to_days(CAST(source_id * 9 AS INT)) + INTERVAL {C.COOLDOWN_DAYS} DAY END AS u FROM sources) WHERE source_id % 5 <> 4 AND (u IS NULL OR u <= {STOP})", SOURCES)
 add("demotion_gate", """SELECT user_id AS source_id, event_id FROM (
   SELECT *, last_value(CASE WHEN a = 0 THEN ts END IGNORE NULLS) OVER w AS pt, last_value(CASE WHEN a = 0 THEN event_id % 2 END IGNORE NULLS) OVER w AS pk, last_value(CASE WHEN a > 0 THEN ts END IGNORE NULLS) OVER w AS rt
   FROM (SELECT *, event_id % 3 AS a FROM events WHERE event_type = 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -238,11 +241,20 @@ add("topic_collapse", """SELECT id, CASE WHEN many THEN '1_latest_ai_news' ELSE
 add("repository_collapse", """SELECT id, many OR title LIKE '[%' AS badged FROM (
   SELECT *, repo IS NOT NULL AND count(*) OVER (PARTITION BY repo) > 1 AS many, row_number() OVER (PARTITION BY repo ORDER BY headline_score DESC, rank, id) AS b
   FROM (SELECT p.*, headline_score, CASE WHEN n % 2 = 0 OR platform = 'github' THEN 'org/repo' || (n % 5) END AS repo FROM planned p LEFT JOIN (SELECT item_id, headline_score FROM decisions) d ON d.item_id = p.id WHERE rank <= 120)) WHERE NOT many OR b = 1""", *_pub)
+_factor = f"CAST({cases('t.trust_label', C.TRUST_MULTIPLIERS, '1.0')} AS DOUBLE)"
+PRINTED = f"""scored_rows AS (SELECT p.id, p.section, p.rank, d.priority_score * {_factor} AS ps, d.headline_score * {_factor} AS h, (d.headline_score + 7 * d.distinct_sources) * {_factor} AS fh, CAST(l.score AS DOUBLE) * {_factor} AS sc
+  FROM planned p JOIN decisions d ON d.item_id = p.id JOIN latest_class l ON l.item_id = p.id JOIN sources t ON t.handle = p.source_ref[2:] WHERE p.rank <= 120),
+printed AS (SELECT *, count(*) OVER (PARTITION BY section) AS candidates, CAST(row_number() OVER (PARTITION BY section ORDER BY CASE WHEN section = '1_latest_ai_news' THEN fh ELSE ps END DESC, CASE WHEN section = '1_latest_ai_news' THEN ps ELSE h END DESC, sc DESC, rank, id) AS INT) AS place FROM scored_rows),
+chosen AS (SELECT * FROM printed WHERE place <= {cases('section', C.SECTION_LIMITS, str(C.SECTION_LIMIT))})"""
+add("composed_sections", "SELECT id, section, place, candidates FROM chosen", *_pub, PRINTED)
+add("compose_density", """SELECT section, candidates, selected, CAST(required AS BIGINT) AS required, actual, required > 0 AND actual < required AS short FROM (
+  SELECT section, max(candidates) AS candidates, count(*) AS selected, CASE WHEN max(candidates) >= 5 AND count(*) >= 4 THEN 4 ELSE 0 END AS required, count(*) FILTER (place % 3 > 0 AND section NOT IN ('4_tech', '9_other')) AS actual FROM chosen GROUP BY section)""", *_pub, PRINTED)
 _in = lambda a, b: f"(published_at >= {a} AND published_at < {b} OR published_at IS NULL AND ingested_at >= {a} AND ingested_at < {b})"
 _d0, _d1 = "TIMESTAMP '2024-01-03 21:00:00'", "TIMESTAMP '2024-01-04 21:00:00'"
 add("rescue_union", f"""SELECT id, origin, (SELECT count(*) > 150 FROM ev WHERE {_in(_d0, _d1)}) AS clamped FROM (
   SELECT id, 'main' AS origin, row_number() OVER (ORDER BY published_at DESC, ingested_at DESC, id) AS r, 150 AS cap FROM ev WHERE {_in(_d0, _d1)}
-  UNION ALL SELECT id, 'rescue', row_number() OVER (ORDER BY published_at DESC, ingested_at DESC, id), 40 FROM ev WHERE {_in(_d0 + ' - INTERVAL 2 DAY', _d0)}) WHERE r <= cap""", EVENTS)
+  UNION ALL SELECT id, 'rescue', row_number() OVER (ORDER BY published_at DESC, ingested_at DESC, id), 40 FROM ev WHERE published_at >= {_d0} - INTERVAL 2 DAY AND published_at < {_d0}
+    AND (ingested_at >= {_d0} AND ingested_at < {_d1} OR published_at + to_hours(n % 40) >= {_d0} AND published_at + to_hours(n % 40) < {_d1})) WHERE r <= cap""", EVENTS)
 add("window_items", "SELECT id FROM items WHERE " + _in("TIMESTAMP '2024-01-01 02:00:00'", "TIMESTAMP '2024-01-01 12:00:00'"), ITEMS)
 add("repair_gate", f"""SELECT count(*) AS items, count(fallback) AS decided, count(*) FILTER (fallback) AS fallbacks, count(*) > 0 AND (count(*) FILTER (fallback) > 0 OR count(fallback) = 0) AS needed
 FROM items LEFT JOIN (SELECT item_id, fallback FROM decisions WHERE decision_id % 2 = 0) d ON d.item_id = id WHERE {_in("TIMESTAMP '2024-01-01 00:00:00'", "TIMESTAMP '2024-01-01 12:00:00'")}""", ITEMS, DECISIONS)
@@ -299,7 +311,9 @@ add("voice_targets", """SELECT item_id, CASE WHEN NOT skipped THEN signal_id END
 add("mention_signals", f"""SELECT handle, count(DISTINCT id) AS posts, array_to_string(list_sort(list(DISTINCT by_)), ',') AS mentioned_by, count(DISTINCT by_) AS mentioners FROM (
   SELECT id, {_handle('source_ref')} AS by_, lower(unnest(regexp_extract_all(body, '@([A-Za-z0-9_]+)', 1))) AS handle FROM items) WHERE length(handle) <= 15 AND handle <> by_ AND handle NOT IN (SELECT lower(handle) FROM sources) GROUP BY handle HAVING count(DISTINCT id) >= 2 OR count(DISTINCT by_) >= 2""", ITEMS, SOURCES)
 add("referenced_authors", "SELECT 'd' || doc_id AS id, array_to_string(list_sort(['q' || (doc_id % 5), 'r' || (doc_id % 3), 't1', 't2']), ',') AS authors FROM documents")
-add("candidates_updated", f"SELECT coalesce(s.handle, m.handle) AS handle, coalesce(posts, 0) AS mentions, coalesce(mentioned_by, '') AS mentioned_by, CASE WHEN s.handle IS NOT NULL THEN 'watch' ELSE 'pending' END AS status FROM sources s FULL JOIN ({ORACLE_SQL['mention_signals'].partition(chr(10) + 'SELECT')[2].join(['SELECT', ''])}) m ON s.handle = m.handle", ITEMS, SOURCES)
+_counts = ORACLE_SQL["mention_signals"].partition(chr(10) + "SELECT")[2].partition("GROUP BY handle")[0]
+add("candidates_updated", f"""SELECT handle, coalesce(posts, 0) AS mentions, coalesce(mentioned_by, '') AS mentioned_by, CASE WHEN length(handle) % 2 = 0 OR posts IS NULL THEN 'watch' ELSE 'pending' END AS status
+FROM (SELECT{_counts}GROUP BY handle UNION ALL SELECT handle, NULL, NULL, NULL FROM sources) WHERE length(handle) % 2 = 0 OR posts IS NULL OR posts >= 2 OR mentioners >= 2""", ITEMS, SOURCES)
 CATALOGUE = """cat AS (SELECT p_partkey AS id, p_retailprice AS price, CAST(p_size AS BIGINT) AS context FROM part),
 events_ AS (SELECT id + 1000000 AS id, 'new' AS event FROM cat WHERE id % 19 = 0 UNION ALL SELECT id, 'removed' FROM cat WHERE id % 13 = 0
   UNION ALL SELECT id, 'price_change' FROM cat WHERE id % 13 <> 0 AND id % 7 = 0 UNION ALL SELECT id, 'context_change' FROM cat WHERE id % 13 <> 0 AND id % 5 = 0)"""
@@ -309,6 +323,8 @@ add("catalogue_guard", "SELECT count(*) AS active, count(*) FILTER (p_partkey %
 add("upsert_items", """SELECT platform, n AS external_id, title, CAST(CASE WHEN n % 5 <> 0 AND n % 2 = 0 THEN length(body) + 1 ELSE length(body) END AS INT) AS size, CASE WHEN n % 3 <> 0 THEN 'e' || n END AS enrichment,
   CASE WHEN n % 5 = 0 THEN 'kept' WHEN n % 3 = 0 THEN 'inserted' WHEN n % 2 = 0 THEN 'updated' ELSE 'skipped' END AS action FROM items WHERE n % 3 <> 0 OR n % 5 <> 0""", ITEMS)
 add("link_diff", "SELECT CASE WHEN h IS NULL THEN 'insert' WHEN w IS NULL THEN 'delete' ELSE 'update' END AS change, count(*) AS links FROM (SELECT min(l_linenumber) FILTER (l_linenumber <= 3) AS w, min(l_linenumber % 4) FILTER (l_linenumber BETWEEN 2 AND 4) AS h FROM lineitem GROUP BY l_orderkey, l_partkey) WHERE w IS DISTINCT FROM h GROUP BY 1")
+add("item_lookup", """SELECT n.n, coalesce((SELECT min(e.n) FROM items e WHERE e.n % 2 = 0 AND e.platform = n.platform AND e.n = CASE WHEN n.n % 3 = 0 THEN n.n + 1000000 WHEN n.n % 7 > 0 THEN n.n END),
+  (SELECT min(e.n) FROM items e WHERE e.n % 2 = 0 AND e.platform = n.platform AND e.url = n.url)) AS item_id FROM items n WHERE n.n % 5 < 4""", ITEMS)
 add("union_first_wins", "SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'main' ELSE 'rescue' END AS origin FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
 add("unchanged_skipped", "SELECT id FROM items WHERE n % 4 = 0 AND coalesce(title, '') <> 'changed'", ITEMS)
 add("retention_keep", """SELECT (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM kept)) AS children, count(*) AS parents, CAST(sum(o_orderkey) AS BIGINT) AS id_sum FROM kept""",
@@ -350,4 +366,12 @@ add("edition_labels", "SELECT event_id, 'daily-ai-news-' || strftime(ts, '%Y-%m-
 add("price_labels", """SELECT p_partkey, p_partkey % 5 <> 0 AND p_partkey % 7 = 0 AS free, CASE WHEN p_partkey % 5 = 0 THEN '?' WHEN p_partkey % 7 = 0 THEN '$0.00' ELSE '$' || p_size || '.00' END AS label,
   CASE WHEN p_partkey * 777 >= 1000000 THEN format('{:.1f}', p_partkey * 777 / 1000000) || 'M' WHEN p_partkey * 777 >= 1000 THEN format('{:,.1f}', p_partkey * 777 / 1000) || 'K' ELSE CAST(p_partkey * 777 AS VARCHAR) END AS compact FROM part""")
 add("trusted_mentions", "SELECT 'm' || (source_id % 4) AS handle, count(DISTINCT lower(handle)) AS trusted FROM sources WHERE trust_label IN ('high', 'medium') GROUP BY 1", SOURCES)
-add("feed_payload", "SELECT '5' AS total, min(id) AS first_id FROM items", ITEMS)
+_found = "found AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, id) AS r FROM (SELECT *, CASE WHEN n % 3 > 0 THEN 'Au' || (n % 4) END AS author, row_number() OVER (PARTITION BY platform ORDER BY published_at DESC, id) AS p FROM ev) WHERE p <= 40 AND author = 'Au1')"
+add("feed_payload", "SELECT CAST(count(*) AS VARCHAR) AS total, CAST(nullif(count(*) FILTER (platform = 'click'), 0) AS VARCHAR) AS clicks, string_agg(id || ':' || platform || ':' || author || ':https://e.com/' || id || ':' || CAST(CAST(k AS INT) AS VARCHAR), ' ' ORDER BY r) AS items FROM found WHERE r <= 30", EVENTS, _found)
+_big = lambda x: f"CASE WHEN {x} >= 1000000 THEN format('{{:.1f}}', {x} / 1000000) || 'M' WHEN {x} >= 1000 THEN format('{{:,.1f}}', {x} / 1000) || 'K' ELSE CAST(CAST({x} AS BIGINT) AS VARCHAR) END"
+add("daily_summary", f"""SELECT '📡 *News — Daily Summary (2024-01-31)*' || chr(10) || 'Collected ' || (SELECT count(*) FROM posts) || ' tweets from ' || (SELECT count(DISTINCT handle) FROM posts) || ' accounts' || chr(10) || chr(10) || '*🏆 Top 10 by Engagement Score*' || chr(10)
+  || '_(score = bookmark×5 + like×2 + RT×3 + view×0.001)_' || chr(10) || chr(10) || (SELECT string_agg(CASE r WHEN 1 THEN '🥇' WHEN 2 THEN '🥈' WHEN 3 THEN '🥉' ELSE r || '.' END || ' *@' || handle || '*' || chr(10) || '> ' || replace(left(t, 120), chr(10), ' ') || CASE WHEN length(t) > 120 THEN '…' ELSE '' END || chr(10)
+    || '> 👁' || {_big('v')} || ' ❤️' || {_big('l')} || ' 🔖' || {_big('b')} || ' 🔄0' || chr(10) || '> <https://x.com/' || id || '>' || chr(10), chr(10) ORDER BY r) FROM ranked WHERE r <= 10) || chr(10) || '*📊 Per Account*' || chr(10)
+  || (SELECT string_agg('• @' || handle || ': ' || c || ' tweets', chr(10) ORDER BY c DESC, handle) FROM (SELECT handle, count(*) AS c FROM posts GROUP BY 1)) AS summary""", EVENTS,
+    "posts AS (SELECT id, handle, repeat('text of' || chr(10) || id || ' ', CAST(n % 20 AS INT)) AS t, round(score) AS l, round(score * 1000) AS v, CAST(n % 5 AS DOUBLE) AS b FROM ev WHERE platform = 'view')",
+    "ranked AS (SELECT *, row_number() OVER (ORDER BY b * 5 + l * 2 + v * 0.001::DOUBLE DESC, id) AS r FROM posts)")

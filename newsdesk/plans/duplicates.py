@@ -11,6 +11,7 @@ from newsdesk import config as C
 from newsdesk.functions import text, urls
 from newsdesk.operators.components import connected_components
 from newsdesk.operators.relational import first_per_key
+from newsdesk.session import stored
 
 
 def detail_score(profile: str = "rules") -> Column:
@@ -85,7 +86,8 @@ def similar_titles(items: DataFrame, threshold: float = C.TITLE_JACCARD, first:
     of each: only items that share one of these rare words meet, by id alone.  ``cap`` keeps that many
     candidates of an item, in order of number.
     """
-    t = items.select(F.col("n").alias("node"), text.tokens(F.col("title")).alias("words")).filter(F.size("words") >= first)
+    # Read by every step below, so the words are made once.
+    t = stored(items.select(F.col("n").alias("node"), text.tokens(F.col("title")).alias("words")), "title-words").filter(F.size("words") >= first)
     # Equal word lists collapse: candidates are found between distinct lists only.
     lists = t.groupBy("words").agg(F.min("node").alias("node"))
     each = lists.select("node", F.explode("words").alias("word"))

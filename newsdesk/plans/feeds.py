@@ -9,8 +9,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-
+from newsdesk.functions.text import compact_number
 from newsdesk.operators.relational import first_per_key, latest, with_ties
 
 
@@ -48,18 +49,23 @@ def clamped_limit(value: int | None, default: int = 100, most: int = 500) -> int
 
 
 def search(items: DataFrame, keyword: str | None = None, source: str | None = None, per_platform: int = 500, limit: int = 2000, platforms: Sequence[str] = ()) -> DataFrame:
-    """Newest items of each platform up to ``per_platform``, then filtered, then merged and cut: filters see what the first cut left, on clipped texts."""
+    """Newest items of each platform up to ``per_platform``, then filtered, then merged and cut: filters see what the first cut left, on clipped texts.
+
+    Author and metrics come along where the items have them; both filters look at the author too.
+    """
     rows = items.filter(F.col("platform").isin(*platforms)) if platforms else items
     newest = [F.col("published_at").desc_nulls_last(), F.col("id")]
     from newsdesk.operators.relational import top_per_group
 
+    author = F.col("author") if "author" in items.columns else F.lit(None).cast("string")
     cut = top_per_group(rows, ["platform"], newest, per_platform).select(
-        "id", "platform", "source_ref", "published_at", F.when(F.length("title") > 100, F.concat(F.substring("title", 1, 100), F.lit("…"))).otherwise(F.col("title")).alias("title"), F.substring("body", 1, 500).alias("text"),
+        "id", "platform", "source_ref", author.alias("author"), "published_at", F.when(F.length("title") > 100, F.concat(F.substring("title", 1, 100), F.lit("…"))).otherwise(F.col("title")).alias("title"), F.substring("body", 1, 500).alias("text"), "url",
+        *(["metrics"] if "metrics" in items.columns else []),
     )
     if keyword:
-        cut = cut.filter(contains_any([F.col("title"), F.col("text")], [keyword]))
+        cut = cut.filter(contains_any([F.col(c) for c in ("title", "text", "author", "source_ref")], [keyword]))
     if source:
-        cut = cut.filter(contains_any([F.col("source_ref")], [source]))
+        cut = cut.filter(contains_any([F.col("source_ref"), F.col("author")], [source]))
     return cut.orderBy(*newest).limit(limit)
 
 
@@ -148,8 +154,34 @@ def calendar(first: str, last: str) -> DataFrame:
     return days.withColumn("weekday", F.dayofweek("day"))
 
 
-def payload(page: DataFrame) -> DataFrame:
-    """One row ``json``: the page's items as an API returns them; a page is bounded by its limit."""
-    return page.agg(F.to_json(F.struct(F.struct(F.count("*").alias("totalItems")).alias("meta"), F.collect_list(F.struct(*page.columns)).alias("items"))).alias("json"))
+def payload(page: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row ``json``: the page's items as an API returns them, in order of ``rank``, with their number, all and by platform; a page is bounded by its limit."""
+    item = F.struct("rank", F.struct(*(columns or page.columns)).alias("item"))
+    by_platform = page.groupBy("platform").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("platform", "n")))).alias("counts"))
+    rows = page.agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(item), lambda a, b: a["rank"] - b["rank"]), lambda x: x["item"]).alias("items"))
+    # One row each.
+    met = rows.crossJoin(F.broadcast(by_platform))
+    return met.select(F.to_json(F.struct(F.struct(F.col("n").alias("totalItems"), "counts").alias("meta"), "items")).alias("json"))
 
 
+def daily_summary(posts: DataFrame, day: str, title: str, best: int = 10) -> DataFrame:
+    """One row ``summary``: the posts (handle, text, url, metrics) of a day by engagement, and each account's number of posts, the busiest first.
+
+    Accounts are a bounded dimension, so one row holds them; equal ones go by name.
+    """
+    scored = posts.withColumn("score", F.coalesce(engagement(F.col("metrics")), F.lit(0.0)))
+    head = scored.orderBy(F.desc("score"), "id").limit(best).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    medal = F.when(F.col("rank") == 1, "🥇").when(F.col("rank") == 2, "🥈").when(F.col("rank") == 3, "🥉").otherwise(F.concat(F.col("rank").cast("string"), F.lit(".")))
+    n = lambda k: compact_number(F.coalesce(F.try_element_at("metrics", F.lit(k)), F.lit(0.0)))
+    clipped = F.concat(F.regexp_replace(F.substring("text", 1, 120), "\n", " "), F.when(F.length("text") > 120, "…").otherwise(""))
+    entry = F.concat(medal, F.lit(" *@"), "handle", F.lit("*\n> "), clipped, F.lit("\n> 👁"), n("view"), F.lit(" ❤️"), n("like"), F.lit(" 🔖"), n("bookmark"), F.lit(" 🔄"), n("retweet"), F.lit("\n> <"), "url", F.lit(">\n"))
+    top = head.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry")))), lambda x: x["entry"]), "\n").alias("entries"))
+    each = posts.groupBy("handle").agg(F.count("*").alias("posts"))
+    accounts = each.agg(F.sum("posts").alias("posts"), F.count("*").alias("accounts"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("posts")).alias("by"), "handle"))), lambda x: F.concat(F.lit("• @"), x["handle"], F.lit(": "), (-x["by"]).cast("string"), F.lit(" tweets"))).alias("lines"))
+    # One row each.
+    met = top.crossJoin(F.broadcast(accounts))
+    text = F.concat(
+        F.lit(f"📡 *{title} — Daily Summary ({day})*\nCollected "), F.col("posts").cast("string"), F.lit(" tweets from "), F.col("accounts").cast("string"), F.lit(" accounts\n\n*🏆 Top "), F.col("n").cast("string"),
+        F.lit(" by Engagement Score*\n_(score = bookmark×5 + like×2 + RT×3 + view×0.001)_\n\n"), "entries", F.lit("\n*📊 Per Account*\n"), F.array_join("lines", "\n"),
+    )
+    return met.select(F.when(F.col("n") > 0, text).otherwise("No new tweets in last 24h").alias("summary"))

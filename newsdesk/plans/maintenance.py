@@ -41,17 +41,26 @@ def referenced(json: Column) -> Column:
     return F.array_distinct(F.array_compact(F.concat(replied, quoted, *listed)))
 
 
-def mention_signals(posts: DataFrame, known: DataFrame, minimum: int = 2) -> DataFrame:
-    """(handle, posts, mentioners) of unknown accounts that several posts or several accounts mention; self-mentions don't count."""
+def mention_counts(posts: DataFrame, known: DataFrame, minimum: int = 2) -> DataFrame:
+    """(handle, posts, mentioned_by, mentioners, qualified) of unknown accounts that posts mention; self-mentions don't count.
+
+    Several posts or several accounts qualify one.
+    """
     by = posts.select("id", text.handle(F.col("source_ref")).alias("by"), F.explode(mentioned(F.col("body"))).alias("handle")).filter("by is null or handle <> by")
     fresh = by.join(known.select(text.handle(F.col("handle")).alias("handle")).filter("handle is not null").distinct(), "handle", "left_anti")
     counted = fresh.groupBy("handle").agg(F.countDistinct("id").alias("posts"), F.array_join(F.array_sort(F.collect_set("by")), ",").alias("mentioned_by"), F.countDistinct("by").alias("mentioners"))
-    return counted.filter((F.col("posts") >= minimum) | (F.col("mentioners") >= minimum))
+    return counted.withColumn("qualified", (F.col("posts") >= minimum) | (F.col("mentioners") >= minimum))
+
+
+def mention_signals(posts: DataFrame, known: DataFrame, minimum: int = 2) -> DataFrame:
+    """The accounts that enough posts or accounts mention."""
+    return mention_counts(posts, known, minimum).filter("qualified").drop("qualified")
 
 
-def candidates_updated(existing: DataFrame, signals: DataFrame) -> DataFrame:
-    """Candidates after a discovery round: counts are replaced, absent ones fall to 0, new ones start as pending."""
-    return existing.join(signals, "handle", "full_outer").select("handle", F.coalesce("posts", F.lit(0)).alias("mentions"), F.coalesce("mentioned_by", F.lit("")).alias("mentioned_by"), F.coalesce("status", F.lit("pending")).alias("status"))
+def candidates_updated(existing: DataFrame, counts: DataFrame) -> DataFrame:
+    """Candidates after a discovery round: counts are replaced, few or many, absent ones fall to 0; new ones start as pending if they qualify."""
+    met = existing.join(counts, "handle", "full_outer").filter(F.col("status").isNotNull() | F.col("qualified"))
+    return met.select("handle", F.coalesce("posts", F.lit(0)).alias("mentions"), F.coalesce("mentioned_by", F.lit("")).alias("mentioned_by"), F.coalesce("status", F.lit("pending")).alias("status"))
 
 
 def catalogue_guard(old: DataFrame, new: DataFrame) -> DataFrame:

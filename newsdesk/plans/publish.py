@@ -58,16 +58,20 @@ def plan(candidates: DataFrame, limit: int = C.SELECTION_LIMIT, offset: int = 0)
     return top(candidates, order(), min(limit, C.SELECTION_LIMIT)).withColumn("position", F.col("rank") + offset)
 
 
-def windowed(items: DataFrame, start: Column, stop: Column, main: int = C.MAIN_LIMIT, rescue: int = C.RESCUE_LIMIT) -> DataFrame:
-    """An edition's window, at most ``main`` items newest first (nulls last), and up to ``rescue`` of the two days before; main rows win.
+def windowed(items: DataFrame, start: Column, stop: Column, classes: DataFrame, main: int = C.MAIN_LIMIT, rescue: int = C.RESCUE_LIMIT) -> DataFrame:
+    """An edition's window, at most ``main`` items newest first (nulls last), and up to ``rescue`` late ones; main rows win.
 
+    Late are items published in the two days before that came in, or were classified, within the window.
     ``clamped`` tells on every row whether the main window held more.
     """
     newest = [F.col("published_at").desc_nulls_last(), F.col("ingested_at").desc_nulls_last(), F.col("id")]
+    within = lambda c: (F.col(c) >= start) & (F.col(c) < stop)
     inside = items.filter(timing.in_window(F.col("published_at"), F.col("ingested_at"), start, stop))
-    late = items.filter(timing.in_window(F.col("published_at"), F.col("ingested_at"), start - F.make_interval(days=F.lit(2)), start))
+    classified = classes.filter(within("classified_at")).select(F.col("item_id").alias("id")).distinct().withColumn("_classified", F.lit(True))
+    before = items.filter((F.col("published_at") >= start - F.make_interval(days=F.lit(2))) & (F.col("published_at") < start))
+    late = before.join(classified, "id", "left").filter(F.coalesce(within("ingested_at"), F.lit(False)) | F.col("_classified")).drop("_classified")
     more = inside.limit(main + 1).agg((F.count("*") > main).alias("clamped"))
-    rows = union_first_wins(inside.orderBy(*newest).limit(main).withColumn("origin", F.lit("main")), late.orderBy(*newest).limit(rescue).withColumn("origin", F.lit("rescue")), "id")
+    rows = union_first_wins(inside.orderBy(*newest).limit(main).withColumn("origin", F.lit("main")), late.select(items.columns).orderBy(*newest).limit(rescue).withColumn("origin", F.lit("rescue")), "id")
     # One row.
     return rows.crossJoin(F.broadcast(more))
 
@@ -78,6 +82,36 @@ def per_section(planned: DataFrame, limit: int = C.SECTION_LIMIT) -> DataFrame:
     return numbered.filter(F.col("place") <= limit)
 
 
+def composed(rows: DataFrame, clustered: bool = True) -> DataFrame:
+    """Each section's articles in the order an edition prints them, up to the section's limit, with ``place`` and the section's ``candidates``.
+
+    ``rows`` holds id, section, position, priority_score, headline_score, final_headline_score, score and
+    trust_label.  All scores are weighed by trust.  Sections go by priority, then headline score, then score;
+    the headlines, if topics are clustered, by final headline score first.  Equal ones go by position.
+    """
+    factor = trust_factor(F.col("trust_label"))
+    weighed = lambda c: F.coalesce(F.col(c), F.lit(0.0)) * factor
+    foremost = F.lit(clustered) & (F.col("section") == C.HEADLINE_SECTION)
+    first = F.when(foremost, weighed("final_headline_score")).otherwise(weighed("priority_score"))
+    second = F.when(foremost, weighed("priority_score")).otherwise(weighed("headline_score"))
+    group = Window.partitionBy("section")
+    limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in C.SECTION_LIMITS.items() for x in kv]), F.col("section")), F.lit(C.SECTION_LIMIT))
+    place = F.row_number().over(group.orderBy(first.desc(), second.desc(), weighed("score").desc(), "position", "id"))
+    return rows.withColumn("candidates", F.count("*").over(group)).withColumn("place", place).filter(F.col("place") <= limit)
+
+
+def density(selected: DataFrame, printed: DataFrame, least: int = C.DENSE_ITEMS, dense: int = C.DENSE_ITEMS) -> DataFrame:
+    """(section, candidates, selected, required, actual, short) of each section of a composed edition.
+
+    A section of at least ``dense`` candidates and ``least`` articles has to print ``least``; ``printed``
+    (section, articles) counts what the text has, nothing where a section is missing.
+    """
+    sizes = selected.groupBy("section").agg(F.max("candidates").alias("candidates"), F.count("*").alias("selected"))
+    required = F.when((F.col("candidates") >= dense) & (F.col("selected") >= least), F.least(F.lit(least), F.col("selected"))).otherwise(0)
+    met = sizes.withColumn("required", required).join(printed.select("section", F.col("articles").alias("actual")), "section", "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    return met.withColumn("short", (F.col("required") > 0) & (F.col("actual") < F.col("required")))
+
+
 def blurb() -> Column:
     value = F.coalesce(F.nullif(text.collapse(F.col("body")), F.lit("")), F.nullif(text.collapse(F.col("title")), F.lit("")))
     return F.when(F.length(value) <= 280, value).otherwise(F.concat(F.substring(value, 1, 279), F.lit("…")))

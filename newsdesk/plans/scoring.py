@@ -136,6 +136,16 @@ def lifecycle(summary: DataFrame) -> DataFrame:
     return rows.select("source_id", F.array_join(flags, "+").alias("condition_keys"), (F.coalesce("rate", F.lit(0.0)) >= C.SEVERE_NOISE).alias("severe"), ((F.size(flags) > 0) & (F.col("classified_28") >= C.MIN_CLASSIFIED_28D)).alias("should_act"))
 
 
+def due(flags: DataFrame, as_of: Column) -> DataFrame:
+    """The sources of ``lifecycle`` that may be acted on: those whose cooldown, if they have one, is over."""
+    return flags.filter(F.col("should_act") & (F.col("cooldown_until").isNull() | (F.col("cooldown_until") <= as_of)))
+
+
+def cooled(sources: DataFrame, as_of: Column) -> DataFrame:
+    """Sources just acted on or restored, left alone from now for ``COOLDOWN_DAYS``."""
+    return sources.withColumn("cooldown_until", as_of + F.make_interval(days=F.lit(C.COOLDOWN_DAYS)))
+
+
 def demotions(events: DataFrame) -> DataFrame:
     """Demotions that confirm an earlier one: the same source's last demotion 6 to 8 days before, unless restored or deactivated in between, sharing a condition.
 

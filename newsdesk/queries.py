@@ -65,6 +65,11 @@ def item_urls(s, d):
     return X.items(s, d).select("id", urls.canonical(F.col("url")).alias("canonical"), urls.prefilter_key(F.col("url")).alias("prefilter_key"), urls.article_key(F.col("url")).alias("article_key"))
 
 
+@query
+def alert_links(s, d):
+    return X.table(s, d, "pages").select("page_id", urls.alert_link(F.col("url"), C.ALERT_PARAMS).alias("collected"), urls.alert_link(F.col("url"), C.FETCH_PARAMS).alias("fetched"))
+
+
 @query
 def url_key_prefilter(s, d):
     return X.table(s, d, "pages").select("page_id", urls.prefilter_key(F.col("url")).alias("key"))
@@ -371,6 +376,15 @@ def candidate_ladder(s, d):
 # --- editions ------------------------------------------------------------------
 
 
+@query
+def lifecycle_due(s, d):
+    m = _summary(s, d)
+    flags = scoring.lifecycle(m.join(scoring.trust_scores(m, at(STOP)).select("source_id", "trust_score"), "source_id"))
+    acted = X.sources(s, d).select("source_id", F.when(F.col("source_id") % 3 > 0, at(STOP) - F.make_interval(days=(F.col("source_id") * 9).cast("int"))).alias("acted_at"))
+    until = scoring.cooled(acted, F.col("acted_at")).select("source_id", F.col("cooldown_until"))
+    return scoring.due(flags.withColumn("should_act", F.col("source_id") % 5 != 4).join(until, "source_id"), at(STOP)).select("source_id", stamp("cooldown_until").alias("cooldown"))
+
+
 @query
 def edition_key(s, d):
     return X.table(s, d, "events").select("event_id", timing.edition_key(F.col("ts")).alias("edition"), timing.local_day(F.col("ts")).alias("local_day"))
@@ -408,7 +422,9 @@ def section_topn(s, d):
 
 @query
 def rescue_union(s, d):
-    return publish.windowed(X.event_items(s, d).withColumn("ingested_at", F.col("ingested_at")), at(DAY[0]), at(DAY[1]), main=150, rescue=40).select("id", "origin", "clamped")
+    i = X.event_items(s, d)
+    classes = i.select(F.col("id").alias("item_id"), (F.col("published_at") + F.make_interval(hours=(F.col("n") % 40).cast("int"))).alias("classified_at"))
+    return publish.windowed(i, at(DAY[0]), at(DAY[1]), classes, main=150, rescue=40).select("id", "origin", "clamped")
 
 
 @query
@@ -448,6 +464,27 @@ def repository_collapse(s, d):
     return publish.collapsed_repositories(rows.withColumn("platform", F.when(F.expr("cast(substring(id, 2) as bigint) % 2 = 0"), "github").otherwise(F.col("platform")))).select("id", F.startswith("title", F.lit("[")).alias("badged"))
 
 
+def _printed(s, d):
+    dec = X.decisions(s, d).select(F.col("item_id").alias("id"), "priority_score", "headline_score", (F.col("headline_score") + 7 * F.col("distinct_sources")).alias("final_headline_score"))
+    score = R.latest(X.classifications(s, d), "item_id", "classified_at", "classification_id").select(F.col("item_id").alias("id"), "score")
+    label = X.items(s, d).select("id", F.expr("substring(source_ref, 2)").alias("handle")).join(X.sources(s, d).select("handle", "trust_label"), "handle")
+    rows = publish.plan(_eligible(s, d)).select("id", "section", "position")
+    return publish.composed(rows.join(dec, "id").join(score, "id").join(label.select("id", "trust_label"), "id"))
+
+
+@query
+def composed_sections(s, d):
+    return _printed(s, d).select("id", "section", "place", "candidates")
+
+
+@query
+def compose_density(s, d):
+    # A text that prints two of three articles of a section, and nothing of two sections.
+    rows = _printed(s, d)
+    printed = rows.filter("place % 3 > 0 and section not in ('4_tech', '9_other')").groupBy("section").agg(F.count("*").alias("articles"))
+    return publish.density(rows, printed, least=4, dense=5)
+
+
 @query
 def repair_gate(s, d):
     return publish.repair_needed(X.items(s, d), X.decisions(s, d).filter("decision_id % 2 = 0"), at("2024-01-01 00:00:00"), at("2024-01-01 12:00:00"))
@@ -620,9 +657,10 @@ def referenced_authors(s, d):
 
 @query
 def candidates_updated(s, d):
-    signals = mention_signals(s, d).select("handle", "posts", "mentioned_by")
-    known = X.sources(s, d).select("handle", F.lit("watch").alias("status"))
-    return maintenance.candidates_updated(known, signals)
+    counts = maintenance.mention_counts(X.items(s, d), X.sources(s, d))
+    # Known candidates: accounts that nobody mentions, and every second of those that somebody does.
+    known = X.sources(s, d).select("handle").unionByName(counts.filter("length(handle) % 2 = 0").select("handle")).withColumn("status", F.lit("watch"))
+    return maintenance.candidates_updated(known, counts)
 
 
 @query
@@ -653,6 +691,14 @@ def upsert_items(s, d):
     return R.upsert(old, new, ["platform", "external_id"], ["title", "size"], ["enrichment"])
 
 
+@query
+def item_lookup(s, d):
+    i = X.items(s, d).select("platform", F.col("n").alias("external_id"), "url", F.col("n").alias("item_id"))
+    seen = i.filter("item_id % 2 = 0")
+    new = i.filter("item_id % 5 < 4").select("platform", F.when(F.col("external_id") % 3 == 0, F.col("external_id") + 1_000_000).when(F.col("external_id") % 7 > 0, F.col("external_id")).alias("external_id"), "url", F.col("item_id").alias("n"))
+    return R.identified(new, seen, "item_id", ["platform", "external_id"], ["platform", "url"]).select("n", "item_id")
+
+
 @query
 def link_diff(s, d):
     o = X.table(s, d, "lineitem")
@@ -869,4 +915,17 @@ def trusted_mentions(s, d):
 
 @query
 def feed_payload(s, d):
-    return feeds.payload(R.top(X.items(s, d).select("id", "platform"), [F.col("id")], 5).orderBy("rank")).select(F.get_json_object("json", "$.meta.totalItems").alias("total"), F.get_json_object("json", "$.items[0].id").alias("first_id"))
+    i = X.event_items(s, d).withColumns({"title": F.col("id"), "body": F.concat(F.lit("b "), "id"), "url": F.concat(F.lit("https://e.com/"), "id"), "author": F.when(F.col("n") % 3 > 0, F.concat(F.lit("Au"), F.col("n") % 4))})
+    page = R.top(feeds.search(i, source="au1", per_platform=40, limit=30), [F.desc("published_at"), F.col("id")], 30)
+    json = feeds.payload(page, ["id", "platform", "author", "url", "metrics"])
+    got = lambda path: F.get_json_object("json", path)
+    found = F.from_json(got("$.items"), "array<struct<id:string,platform:string,author:string,url:string,metrics:map<string,double>>>")
+    return json.select(got("$.meta.totalItems").alias("total"), got("$.meta.counts.click").alias("clicks"), F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["id"], x["platform"], x["author"], x["url"], x["metrics"]["k"].cast("int").cast("string"))), " ").alias("items"))
+
+
+@query
+def daily_summary(s, d):
+    i = X.event_items(s, d).filter("platform = 'view'")
+    m = F.create_map(F.lit("like"), F.round(F.col("score")), F.lit("view"), F.round(F.col("score") * 1000), F.lit("bookmark"), (F.col("n") % 5).cast("double"))
+    posts = i.select("id", "handle", F.repeat(F.concat(F.lit("text of\n"), "id", F.lit(" ")), (F.col("n") % 20).cast("int")).alias("text"), F.concat(F.lit("https://x.com/"), "id").alias("url"), m.alias("metrics"))
+    return feeds.daily_summary(posts, "2024-01-31", "News")
