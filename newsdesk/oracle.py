@@ -85,6 +85,13 @@ add("title_keys", f"SELECT id, {key('title', 24)} AS rules_key, {key('title', 20
 _TOKENS = f"tok AS (SELECT id, n, list_filter(string_split(coalesce({key('title', 1)}, ''), ' '), lambda t: length(t) >= 4) AS raw FROM items), tk AS (SELECT id, n, list_filter(raw, lambda t, i: list_position(raw, t) = i) AS words FROM tok)"
 add("title_tokens", "SELECT id, array_to_string(words, ',') AS tokens FROM tk", ITEMS, _TOKENS)
 add("sanitised_text", "SELECT id, CAST(length(title) AS INT) AS length FROM items", ITEMS)
+_PARTS = "sen AS (SELECT id, t, list_filter(list_transform(regexp_extract_all(t, '[^。！？.!?]+[。！？.!?]?'), lambda x: trim(x)), lambda x: x <> '') AS p FROM (SELECT id, " + collapse("body") + " AS t FROM items))"
+add("summary_sentences", """SELECT id, CAST(CASE WHEN len(p) >= 2 THEN least(len(p), 3) ELSE 2 END AS INT) AS parts, CASE WHEN coalesce(t, '') = '' THEN '要約データなし。' WHEN len(p) >= 2 THEN p[1]
+  WHEN trim(substr(t, CAST(ceil(length(t) / 2) AS BIGINT) + 1)) = '' THEN coalesce(nullif(trim(left(t, CAST(ceil(length(t) / 2) AS BIGINT))), ''), '要約データなし。') ELSE trim(left(t, CAST(ceil(length(t) / 2) AS BIGINT))) END AS first_part FROM sen""", ITEMS, _PARTS)
+_LINKS = """found AS (SELECT page_id, regexp_replace(unnest(regexp_extract_all('see (' || url || '). ' || html, '(?i)https?://[^ \\t\\n\\r\\x0B\\f<>"'')\\]]+')), '[).,!?;:''"\\]]+$', '') AS link FROM pages),
+c AS (SELECT page_id, link, regexp_extract(link, '^(https?)://([^/?#]+)([^?#]*)(\\?[^#]*)?', ['scheme', 'host', 'path', 'query']) AS u FROM found WHERE link <> '')"""
+add("page_links", "SELECT page_id, count(*) AS links, count(DISTINCT CASE WHEN u.host <> '' AND NOT regexp_matches(regexp_replace(link, '%[0-9A-Fa-f]{2}', '', 'g'), '%') THEN canonical END) AS distinct_links FROM (SELECT * FROM k JOIN p USING (page_id, link)) GROUP BY 1",
+    _LINKS, _CANON.partition(",\n")[2].replace("SELECT page_id, u,", "SELECT DISTINCT page_id, link, u,").replace("k AS (SELECT page_id, u.scheme", "k AS (SELECT page_id, link, u.scheme"))
 add("links_stripped", f"SELECT id, nullif(left(trim(regexp_replace('see ' || regexp_replace(regexp_replace(title, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), 'https?://[^ \\t\\n\\r]+', '', 'g') || ' ', '{BLANK}', ' ', 'g')), 60), '') AS plain FROM items", ITEMS)
 add("blurbs", f"SELECT id, CASE WHEN length(b) <= 280 THEN b ELSE left(b, 279) || '…' END AS blurb FROM (SELECT id, coalesce(nullif({collapse('body')}, ''), nullif({collapse('title')}, '')) AS b FROM items)", ITEMS)
 _OUT = "html"
@@ -235,6 +242,11 @@ add("publish_candidates", "SELECT id, headline, priority, section FROM elig", *_
 add("publish_plan", "SELECT id, headline, priority, section, rank, rank AS position FROM planned WHERE rank <= 120", *_pub)
 add("appended_positions", "SELECT id, rank + 120 AS position FROM planned WHERE rank <= 20", *_pub)
 add("section_topn", "SELECT id, section, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY rank, id) AS place FROM planned WHERE rank <= 120) WHERE place <= 3", *_pub)
+_titles = [f"{i + 1}. {t}" for i, t in enumerate(C.SECTION_TITLES.values())]
+PRESS = f"""press AS (SELECT *, {cases('section', {k: i for i, k in enumerate(C.SECTION_TITLES)}, 'NULL')} AS no, {cases('section', dict(zip(C.SECTION_TITLES, _titles, strict=True)), 'NULL')} AS heading FROM (
+  SELECT *, row_number() OVER (PARTITION BY section ORDER BY rank, id) AS place FROM planned WHERE rank <= 120) WHERE place <= {C.SECTION_LIMIT})"""
+add("markdown_articles", f"SELECT heading AS section, CAST(row_number() OVER (ORDER BY no, place) AS BIGINT) AS article, coalesce(nullif({collapse('title')}, ''), 'Untitled') AS title, url FROM press", *_pub, PRESS)
+add("markdown_counts", "SELECT heading AS section, count(*) AS articles FROM press GROUP BY 1", *_pub, PRESS)
 add("topic_collapse", """SELECT id, CASE WHEN many THEN '1_latest_ai_news' ELSE section END AS section, many OR title LIKE '[%' AS badged FROM (
   SELECT p.*, topic_cluster_key IS NOT NULL AND count(*) OVER g > 1 AND max(distinct_sources) OVER g >= 2 AS many, row_number() OVER (PARTITION BY topic_cluster_key ORDER BY headline_score DESC, rank, id) AS b
   FROM planned p LEFT JOIN (SELECT item_id, topic_cluster_key, distinct_sources, headline_score FROM decisions) d ON d.item_id = p.id WHERE rank <= 120 WINDOW g AS (PARTITION BY topic_cluster_key)) WHERE NOT many OR b = 1""", *_pub)

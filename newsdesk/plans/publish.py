@@ -133,15 +133,18 @@ def markdown(planned: DataFrame, edition_date: str, limit: int = C.SECTION_LIMIT
 
 def parsed(editions: DataFrame) -> DataFrame:
     """(section, article, title, url) of Markdown editions (``content``): each article under the heading before it."""
-    lines = editions.select(F.monotonically_increasing_id().alias("edition"), F.posexplode(F.split("content", "\n")))
+    # Numbered before the lines are dealt out: beside a generator the number would be one a line.
+    lines = editions.withColumn("edition", F.monotonically_increasing_id()).select("edition", F.posexplode(F.split("content", "\n")))
     order = Window.partitionBy("edition").orderBy("pos")
     of = lambda p: F.nullif(F.regexp_extract("col", p, 1), F.lit(""))
     filled = lines.withColumn("section", F.last(of(r"^## (.*)$"), ignorenulls=True).over(order)).withColumn("article", F.count(of("^### (.*)$")).over(order)).withColumn("title", F.last(of("^### (.*)$"), ignorenulls=True).over(order))
-    return filled.groupBy("edition", "section", "article", "title").agg(F.max(of(r"^引用元: \[[^\]]*\]\((.*)\)$")).alias("url")).filter("article > 0").drop("edition")
+    # An article's section and title are those of its own heading line; the lines up to the next one are its text.
+    own = filled.filter("article > 0").groupBy("edition", "article").agg(F.min_by("section", "pos").alias("section"), F.min_by("title", "pos").alias("title"), F.max(of(r"^引用元: \[[^\]]*\]\((.*)\)$")).alias("url"))
+    return own.select("section", "article", "title", "url")
 
 
 def section_counts(editions: DataFrame) -> DataFrame:
-    return parsed(editions).groupBy("section").agg(F.countDistinct("article").alias("articles"))
+    return parsed(editions).groupBy("section").agg(F.count("*").alias("articles"))
 
 
 def collapsed_topics(rows: DataFrame) -> DataFrame:
