@@ -45,7 +45,7 @@ ROUNDS, RIDGE, HARMLESS = 6, 1e-3, 10.0
 FOLDS = 3
 #: What calibration sees of a document: its foremost sentences' scores, within these bounds.
 FOREMOST, LOW, HIGH = 3, -3.0, 8.0
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Characters that stand in for letters.
 LOOK_ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"})
 #: What ends a sentence, at the end of a word.
@@ -140,8 +140,8 @@ class Landmarks:
     def kernel(self, words: list[str], power: int = POWER) -> np.ndarray:
         """Powers of the normalised kernel of words against the landmarks."""
         out = np.zeros((len(words), len(self.names)), np.float32)
-        for start in range(0, len(words), 1024):
-            part = words[start : start + 1024]
+        for start in range(0, len(words), 512):
+            part = words[start : start + 512]
             row, code, value = features(part)
             norm = np.sqrt(np.bincount(row, value**2, len(part)))
             n = self.count[code]
@@ -185,7 +185,7 @@ def spaced(single: np.ndarray) -> list[tuple[int, str]]:
 class Chunks:
     """Numbers of chunks, kept up to a bound, with what is known of each: a value, whether it ends a sentence, its letter if it is one."""
 
-    KEEP = 600_000
+    KEEP = 120_000
 
     def __init__(self, value, width: int) -> None:
         self.value, self.width = value, width
@@ -256,19 +256,26 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 class Scorer:
     """Scores of sentences under a model, and what calibration sees of documents."""
 
-    KEEP = 600_000
+    #: Words that stay known: those met since, and those met in as long a time before.
+    KEEP = 120_000
 
     def __init__(self, model: Model) -> None:
         self.model, self.landmarks, self.weights = model, Landmarks(model.landmarks), model.weights.astype(np.float32)
         self.words: dict[str, float] = {}
+        self.earlier: dict[str, float] = {}
         self.chunks = Chunks(self._values, 1)
 
     def _values(self, found: list[bytes]) -> np.ndarray:
         """Chunks' shares in a sentence's score.  Many chunks are one word in other cases and signs, which is compared once."""
         readings = [folded(c) for c in found]
         if len(self.words) > self.KEEP:
-            self.words.clear()
-        fresh = list({r[0] for r in readings if len(r) == 1} - self.words.keys())
+            self.words, self.earlier = {}, self.words
+        fresh = []
+        for w in {r[0] for r in readings if len(r) == 1} - self.words.keys():
+            if (known := self.earlier.get(w)) is None:
+                fresh.append(w)
+            else:
+                self.words[w] = known
         if fresh:
             self.words.update(zip(fresh, (self.landmarks.kernel(fresh) @ self.weights).tolist(), strict=True))
         out = np.array([[self.words[r[0]] if len(r) == 1 else 0.0] for r in readings], np.float32)
@@ -410,7 +417,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         landmarks, into = Landmarks(names), nystroem.astype(np.float32)
-        for batch in bounded(batches, 0, BATCH_BYTES // 8):
+        for batch in bounded(batches, 0, BATCH_BYTES // 4):
             found = Chunks(lambda c: landmarks.chunks(c) @ into, into.shape[1])
             x = [x.astype("<f4").tobytes() for x in found.sentences(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(x, pa.binary())], ["y", "part", "x"])
