@@ -132,10 +132,36 @@ def key_links(url: Column, canonical: Column, others: Column, limit: int = 6) ->
     return F.slice(F.array_distinct(F.array_compact(F.concat(F.array(url, canonical), others))), 1, limit)
 
 
-def json_links(json: Column, limit: int = 120) -> Column:
-    """http(s) links anywhere in a JSON document, distinct."""
-    plain = F.replace(json, F.lit("\\/"), F.lit("/"))
-    return F.slice(F.array_distinct(urls.links(F.regexp_replace(plain, r'[\\",{}\[\]]', " "))), 1, limit)
+#: How deep a stored post is searched for links, how many entries of a list and of an object, and what keys hold links.
+JSON_DEPTH, JSON_LIST, JSON_OBJECT, LINK_KEY = 4, 80, 120, "(^|_)(url|link|href|sourceurl|articleurl|rawlink)$"
+
+
+def json_links(json: Column) -> Column:
+    """Distinct http(s) links in the strings of a JSON document, level by level; whole values of keys that name links count too.
+
+    Lists and objects are read to ``JSON_DEPTH`` levels below the top, the first entries of each.  What isn't JSON has none.
+    """
+    none = F.array().cast("array<struct<key:string,value:variant>>")
+
+    def children(entry: Column) -> Column:
+        listed = F.transform(F.slice(F.try_variant_get(entry["value"], "$", "array<variant>"), 1, JSON_LIST), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+        named = F.transform(F.slice(F.map_entries(F.try_variant_get(entry["value"], "$", "map<string,variant>")), 1, JSON_OBJECT), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+        return F.concat(F.coalesce(listed, none), F.coalesce(named, none))
+
+    def found(entry: Column) -> Column:
+        text = F.when(F.schema_of_variant(entry["value"]) == "STRING", F.try_variant_get(entry["value"], "$", "string"))
+        whole = F.when(entry["key"].rlike(LINK_KEY) & F.trim(text).rlike(r"(?i)^https?://\S+$"), F.array(F.trim(text)))
+        empty = F.array().cast("array<string>")
+        return F.concat(F.coalesce(whole, empty), F.coalesce(urls.links(text), empty))
+
+    level = F.filter(F.array(F.struct(F.lit(None).cast("string").alias("key"), F.try_parse_json(json).alias("value"))), lambda e: e["value"].isNotNull())
+    out = []
+    for depth in range(JSON_DEPTH + 2):
+        # The deepest object's own strings are still read, a list's no longer.
+        here = level if depth <= JSON_DEPTH else F.filter(level, lambda e: e["key"].isNotNull())
+        out.append(F.flatten(F.transform(here, found)))
+        level = F.flatten(F.transform(level, children))
+    return F.array_distinct(F.concat(*out))
 
 
 def seeded(existing: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -183,3 +183,21 @@ def test_components_leave_one_table_behind(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long")
     assert {r.component for r in connected_components(path).collect()} == {0}
     assert len(set(glob.glob(f"{folder}/newsdesk/edges-*")) - before) == 1
+
+
+def test_links_of_nested_json(spark):
+    import json
+
+    deep = lambda n, x: x if n == 0 else {"k": deep(n - 1, x)}
+    cases = [
+        ({"url": "https://a.b/(x)", "t": "see https://c.d/1, and https://c.d/1."}, ["https://a.b/(x)", "https://c.d/1", "https://a.b/(x"]),
+        ([["https://e.f/1"], "https://e.f/2", 5, None, True], ["https://e.f/2", "https://e.f/1"]),
+        (deep(5, "https://g.h/5"), ["https://g.h/5"]), (deep(6, "https://g.h/6"), []), (deep(4, ["https://g.h/list"]), []), (deep(3, ["https://g.h/list"]), ["https://g.h/list"]),
+        ([f"https://l.m/{k}" for k in range(100)], [f"https://l.m/{k}" for k in range(80)]), ({f"k{k:03}": f"https://n.o/{k}" for k in range(130)}, [f"https://n.o/{k}" for k in range(120)]),
+        ({"source_url": " https://p.q/r s ", "href": "not a link"}, ["https://p.q/r"]), ("https://r.s/\\u00e9", ["https://r.s/\\u00e9"]),
+    ]
+    rows = [(k, json.dumps(j)) for k, (j, _) in enumerate(cases)] + [(90, "{broken"), (91, None), (92, "")]
+    got = {r.k: r.links for r in spark.createDataFrame(rows, "k int, j string").select("k", maintenance.json_links(F.col("j")).alias("links")).collect()}
+    for k, (_, want) in enumerate(cases):
+        assert sorted(got[k]) == sorted(want), k
+    assert got[90] == got[91] == got[92] == []
