@@ -6,9 +6,9 @@ threshold decides for certain; the pairs between are recomputed in double precis
 components.  Equal vectors of a label collapse first.  Each vector is quantised once, and tiles get int8
 vectors, scales and errors; whole vectors only follow to the tiles where one of their pairs is open.
 
-A label of up to a tile's rows is one tile.  In larger ones unit vectors with cosine of at least t lie
-within sqrt(2 - 2 t), and so do their projections on any unit vector: only rows in equal or neighbouring
-cells of a few principal directions meet, in tiles of bounded size.
+A label of up to a tile's rows is one tile, a larger one is parted.  Unit vectors with cosine of at least t
+lie within sqrt(2 - 2 t), and so do their projections on any unit vector: in labels of many parts only
+rows in equal or neighbouring cells of principal directions meet, of the more the larger the label.
 """
 
 from __future__ import annotations
@@ -204,8 +204,10 @@ def dealt(groups: DataFrame, threshold: float, tile_rows: int) -> DataFrame:
         sample.setdefault(len(r["v"]), []).append(r["v"])
     pivots = {dim: directions(unit(np.array(v)), dim) for dim, v in sample.items()}
     celled = stored(groups.mapInArrow(_celled(threshold, pivots), CELLED), "vector-cells")
-    crowded = celled.groupBy("label", "dim").agg(F.count("*").alias("_n")).filter(F.col("_n") > tile_rows).select("label", "dim", F.lit(True).alias("_crowded"))
-    placed = celled.join(crowded, ["label", "dim"], "left").withColumns({c: F.when(F.col("_crowded"), F.col(c)).otherwise(F.lit(0).cast("long")) for c in CELLS}).drop("_crowded")
+    # A direction sends a row to three cells: it pays once a label has more parts than that to compare with.
+    sizes = celled.groupBy("label", "dim").agg(F.count("*").alias("_n")).filter(F.col("_n") > 3 * tile_rows)
+    used = {c: F.when(F.col("_n") > tile_rows * 3 ** (k + 1), F.col(c)).otherwise(F.lit(0).cast("long")) for k, c in enumerate(CELLS)}
+    placed = celled.join(sizes, ["label", "dim"], "left").withColumns(used).drop("_n")
     return tiled(placed, ["label", "dim"], CELLS, 1, tile_rows, "key").select("tile", "side", "key", "node", "copies", "q", "scale", "error")
 
 
