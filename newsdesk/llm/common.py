@@ -101,14 +101,15 @@ _HELD: dict[object, object] = {}
 def held(key: object, make: Callable[[], object]) -> object:
     """What a Python worker keeps from task to task: one thing at a time, so that what another operator kept goes."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def release() -> None:
-    """Nothing of an earlier operator's is kept any longer; for tasks that need the memory themselves."""
+    """Nothing of an earlier operator's is kept any longer, and Arrow gives its spare memory back; for tasks that need it themselves."""
     _HELD.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def parts(spark: SparkSession) -> int:

@@ -64,7 +64,7 @@ class WordEncoder:
     forgotten beyond it.
     """
 
-    def __init__(self, path: str, keep: int = 600_000) -> None:
+    def __init__(self, path: str, keep: int = 300_000) -> None:
         self.encode = tokenizer(path)
         self.keep = keep
         vocabulary = self.encode.get_vocab()
