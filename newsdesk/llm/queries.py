@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm import chat_format, decontaminate, embedding_dedup, license_scan, packing, quality, secret_scan, simhash, substring_dedup, toxicity, whitening
+from newsdesk.llm import chat_format, decontaminate, embedding_dedup, language, license_scan, packing, quality, secret_scan, simhash, substring_dedup, toxicity, vector_codes, whitening
 
 WINDOW_TOKENS = 2048
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
@@ -77,6 +77,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -89,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_whitening": op11_whitening,
+    "op12_language": op12_language,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
