@@ -31,6 +31,8 @@ LONG_RUN, NAMES = rf"(?<!{_RUN}){_RUN}{{16}}", ("private key", "passw", "passphr
 #: Fewest characters of a candidate.
 LEAST = 6
 BEFORE, AFTER = 48, 24
+#: Candidates of a text whose positions are counted together.
+STRETCH = 256
 #: Common words and placeholder words, longest first where one holds another.
 DICTIONARY = (
     "placeholder|changeme|password|example|default|company|service|message|account|private|version|release|number|secret|sample|config|public|string|simple|system|server|client|module|update|"
@@ -134,42 +136,52 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(path_col).cast("string").alias("path")).filter(may_hold("text")).filter(F.col("text").rlike(CANDIDATE))
     cut = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split("text", CANDIDATE, -1).alias("p"))
     index = F.sequence(F.lit(0), F.size("c") - 1)
-    ends = F.aggregate(
-        index, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda s, i: F.struct((s["at"] + F.length(F.get("p", i)) + F.length(F.get("c", i))).alias("at"), F.concat(s["all"], F.array(s["at"] + F.length(F.get("p", i)))).alias("all")),
-    )["all"]
+    cut = cut.withColumn("l", F.zip_with(F.slice("p", 1, F.size("c")), "c", lambda p, c: F.length(p) + F.length(c)))
+    # Where each stretch of STRETCH candidates begins; within one, lengths are added up, so that no text costs the square of its candidates.
+    total = lambda at, n: F.aggregate(F.slice("l", at + 1, n), F.lit(0), lambda s, x: s + x)
+    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size("c") - 1) / STRETCH).cast("int")), lambda k: total(k * STRETCH, F.lit(STRETCH)))
+    cut = cut.withColumn("o", F.aggregate(
+        sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")),
+    )["all"])
+    stretch = lambda i: F.floor(i / STRETCH).cast("int")
+    starts = F.transform(index, lambda i: F.get("o", stretch(i)) + total(stretch(i) * STRETCH, i % STRETCH) + F.length(F.get("p", i)))
     tail = lambda x: F.substr(x, F.greatest(F.length(x) - BEFORE + 1, F.lit(1)))
     reach = -(-BEFORE // LEAST)
     joined = lambda i: F.concat(F.array_join(F.slice("t", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), ""), F.get("p", i))
     cut = cut.withColumn("t", F.zip_with(F.slice("p", 1, F.size("c")), "c", lambda p, c: F.concat(tail(p), tail(c))))
-    around = F.arrays_zip(F.col("c"), F.transform(index, lambda i: tail(joined(i))).alias("b"), F.transform(F.slice("p", 2, F.size("c")), lambda x: F.substring(x, 1, AFTER)).alias("a"), ends.alias("s"))
+    around = F.arrays_zip(F.col("c"), F.transform(index, lambda i: tail(joined(i))).alias("b"), F.transform(F.slice("p", 2, F.size("c")), lambda x: F.substring(x, 1, AFTER)).alias("a"), starts.alias("s"))
     return cut.select("doc_id", "text_hash", "path", F.posexplode(around)).select("doc_id", "text_hash", F.col("pos").alias("nth"), F.col("col.s").cast("long").alias("start"), F.col("col.c").alias("candidate"), F.col("col.b").alias("before"), F.col("col.a").alias("after"), "path")
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", with_path: bool = False) -> DataFrame:
     """Every candidate of every row with the forest's probability ``score`` and the decision ``is_secret``.
 
     ``findings`` is the labelled table to learn from, by default the one made by rule.  Null and empty
-    texts hold no candidate; repeated rows and null ids give a row each.  A null path is an empty one.
+    texts hold no candidate; repeated rows and null ids give a row each.  A null path is judged as an empty one,
+    and comes back with its candidates if ``with_path``.
     """
     model = train(findings if findings is not None else labelled_findings(docs.sparkSession))
-    judged = model.transform(features(candidates(docs, id_col, text_col, path_col)))
-    return judged.select("doc_id", "text_hash", "nth", "start", F.length("candidate").cast("long").alias("length"), "candidate", vector_to_array("probability")[1].alias("score")).withColumn("is_secret", F.col("score") >= threshold)
+    # A feature is named path, too.
+    judged = model.transform(features(candidates(docs, id_col, text_col, path_col).withColumn("at_path", F.col("path")))).withColumn("path", F.col("at_path"))
+    return judged.select("doc_id", "text_hash", *["path"] * with_path, "nth", "start", F.length("candidate").cast("long").alias("length"), "candidate", vector_to_array("probability")[1].alias("score")).withColumn("is_secret", F.col("score") >= threshold)
 
 
 def redacted(docs: DataFrame, findings: DataFrame | None = None, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """``docs`` with every found secret replaced by ``mark``; all other characters, rows and columns stay.
 
-    Null and empty texts stay as they are; rows of one id, null ids included, and one text are treated alike.
+    Null and empty texts stay as they are; rows of one id, text and path, nulls included, are treated alike,
+    while a path of its own may have the forest judge the same text otherwise.
     Columns may have any names but those that begin with ``__newsdesk``.  An empty table gives an empty result.
     """
-    # Of a text with a secret: for each of its candidates, in order, whether it is one.
+    # Of a text with a secret, at its path: for each of its candidates, in order, whether it is one.
+    alike = {"__newsdesk_id": "doc_id", "__newsdesk_hash": "text_hash", "__newsdesk_path": "path"}
     found = (
-        scan(docs, findings, id_col=id_col, text_col=text_col, path_col=path_col)
-        .groupBy(F.col("doc_id").alias("__newsdesk_id"), F.col("text_hash").alias("__newsdesk_hash"))
-        .agg(F.transform(F.array_sort(F.collect_set(F.struct("nth", "is_secret"))), lambda x: x["is_secret"]).alias("__newsdesk_secret")).filter(F.exists("__newsdesk_secret", lambda x: x))
+        scan(docs, findings, id_col=id_col, text_col=text_col, path_col=path_col, with_path=True)
+        .groupBy(*[F.col(c).alias(k) for k, c in alike.items()], "nth").agg(F.max("is_secret").alias("is_secret"))
+        .groupBy(*alike).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "is_secret"))), lambda x: x["is_secret"]).alias("__newsdesk_secret")).filter(F.exists("__newsdesk_secret", lambda x: x))
     )
-    met = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__newsdesk_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__newsdesk_hash")), "left")
+    own = {"__newsdesk_id": F.col(id_col).cast("long"), "__newsdesk_hash": F.xxhash64(F.col(text_col).cast("string")), "__newsdesk_path": F.col(path_col).cast("string")}
+    met = docs.join(found, reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(k)) for k, c in own.items()]), "left")
     pieces = F.arrays_zip(F.split(F.col(text_col), CANDIDATE, -1).alias("text"), F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0)).alias("candidate"))
     cut = F.transform(pieces, lambda p, i: F.concat(p["text"], F.when(p["candidate"].isNull(), "").when(F.get("__newsdesk_secret", i), mark).otherwise(p["candidate"])))
-    return met.withColumn(text_col, F.when(F.col("__newsdesk_secret").isNotNull(), F.array_join(cut, "")).otherwise(F.col(text_col))).drop("__newsdesk_id", "__newsdesk_hash", "__newsdesk_secret")
+    return met.withColumn(text_col, F.when(F.col("__newsdesk_secret").isNotNull(), F.array_join(cut, "")).otherwise(F.col(text_col))).drop(*alike, "__newsdesk_secret")
