@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
 from newsdesk.llm.common import Interner, held, parts, space_words, utf8
+from newsdesk.session import stored
 
 #: Bytes of text of a chunk, on average; a document is never parted.
 CHUNK_BYTES = 4 << 20
@@ -34,7 +35,7 @@ CHUNK_BYTES = 4 << 20
 PARTITION_BYTES = 128 << 20
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Stands for a null id, after all others.
+#: What a null id, which comes after all others, is sorted by; a flag tells it from the id of this value.
 LAST = (1 << 63) - 1
 
 
@@ -101,12 +102,26 @@ class Windows:
             least, have = np.minimum(least[:-step], least[step:]), have + step
         return least
 
-    def texts(self, table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    def texts(self, table: pa.Table) -> Iterator[tuple[int | None, np.ndarray]]:
         """(id, hashes of words) of the documents of a chunk."""
         for i, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True):
             yield i, self.words(space_words(text))
 
 
+class Owners:
+    """Whose the windows of a chunk are: ids, and which are null, one by one."""
+
+    def __init__(self, ids: list[int | None], sizes: list[int]) -> None:
+        self.ids = np.repeat(np.array([LAST if i is None else i for i in ids], np.int64), sizes)
+        self.null = np.repeat(np.array([i is None for i in ids], bool), sizes)
+
+    def least(self, order: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each run of ``order`` the smallest id, and whether all are null."""
+        if not len(begin):
+            return np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.minimum.reduceat(self.ids[order], begin), np.logical_and.reduceat(self.null[order], begin)
+
+
 def hasher_of(window: int) -> Windows:
     """One per Python worker: the words it has met stay known from chunk to chunk."""
     return held(("windows", window), lambda: Windows(window))
@@ -124,12 +139,12 @@ def _spans(marked: np.ndarray, window: int) -> np.ndarray:
 ROWS = "chunk int, n int, doc long, hash long, bucket int"
 
 
-def _rows(chunk: int, h: np.ndarray, ids: np.ndarray, bucket: np.ndarray) -> pa.Table:
-    """A chunk's distinct hashes: how often it has each, the smallest document that does, and the partition to count it in."""
+def _rows(chunk: int, h: np.ndarray, owners: Owners, bucket: np.ndarray) -> pa.Table:
+    """A chunk's distinct hashes: how often it has each (below zero if only rows with null ids do), the smallest document that does, and the partition to count it in."""
     order = np.argsort(h)
     begin = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]])) if len(h) else np.zeros(0, np.int64)
-    least = np.minimum.reduceat(ids[order], begin) if len(h) else ids
-    n = np.diff(np.append(begin, len(h))).astype(np.int32)
+    least, null = owners.least(order, begin)
+    n = np.diff(np.append(begin, len(h))).astype(np.int32) * np.where(null, -1, 1).astype(np.int32)
     place = order[begin]
     # In the order of the texts, neighbours share their document, which packs well.
     back = np.argsort(place)
@@ -145,9 +160,9 @@ def _anchors(window: int, buckets: int):
             a = hasher.anchors(words)
             a = a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
             found.append(a)
-            ids.append(np.full(len(a), i, np.int64))
+            ids.append(i)
         h = np.concatenate(found)
-        return _rows(table.column("chunk")[0].as_py(), h, np.concatenate(ids), (h >> np.uint64(17)) % np.uint64(buckets))
+        return _rows(table.column("chunk")[0].as_py(), h, Owners(ids, [len(a) for a in found]), (h >> np.uint64(17)) % np.uint64(buckets))
 
     return run
 
@@ -157,30 +172,31 @@ def _windows(window: int, buckets: int):
 
     def run(table: pa.Table, again: pa.Table) -> pa.Table:
         hasher, anchors = hasher_of(window), np.sort(again.column("hash").to_numpy().view(np.uint64))
-        found, second, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        found, second, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [None]
         for i, words in hasher.texts(table) if len(anchors) else ():
             a = hasher.anchors(words)
             at = np.flatnonzero(anchors[np.minimum(np.searchsorted(anchors, a), len(anchors) - 1)] == a)
             if len(at):
                 found.append(hasher.rollers[0](words)[at])
                 second.append(hasher.rollers[1](words)[at])
-                ids.append(np.full(len(at), i, np.int64))
+                ids.append(i)
         chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
-        return _rows(chunk, np.concatenate(found), np.concatenate(ids), (np.concatenate(second) >> np.uint64(33)) % np.uint64(buckets))
+        return _rows(chunk, np.concatenate(found), Owners(ids, [len(a) for a in found]), (np.concatenate(second) >> np.uint64(33)) % np.uint64(buckets))
 
     return run
 
 
 def counted(sent: DataFrame, buckets: int) -> DataFrame:
-    """``sent`` with ``copies``, how often a hash occurs in all chunks, and ``least``, the smallest document that has it."""
+    """``sent`` with ``copies``, how often a hash occurs in all chunks, and ``later``, whether a smaller document than this chunk's has it."""
     same = Window.partitionBy("bucket", "hash")
-    return sent.repartitionById(buckets, F.col("bucket")).withColumns({"copies": F.sum("n").over(same), "least": F.min("doc").over(same)})
+    later = (F.col("doc") > F.min("doc").over(same)) | ((F.col("n") < 0) & (F.max("n").over(same) > 0))
+    return sent.repartitionById(buckets, F.col("bucket")).withColumns({"copies": F.sum(F.abs("n")).over(same), "later": later})
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>, kept_text string"
 
 
-def _lost(h: np.ndarray, ids: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+def _lost(h: np.ndarray, owners: Owners, elsewhere: np.ndarray) -> np.ndarray:
     """Which windows of a chunk some smaller document has: one of the chunk, or one that ``elsewhere`` (sorted hashes) tells of."""
     order = np.argsort(h)
     begin = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]])) if len(h) else np.zeros(0, np.int64)
@@ -190,8 +206,8 @@ def _lost(h: np.ndarray, ids: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
         first = h[order[begin]]
         foreign = elsewhere[np.minimum(np.searchsorted(elsewhere, first), len(elsewhere) - 1)] == first
     out = np.zeros(len(h), bool)
-    least = np.minimum.reduceat(ids[order], begin) if len(h) else ids
-    out[order] = (ids[order] > np.repeat(least, size)) | np.repeat(foreign, size)
+    least, null = owners.least(order, begin)
+    out[order] = (owners.ids[order] > np.repeat(least, size)) | (owners.null[order] & np.repeat(~null, size)) | np.repeat(foreign, size)
     return out
 
 
@@ -202,7 +218,7 @@ def _cut(window: int, with_text: bool):
         hasher = hasher_of(window)
         own = [hasher.rollers[0](words) for _, words in hasher.texts(docs)]
         sizes = np.array([len(h) for h in own], np.int64)
-        marked = _lost(np.concatenate([np.zeros(0, np.uint64), *own]), np.repeat(docs.column("doc_id").to_numpy(), sizes), np.sort(lost.column("hash").to_numpy().view(np.uint64)))
+        marked = _lost(np.concatenate([np.zeros(0, np.uint64), *own]), Owners(docs.column("doc_id").to_pylist(), sizes), np.sort(lost.column("hash").to_numpy().view(np.uint64)))
         n_words, n_removed, digest, spans, kept_text = [], [], [], [], []
         for text, stop, size in zip(docs.column("text").to_pylist(), np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
             words = space_words(text)
@@ -229,13 +245,14 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, partiti
     """``(chunk, doc_id, text)`` of all rows, together by chunk, and the number of partitions that their text needs.
 
     Equal rows of different input splits go to different chunks, so that no chunk gathers a row that repeats without end.
+    What deals them is stored with the rows: they stay in their chunk however often and by whatever partitions they are read.
     """
-    doc_id = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    rows = stored(docs.select(F.xxhash64(doc_id, text, F.spark_partition_id()).alias("deal"), doc_id.alias("doc_id"), utf8(text_col).alias("text")), "dealt-texts")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = parts(docs.sparkSession)
     chunks, n = max(least, -(-size // chunk_bytes)), max(least, -(-size // partition_bytes))
-    chunk = F.pmod(F.xxhash64(doc_id, F.col(text_col), F.spark_partition_id()), F.lit(chunks)).cast("int")
-    return docs.select(chunk.alias("chunk"), doc_id.alias("doc_id"), utf8(text_col).alias("text")).repartition(n, "chunk"), n
+    return rows.select(F.pmod("deal", F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text").repartition(n, "chunk"), n
 
 
 def windows(rows: DataFrame, n: int, window: int) -> tuple[DataFrame, DataFrame]:
@@ -259,6 +276,5 @@ def remove_repeats(
     """
     rows, n = dealt(docs, id_col, text_col, chunk_bytes, partition_bytes)
     # Every row of a chunk that has a smaller document elsewhere; what its own documents have, a chunk sees itself.
-    lost = counted(windows(rows, n, window)[1], n).filter("copies > 1 and doc > least").select("chunk", "hash")
-    cut = rows.groupBy("chunk").cogroup(lost.groupBy("chunk")).applyInArrow(_cut(window, with_text), OUT)
-    return cut.withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))
+    lost = counted(windows(rows, n, window)[1], n).filter("copies > 1 and later").select("chunk", "hash")
+    return rows.groupBy("chunk").cogroup(lost.groupBy("chunk")).applyInArrow(_cut(window, with_text), OUT)
