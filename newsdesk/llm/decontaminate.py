@@ -257,11 +257,11 @@ def _pieces(window: int):
 
 
 def phrase_blocks(items: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> list[DataFrame]:
-    """``(item_id, words)`` of the items in blocks of about ``block_words`` words; long items in overlapping pieces."""
+    """``(item_id, words)`` of the items in blocks of about ``block_words`` words; long items in overlapping pieces, equal pieces of an item once."""
     rows = items.select(F.col(item_col).cast("long").alias("item_id"), utf8(text_col).alias("text")).filter("item_id is not null and text is not null")
-    pieces = stored(rows.mapInArrow(_pieces(window), "item_id long, nth long, words binary, n long"), "phrases")
+    pieces = stored(rows.mapInArrow(_pieces(window), "item_id long, nth long, words binary, n long").dropDuplicates(["item_id", "words"]), "phrases")
     blocks = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // block_words) or 1
-    parts = [pieces] if blocks == 1 else [pieces.filter(F.pmod(F.xxhash64("item_id", "nth", "words"), F.lit(blocks)) == b) for b in range(blocks)]
+    parts = [pieces] if blocks == 1 else [pieces.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b) for b in range(blocks)]
     return [p.select("item_id", "words") for p in parts]
 
 
