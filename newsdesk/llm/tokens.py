@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -18,6 +19,18 @@ _LATIN = r"\x21-\x7eÀ-ÖØ-öø-įı-ſ"
 _PLAIN_TEXT = re.compile(rf"[{_LATIN} ]*")
 #: Line ends, then the word pieces of the ``word_bpe`` vocabulary's own pre-tokenizer, for lower-cased plain text.
 _PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
+#: What a tokenizer does before its merges if that rule is to hold for it.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALISED = ["NFC", "Replace", "Lowercase"]
+
+
+def _cuts_words(path: str) -> bool:
+    """Whether the tokenizer lowers, splits and drops white space by the rule that ``pieces`` follows."""
+    with open(path, encoding="utf-8") as file:
+        read = json.load(file)
+    steps = [n.get("type") for n in (read.get("normalizer") or {}).get("normalizers", [])]
+    first = ((read.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return steps == _NORMALISED and first.get("type") == "Split" and first.get("pattern") == {"Regex": _SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
 
 
 @lru_cache(maxsize=4)
@@ -65,6 +78,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, keep: int = 300_000) -> None:
+        if not _cuts_words(path):
+            raise ValueError(f"{path} doesn't split words as this encoder does")
         self.encode = tokenizer(path)
         self.keep = keep
         vocabulary = self.encode.get_vocab()

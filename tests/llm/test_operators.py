@@ -141,6 +141,11 @@ def test_packing_of_nothing(empty):
     assert packing.pack(empty, PATH).count() == 0
 
 
+def test_encoder_refuses_tokenizers_that_split_otherwise():
+    with pytest.raises(ValueError, match="doesn't split"):
+        tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_encoder_forgets_and_agrees():
     encoder = tokens.WordEncoder(PATH, keep=3)
     texts = [t for _, t in AWKWARD] * 2 + ["  lead  trail ", "a<|startoftext|>b\x1cc x\u2019s K \"'s"]
@@ -203,6 +208,16 @@ def test_long_items_come_in_pieces(spark, monkeypatch):
         assert sorted(map(tuple, got), key=str) == want
 
 
+def test_a_repeated_item_is_collected_once(spark):
+    items = spark.range(100_000).select(F.lit(5).cast("long").alias("item_id"), F.lit(" ".join(f"w{k}" for k in range(30))).alias("text"))
+    items = items.unionByName(spark.range(20).select((F.col("id") + 10).alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit(f"v{k}x"), "id") for k in range(12)]).alias("text")))
+    blocks = decontaminate.phrase_blocks(items, "item_id", "text", 10, 100)
+    assert len(blocks) > 1 and sum(b.count() for b in blocks) == 21
+    docs = spark.createDataFrame([(1, "start " + " ".join(f"w{k}" for k in range(25)))], "doc_id long, text string")
+    got = decontaminate.contamination(decontaminate.build_index(docs), items, block_words=100).first()
+    assert (got.n_hit, got.n_items) == (25, 1)
+
+
 def test_decontamination_of_nothing(spark, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
@@ -400,6 +415,25 @@ def test_substring_dedup_tells_every_row_that_shares_an_id(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_substring_dedup_at_both_ends_of_long(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    one, two, three = (" ".join(f"{p}{k}" for k in range(52)) for p in "abc")
+    rows = [(high, one), (low, "x " + one), (high, two), (None, two + " y"), (None, three), (None, three + " z"), (low, "only here"), (high, None)]
+    want = [(high, ""), (low, "x " + one), (high, two), (None, "y"), (None, three), (None, three + " z"), (low, "only here"), (high, "")]
+    for parts in (1, 8):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = [(r.doc_id, r.kept_text) for r in substring_dedup.remove_repeats(docs, with_text=True, chunk_bytes=100).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_substring_dedup_of_a_table_that_is_partitioned_anew_at_each_read(spark):
+    shared = " ".join(f"p{k}" for k in range(60))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id", F.lit(" " + shared)).alias("text"))
+    shuffled = docs.repartition(7, F.rand())
+    got = substring_dedup.remove_repeats(shuffled, with_text=True, chunk_bytes=2_000, partition_bytes=5_000).collect()
+    assert sorted((r.doc_id, r.kept_text) for r in got) == [(k, f"t{k} {shared}" if k == 0 else f"t{k}") for k in range(300)]
+
+
 def test_rows_to_count_grow_with_the_text(spark):
     words = np.random.default_rng(5).integers(0, 1 << 40, (400, 120)).astype(str)
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words.tolist())], "doc_id long, text string")
@@ -500,6 +534,27 @@ def test_candidates_and_redaction_against_brute_force(spark, documents):
     assert len(secrets[50_000]) > 2900
 
 
+def test_one_text_at_several_paths_is_redacted_by_each_paths_verdicts(spark):
+    """Two rows of one (null) id and one text that the forest judges by their path; nothing of the one tells of the other."""
+    hexes = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    texts = [f'token = "{hexes(k)}" then commit {hexes(k + 100)} and the client Authorization: Bearer {hexes(k + 200)[:32]}' for k in range(12)]
+    rows = [(i, t, p) for t in texts for i, p in ((None, "deploy"), (None, "tests/fixtures"), (None, None), (None, "deploy"), (7, "docs/example"), (7, "deploy"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    verdicts = {}
+    for r in secret_scan.scan(docs, with_path=True).collect():
+        verdicts.setdefault((r.doc_id, r.text_hash, r.path), {})[r.start] = (r.length, r.is_secret)
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    want = []
+    for i, t, p in rows:
+        out, at = "", 0
+        for start, (n, secret) in sorted(verdicts[i, hashed[t], p].items()):
+            out, at = out + t[at:start] + ("[SECRET]" if secret else t[start : start + n]), start + n
+        want.append((i, out + t[at:], p))
+    assert sorted(map(tuple, secret_scan.redacted(docs).collect()), key=str) == sorted(want, key=str)
+    by_path = {p: [s for (i, h, q), v in verdicts.items() if q == p for _, s in v.values()] for p in ("deploy", "tests/fixtures")}
+    assert by_path["deploy"] != by_path["tests/fixtures"]
+
+
 def test_forest_learns_from_given_findings(spark):
     """Findings of shapes that the rule-made table doesn't have: here what ends in x is a secret."""
     rng = np.random.default_rng(2)
