@@ -149,5 +149,26 @@ TOPIC_NAMES = (("cursor", "Cursor"), ("copilot", "GitHub Copilot"), ("openrouter
 # Lifecycle, discovery and retention.
 MIN_SOURCE_AGE_DAYS, MIN_CLASSIFIED_28D, COOLDOWN_DAYS = 14, 20, 30
 NOISE_DELTA, MIN_NOISE, SEVERE_NOISE, LOW_TRUST = 0.15, 0.35, 0.85, 45
+DEMOTE_DAYS = (6, 8)
 RESERVED_HANDLES = ("i", "intent", "hashtag", "search", "home", "explore", "share")
 TRACKING_PARAMS = r"^(utm_.*|fbclid|gclid|igshid|mc_cid|mc_eid|ref|source|s)$"
+
+# Evaluation of discovered accounts.
+CANDIDATE_CATEGORIES = ("ai_research", "ai_product", "ads", "infra", "policy", "media", "other")
+RECOMMENDATIONS, SAMPLE_QUALITIES = ("reject", "watch", "queue_review"), ("poor", "mixed", "good")
+SEVERE_RISK, MAX_RISK_FLAGS = "spam|impersonat", 12
+REJECTED_BELOW, LADDER, REVIEW_CONFIDENCE = 45, (65, 78), 0.65
+PREFILTER_FOLLOWERS, EVALUATION_LIMIT, PREFILTER_REASON = 100, 20, "PREFILTER: insufficient profile signal"
+
+# Files of community sources.
+RESERVED_ROUTES = (
+    "about", "account", "ads", "bookmarks", "business", "communities", "compose", "connect", "developers", "download", "explore", "followers", "following", "grok", "hashtag", "help",
+    "home", "i", "intent", "lists", "login", "logout", "messages", "notifications", "privacy", "search", "settings", "share", "signin", "signup", "spaces", "status", "topics", "tos",
+)
+SOURCE_FILE_BYTES, FIRST_SEEN = 2048, "2006-01-01"
+GITHUB_LOGIN = r"^[A-Za-z0-9](?:[A-Za-z0-9]|-(?=[A-Za-z0-9])){0,38}$"
+LANGUAGE_TAG = r"^[a-z]{2}(?:-[A-Z]{2})?$"
+TOPIC_CHARACTERS, UNSAFE_TOPIC = r"""^[\p{L}\p{N} .,:;!?'"()&+/-]+$""", r"[\p{Cc}\p{Cf}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}]"
+
+# Marks of trust and badges in editions.
+TRUST_BADGES = {"unknown": "未検証/単一ソース", "low": "低信頼"}

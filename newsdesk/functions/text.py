@@ -109,11 +109,30 @@ def handle(text: Column) -> Column:
     return F.when(value.rlike("^[a-z0-9_]{1,15}$") & ~value.isin(*RESERVED_HANDLES), value)
 
 
+def name(text: Column) -> Column:
+    """An account name: trimmed, without a leading @, lower case; null unless 1 to 15 word characters."""
+    value = F.lower(F.regexp_replace(F.trim(text), "^@", ""))
+    return F.when(value.rlike("^[a-z0-9_]{1,15}$"), value)
+
+
 def compact_number(n: Column) -> Column:
     """1,234,567 as 1.2M, 1,234 as 1.2K, smaller ones as they are."""
     return F.when(n >= 1_000_000, F.concat(F.format_number(n / 1_000_000, 1), F.lit("M"))).when(n >= 1000, F.concat(F.format_number(n / 1000, 1), F.lit("K"))).otherwise(n.cast("bigint").cast("string"))
 
 
+def without_first(text: Column, part: Column) -> Column:
+    """``text`` less the first occurrence of ``part``."""
+    at = F.position(part, text)
+    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), F.substr(text, at + F.length(part)))).otherwise(text)
+
+
 def prepend_badge(title: Column, badge: Column) -> Column:
-    """``badge`` before ``title``, once."""
-    return F.when(badge.isNull() | F.contains(title, badge), title).otherwise(F.concat_ws(" ", badge, title))
+    """``badge`` before ``title``, moved there if the title holds it elsewhere, in collapsed space."""
+    plain = F.coalesce(collapse(title), F.lit(""))
+    rest = collapse(without_first(plain, badge))
+    return F.when(badge.isNull(), title).when(rest == "", badge).otherwise(F.concat_ws(" ", badge, rest))
+
+
+def append_badge(text: Column, badge: Column) -> Column:
+    """``badge`` after ``text``, unless the text holds it."""
+    return F.when(badge.isNull(), text).when(F.coalesce(text, F.lit("")) == "", badge).when(F.contains(text, badge), text).otherwise(F.concat_ws(" ", text, badge))

@@ -68,8 +68,20 @@ def prefilter_key(url: Column) -> Column:
 
 
 def article_key(url: Column) -> Column:
-    """The viewer's key: canonical without its query, in lower case."""
-    return F.lower(F.substring_index(canonical(url), "?", 1))
+    """The viewer's key: trimmed, scheme and host in lower case, no default port, one final slash off; query, case of the path and fragment stay; null for blank."""
+    u = F.nullif(F.trim(url), F.lit(""))
+    scheme, host, path = F.lower(_part(u, 1)), F.lower(_part(u, 2)), _part(u, 3)
+    host = F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
+    whole = F.when(u.rlike(_PARTS), F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), _part(u, 4), _part(u, 5))).otherwise(u)
+    return F.regexp_replace(whole, "/$", "")
+
+
+def first_link(text: Column) -> Column:
+    """The first http(s) link of a text: a Markdown link's target if none stands bare before it; null without any."""
+    marked, bare = r"(?i)\[[^\]]*\]\((https?://[^\s)]+)\)", r"(?i)https?://[^\s)]+"
+    before = lambda p: F.length(F.get(F.split(text, p, 2), 0))
+    target, plain = F.nullif(F.regexp_extract(text, marked, 1), F.lit("")), F.nullif(F.regexp_extract(text, bare, 0), F.lit(""))
+    return F.when(target.isNotNull() & (before(marked) <= before(bare)), target).otherwise(plain)
 
 
 def links(text: Column) -> Column:

@@ -61,6 +61,10 @@ DECISIONS = f"""decisions AS (
 SOURCES = f"""sources AS (
   SELECT handle, {nth(("high", "medium", "low", "unknown", "blocked"), "rank % 5")} AS trust_label, rank AS source_id, CAST(rank * 7 % 100 AS DOUBLE) AS ai_score
   FROM (SELECT source AS handle, row_number() OVER (ORDER BY source) - 1 AS rank FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)))"""
+ACCOUNTS = f"""accounts AS (
+  SELECT source_id, handle, CASE WHEN source_id % 6 = 5 THEN 'seed' ELSE 'discovered' END AS type, source_id % 7 <> 6 AS active, {EPOCH} - to_days(CAST(source_id * 11 % 31 AS INT)) AS made_at,
+    CASE WHEN source_id % 4 = 1 THEN {EPOCH} + to_days(CAST(source_id % 12 AS INT)) END AS cooldown_until, CASE WHEN source_id % 7 = 6 THEN {EPOCH} - INTERVAL 2 DAY END AS deactivated_at, trust_label AS label
+  FROM sources)"""
 EVENTS = "ev AS (SELECT 'e' || event_id AS id, event_id AS n, event_type AS platform, 'u' || user_id AS handle, ts AS published_at, ts + INTERVAL 1 HOUR AS ingested_at, value AS score, CAST(props ->> '$.k' AS DOUBLE) AS k FROM events)"
 
 
@@ -76,7 +80,7 @@ _CANON = """c AS (
 p AS (SELECT page_id, u, list_sort(list_filter(string_split(u.query[2:], '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_.*|fbclid|gclid|igshid|mc_cid|mc_eid|ref|source|s)$'))) AS q FROM c),
 k AS (SELECT page_id, u.scheme || '://' || lower(u.host) || CASE WHEN u.path = '' THEN '/' WHEN length(u.path) > 1 THEN regexp_replace(u.path, '/$', '') ELSE u.path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM p)"""
 add("canonical_urls", "SELECT page_id, canonical, lower(canonical) AS rules_key FROM k", _CANON)
-add("item_urls", "SELECT id, canonical_url AS canonical, lower(regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://', ''), '#.*$', ''), '/?$', '')) AS prefilter_key, lower(split_part(canonical_url, '?', 1)) AS article_key FROM items", ITEMS)
+add("item_urls", "SELECT id, canonical_url AS canonical, lower(regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://', ''), '#.*$', ''), '/?$', '')) AS prefilter_key, regexp_replace('https://example.com' || substr(url, 20), '/$', '') AS article_key FROM items", ITEMS)
 _alert = lambda names: f"""regexp_replace(u.scheme || '://' || lower(u.host) || CASE WHEN u.path = '' THEN '/' ELSE u.path END || coalesce('?' || nullif(array_to_string(list_filter(string_split(u.query[2:], '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ({', '.join(map(lit, names))})), '&'), ''), '') || regexp_extract(url, '#.*$'), CASE WHEN u.path IN ('', '/') THEN '^$' ELSE '/$' END, '')"""
 add("alert_links", f"SELECT page_id, {_alert(C.ALERT_PARAMS)} AS collected, {_alert(C.FETCH_PARAMS)} AS fetched FROM c JOIN pages USING (page_id)", _CANON.partition(",\np AS")[0])
 add("url_key_prefilter", "SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '#.*$', ''), '/?$', ''), '') AS key FROM pages")
@@ -212,20 +216,42 @@ _above = lambda v, m: f"CASE WHEN {v} IS NULL OR {m} IS NULL OR {v} <= {m} OR {m
 TRUST = f"""parts AS (SELECT *, coalesce(1 - CASE WHEN classes_28 > 0 THEN {_unit('noise_28 / classes_28')} END, 0.5) AS nn, CASE WHEN classified_28 > 0 THEN {_unit('adopted_28 / classified_28')} ELSE 0 END AS ad, {_unit('mean_priority / 100')} AS pr, {_unit('1 - classified_28 / 50')} AS decay FROM summ, med),
 total AS (SELECT *, (0.6::DOUBLE * nn + 0.4 * {_unit('coalesce(mean_score, 0.5)')}) * ({_w['item_quality']}::DOUBLE + {_w['prior']}::DOUBLE * (1 - decay)) + (0.6::DOUBLE * {_above('CASE WHEN mean_priority IS NOT NULL THEN pr END', 'median_priority')} + 0.4 * {_above('ad', 'median_adoption')}) * {_w['selection']}::DOUBLE
   + {_unit('coalesce(ai_score / 100, 0.5)')} * {_w['prior']}::DOUBLE * decay + (0.6::DOUBLE * coalesce(exp(-greatest(0, (epoch({STOP}) - epoch(latest_at)) / 86400) / 14), 0.5) + 0.4 * {_unit('coalesce(mean_originality, 0.5)')}) * {_w['freshness']}::DOUBLE AS t FROM parts),
-trust AS (SELECT source_id, CAST(floor(round({_unit('t')} * 100, 6) + 0.5) AS INT) AS trust_score, trust_label, classified_28 < 15 AS cold_start FROM total),
+trust AS (SELECT source_id, CAST(floor(round({_unit('t')} * 100, 6) + 0.5) AS INT) AS trust_score, trust_label, classified_28 < 15 OR made_at > {STOP} - INTERVAL 14 DAY AS cold_start FROM total JOIN accounts USING (source_id)),
 labelled AS (SELECT source_id, trust_score, CASE WHEN trust_label = 'blocked' THEN 'blocked' WHEN cold_start THEN 'unknown' WHEN trust_score >= 75 THEN 'high' WHEN trust_score >= 50 THEN 'medium' ELSE 'low' END AS new_label, cold_start FROM trust)"""
-add("trust_score", "SELECT * FROM labelled", *_base, TRUST)
-add("trust_labels", "SELECT new_label, count(*) AS sources FROM labelled GROUP BY 1", *_base, TRUST)
+TRUSTED = (*_base, ACCOUNTS, TRUST)
+add("trust_score", "SELECT * FROM labelled", *TRUSTED)
+add("trust_labels", "SELECT new_label, count(*) AS sources FROM labelled GROUP BY 1", *TRUSTED)
 add("noise_percentile", "SELECT round(quantile_cont(rate, 0.1), 9) AS bottom_decile, round(median(rate), 9) AS median, count(*) AS users FROM (SELECT user_id, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END)::DOUBLE AS rate FROM events GROUP BY 1)")
-add("lifecycle_flags", """SELECT source_id, concat_ws('+', CASE WHEN rate >= 0.35 AND rate >= nm + 0.15 THEN 'noisy' END, CASE WHEN mean_priority <= lo THEN 'low_priority' END, CASE WHEN trust_score < 45 THEN 'low_trust' END) AS condition_keys, coalesce(rate, 0) >= 0.85 AS severe,
-  (coalesce(rate >= 0.35 AND rate >= nm + 0.15, false) OR coalesce(mean_priority <= lo, false) OR coalesce(trust_score < 45, false)) AND classified_28 >= 20 AS should_act
-FROM (SELECT *, CASE WHEN classes_28 > 0 THEN noise_28 / classes_28 END AS rate FROM summ JOIN labelled USING (source_id)), (SELECT median(noise_28 / classes_28) FILTER (classes_28 > 0) AS nm, quantile_cont(mean_priority, 0.1) AS lo FROM summ WHERE classified_28 >= 20)""", *_base, TRUST)
+FLAGS = f"""scanned AS (SELECT summ.*, trust_score, made_at, cooldown_until, CASE WHEN classes_28 > 0 THEN noise_28 / classes_28 END AS rate FROM summ JOIN labelled USING (source_id) JOIN accounts a USING (source_id) WHERE a.type = 'discovered' AND a.active),
+bars AS (SELECT median(rate) AS nm, quantile_cont(mean_priority, 0.1) AS lo FROM scanned WHERE classified_28 >= 20),
+flagged AS (SELECT source_id, concat_ws('+', CASE WHEN rate >= 0.35 AND rate >= nm + 0.15 THEN 'noisy' END, CASE WHEN mean_priority <= lo THEN 'low_priority' END, CASE WHEN trust_score < 45 THEN 'low_trust' END) AS condition_keys, coalesce(rate, 0) >= 0.85 AS severe,
+  (cooldown_until IS NULL OR cooldown_until <= {STOP}) AND made_at < {STOP} - INTERVAL 14 DAY AND classified_28 >= 20 AND (coalesce(rate >= 0.35 AND rate >= nm + 0.15, false) OR coalesce(mean_priority <= lo, false) OR coalesce(trust_score < 45, false)) AS should_act FROM scanned, bars)"""
+add("lifecycle_flags", "SELECT * FROM flagged", *TRUSTED, FLAGS)
+ACTED = f"""happened AS (SELECT user_id % (SELECT count(*) FROM sources) AS source_id, ts - to_days(CAST(24 + 2 * (user_id % (SELECT count(*) FROM sources) % 5) AS INT)) AS happened_at, event_id, CASE WHEN event_id % 40 = 0 THEN 'deactivate' WHEN event_id % 41 = 0 THEN 'restore' ELSE 'demote' END AS action, event_id % 80 = 0 AS severe,
+  CASE event_id % 3 WHEN 0 THEN ['noisy', 'low_trust'] WHEN 1 THEN ['low_priority'] ELSE ['low_trust'] END AS keys FROM events WHERE event_type = 'error'),
+resets AS (SELECT DISTINCT ON (source_id) source_id, happened_at AS reset_at, action AS reset, severe AS reset_severe FROM happened WHERE action <> 'demote' ORDER BY source_id, happened_at DESC, event_id DESC),
+demoted AS (SELECT DISTINCT ON (source_id) source_id, h.happened_at AS demoted_at, keys AS old FROM happened h LEFT JOIN resets USING (source_id) WHERE h.action = 'demote' AND (reset_at IS NULL OR h.happened_at > reset_at) ORDER BY source_id, h.happened_at DESC, event_id DESC),
+judged AS (SELECT f.source_id, f.severe, CASE WHEN f.source_id % 2 = 0 THEN ['noisy'] ELSE ['low_priority', 'low_trust'] END AS keys, coalesce(list_has_any(old, CASE WHEN f.source_id % 2 = 0 THEN ['noisy'] ELSE ['low_priority', 'low_trust'] END), false) AS shared, (epoch({STOP}) - epoch(demoted_at)) / 86400 AS age
+  FROM flagged f LEFT JOIN demoted USING (source_id) WHERE f.source_id % 5 <> 4),
+acted AS (SELECT source_id, CASE WHEN shared AND age BETWEEN 6 AND 8 THEN 'deactivate' WHEN shared AND age < 6 THEN 'skip' ELSE 'demote' END AS action, severe, keys FROM judged)"""
+add("lifecycle_actions", "SELECT source_id, action, 'lifecycle:' || array_to_string(keys, '+') || CASE WHEN action = 'skip' THEN ':awaiting_second_window' ELSE '' END AS reason, severe, array_to_string(keys, '+') AS condition_keys FROM acted", *TRUSTED, FLAGS, ACTED)
+add("lifecycle_state", f"""SELECT source_id, CASE WHEN reset IS NOT NULL THEN reset = 'restore' ELSE active END AS active, CASE WHEN reset = 'deactivate' AND reset_severe THEN 'blocked' WHEN reset = 'restore' AND label = 'blocked' THEN 'unknown' ELSE label END AS trust_label,
+  {stamp('CASE WHEN reset IS NOT NULL THEN reset_at + INTERVAL 30 DAY ELSE cooldown_until END')} AS cooldown, {stamp("CASE WHEN reset = 'deactivate' THEN reset_at WHEN reset IS NULL THEN deactivated_at END")} AS deactivated
+FROM accounts LEFT JOIN (SELECT DISTINCT ON (source_id) source_id, happened_at AS reset_at, action AS reset, severe AS reset_severe FROM (SELECT source_id, happened_at, action, severe FROM happened WHERE action <> 'demote' UNION ALL SELECT source_id, {STOP}, action, severe FROM acted WHERE action = 'deactivate') ORDER BY source_id, happened_at DESC) USING (source_id)""", *TRUSTED, FLAGS, ACTED)
 add("lifecycle_due", f"SELECT source_id, {stamp('u')} AS cooldown FROM (SELECT source_id, CASE WHEN source_id % 3 > 0 THEN {STOP} - to_days(CAST(source_id * 9 AS INT)) + INTERVAL {C.COOLDOWN_DAYS} DAY END AS u FROM sources) WHERE source_id % 5 <> 4 AND (u IS NULL OR u <= {STOP})", SOURCES)
 add("demotion_gate", """SELECT user_id AS source_id, event_id FROM (
   SELECT *, last_value(CASE WHEN a = 0 THEN ts END IGNORE NULLS) OVER w AS pt, last_value(CASE WHEN a = 0 THEN event_id % 2 END IGNORE NULLS) OVER w AS pk, last_value(CASE WHEN a > 0 THEN ts END IGNORE NULLS) OVER w AS rt
   FROM (SELECT *, event_id % 3 AS a FROM events WHERE event_type = 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 WHERE a = 0 AND (epoch(ts) - epoch(pt)) / 86400 BETWEEN 6 AND 8 AND (rt IS NULL OR rt < pt) AND pk = event_id % 2""")
-add("candidate_ladder", "SELECT CASE WHEN s < 45 THEN 'rejected' WHEN s < 65 THEN 'watch' WHEN s >= 78 AND c_custkey % 10 / 10.0 >= 0.7 AND c_custkey % 4 >= 2 THEN 'approved' ELSE 'needs_review' END AS status, count(*) AS candidates FROM (SELECT *, c_custkey % 101 AS s FROM customer) GROUP BY 1")
+_asked = """c AS (SELECT c_name AS handle, c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN c_mktsegment END AS bio, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 200 END AS followers, c_custkey % 5 > 1 AS sampled FROM customer),
+known AS (SELECT DISTINCT lower(handle) AS handle FROM accounts WHERE active),
+mentions AS (SELECT DISTINCT handle, by_ FROM (SELECT handle, unnest(([('src' || (k * 3) % 40), ('src' || (k * 5 + 1) % 40), ('src' || (k * 7 + 2) % 40)])[1:k % 5]) AS by_ FROM c)),
+trust_of AS (SELECT m.handle, CAST(count(*) AS INT) AS trusted FROM mentions m JOIN known n ON n.handle = m.by_ GROUP BY 1),
+asked AS (SELECT c.handle, k, coalesce(trusted, 0) AS trusted, trim(coalesce(bio, '')) = '' AND coalesce(followers, 0) < 100 AND NOT sampled AS poor, k % 31 <> 0 AND k % 37 <> 0 AS answered,
+  CASE WHEN k % 17 = 0 THEN 0.0 ELSE least(100.0, k * 7 % 120) END AS score, k % 10 / 10.0 AS sure, k % 19 = 0 OR k % 23 = 0 AS severe, ['poor', 'mixed', 'good', 'mixed'][k % 4 + 1] AS quality FROM c LEFT JOIN trust_of USING (handle))"""
+add("candidate_ladder", f"""SELECT handle, CASE WHEN poor THEN 'rejected' WHEN NOT answered THEN 'pending' WHEN severe OR score < 45 THEN 'rejected' WHEN score < 65 THEN 'watch' WHEN score < 78 THEN CASE WHEN trusted >= 1 AND quality <> 'poor' THEN 'needs_review' ELSE 'watch' END
+  WHEN sure >= 0.65 AND (trusted >= 2 OR trusted >= 1 AND quality = 'good') THEN 'needs_review' ELSE 'watch' END AS status, CASE WHEN NOT poor AND answered THEN CAST(score AS DOUBLE) END AS ai_score,
+  CASE WHEN poor THEN {lit(C.PREFILTER_REASON)} WHEN answered THEN 'because ' || k END AS reason, trusted FROM asked""", SOURCES, ACCOUNTS, _asked)
 
 # --- editions
 add("edition_key", "SELECT event_id, strftime(ts + INTERVAL 27 HOUR, '%Y-%m-%d') AS edition, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS local_day FROM events")
@@ -247,17 +273,21 @@ PRESS = f"""press AS (SELECT *, {cases('section', {k: i for i, k in enumerate(C.
   SELECT *, row_number() OVER (PARTITION BY section ORDER BY rank, id) AS place FROM planned WHERE rank <= 120) WHERE place <= {C.SECTION_LIMIT})"""
 add("markdown_articles", f"SELECT heading AS section, CAST(row_number() OVER (ORDER BY no, place) AS BIGINT) AS article, coalesce(nullif({collapse('title')}, ''), 'Untitled') AS title, url FROM press", *_pub, PRESS)
 add("markdown_counts", "SELECT heading AS section, count(*) AS articles FROM press GROUP BY 1", *_pub, PRESS)
-add("topic_collapse", """SELECT id, CASE WHEN many THEN '1_latest_ai_news' ELSE section END AS section, many OR title LIKE '[%' AS badged FROM (
-  SELECT p.*, topic_cluster_key IS NOT NULL AND count(*) OVER g > 1 AND max(distinct_sources) OVER g >= 2 AS many, row_number() OVER (PARTITION BY topic_cluster_key ORDER BY headline_score DESC, rank, id) AS b
-  FROM planned p LEFT JOIN (SELECT item_id, topic_cluster_key, distinct_sources, headline_score FROM decisions) d ON d.item_id = p.id WHERE rank <= 120 WINDOW g AS (PARTITION BY topic_cluster_key)) WHERE NOT many OR b = 1""", *_pub)
-add("repository_collapse", """SELECT id, many OR title LIKE '[%' AS badged FROM (
-  SELECT *, repo IS NOT NULL AND count(*) OVER (PARTITION BY repo) > 1 AS many, row_number() OVER (PARTITION BY repo ORDER BY headline_score DESC, rank, id) AS b
-  FROM (SELECT p.*, headline_score, CASE WHEN n % 2 = 0 OR platform = 'github' THEN 'org/repo' || (n % 5) END AS repo FROM planned p LEFT JOIN (SELECT item_id, headline_score FROM decisions) d ON d.item_id = p.id WHERE rank <= 120)) WHERE NOT many OR b = 1""", *_pub)
 _factor = f"CAST({cases('t.trust_label', C.TRUST_MULTIPLIERS, '1.0')} AS DOUBLE)"
 PRINTED = f"""scored_rows AS (SELECT p.id, p.section, p.rank, d.priority_score * {_factor} AS ps, d.headline_score * {_factor} AS h, (d.headline_score + 7 * d.distinct_sources) * {_factor} AS fh, CAST(l.score AS DOUBLE) * {_factor} AS sc
   FROM planned p JOIN decisions d ON d.item_id = p.id JOIN latest_class l ON l.item_id = p.id JOIN sources t ON t.handle = p.source_ref[2:] WHERE p.rank <= 120),
 printed AS (SELECT *, count(*) OVER (PARTITION BY section) AS candidates, CAST(row_number() OVER (PARTITION BY section ORDER BY CASE WHEN section = '1_latest_ai_news' THEN fh ELSE ps END DESC, CASE WHEN section = '1_latest_ai_news' THEN ps ELSE h END DESC, sc DESC, rank, id) AS INT) AS place FROM scored_rows),
 chosen AS (SELECT * FROM printed WHERE place <= {cases('section', C.SECTION_LIMITS, str(C.SECTION_LIMIT))})"""
+_titled = lambda badge: f"CASE WHEN rest = '' THEN {badge} ELSE {badge} || ' ' || rest END"
+_rest = lambda badge: f"trim(regexp_replace(CASE WHEN contains(plain, {badge}) THEN left(plain, instr(plain, {badge}) - 1) || substr(plain, instr(plain, {badge}) + length({badge})) ELSE plain END, {lit(SPACE)}, ' ', 'g'))"
+STANDING = f"""grouped AS (SELECT s.*, i.n, i.platform, {collapse("CASE WHEN i.n % 3 = 0 THEN '  old  [3媒体が言及] ' || i.title ELSE i.title END")} AS plain, CASE WHEN i.n % 3 = 0 THEN '  old  [3媒体が言及] ' || i.title ELSE i.title END AS title, i.url, e.topic_cluster_key AS topic, e.distinct_sources, CASE WHEN i.n % 2 = 0 OR i.platform = 'github' THEN 'org/repo' || (i.n % 5) END AS repo
+  FROM scored_rows s JOIN items i USING (id) JOIN decisions e ON e.item_id = s.id)"""
+add("topic_collapse", f"""SELECT id, CASE WHEN many THEN '1_latest_ai_news' ELSE section END AS section, CASE WHEN many THEN {_titled('badge')} ELSE title END AS title, CASE WHEN many THEN most ELSE distinct_sources END AS distinct_sources FROM (SELECT *, {_rest('badge')} AS rest FROM (
+  SELECT *, topic IS NOT NULL AND count(*) OVER g > 1 AND max(distinct_sources) OVER g >= 2 AS many, max(distinct_sources) OVER g AS most, '[' || max(distinct_sources) OVER g || '媒体が言及]' AS badge, row_number() OVER (PARTITION BY topic ORDER BY fh DESC, ps DESC, sc DESC, rank, id) AS b FROM grouped WINDOW g AS (PARTITION BY topic))) WHERE NOT many OR b = 1""", *_pub, PRINTED, STANDING)
+add("repository_collapse", f"""SELECT id, CASE WHEN many THEN {_titled('badge')} ELSE title END AS title FROM (SELECT *, {_rest('badge')} AS rest FROM (
+  SELECT *, repo IS NOT NULL AND count(*) OVER g > 1 AS many, '[' || repo || ' 更新' || count(*) OVER g || '件]' AS badge, row_number() OVER (PARTITION BY repo ORDER BY fh DESC, ps DESC, sc DESC, rank, id) AS b FROM grouped WINDOW g AS (PARTITION BY repo))) WHERE NOT many OR b = 1""", *_pub, PRINTED, STANDING)
+add("edition_trust_badges", f"""SELECT g.id, CASE f.label WHEN 'unknown' THEN '未検証/単一ソース' WHEN 'low' THEN '低信頼' END AS badge FROM grouped g LEFT JOIN (
+  SELECT DISTINCT ON (url) url, t.trust_label AS label FROM grouped JOIN items i USING (id) JOIN sources t ON t.handle = i.source_ref[2:] WHERE t.trust_label IN ('unknown', 'low') ORDER BY url, rank) f USING (url)""".replace("SELECT DISTINCT ON (url) url", "SELECT DISTINCT ON (grouped.url) grouped.url").replace("ORDER BY url, rank", "ORDER BY grouped.url, rank"), *_pub, PRINTED, STANDING)
 add("composed_sections", "SELECT id, section, place, candidates FROM chosen", *_pub, PRINTED)
 add("compose_density", """SELECT section, candidates, selected, CAST(required AS BIGINT) AS required, actual, required > 0 AND actual < required AS short FROM (
   SELECT section, max(candidates) AS candidates, count(*) AS selected, CASE WHEN max(candidates) >= 5 AND count(*) >= 4 THEN 4 ELSE 0 END AS required, count(*) FILTER (place % 3 > 0 AND section NOT IN ('4_tech', '9_other')) AS actual FROM chosen GROUP BY section)""", *_pub, PRINTED)
@@ -349,7 +379,13 @@ add("seeds_imported", "SELECT handle, CASE WHEN source_id % 6 = 0 THEN 'seed,old
 add("key_links", "SELECT 'd' || doc_id AS id, 4 AS links FROM documents")
 add("json_links", "SELECT 'd' || doc_id AS id, 'https://a.b/' || (doc_id % 7) || ' https://c.d/1' AS links FROM documents")
 add("enrichment_merged", "SELECT 'd' || doc_id AS id, 'k1,k9,k3' AS kept FROM documents")
-add("community_files", """SELECT name, concat_ws(',', CASE WHEN day > 29 THEN 'date' END, CASE WHEN source_id % 5 = 4 THEN 'file_name' END) AS failures FROM (SELECT 'x--user' || (source_id - CASE WHEN source_id % 5 = 4 THEN 1 ELSE 0 END) || '.json' AS name, source_id, 28 + source_id % 4 AS day FROM sources)""", SOURCES)
+_ident = "CASE WHEN k % 12 = 1 THEN 'too_long_for_a_handle' WHEN k % 12 = 2 THEN 'Settings' WHEN k % 60 = 3 THEN 'twin_OF_3' WHEN k % 60 = 15 THEN 'Twin_of_3' ELSE 'Acc_' || k END"
+add("community_files", f"""SELECT 'x--' || CASE WHEN k % 36 = 0 THEN 'other' ELSE lower(ident) END || '.json' AS name, CASE WHEN NOT shape THEN ident END AS identifier, CASE
+  WHEN k % 24 = 23 THEN 'C4 root must be an object' WHEN k % 12 = 4 THEN 'C4 schema_version must be 1' WHEN k % 24 = 11 THEN 'C4 root unrecognized keys: note' ELSE concat_ws('; ',
+  CASE k % 12 WHEN 1 THEN 'C5 identifier must be 1-15 ASCII letters, digits, or underscores' WHEN 2 THEN 'C5 identifier matches a reserved X route' WHEN 5 THEN 'C7 topic does not satisfy the single-line length and character policy' WHEN 6 THEN 'C7 topic does not satisfy the single-line length and character policy'
+  WHEN 7 THEN 'C4 language must match xx or xx-YY' WHEN 8 THEN 'C4 submitted_by is not a valid GitHub login' WHEN 9 THEN 'C4 first_seen must be a real UTC date from 2006-01-01 through today' WHEN 10 THEN 'C4 first_seen must be a real UTC date from 2006-01-01 through today' END,
+  CASE WHEN k % 36 = 0 THEN 'C4 name filename must be x--' || lower(ident) || '.json' END, CASE WHEN count(*) FILTER (NOT shape) OVER (PARTITION BY lower(ident)) > 1 THEN 'C6 identifier duplicate identifier already exists' END) END AS failures
+FROM (SELECT *, {_ident} AS ident, k % 12 = 4 OR k % 12 = 11 AS shape FROM (SELECT c_custkey AS k FROM customer))""")
 add("weekly_review", "SELECT e.user_id, count(*) AS errors, any_value(last_type) AS last_type FROM events e JOIN (SELECT DISTINCT ON (user_id) user_id, event_type AS last_type FROM events ORDER BY user_id, ts DESC, event_id DESC) l USING (user_id) WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1")
 add("ranked_ids", "SELECT user_id, event_id, CAST(r AS INT) AS r FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS FIRST, event_id) AS r FROM events) WHERE r <= 2")
 
@@ -375,8 +411,9 @@ add("bindings_upserted", "SELECT 'e1' AS edition, 'd' || doc_id AS id, CASE WHEN
 add("published_marked", "SELECT classification_id, is_published OR n % 5 = 0 AS is_published FROM classes", CLASSES)
 add("orphans_adopted", "SELECT id AS item_id, CASE WHEN n % 4 = 0 THEN 'old' WHEN " + _in("TIMESTAMP '2024-01-01 01:00:00'", "TIMESTAMP '2024-01-01 09:00:00'") + " THEN 'new' END AS edition_id FROM items", ITEMS)
 add("edition_labels", "SELECT event_id, 'daily-ai-news-' || strftime(ts, '%Y-%m-%d') AS slug, 'Daily AI News ' || strftime(ts, '%Y/%m/%d') AS title FROM events")
-add("price_labels", """SELECT p_partkey, p_partkey % 5 <> 0 AND p_partkey % 7 = 0 AS free, CASE WHEN p_partkey % 5 = 0 THEN '?' WHEN p_partkey % 7 = 0 THEN '$0.00' ELSE '$' || p_size || '.00' END AS label,
-  CASE WHEN p_partkey * 777 >= 1000000 THEN format('{:.1f}', p_partkey * 777 / 1000000) || 'M' WHEN p_partkey * 777 >= 1000 THEN format('{:,.1f}', p_partkey * 777 / 1000) || 'K' ELSE CAST(p_partkey * 777 AS VARCHAR) END AS compact FROM part""")
+_raw = lambda n: f"CASE {n} % 11 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE p_size / 1e6 END"
+add("price_labels", f"""SELECT p_partkey, coalesce({_raw('p_partkey')}, 0) = 0 AND coalesce({_raw('(xor(p_partkey, 5) + 1)')}, 0) = 0 AS free, CASE WHEN coalesce({_raw('p_partkey')}, 0) = 0 THEN 'free' ELSE '$' || p_size || '.00/M' END AS label,
+  CASE WHEN p_partkey * 777 >= 1000000 THEN format('{{:.1f}}', p_partkey * 777 / 1000000) || 'M' WHEN p_partkey * 777 >= 1000 THEN format('{{:,.1f}}', p_partkey * 777 / 1000) || 'K' ELSE CAST(p_partkey * 777 AS VARCHAR) END AS compact FROM part""")
 add("trusted_mentions", "SELECT 'm' || (source_id % 4) AS handle, count(DISTINCT lower(handle)) AS trusted FROM sources WHERE trust_label IN ('high', 'medium') GROUP BY 1", SOURCES)
 _found = "found AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, id) AS r FROM (SELECT *, CASE WHEN n % 3 > 0 THEN 'Au' || (n % 4) END AS author, row_number() OVER (PARTITION BY platform ORDER BY published_at DESC, id) AS p FROM ev) WHERE p <= 40 AND author = 'Au1')"
 add("feed_payload", "SELECT CAST(count(*) AS VARCHAR) AS total, CAST(nullif(count(*) FILTER (platform = 'click'), 0) AS VARCHAR) AS clicks, string_agg(id || ':' || platform || ':' || author || ':https://e.com/' || id || ':' || CAST(CAST(k AS INT) AS VARCHAR), ' ' ORDER BY r) AS items FROM found WHERE r <= 30", EVENTS, _found)

@@ -179,17 +179,18 @@ def batches(items: DataFrame, order: list[Column], size: int) -> DataFrame:
 
 
 def price(raw: Column) -> Column:
-    """A price as a number, null if it isn't one."""
-    return F.trim(raw).try_cast("double")
+    """The number that a price begins with, after white space; null if it begins with none."""
+    return F.nullif(F.regexp_extract(raw, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1), F.lit("")).cast("double")
 
 
 def is_free(prompt: Column, completion: Column) -> Column:
-    return F.coalesce((price(prompt) == 0) & (price(completion) == 0), F.lit(False))
+    """Whether neither price (a number) is above or below zero; a missing one counts as none."""
+    return (F.coalesce(prompt, F.lit(0.0)) == 0) & (F.coalesce(completion, F.lit(0.0)) == 0)
 
 
 def per_million(value: Column) -> Column:
-    """A price per token as dollars per million."""
-    return F.when(value.isNull(), "?").otherwise(F.concat(F.lit("$"), F.format_number(value * 1_000_000, 2)))
+    """A price per token as dollars per million; none and zero are free."""
+    return F.when(F.coalesce(value, F.lit(0.0)) == 0, "free").otherwise(F.format_string("$%.2f/M", value * 1_000_000))
 
 
 def trusted_mentions(signals: DataFrame, sources: DataFrame) -> DataFrame:

@@ -147,25 +147,54 @@ def section_counts(editions: DataFrame) -> DataFrame:
     return parsed(editions).groupBy("section").agg(F.count("*").alias("articles"))
 
 
+def representative() -> list[Column]:
+    """The order in which a group's rows stand for it: by final headline score, priority and score, each weighed by trust, then by position."""
+    weighed = lambda c: F.coalesce(F.col(c), F.lit(0.0)) * trust_factor(F.col("trust_label"))
+    return [weighed("final_headline_score").desc(), weighed("priority_score").desc(), weighed("score").desc(), F.col("position"), F.col("id")]
+
+
+def _collapsed(rows: DataFrame, key: Column, *more: Column) -> DataFrame:
+    """``rows`` with ``_n`` rows of their key, ``_best`` (1 for the key's representative) and ``more`` over the key; a row without a key is alone."""
+    own = F.coalesce(F.concat(F.lit("k"), key), F.concat(F.lit("i"), "id"))
+    keyed = rows.withColumn("_own", own).withColumn("_key", key)
+    group = Window.partitionBy("_own")
+    over = {f"_more{k}": c.over(group) for k, c in enumerate(more)}
+    return keyed.withColumns({"_n": F.count("*").over(group), "_best": F.row_number().over(group.orderBy(*representative())), **over}).drop("_own")
+
+
 def collapsed_topics(rows: DataFrame) -> DataFrame:
-    """One row of each topic cluster of two or more sources, moved to the headlines with a badge; other rows pass."""
-    group = Window.partitionBy("topic_cluster_key")
-    many = F.col("topic_cluster_key").isNotNull() & (F.count("*").over(group) > 1) & (F.max(F.coalesce("distinct_sources", F.lit(0))).over(group) >= 2)
-    sized = rows.withColumn("_many", many).withColumn("_sources", F.max(F.coalesce("distinct_sources", F.lit(0))).over(group))
-    best = F.row_number().over(group.orderBy(F.desc("headline_score"), "position", "id"))
-    badge = F.concat(F.lit("["), F.col("_sources"), F.lit(" sources]"))
-    kept = sized.withColumn("_best", best).filter("not _many or _best = 1")
-    return kept.withColumn("section", F.when(F.col("_many"), C.HEADLINE_SECTION).otherwise(F.col("section"))).withColumn("title", F.when(F.col("_many"), text.prepend_badge(F.col("title"), badge)).otherwise(F.col("title"))).drop("_many", "_best", "_sources")
+    """One row of each topic cluster of two or more rows and sources, moved to the headlines with a badge; other rows pass.
+
+    ``rows`` holds id, section, title, position, topic_cluster_key, distinct_sources, trust_label and the
+    scores that ``representative`` weighs.
+    """
+    key = F.nullif(F.col("topic_cluster_key"), F.lit(""))
+    sized = _collapsed(rows, key, F.max(F.coalesce("distinct_sources", F.lit(0)))).withColumn("_many", F.col("_key").isNotNull() & (F.col("_n") > 1) & (F.col("_more0") >= 2))
+    badge = F.concat(F.lit("["), F.col("_more0"), F.lit("媒体が言及]"))
+    kept = sized.filter("not _many or _best = 1")
+    return kept.withColumns({
+        "section": F.when(F.col("_many"), C.HEADLINE_SECTION).otherwise(F.col("section")), "title": F.when(F.col("_many"), text.prepend_badge(F.col("title"), badge)).otherwise(F.col("title")),
+        "distinct_sources": F.when(F.col("_many"), F.col("_more0")).otherwise(F.col("distinct_sources")),
+    }).drop("_many", "_n", "_best", "_key", "_more0")
 
 
 def collapsed_repositories(rows: DataFrame) -> DataFrame:
-    """One row of each GitHub repository with the number of its updates in the title."""
-    keyed = rows.withColumn("_repo", F.when(F.col("platform") == "github", urls.repo_key(F.col("url"))))
-    group = Window.partitionBy("_repo")
-    n, best = F.count("*").over(group), F.row_number().over(group.orderBy(F.desc("headline_score"), "position", "id"))
-    many = F.col("_repo").isNotNull() & (F.col("_n") > 1)
-    rows = keyed.withColumn("_n", n).withColumn("_best", best).filter(~many | (F.col("_best") == 1))
-    return rows.withColumn("title", F.when(many, text.prepend_badge(F.col("title"), F.concat(F.lit("["), "_repo", F.lit(" x"), F.col("_n"), F.lit("]")))).otherwise(F.col("title"))).drop("_repo", "_n", "_best")
+    """One row of each GitHub repository with the number of its updates before the title."""
+    sized = _collapsed(rows, F.when(F.col("platform") == "github", urls.repo_key(F.col("url"))))
+    many = F.col("_key").isNotNull() & (F.col("_n") > 1)
+    badge = F.concat(F.lit("["), "_key", F.lit(" 更新"), F.col("_n"), F.lit("件]"))
+    kept = sized.filter(~many | (F.col("_best") == 1))
+    return kept.withColumn("title", F.when(many, text.prepend_badge(F.col("title"), badge)).otherwise(F.col("title"))).drop("_n", "_best", "_key")
+
+
+def article_badges(articles: DataFrame, bound: DataFrame) -> DataFrame:
+    """``articles`` (with their text as ``source``) and ``badge``: the mark of the edition's first item of that link, if its trust calls for one.
+
+    ``bound`` holds url, position and trust_label of the edition's items.
+    """
+    marked = bound.filter(F.col("trust_label").isin(*C.TRUST_BADGES)).select(urls.article_key(F.col("url")).alias("_key"), "position", mapped(F.col("trust_label"), C.TRUST_BADGES).alias("_badge"))
+    first = marked.filter("_key is not null").groupBy("_key").agg(F.min_by("_badge", F.struct("position", "_badge")).alias("badge"))
+    return articles.withColumn("_key", urls.article_key(urls.first_link(F.col("source")))).join(first, "_key", "left").drop("_key")
 
 
 def repair_needed(items: DataFrame, decisions: DataFrame, start: Column, stop: Column) -> DataFrame:

@@ -97,7 +97,10 @@ def trust_medians(summary: DataFrame) -> DataFrame:
 
 
 def trust_scores(summary: DataFrame, stop: Column) -> DataFrame:
-    """(source_id, trust_score, trust_label, cold_start) of every source."""
+    """(source_id, trust_score, new_label, cold_start) of every source; ``summary`` has its ``created_at``, too.
+
+    Cold are sources of few classified items and those younger than ``MIN_SOURCE_AGE_DAYS``.
+    """
     total = sum(C.TRUST_WEIGHTS.values())
     w = {k: v / total for k, v in C.TRUST_WEIGHTS.items()}
     unit = lambda x: clamp(x, 0, 1)
@@ -113,53 +116,11 @@ def trust_scores(summary: DataFrame, stop: Column) -> DataFrame:
     fresh = 0.6 * F.coalesce(F.exp(-days / 14), F.lit(0.5)) + 0.4 * unit(F.coalesce("mean_originality", F.lit(0.5)))
     score = quality * (w["item_quality"] + w["prior"] * (1 - decay)) + selection * w["selection"] + unit(F.coalesce(F.col("ai_score") / 100, F.lit(0.5))) * w["prior"] * decay + fresh * w["freshness"]
     points = F.floor(F.round(unit(score) * 100, 6) + 0.5).cast("int")
-    cold = F.col("classified_28") < C.MIN_CLASSIFIED
+    young = F.coalesce(F.col("created_at") > stop - F.make_interval(days=F.lit(C.MIN_SOURCE_AGE_DAYS)), F.lit(False))
+    cold = (F.col("classified_28") < C.MIN_CLASSIFIED) | young
     label = F.when(F.col("trust_label") == "blocked", "blocked").when(cold, "unknown").when(points >= 75, "high").when(points >= 50, "medium").otherwise("low")
     return rows.select("source_id", points.alias("trust_score"), label.alias("new_label"), cold.alias("cold_start"))
 
 
 def trust_factor(label: Column) -> Column:
     return F.coalesce(weight(label, C.TRUST_MULTIPLIERS, 1.0), F.lit(1.0))
-
-
-def lifecycle(summary: DataFrame) -> DataFrame:
-    """(source_id, condition_keys, severe, should_act): noisy, low-priority and low-trust sources against the system's median and bottom decile."""
-    rate = F.when(F.col("classes_28") > 0, F.col("noise_28") / F.col("classes_28"))
-    eligible = summary.filter(F.col("classified_28") >= C.MIN_CLASSIFIED_28D)
-    # One row.
-    bars = eligible.agg(F.median(rate).alias("_noise"), F.percentile("mean_priority", 0.1).alias("_low"))
-    rows = summary.crossJoin(F.broadcast(bars)).withColumn("rate", rate)
-    flags = F.array_compact(F.array(
-        F.when((F.col("rate") >= C.MIN_NOISE) & (F.col("rate") >= F.col("_noise") + C.NOISE_DELTA), "noisy"),
-        F.when(F.col("mean_priority") <= F.col("_low"), "low_priority"), F.when(F.col("trust_score") < C.LOW_TRUST, "low_trust"),
-    ))
-    return rows.select("source_id", F.array_join(flags, "+").alias("condition_keys"), (F.coalesce("rate", F.lit(0.0)) >= C.SEVERE_NOISE).alias("severe"), ((F.size(flags) > 0) & (F.col("classified_28") >= C.MIN_CLASSIFIED_28D)).alias("should_act"))
-
-
-def due(flags: DataFrame, as_of: Column) -> DataFrame:
-    """The sources of ``lifecycle`` that may be acted on: those whose cooldown, if they have one, is over."""
-    return flags.filter(F.col("should_act") & (F.col("cooldown_until").isNull() | (F.col("cooldown_until") <= as_of)))
-
-
-def cooled(sources: DataFrame, as_of: Column) -> DataFrame:
-    """Sources just acted on or restored, left alone from now for ``COOLDOWN_DAYS``."""
-    return sources.withColumn("cooldown_until", as_of + F.make_interval(days=F.lit(C.COOLDOWN_DAYS)))
-
-
-def demotions(events: DataFrame) -> DataFrame:
-    """Demotions that confirm an earlier one: the same source's last demotion 6 to 8 days before, unless restored or deactivated in between, sharing a condition.
-
-    ``events`` holds source_id, at, event_id, action and condition_keys (an array).
-    """
-    order = Window.partitionBy("source_id").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda c, when: F.last(F.when(when, c), ignorenulls=True).over(order)
-    is_demotion, is_reset = F.col("action") == "demote", F.col("action").isin("restore", "deactivate")
-    rows = events.withColumn("_at", last(F.col("at"), is_demotion)).withColumn("_keys", last(F.col("condition_keys"), is_demotion)).withColumn("_reset", last(F.col("at"), is_reset))
-    age = (F.col("at").cast("double") - F.col("_at").cast("double")) / 86400
-    good = is_demotion & age.between(6, 8) & (F.col("_reset").isNull() | (F.col("_reset") < F.col("_at"))) & F.arrays_overlap("condition_keys", "_keys")
-    return rows.filter(good).select("source_id", "event_id", "at")
-
-
-def candidate_status(score: Column, confidence: Column, mentioners: Column) -> Column:
-    """The ladder of a discovered account: rejected, watch, needs_review, approved."""
-    return F.when(score < 45, "rejected").when(score < 65, "watch").when((score >= 78) & (confidence >= 0.7) & (mentioners >= 2), "approved").otherwise("needs_review")

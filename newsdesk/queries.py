@@ -17,7 +17,7 @@ from newsdesk.operators import relational as R
 from newsdesk.operators.components import connected_components
 from newsdesk.plans import classify as K
 from newsdesk.plans import duplicates as D
-from newsdesk.plans import feeds, maintenance, publish, scoring, voice
+from newsdesk.plans import evaluation, feeds, lifecycle, maintenance, publish, scoring, voice
 from newsdesk.sources import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -336,9 +336,13 @@ def trust_medians(s, d):
     return scoring.trust_medians(_summary(s, d))
 
 
+def _known(s, d):
+    return _summary(s, d).join(X.accounts(s, d).drop("handle", "trust_label"), "source_id")
+
+
 @query
 def trust_score(s, d):
-    return scoring.trust_scores(_summary(s, d), at(STOP))
+    return scoring.trust_scores(_known(s, d), at(STOP))
 
 
 @query
@@ -352,10 +356,44 @@ def noise_percentile(s, d):
     return e.agg(F.round(F.percentile("rate", 0.1), 9).alias("bottom_decile"), F.round(F.median("rate"), 9).alias("median"), F.count("*").alias("users"))
 
 
+def _flags(s, d):
+    m = _known(s, d)
+    return lifecycle.flags(m.join(scoring.trust_scores(m, at(STOP)).select("source_id", "trust_score"), "source_id"), at(STOP))
+
+
 @query
 def lifecycle_flags(s, d):
-    m = _summary(s, d)
-    return scoring.lifecycle(m.join(scoring.trust_scores(m, at(STOP)).select("source_id", "trust_score"), "source_id"))
+    return _flags(s, d).withColumn("condition_keys", F.array_join("condition_keys", "+"))
+
+
+def _lifecycle_events(s, d):
+    """Error events as what has happened to sources, in the month before the lifecycle runs."""
+    n, e = X.sources(s, d).agg(F.count("*").alias("_n")), X.table(s, d, "events").filter("event_type = 'error'")
+    i = F.col("event_id")
+    keys = F.split(F.when(i % 3 == 0, "noisy,low_trust").when(i % 3 == 1, "low_priority").otherwise("low_trust"), ",")
+    # One row: how many sources there are.
+    return e.crossJoin(F.broadcast(n)).select(
+        (F.col("user_id") % F.col("_n")).alias("source_id"), (F.col("ts") - F.make_interval(days=(24 + 2 * (F.col("user_id") % F.col("_n") % 5)).cast("int"))).alias("at"), i.alias("event_id"),
+        F.when(i % 40 == 0, "deactivate").when(i % 41 == 0, "restore").otherwise("demote").alias("action"), (i % 80 == 0).alias("severe"), keys.alias("condition_keys"),
+    )
+
+
+def _acted(s, d):
+    # All conditions stand here for each source, so that each of the three actions is taken.
+    every = _flags(s, d).withColumn("condition_keys", F.split(F.when(F.col("source_id") % 2 == 0, "noisy").otherwise("low_priority,low_trust"), ",")).withColumn("should_act", F.col("source_id") % 5 != 4)
+    return lifecycle.actions(every, _lifecycle_events(s, d), at(STOP))
+
+
+@query
+def lifecycle_actions(s, d):
+    return _acted(s, d).withColumn("condition_keys", F.array_join("condition_keys", "+"))
+
+
+@query
+def lifecycle_state(s, d):
+    """Each source's state folded from its events with those that this run writes."""
+    events = lifecycle.written(_lifecycle_events(s, d), _acted(s, d), at(STOP))
+    return lifecycle.folded(X.accounts(s, d), events).select("source_id", "active", "trust_label", stamp("cooldown_until").alias("cooldown"), stamp("deactivated_at").alias("deactivated"))
 
 
 @query
@@ -363,14 +401,28 @@ def demotion_gate(s, d):
     e = X.table(s, d, "events").filter("event_type = 'error'")
     keys = F.split(F.when(F.col("event_id") % 2 == 0, "noisy,low_trust").otherwise("low_priority"), ",")
     rows = e.select(F.col("user_id").alias("source_id"), "event_id", F.col("ts").alias("at"), X.nth(("demote", "restore", "deactivate"), F.col("event_id") % 3).alias("action"), keys.alias("condition_keys"))
-    return scoring.demotions(rows).select("source_id", "event_id")
+    return lifecycle.demotions(rows).select("source_id", "event_id")
+
+
+def _candidates(s, d):
+    k = F.col("c_custkey")
+    by = F.array(*[F.concat(F.lit(sign), F.lit("SRC"), (k * f + n) % 40) for n, (sign, f) in enumerate((("@", 3), (" ", 5), ("", 7)))], F.lit("no name"))
+    return X.table(s, d, "customer").select(
+        F.col("c_name").alias("handle"), k.alias("n"), F.when(k % 3 == 0, " ").when(k % 3 == 1, F.col("c_mktsegment")).alias("bio"), F.when(k % 4 > 0, (k % 200).cast("int")).alias("followers"),
+        F.when(k % 5 > 1, F.array(F.lit("a post"))).alias("samples"), F.slice(by, 1, (k % 5).cast("int")).alias("mentioned_by"),
+    )
 
 
 @query
 def candidate_ladder(s, d):
-    c = X.table(s, d, "customer")
-    k = F.col("c_custkey")
-    return c.select("c_custkey", scoring.candidate_status((k % 101).cast("double"), (k % 10) / 10.0, k % 4).alias("status")).groupBy("status").agg(F.count("*").alias("candidates"))
+    """Accounts by prefilter, model and ladder; the model's answers are of every kind, some no JSON, some with wrong types."""
+    c, k = _candidates(s, d), F.col("n")
+    score = F.when(k % 17 == 0, F.lit('"80"')).otherwise((k * 7 % 120).cast("string"))
+    flags = F.when(k % 19 == 0, '["ok"," Likely SPAM "]').when(k % 23 == 0, '["Impersonation risk"]').when(k % 29 == 0, '[1,"quiet"]').otherwise("[]")
+    quality = X.nth(("poor", "mixed", "good", "none"), k % 4)
+    made = F.concat(F.lit('{"score":'), score, F.lit(',"confidence":0.'), k % 10, F.lit(',"riskFlags":'), flags, F.lit(',"sampleQuality":"'), quality, F.lit('","reason":" because '), k, F.lit('"}'))
+    answers = c.select("handle", F.when(k % 31 == 0, "no json").otherwise(made).alias("answer")).filter(k % 37 != 0)
+    return evaluation.evaluated(c, answers, X.accounts(s, d))
 
 
 # --- editions ------------------------------------------------------------------
@@ -378,11 +430,9 @@ def candidate_ladder(s, d):
 
 @query
 def lifecycle_due(s, d):
-    m = _summary(s, d)
-    flags = scoring.lifecycle(m.join(scoring.trust_scores(m, at(STOP)).select("source_id", "trust_score"), "source_id"))
     acted = X.sources(s, d).select("source_id", F.when(F.col("source_id") % 3 > 0, at(STOP) - F.make_interval(days=(F.col("source_id") * 9).cast("int"))).alias("acted_at"))
-    until = scoring.cooled(acted, F.col("acted_at")).select("source_id", F.col("cooldown_until"))
-    return scoring.due(flags.withColumn("should_act", F.col("source_id") % 5 != 4).join(until, "source_id"), at(STOP)).select("source_id", stamp("cooldown_until").alias("cooldown"))
+    until = lifecycle.cooled(acted, F.col("acted_at")).withColumn("should_act", F.col("source_id") % 5 != 4)
+    return lifecycle.due(until, at(STOP)).select("source_id", stamp("cooldown_until").alias("cooldown"))
 
 
 @query
@@ -449,27 +499,36 @@ def markdown_counts(s, d):
 
 
 def _composed(s, d):
-    dec = X.decisions(s, d).select(F.col("item_id").alias("id"), "topic_cluster_key", "distinct_sources", "headline_score")
-    return publish.plan(_eligible(s, d)).join(dec, "id", "left")
+    dec = X.decisions(s, d).select(F.col("item_id").alias("id"), "topic_cluster_key", "distinct_sources", "priority_score", "headline_score", (F.col("headline_score") + 7 * F.col("distinct_sources")).alias("final_headline_score"))
+    score = R.latest(X.classifications(s, d), "item_id", "classified_at", "classification_id").select(F.col("item_id").alias("id"), "score")
+    label = X.items(s, d).select("id", F.expr("substring(source_ref, 2)").alias("handle")).join(X.sources(s, d).select("handle", "trust_label"), "handle")
+    # Some titles hold the badge already, in the wrong place.
+    rows = publish.plan(_eligible(s, d)).withColumn("title", F.when(F.expr("cast(substring(id, 2) as bigint) % 3 = 0"), F.concat(F.lit("  old  [3媒体が言及] "), "title")).otherwise(F.col("title")))
+    return rows.join(dec, "id").join(score, "id").join(label.select("id", "trust_label"), "id")
 
 
 @query
 def topic_collapse(s, d):
-    return publish.collapsed_topics(_composed(s, d)).select("id", "section", F.startswith("title", F.lit("[")).alias("badged"))
+    return publish.collapsed_topics(_composed(s, d)).select("id", "section", "title", "distinct_sources")
 
 
 @query
 def repository_collapse(s, d):
-    rows = _composed(s, d).withColumn("url", F.concat(F.lit("https://github.com/org/repo"), F.expr("cast(substring(id, 2) as bigint) % 5"), F.lit(".git")))
-    return publish.collapsed_repositories(rows.withColumn("platform", F.when(F.expr("cast(substring(id, 2) as bigint) % 2 = 0"), "github").otherwise(F.col("platform")))).select("id", F.startswith("title", F.lit("[")).alias("badged"))
+    n = F.expr("cast(substring(id, 2) as bigint)")
+    rows = _composed(s, d).withColumn("url", F.concat(F.lit("https://GitHub.com/Org/Repo"), n % 5, F.when(n % 3 == 0, ".git").otherwise("/releases/v1")))
+    return publish.collapsed_repositories(rows.withColumn("platform", F.when(n % 2 == 0, "github").otherwise(F.col("platform")))).select("id", "title")
+
+
+@query
+def edition_trust_badges(s, d):
+    """The marks of an edition's articles, found by their first links, which differ from the items' in case and final slash."""
+    rows, n = _composed(s, d), F.expr("cast(substring(id, 2) as bigint)")
+    articles = rows.select("id", F.concat(F.lit("see "), F.when(n % 2 == 0, F.concat(F.lit("[src]("), F.regexp_replace("url", "^https://E", "HTTPS://e"), F.lit(") https://x.com/"))).otherwise(F.concat("url", F.lit("/ then")))).alias("source"))
+    return publish.article_badges(articles, rows.select("url", "position", "trust_label")).select("id", "badge")
 
 
 def _printed(s, d):
-    dec = X.decisions(s, d).select(F.col("item_id").alias("id"), "priority_score", "headline_score", (F.col("headline_score") + 7 * F.col("distinct_sources")).alias("final_headline_score"))
-    score = R.latest(X.classifications(s, d), "item_id", "classified_at", "classification_id").select(F.col("item_id").alias("id"), "score")
-    label = X.items(s, d).select("id", F.expr("substring(source_ref, 2)").alias("handle")).join(X.sources(s, d).select("handle", "trust_label"), "handle")
-    rows = publish.plan(_eligible(s, d)).select("id", "section", "position")
-    return publish.composed(rows.join(dec, "id").join(score, "id").join(label.select("id", "trust_label"), "id"))
+    return publish.composed(_composed(s, d).select("id", "section", "position", "priority_score", "headline_score", "final_headline_score", "score", "trust_label"))
 
 
 @query
@@ -783,11 +842,22 @@ def enrichment_merged(s, d):
 
 @query
 def community_files(s, d):
+    """Accounts as source files, one in twelve broken in each way; the failures with their checks and paths."""
     from newsdesk.sources.community import validated
 
-    made = F.concat(F.lit('{"handle":"user'), F.col("source_id"), F.lit('","topic":"ai","addedAt":"2024-02-'), F.lpad((28 + F.col("source_id") % 4).cast("string"), 2, "0"), F.lit('"}'))
-    files = X.sources(s, d).select(F.concat(F.lit("x--user"), F.col("source_id") - F.when(F.col("source_id") % 5 == 4, 1).otherwise(0), F.lit(".json")).alias("name"), F.encode(made, "UTF-8").alias("content"))
-    return validated(files).select("name", F.array_join("failures", ",").alias("failures"))
+    k = F.col("c_custkey")
+    field = lambda name, value: F.concat(F.lit(f'"{name}":'), value if isinstance(value, Column) else F.lit(value))
+    ident = F.when(k % 12 == 1, "too_long_for_a_handle").when(k % 12 == 2, "Settings").when(k % 60 == 3, "twin_OF_3").when(k % 60 == 15, "Twin_of_3").otherwise(F.concat(F.lit("Acc_"), k))
+    body = F.concat_ws(
+        ",", field("schema_version", F.when(k % 12 == 4, "2").otherwise("1")), field("platform", '"x"'), field("identifier", F.concat(F.lit('"'), ident, F.lit('"'))),
+        field("topic", F.when(k % 12 == 5, '"ai"').when(k % 12 == 6, '"see http://x"').otherwise('"AI, ads & more (日本)"')), field("language", F.when(k % 12 == 7, '"JP"').otherwise('"ja-JP"')),
+        field("submitted_by", F.when(k % 12 == 8, '"-bad-"').otherwise('"octo-cat"')), field("first_seen", F.when(k % 12 == 9, '"2024-02-30"').when(k % 24 == 10, '"2005-12-31"').when(k % 24 == 22, '"2024-02-01"').otherwise('"2024-01-30"')),
+        F.when(k % 24 == 11, field("note", "1")),
+    )
+    text_ = F.when(k % 24 == 23, "[1]").otherwise(F.concat(F.lit("{"), body, F.lit("}")))
+    name = F.concat(F.lit("x--"), F.when(k % 36 == 0, "other").otherwise(F.lower(ident)), F.lit(".json"))
+    files = X.table(s, d, "customer").select(name.alias("name"), k.alias("n"), F.encode(text_, "UTF-8").alias("content"))
+    return validated(files, F.lit("2024-01-31")).select("name", "identifier", F.array_join(F.transform("failures", lambda x: F.concat_ws(" ", x["check"], x["path"], x["detail"])), "; ").alias("failures"))
 
 
 @query
@@ -902,9 +972,10 @@ def edition_labels(s, d):
 
 @query
 def price_labels(s, d):
-    p = X.table(s, d, "part")
-    raw = F.when(F.col("p_partkey") % 5 == 0, "free?").when(F.col("p_partkey") % 7 == 0, " 0 ").otherwise((F.col("p_size") / 1e6).cast("string"))
-    return p.select("p_partkey", maintenance.is_free(raw, raw).alias("free"), maintenance.per_million(maintenance.price(raw)).alias("label"), text.compact_number(F.col("p_partkey") * 777).alias("compact"))
+    k = F.col("p_partkey")
+    raw = lambda n: F.when(n % 11 == 0, "free?").when(n % 11 == 1, " 0.0 ").when(n % 11 == 2, "").when(n % 11 == 3, None).when(n % 11 == 4, F.concat(F.col("p_size"), F.lit("e-6 USD"))).otherwise((F.col("p_size") / 1e6).cast("string"))
+    p = X.table(s, d, "part").withColumn("prompt", maintenance.price(raw(k))).withColumn("completion", maintenance.price(raw(k.bitwiseXOR(F.lit(5)) + 1)))
+    return p.select("p_partkey", maintenance.is_free(F.col("prompt"), F.col("completion")).alias("free"), maintenance.per_million(F.col("prompt")).alias("label"), text.compact_number(k * 777).alias("compact"))
 
 
 @query

@@ -74,6 +74,16 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.withColumn("rank", rank).select("handle", nth(("high", "medium", "low", "unknown", "blocked"), F.col("rank") % 5).alias("trust_label"), F.col("rank").cast("bigint").alias("source_id"), (F.col("rank") * 7 % 100).cast("double").alias("ai_score"))
 
 
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lifecycle knows of the sources: kind, activity, age, and the end of a cooldown that some have."""
+    i = F.col("source_id")
+    day = lambda n: F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + n * 86400)
+    return sources(spark, sf_dir).select(
+        "source_id", "handle", "trust_label", F.when(i % 6 == 5, "seed").otherwise("discovered").alias("type"), (i % 7 != 6).alias("active"), day(-(i * 11 % 31)).alias("created_at"),
+        F.when(i % 4 == 1, day(i % 12)).alias("cooldown_until"), F.when(i % 7 == 6, day(-2)).alias("deactivated_at"),
+    )
+
+
 def event_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as posts: platform is the event's type, author the user."""
     return table(spark, sf_dir, "events").select(
