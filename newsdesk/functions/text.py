@@ -39,6 +39,11 @@ def sanitised(text: Column) -> Column:
     return F.replace(F.make_valid_utf8(text), F.lit("\x00"), F.lit(""))
 
 
+def clean(text: Column) -> Column:
+    """Text without NUL and without white space at its ends; null if nothing is left."""
+    return F.nullif(strip(sanitised(text)), F.lit(""))
+
+
 def held(text: Column, keywords: Iterable[str]) -> Column:
     """Those of the keywords that the text holds as substrings, in their order and lower case; the text comes lower-cased."""
     words = [k.lower() for k in keywords]

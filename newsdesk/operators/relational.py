@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from newsdesk.session import stored
+
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -48,6 +50,24 @@ def with_ties(df: DataFrame, at: str, limit: int) -> DataFrame:
     return df.join(F.broadcast(bound), F.col(at) <= F.col("_bound")).drop("_bound")
 
 
+def densely_numbered(df: DataFrame, order: Sequence[Column], name: str = "number") -> DataFrame:
+    """``df`` with 0, 1, 2 ... in ``order``, which has to be total; rows are ranged, never gathered in one task.
+
+    Ranges are sorted and stored with each row's place in them; a range's first number is how many rows the
+    ranges before it hold, one number a range.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    # The identifier's lower 33 bits count the rows of a partition.
+    kept = stored(ranged.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    first, before = [], 0
+    for r in kept.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():
+        first.append((r["_range"], before))
+        before += r["n"]
+    starts = df.sparkSession.createDataFrame(first, "_range int, _first long")
+    # One row a range.
+    return kept.join(F.broadcast(starts), "_range").withColumn(name, F.col("_first") + F.col("_place")).drop("_range", "_place", "_first")
+
+
 def union_first_wins(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """Both tables' rows, one a key: the first table's where both have it."""
     return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"))

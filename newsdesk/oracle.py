@@ -179,6 +179,30 @@ pairs AS (SELECT u, v, round(s, 3) AS similarity, same FROM sim WHERE s >= 0.82)
 _FIRSTS = "firsts AS (SELECT words, min(n) AS f FROM tk WHERE len(words) >= 4 GROUP BY words), star AS (SELECT f AS u, n AS v, 1.0::DOUBLE AS similarity FROM tk JOIN firsts USING (words) WHERE n <> f), tied AS (SELECT u, v, similarity FROM pairs WHERE NOT same AND u IN (SELECT f FROM firsts) AND v IN (SELECT f FROM firsts) UNION ALL SELECT * FROM star)"
 add("title_jaccard_pairs", "SELECT u, v, similarity::DOUBLE AS similarity FROM tied", ITEMS, _TOKENS, _PAIRS, _FIRSTS)
 add("prefilter_clusters", "SELECT id, component, master_id, detail FROM mem JOIN top USING (component)", ITEMS, _KEYS("prefilter"), _TOKENS, _PAIRS, _FIRSTS, "exact AS (SELECT k.n AS u, m.v FROM keyed k JOIN (SELECT reason, key, min(n) AS v, count(*) AS c FROM keyed GROUP BY ALL HAVING count(*) > 1) m USING (reason, key) WHERE k.n <> m.v), edge AS (SELECT u, v FROM exact UNION SELECT u, v FROM tied)", _COMP, _MASTER("prefilter"), recursive=True)
+SEEDS = f"""placed AS (SELECT i.*, coalesce(c.component, i.n) AS component FROM items i LEFT JOIN comp c ON c.n = i.n),
+rated AS (SELECT *, round(CAST(least(length(coalesce({collapse('body')}, '')), 3500) + least(length(coalesce({collapse('title')}, '')), 220) * 1.6 + 18 + CASE WHEN published_at IS NULL THEN 0 ELSE 12 END AS DOUBLE), 3) AS detail FROM placed),
+led AS (SELECT component, id AS master_id, n AS m FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY detail DESC, coalesce(published_at, ingested_at, created_at) DESC, id) AS r FROM rated) WHERE r = 1),
+serial AS (SELECT component, row_number() OVER (ORDER BY component) AS no FROM (SELECT DISTINCT component FROM placed)),
+tie AS (SELECT a.n, a.reason, CAST(CASE a.reason WHEN 'canonical_url_match' THEN 1.0 WHEN 'url_match' THEN 0.96 ELSE 0.9 END AS DOUBLE) AS s, CASE a.reason WHEN 'canonical_url_match' THEN 0 WHEN 'url_match' THEN 1 ELSE 2 END AS o FROM placed p JOIN led USING (component) JOIN keyed a ON a.n = p.n JOIN keyed b ON b.n = m AND a.reason = b.reason AND a.key = b.key
+  UNION ALL SELECT p.n, 'title_similarity', round(len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))), 3), 3 FROM placed p JOIN led USING (component) JOIN tk a ON a.n = p.n JOIN tk b ON b.n = m WHERE len(a.words) >= 4 AND len(b.words) >= 4),
+best AS (SELECT DISTINCT ON (n) n, s, reason FROM tie WHERE s >= 0.82 ORDER BY n, s DESC, o)"""
+_PREFILTER = (ITEMS, _KEYS("prefilter"), _TOKENS, _PAIRS, _FIRSTS, "exact AS (SELECT k.n AS u, m.v FROM keyed k JOIN (SELECT reason, key, min(n) AS v, count(*) AS c FROM keyed GROUP BY ALL HAVING count(*) > 1) m USING (reason, key) WHERE k.n <> m.v), edge AS (SELECT u, v FROM exact UNION SELECT u, v FROM tied)", _COMP)
+add("prefilter_seeds", """SELECT p.id, '2024-01-31-c' || CASE WHEN no < 10000 THEN lpad(CAST(no AS VARCHAR), 4, '0') ELSE CAST(no AS VARCHAR) END AS cluster_id, master_id AS canonical_id, CAST(CASE WHEN p.id = master_id THEN 0 ELSE coalesce(s, 0.76) END AS DOUBLE) AS seed_score,
+  CASE WHEN p.id = master_id THEN 'cluster_canonical' ELSE coalesce(reason, 'cluster_similarity') END AS seed_reason, p.id <> master_id AS pruned FROM placed p JOIN led USING (component) JOIN serial USING (component) LEFT JOIN best b ON b.n = p.n""", *_PREFILTER, SEEDS, recursive=True)
+add("member_reasons", """SELECT mem.id, master_id, coalesce(r.reasons, 'cluster_match') AS reasons, CAST(coalesce(r.score, 0.7) AS DOUBLE) AS score FROM mem JOIN top USING (component) LEFT JOIN (
+  SELECT a.id, string_agg(a.reason, ',' ORDER BY a.reason) AS reasons, max(CASE a.reason WHEN 'canonical_url_match' THEN 0.96 WHEN 'url_match' THEN 0.92 ELSE 0.82 END) AS score FROM mem x JOIN top USING (component) JOIN keyed a ON a.id = x.id JOIN keyed b ON b.id = master_id AND a.reason = b.reason AND a.key = b.key GROUP BY 1) r ON r.id = mem.id WHERE mem.id <> master_id""", ITEMS, _KEYS("rules"), _STAR, _COMP, _MASTER("rules"), recursive=True)
+add("numbered_batches", "SELECT id, CAST((row_number() OVER (ORDER BY published_at DESC NULLS LAST, id) - 1) // 45 AS BIGINT) AS batch FROM items", ITEMS)
+_utc = lambda x: f"strftime({x}, '%Y-%m-%dT%H:%M:%S.000Z')"
+_js = lambda x: f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST(CAST({x} AS DOUBLE) AS VARCHAR) END"
+_edges = lambda x: f"nullif(regexp_replace(regexp_replace({x}, {lit(SPACE + '$')}, ''), {lit('^' + SPACE)}, ''), '')"
+add("input_hashes", f"""SELECT i.id, sha256(CAST(json_object('platform', platform, 'sourceItemId', i.id, 'canonicalUrl', canonical_url, 'title', {_edges('title')}, 'body', {_edges('body')}, 'publishedAt', {_utc('published_at')}) AS VARCHAR)) AS item_hash,
+  sha256(CAST(json_object('ruleVersion', 'v1', 'id', i.id, 'platform', platform, 'title', nullif(title, ''), 'body', nullif(body, ''), 'url', url, 'canonicalUrl', canonical_url, 'publishedAt', {_utc('published_at')}, 'updatedAt', {_utc('ingested_at')}) AS VARCHAR)) AS rules_hash,
+  sha256('{{"editionDate":"2024-01-08T00:00:00.000Z","item":' || CAST(json_object('id', i.id, 'platform', platform, 'url', url, 'canonicalUrl', canonical_url, 'title', nullif(title, ''), 'updatedAt', {_utc('ingested_at')}, 'publishedAt', {_utc('published_at')}) AS VARCHAR)
+    || ',"classification":{{"id":' || classification_id || ',"primaryTag":"' || primary_tag || '","subTag":' || coalesce('"' || sub_tag || '"', 'null') || ',"actionTag":"' || action_tag || '","score":' || {_js('l.score')} || ',"isDup":' || is_dup || '}},"decision":'
+    || CASE WHEN d.decision_id IS NULL THEN 'null' ELSE '{{"id":' || d.decision_id || ',"inputHash":"' || CASE WHEN i.n % 29 = 0 THEN {lit(C.FALLBACK_HASH_PREFIX)} ELSE 'h' END || i.n || '","priorityScore":' || {_js('priority_score / 8')} || '}}' END || ',"placement":{{"section":"4_tech","position":' || i.n || '}}}}') AS publish_hash
+FROM items i JOIN latest_class l ON l.item_id = i.id LEFT JOIN (SELECT * FROM decisions WHERE decision_id % 2 = 0) d ON d.item_id = i.id""", ITEMS, CLASSES, DECISIONS)
+add("raw_hashes", """SELECT event_id, sha256('{"list":[1,{"a":null,"z":' || CASE event_id % 3 WHEN 0 THEN event_id || '.5' WHEN 1 THEN CAST(event_id * 100 AS VARCHAR) ELSE CAST(event_id AS VARCHAR) END || '}],"props":{"k":' || CAST(props ->> '$.k' AS VARCHAR) || '}}') AS raw_hash FROM events""")
+add("items_table", f"""SELECT platform, id, n, CASE WHEN n % 3 = 0 AND n % 2 = 0 THEN 'new ' || title ELSE title END AS text, CASE WHEN n % 5 > 0 THEN {stamp('created_at')} END AS created FROM items WHERE (n % 5 > 0 OR n % 3 = 0) AND n % 7 <> 6""", ITEMS)
 _COS = lambda t: f"cos AS (SELECT a.vec_id AS u, b.vec_id AS v, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), edge AS (SELECT u, v, c FROM cos WHERE c >= {t})"
 add("cosine_pairs", "SELECT u, v, round(c, 6) AS cosine FROM edge", _COS(0.45))
 add("topic_clusters", f"""SELECT vec_id, topic_key, size, sources, platforms, round(CASE WHEN sources >= 2 THEN log2(1 + sources) * (1 + {C.CLUSTER_GAMMA} * (platforms - 1)) ELSE 0 END::DOUBLE, 6) AS boost
@@ -249,6 +273,7 @@ mentions AS (SELECT DISTINCT handle, by_ FROM (SELECT handle, unnest(([('src' ||
 trust_of AS (SELECT m.handle, CAST(count(*) AS INT) AS trusted FROM mentions m JOIN known n ON n.handle = m.by_ GROUP BY 1),
 asked AS (SELECT c.handle, k, coalesce(trusted, 0) AS trusted, trim(coalesce(bio, '')) = '' AND coalesce(followers, 0) < 100 AND NOT sampled AS poor, k % 31 <> 0 AND k % 37 <> 0 AS answered,
   CASE WHEN k % 17 = 0 THEN 0.0 ELSE least(100.0, k * 7 % 120) END AS score, k % 10 / 10.0 AS sure, k % 19 = 0 OR k % 23 = 0 AS severe, ['poor', 'mixed', 'good', 'mixed'][k % 4 + 1] AS quality FROM c LEFT JOIN trust_of USING (handle))"""
+ORACLE_SQL["demotion_stream"] = ORACLE_SQL["demotion_gate"]
 add("candidate_ladder", f"""SELECT handle, CASE WHEN poor THEN 'rejected' WHEN NOT answered THEN 'pending' WHEN severe OR score < 45 THEN 'rejected' WHEN score < 65 THEN 'watch' WHEN score < 78 THEN CASE WHEN trusted >= 1 AND quality <> 'poor' THEN 'needs_review' ELSE 'watch' END
   WHEN sure >= 0.65 AND (trusted >= 2 OR trusted >= 1 AND quality = 'good') THEN 'needs_review' ELSE 'watch' END AS status, CASE WHEN NOT poor AND answered THEN CAST(score AS DOUBLE) END AS ai_score,
   CASE WHEN poor THEN {lit(C.PREFILTER_REASON)} WHEN answered THEN 'because ' || k END AS reason, trusted FROM asked""", SOURCES, ACCOUNTS, _asked)

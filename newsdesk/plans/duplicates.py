@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsdesk import config as C
 from newsdesk.functions import text, urls
 from newsdesk.operators.components import connected_components
-from newsdesk.operators.relational import first_per_key
+from newsdesk.operators.relational import densely_numbered, first_per_key
 from newsdesk.session import stored
 
 
@@ -64,6 +64,47 @@ def masters(members: DataFrame, profile: str = "rules") -> DataFrame:
     return scored.join(first_per_key(scored, ["component"], order).select("component", F.col("id").alias("master_id")), "component")
 
 
+def _with_master(members: DataFrame) -> DataFrame:
+    """``members`` (with master_id) beside their master's links and title, as ``_m`` columns."""
+    told = members.filter("id = master_id").select(F.col("id").alias("master_id"), *[F.col(c).alias(f"_m_{c}") for c in ("canonical_url", "url", "title")])
+    return members.join(told, "master_id")
+
+
+def _shared(profile: str) -> list[tuple[str, Column]]:
+    """(reason, whether a member shares its key with its master), the strongest first."""
+    url, minimum = (urls.rules_key, 24) if profile == "rules" else (urls.prefilter_key, 20)
+    of = lambda p: [url(F.coalesce(f"{p}canonical_url", f"{p}url")), url(F.col(f"{p}url")), text.key(F.col(f"{p}title"), minimum)]
+    return [(r, F.coalesce(a == b, F.lit(False))) for r, a, b in zip(("canonical_url_match", "url_match", "title_exact_match"), of(""), of("_m_"), strict=True)]
+
+
+def member_reasons(members: DataFrame) -> DataFrame:
+    """(id, master_id, reasons, score) of each cluster member but its master: the keys it shares with the master, or that only the cluster ties them."""
+    found = F.array_compact(F.array(*[F.when(same, F.lit(r)) for r, same in _shared("rules")]))
+    reasons = F.when(F.size(found) > 0, F.array_sort(found)).otherwise(F.array(F.lit("cluster_match")))
+    return _with_master(members).filter("id <> master_id").select("id", "master_id", reasons.alias("reasons")).withColumn("score", match_score(F.col("reasons")))
+
+
+def prefilter_seeds(items: DataFrame, edges: DataFrame, day: str) -> DataFrame:
+    """(id, cluster_id, canonical_id, seed_score, seed_reason, pruned) of every item, alone or in a cluster.
+
+    Clusters are numbered in the order of their first item (``n``).  A pruned item's score is its strongest
+    tie to the canonical item itself, or ``C.CLUSTER_SEED`` where only others tie the two.
+    """
+    met = items.join(connected_components(edges), F.col("n") == F.col("node"), "left").withColumn("component", F.coalesce("component", "n")).drop("node")
+    serial = densely_numbered(met.select("component").distinct(), [F.col("component")], "serial")
+    label = F.concat(F.lit(f"{day}-c"), F.when(F.col("serial") < 9999, F.lpad((F.col("serial") + 1).cast("string"), 4, "0")).otherwise((F.col("serial") + 1).cast("string")))
+    rows = _with_master(masters(met, "prefilter")).join(serial, "component")
+    words, theirs = text.tokens(F.col("title")), text.tokens(F.col("_m_title"))
+    near = F.when((F.size(words) >= 4) & (F.size(theirs) >= 4), F.round(text.jaccard(words, theirs), 3))
+    ties = [F.when(same, F.struct(F.lit(v).alias("score"), F.lit(-k).alias("order"), F.lit(r).alias("reason"))) for k, ((r, same), v) in enumerate(zip(_shared("prefilter"), C.SEED_SCORES, strict=True))]
+    ties.append(F.when(near >= C.TITLE_JACCARD, F.struct(near.alias("score"), F.lit(-3).alias("order"), F.lit("title_similarity").alias("reason"))))
+    tie, pruned = F.array_max(F.array_compact(F.array(*ties))), F.col("id") != F.col("master_id")
+    return rows.select(
+        "id", label.alias("cluster_id"), F.col("master_id").alias("canonical_id"), F.when(pruned, F.coalesce(tie["score"], F.lit(C.CLUSTER_SEED))).otherwise(0.0).alias("seed_score"),
+        F.when(pruned, F.coalesce(tie["reason"], F.lit("cluster_similarity"))).otherwise("cluster_canonical").alias("seed_reason"), pruned.alias("pruned"),
+    )
+
+
 def match_score(reasons: Column) -> Column:
     score = F.lit(0.7)
     for reason, value in reversed(C.DUP_MATCH_SCORES):

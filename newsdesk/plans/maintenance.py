@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsdesk.functions import text, urls
+from newsdesk.operators.relational import densely_numbered
 
 
 def mentioned(body: Column) -> Column:
@@ -172,10 +173,8 @@ def seeded(existing: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def batches(items: DataFrame, order: list[Column], size: int) -> DataFrame:
-    """Items with the number of the request batch they go to; numbering needs one order over all, so it is for bounded selections."""
-    from pyspark.sql.window import Window
-
-    return items.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+    """Items with the number of the request batch they go to, ``size`` a batch in a total order."""
+    return densely_numbered(items, order, "_number").withColumn("batch", F.floor(F.col("_number") / size)).drop("_number")
 
 
 def price(raw: Column) -> Column:

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsdesk import config as C
-from newsdesk.functions import html, text, timing, urls
+from newsdesk.functions import hashes, html, text, timing, urls
 from newsdesk.operators import relational as R
 from newsdesk.operators.components import connected_components
+from newsdesk.operators.versioned import Versioned
 from newsdesk.plans import classify as K
 from newsdesk.plans import duplicates as D
 from newsdesk.plans import evaluation, feeds, lifecycle, maintenance, publish, scoring, voice
+from newsdesk.session import scratch_path
 from newsdesk.sources import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +83,43 @@ def content_hash(s, d):
     return X.items(s, d).select("id", F.sha2(F.concat_ws("|", "platform", "id", part("title"), part("body"), F.coalesce(stamp("published_at"), F.lit(""))), 256).alias("content_hash"))
 
 
+@query
+def input_hashes(s, d):
+    """Hashes of what is collected, of what the rules classify, and of what an edition plans, with half of the decisions missing."""
+    i, c = X.items(s, d), R.latest(X.classifications(s, d), "item_id", "classified_at", "classification_id")
+    rows = i.join(c.withColumnRenamed("item_id", "id").drop("n"), "id").join(X.decisions(s, d).filter("decision_id % 2 = 0").withColumnRenamed("item_id", "id"), "id", "left").withColumn("link", urls.canonical(F.col("url")))
+    item = F.struct("id", "platform", "url", F.col("link").alias("canonicalUrl"), F.nullif("title", F.lit("")).alias("title"), hashes.instant(F.col("ingested_at")).alias("updatedAt"), hashes.instant(F.col("published_at")).alias("publishedAt"))
+    classified = F.struct(F.col("classification_id").alias("id"), F.col("primary_tag").alias("primaryTag"), F.col("sub_tag").alias("subTag"), F.col("action_tag").alias("actionTag"), hashes.number(F.col("score")).alias("score"), F.col("is_dup").alias("isDup"))
+    decided = F.when(F.col("decision_id").isNotNull(), F.struct(F.col("decision_id").alias("id"), F.col("input_hash").alias("inputHash"), hashes.number(F.col("priority_score") / 8).alias("priorityScore")))
+    return rows.select(
+        "id", hashes.item(F.col("platform"), F.col("id"), F.col("link"), F.col("title"), F.col("body"), F.col("published_at")).alias("item_hash"),
+        hashes.rules_input("v1", F.col("id"), F.col("platform"), F.col("title"), F.col("body"), F.col("url"), F.col("link"), F.col("published_at"), F.col("ingested_at")).alias("rules_hash"),
+        hashes.publish_input(at(STOP), item, classified, decided, F.struct(F.lit("4_tech").alias("section"), F.col("n").alias("position"))).alias("publish_hash"),
+    )
+
+
+@query
+def raw_hashes(s, d):
+    """Payloads whose keys come in two orders and whose numbers in three forms."""
+    e, n = X.table(s, d, "events"), F.col("event_id")
+    number = F.when(n % 3 == 0, F.concat(n, F.lit(".50"))).when(n % 3 == 1, F.concat(n, F.lit("e2"))).otherwise(n.cast("string"))
+    inner = F.when(n % 2 == 0, F.concat(F.lit('{"z":'), number, F.lit(',"a":null}'))).otherwise(F.concat(F.lit('{ "a" : null, "z": '), number, F.lit(" }")))
+    payload = F.when(n % 4 < 2, F.concat(F.lit('{"props":'), "props", F.lit(',"list":[1.0,'), inner, F.lit("]}"))).otherwise(F.concat(F.lit('{"list":[1,'), inner, F.lit('], "props":'), "props", F.lit("}")))
+    return e.select("event_id", hashes.raw(F.try_parse_json(payload)).alias("raw_hash"))
+
+
+@query
+def items_table(s, d):
+    """What a versioned table holds after items came twice, the second time some changed and some new, and some were deleted."""
+    i = X.items(s, d).select("id", "n", "platform", F.col("title").alias("text"), F.col("created_at"))
+    t = Versioned(s, scratch_path(s, "items-table"), ("platform", "id"), "platform string, id string, n long, text string, created_at timestamp")
+    values = ["n", "text"]
+    t.upsert(i.filter("n % 5 > 0"), [*values, "created_at"])
+    t.upsert(i.filter("n % 3 = 0").withColumn("text", F.when(F.col("n") % 2 == 0, F.concat(F.lit("new "), "text")).otherwise(F.col("text"))).withColumn("created_at", F.lit(None).cast("timestamp")), values, ["created_at"])
+    t.publish(t.stage_delete(i.filter("n % 7 = 6").select("platform", "id")))
+    return t.read().select("platform", "id", "n", "text", stamp("created_at").alias("created"))
+
+
 @query
 def title_keys(s, d):
     return X.items(s, d).select("id", text.key(F.col("title"), 24).alias("rules_key"), text.key(F.col("title"), 20).alias("prefilter_key"))
@@ -254,6 +293,24 @@ def prefilter_clusters(s, d):
     return D.masters(D.clusters(i, exact.unionByName(D.similar_titles(i).select("u", "v"))), "prefilter").select("id", "component", "master_id", "detail")
 
 
+@query
+def prefilter_seeds(s, d):
+    i = _canonical_items(s, d)
+    edges = D.star_edges(D.keys(i, "prefilter"), D.numbered(i)).select("u", "v").unionByName(D.similar_titles(i).select("u", "v"))
+    return D.prefilter_seeds(i, edges, "2024-01-31")
+
+
+@query
+def member_reasons(s, d):
+    return D.member_reasons(D.masters(_clusters(s, d))).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query
+def numbered_batches(s, d):
+    """All items, the newest first, in request batches of 45."""
+    return maintenance.batches(X.items(s, d), [F.col("published_at").desc_nulls_last(), F.col("id")], 45).select("id", "batch")
+
+
 def _vectors(s, d):
     return X.table(s, d, "embeddings").select("vec_id", "embedding", (F.col("label") % 3).cast("string").alias("platform"), F.col("label").cast("string").alias("source_ref"))
 
@@ -361,6 +418,25 @@ def _flags(s, d):
     return lifecycle.flags(m.join(scoring.trust_scores(m, at(STOP)).select("source_id", "trust_score"), "source_id"), at(STOP))
 
 
+@query
+def demotion_stream(s, d):
+    """``demotion_gate`` by a stream of files in random order within their days."""
+    from newsdesk.streaming import demotion
+
+    e, i = X.table(s, d, "events").filter("event_type = 'error'"), F.col("event_id")
+    keys = F.split(F.when(i % 2 == 0, "noisy,low_trust").otherwise("low_priority"), ",")
+    rows = e.select(F.col("user_id").cast("long").alias("source_id"), F.col("ts").alias("at"), i.cast("long").alias("event_id"), X.nth(("demote", "restore", "deactivate"), i % 3).alias("action"), keys.alias("condition_keys"))
+    landing, out, state = (scratch_path(s, f"demotions-{k}") for k in ("in", "out", "state"))
+    rows.repartitionByRange(3, F.to_date("at")).write.parquet(landing)
+    # Time has to pass for the last events to be judged.
+    for days in (30, 31):
+        s.range(1).select(F.lit(-1).cast("long").alias("source_id"), (at(X.AS_OF) + F.make_interval(days=F.lit(days))).alias("at"), F.lit(-1).cast("long").alias("event_id"), F.lit("restore").alias("action"), F.array().cast("array<string>").alias("condition_keys")).write.mode("append").parquet(landing)
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    run = demotion.confirmed(stream, "25 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return s.read.schema(demotion.FOUND).parquet(out).select("source_id", "event_id")
+
+
 @query
 def lifecycle_flags(s, d):
     return _flags(s, d).withColumn("condition_keys", F.array_join("condition_keys", "+"))

@@ -56,7 +56,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/newsdesk/{name}-{uuid.uuid4().hex}"
 
 
-def _file(spark: SparkSession, path: str):
+def hadoop_file(spark: SparkSession, path: str):
+    """A path's file system and the path, by which any store is reached that Spark reaches."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
@@ -71,6 +72,6 @@ def discardable(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    files, at = _file(spark, path)
+    files, at = hadoop_file(spark, path)
     files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path), lambda: files.delete(at, True)
