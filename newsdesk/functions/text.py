@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,20 +47,50 @@ def clean(text: Column) -> Column:
     return F.nullif(strip(sanitised(text)), F.lit(""))
 
 
+@lru_cache(maxsize=16)
+def _automaton(words: tuple[str, ...]):
+    """Finds all words of a text in one pass over it; made once a worker."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for w in words:
+        found.add_word(w, w)
+    found.make_automaton()
+    return found
+
+
 def held(text: Column, keywords: Iterable[str]) -> Column:
-    """Those of the keywords that the text holds as substrings, in their order and lower case; the text comes lower-cased."""
-    words = [k.lower() for k in keywords]
-    return F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(text, k)) if words else F.array().cast("array<string>")
+    """The set of keywords (in lower case) that a text holds as substrings, none if it is null; the text comes lower-cased.
+
+    Built-in functions would scan a text once for each of some hundred keywords; an automaton over Arrow
+    batches does so once for all.
+    """
+    words = tuple(sorted({k.lower() for k in keywords}))
+
+    def scan(texts: pa.Array) -> pa.Array:
+        find = _automaton(words)
+        return pa.array([sorted({w for _, w in find.iter(t)}) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    scan.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(scan, "array<string>")(text)
 
 
-def hits(text: Column, keywords: Iterable[str]) -> Column:
-    """How many of the keywords the text holds."""
-    return F.size(held(text, keywords))
+def hits(found: Column, keywords: Iterable[str]) -> Column:
+    """How many of the keywords are among those that a text holds."""
+    counts = Counter(k.lower() for k in keywords)
+    if not counts:
+        return F.lit(0)
+    total = F.size(F.array_intersect(found, F.array(*map(F.lit, counts))))
+    # A keyword that a list has more than once counts as often.
+    for k, n in counts.items():
+        if n > 1:
+            total = total + F.when(F.array_contains(found, k), n - 1).otherwise(0)
+    return total
 
 
-def matches(text: Column, keywords: Iterable[str], prefix: str) -> Column:
-    """``prefix:keyword`` for each keyword that the text holds, in the keywords' order; keywords are lower case."""
-    return F.transform(held(text, keywords), lambda k: F.concat(F.lit(f"{prefix}:"), k))
+def matches(found: Column, keywords: Iterable[str], prefix: str) -> Column:
+    """``prefix:keyword`` for each keyword that a text holds, in the keywords' order."""
+    return F.array_compact(F.array(*[F.when(F.array_contains(found, k.lower()), F.lit(f"{prefix}:{k.lower()}")) for k in keywords]))
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:

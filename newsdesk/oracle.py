@@ -349,7 +349,7 @@ add("offset_page", "SELECT c_custkey, (SELECT count(*) FROM customer) AS total,
 add("platform_counts", "SELECT platform, count(*) AS items, count(DISTINCT handle) AS authors FROM ev GROUP BY 1", EVENTS)
 add("child_counts", "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 add("status_counts", "SELECT count(*) FILTER (o_orderstatus = 'F') AS status_f, count(*) FILTER (o_orderstatus = 'O') AS status_o, count(*) FILTER (o_orderstatus = 'P') AS status_p, count(*) AS total, round(avg(o_totalprice), 4) AS mean_price FROM orders")
-add("calendar_days", "SELECT strftime(d, '%Y-%m-%d') AS day, CAST(dayofweek(d) + 1 AS INT) AS weekday FROM range(DATE '2024-02-01', DATE '2024-03-02', INTERVAL 1 DAY) t(d)")
+add("calendar_days", "SELECT strftime(d, '%Y-%m-%d') AS day, CAST(dayofweek(d) + 1 AS INT) AS weekday, coalesce(n, 0) AS events FROM range((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events) + INTERVAL 1 DAY, INTERVAL 1 DAY) t(d) LEFT JOIN (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1) ON day = d")
 add("edition_choice", f"""SELECT (SELECT slug FROM e WHERE content IS NOT NULL ORDER BY status <> 'published', updated_at DESC, slug LIMIT 1) AS slug, 'latest' AS asked
 UNION ALL SELECT (SELECT slug FROM e WHERE slug = 'ed-src1' LIMIT 1), 'slug' UNION ALL SELECT coalesce((SELECT slug FROM e WHERE strftime(edition_at + INTERVAL 9 HOUR, '%Y-%m-%d') = '2024-01-02' ORDER BY updated_at DESC, slug LIMIT 1), (SELECT slug FROM e WHERE content IS NOT NULL ORDER BY status <> 'published', updated_at DESC, slug LIMIT 1)), 'day'""",
     SOURCES, f"e AS (SELECT 'ed-' || handle AS slug, CASE WHEN source_id % 2 = 0 THEN 'published' ELSE 'draft' END AS status, CASE WHEN source_id % 3 <> 0 THEN 'text' END AS content, {EPOCH} + to_minutes(source_id * 600) AS edition_at, {EPOCH} + to_minutes(source_id * 60) AS updated_at FROM sources)")
@@ -449,3 +449,11 @@ add("daily_summary", f"""SELECT '📡 *News — Daily Summary (2024-01-31)*' ||
   || (SELECT string_agg('• @' || handle || ': ' || c || ' tweets', chr(10) ORDER BY c DESC, handle) FROM (SELECT handle, count(*) AS c FROM posts GROUP BY 1)) AS summary""", EVENTS,
     "posts AS (SELECT id, handle, repeat('text of' || chr(10) || id || ' ', CAST(n % 20 AS INT)) AS t, round(score) AS l, round(score * 1000) AS v, CAST(n % 5 AS DOUBLE) AS b FROM ev WHERE platform = 'view')",
     "ranked AS (SELECT *, row_number() OVER (ORDER BY b * 5 + l * 2 + v * 0.001::DOUBLE DESC, id) AS r FROM posts)")
+add("model_tags", """SELECT 'd' || doc_id AS id, CASE WHEN n12 THEN NULL WHEN doc_id % 3 > 0 THEN 'TECH' ELSE 'OTHER' END AS primary_tag, CAST(NULL AS VARCHAR) AS sub_tag, CASE WHEN n12 THEN NULL WHEN doc_id % 2 > 0 THEN 'INFO' ELSE 'APPLY' END AS action_tag,
+  CASE WHEN n12 THEN 'rules' ELSE 'model' END AS by, CAST(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS INT) AS attempts FROM (SELECT doc_id, doc_id % 12 = 0 AS n12 FROM documents)""")
+add("composed_editions", f"""SELECT edition, CAST(CASE WHEN short IS NULL THEN 1 ELSE 2 END AS INT) AS attempts, CASE WHEN edition = 3 THEN short END AS shortages, CAST(CASE WHEN short IS NULL OR edition = 3 THEN 2 ELSE 6 END AS INT) AS articles FROM (
+  SELECT edition, string_agg(section || '(1/{C.DENSE_ITEMS})', ' ' ORDER BY section) FILTER (c >= {C.DENSE_ITEMS}) AS short FROM (SELECT doc_id % 6 AS edition, CASE WHEN doc_id % 4 = 3 THEN 'b' ELSE 'a' END AS section, count(*) AS c FROM documents WHERE doc_id % 10 > 0 AND NOT (doc_id % 6 = 1 AND doc_id > 40) AND NOT (doc_id % 6 = 5 AND doc_id % 4 <> 3) GROUP BY ALL) GROUP BY 1)""")
+add("embedding_cache", """SELECT id, CAST(length(t) AS DOUBLE) AS x, CAST(CASE WHEN t = '' THEN 0 ELSE unicode(t) END AS DOUBLE) AS y, (SELECT count(DISTINCT t) FROM v WHERE n % 2 = 0) AS asked_first, 0::BIGINT AS asked_again, (SELECT count(DISTINCT t) FROM v) - (SELECT count(DISTINCT t) FROM v WHERE n % 2 = 0) AS asked_more FROM v""", ITEMS, "v AS (SELECT id, n, coalesce(left(title, 3), '') AS t FROM items)")
+add("sweep_rollup", """SELECT sweep, collectors, failed, sources, errors, errors > 0 OR bad > 0 AS has_failures, sources > 0 AND errors >= sources OR part > 0 AND part = part_bad AS all_failed FROM (
+  SELECT sweep, count(*) FILTER (own) AS collectors, count(*) FILTER (own AND NOT ok) AS failed, CAST(sum(CASE WHEN own THEN sources ELSE 0 END) AS BIGINT) AS sources, CAST(sum(CASE WHEN own THEN errors ELSE 0 END) AS BIGINT) AS errors, count(*) FILTER (NOT ok) AS bad, count(*) FILTER (own AND (sources > 0 OR NOT ok)) AS part, count(*) FILTER (own AND NOT ok) AS part_bad
+  FROM (SELECT strftime(ts, '%Y-%m-%d') AS sweep, event_id % 9 > 0 AS own, event_id % 50 > 0 AND day(ts) <> 5 AS ok, CASE WHEN day(ts) = 5 THEN 0 ELSE event_id % 4 END AS sources, CASE WHEN day(ts) = 7 THEN event_id % 5 WHEN event_id % 30 = 0 THEN 1 ELSE 0 END AS errors FROM events) GROUP BY 1)""")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsdesk import config as C
-from newsdesk.functions.text import collapse, hits, matches
+from newsdesk.functions.text import collapse, held, hits, matches
 from newsdesk.operators.relational import latest
 
 
@@ -19,11 +19,17 @@ def text_of(*parts: Column) -> Column:
     return collapse(F.lower(F.concat_ws("\n", *[F.when(F.trim(p) != "", p) for p in parts])))
 
 
-def boosted(text: Column, platform: Column, tag: str, base: tuple[str, ...], boosts: dict) -> Column:
-    total = hits(text, base)
+#: All keywords of any list: a text is scanned once for them.
+KEYWORDS = {
+    k for lists in (C.PRIMARY_KEYWORDS.values(), C.ACTION_KEYWORDS.values(), C.SUB_KEYWORDS.values(), *[b.values() for b in C.PRIMARY_BOOSTS.values()], *[b.values() for b in C.ACTION_BOOSTS.values()], [C.AI_KEYWORDS]) for words in lists for k in words
+}
+
+
+def boosted(found: Column, platform: Column, tag: str, base: tuple[str, ...], boosts: dict) -> Column:
+    total = hits(found, base)
     for name, words in boosts.items():
         if tag in words:
-            total = total + F.when(platform == name, hits(text, words[tag])).otherwise(0)
+            total = total + F.when(platform == name, hits(found, words[tag])).otherwise(0)
     return total
 
 
@@ -33,7 +39,7 @@ def best(scores: list[tuple[str, Column]]) -> Column:
 
 
 def scored(items: DataFrame, as_of: Column) -> DataFrame:
-    """``items`` (id, platform, title, body, source_ref, url, published_at, ingested_at) with text, counts and the noise reason."""
+    """``items`` (id, platform, title, body, source_ref, url, published_at, ingested_at) with text, the keywords it holds (``held``), counts and the noise reason."""
     text = text_of(*(F.col(c) for c in ("title", "body", "source_ref", "url")))
     t, p = F.col("text"), F.col("platform")
     age = as_of.cast("double") - F.coalesce("published_at", "ingested_at").cast("double")
@@ -44,17 +50,17 @@ def scored(items: DataFrame, as_of: Column) -> DataFrame:
         F.when(t == "", "EMPTY_CONTENT").when((p == "twitter") & t.rlike(C.TWITTER_NOISE), "PLATFORM_NOISE_PATTERN")
         .when((F.length(t) < minimum) & (F.col("ai") < 2), "LOW_INFORMATION_DENSITY").when(age > C.STALE_DAYS * 86400, "STALE_INFORMATION").when(F.col("ai") == 0, "OUT_OF_SCOPE")
     )
-    return items.withColumn("text", text).withColumn("ai", hits(t, C.AI_KEYWORDS)).withColumn("noise_reason", reason).withColumn("noise", F.col("noise_reason").isNotNull())
+    return items.withColumn("text", text).withColumn("held", held(t, KEYWORDS)).withColumn("ai", hits(F.col("held"), C.AI_KEYWORDS)).withColumn("noise_reason", reason).withColumn("noise", F.col("noise_reason").isNotNull())
 
 
-def primary(text: Column, platform: Column) -> Column:
-    return best([(tag, boosted(text, platform, tag, C.PRIMARY_KEYWORDS[tag], C.PRIMARY_BOOSTS)) for tag in C.PRIMARY_ORDER])
+def primary(found: Column, platform: Column) -> Column:
+    return best([(tag, boosted(found, platform, tag, C.PRIMARY_KEYWORDS[tag], C.PRIMARY_BOOSTS)) for tag in C.PRIMARY_ORDER])
 
 
 def classify(items: DataFrame, as_of: Column) -> DataFrame:
     """Each item's classification; tags are null for noise."""
     rows = scored(items, as_of)
-    t, p, ok = F.col("text"), F.col("platform"), ~F.col("noise")
+    t, p, ok = F.col("held"), F.col("platform"), ~F.col("noise")
     rows = rows.withColumn("_p", F.when(ok, primary(t, p))).withColumn("_a", F.when(ok, best([(tag, boosted(t, p, tag, C.ACTION_KEYWORDS[tag], C.ACTION_BOOSTS)) for tag in C.ACTION_ORDER])))
     rows = rows.withColumn("primary_tag", F.when(F.col("_p.score") > 0, F.col("_p.tag")).otherwise("OTHER")).withColumn("_ps", F.greatest(F.col("_p.score"), F.lit(1)))
     rows = rows.withColumn("action_tag", F.when(F.col("_a.score") > 0, F.col("_a.tag")).otherwise("INFO"))
@@ -76,7 +82,7 @@ def classify(items: DataFrame, as_of: Column) -> DataFrame:
 def signals(items: DataFrame, as_of: Column, limit: int = 20) -> DataFrame:
     """(id, signals): the keywords behind a classification, at most ``limit``; noise keeps those of the domain."""
     rows = scored(items, as_of)
-    t = F.col("text")
+    t = F.col("held")
     domain = matches(t, C.AI_KEYWORDS, "domain:ai")
     rest = F.concat(*[matches(t, words, f"primary:{tag}") for tag, words in C.PRIMARY_KEYWORDS.items() if words], *[matches(t, words, f"action:{tag}") for tag, words in C.ACTION_KEYWORDS.items() if words])
     return rows.select("id", F.when(F.col("noise"), domain).otherwise(F.slice(F.concat(domain, rest), 1, limit)).alias("signals"))

@@ -110,6 +110,22 @@ def collector_health(runs: DataFrame) -> DataFrame:
     return sums.withColumn("ok", (F.col("sources") == 0) | (F.col("errors") < F.col("sources")))
 
 
+def sweeps(results: DataFrame) -> DataFrame:
+    """(sweep, collectors, failed, sources, errors, has_failures, all_failed): what a sweep's tasks (sweep, kind, ok, sources, errors) come to.
+
+    Only ``collector`` tasks count as such; a summary's failure is a failure of the sweep.  All have failed if errors
+    reach the sources, or if no collector that took part, with sources or by failing, is well.
+    """
+    own, bad = F.col("kind") == "collector", ~F.col("ok")
+    part = own & ((F.col("sources") > 0) | bad)
+    sums = results.groupBy("sweep").agg(
+        F.count_if(own).alias("collectors"), F.count_if(own & bad).alias("failed"), F.sum(F.when(own, F.col("sources")).otherwise(0)).alias("sources"), F.sum(F.when(own, F.col("errors")).otherwise(0)).alias("errors"),
+        F.count_if(bad).alias("_bad"), F.count_if(part).alias("_part"), F.count_if(part & bad).alias("_part_bad"),
+    )
+    every = ((F.col("sources") > 0) & (F.col("errors") >= F.col("sources"))) | ((F.col("_part") > 0) & (F.col("_part") == F.col("_part_bad")))
+    return sums.withColumn("has_failures", (F.col("errors") > 0) | (F.col("_bad") > 0)).withColumn("all_failed", every).drop("_bad", "_part", "_part_bad")
+
+
 def stale_runs(runs: DataFrame, as_of: Column, hours: int = 12) -> DataFrame:
     """Runs with those aborted that have been running too long."""
     late = (F.col("status") == "running") & (F.col("started_at") < as_of - F.make_interval(hours=F.lit(hours)))

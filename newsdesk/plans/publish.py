@@ -100,6 +100,11 @@ def composed(rows: DataFrame, clustered: bool = True) -> DataFrame:
     return rows.withColumn("candidates", F.count("*").over(group)).withColumn("place", place).filter(F.col("place") <= limit)
 
 
+def required_articles(candidates: Column, selected: Column, least: int | Column = C.DENSE_ITEMS, dense: int | Column = C.DENSE_ITEMS) -> Column:
+    """How many articles a section has to print: ``least`` of a dense one that has as many, else none."""
+    return F.when((candidates >= dense) & (selected >= least), F.least(F.lit(least), selected)).otherwise(0)
+
+
 def density(selected: DataFrame, printed: DataFrame, least: int = C.DENSE_ITEMS, dense: int = C.DENSE_ITEMS) -> DataFrame:
     """(section, candidates, selected, required, actual, short) of each section of a composed edition.
 
@@ -107,7 +112,7 @@ def density(selected: DataFrame, printed: DataFrame, least: int = C.DENSE_ITEMS,
     (section, articles) counts what the text has, nothing where a section is missing.
     """
     sizes = selected.groupBy("section").agg(F.max("candidates").alias("candidates"), F.count("*").alias("selected"))
-    required = F.when((F.col("candidates") >= dense) & (F.col("selected") >= least), F.least(F.lit(least), F.col("selected"))).otherwise(0)
+    required = required_articles(F.col("candidates"), F.col("selected"), least, dense)
     met = sizes.withColumn("required", required).join(printed.select("section", F.col("articles").alias("actual")), "section", "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
     return met.withColumn("short", (F.col("required") > 0) & (F.col("actual") < F.col("required")))
 
@@ -131,16 +136,16 @@ def markdown(planned: DataFrame, edition_date: str, limit: int = C.SECTION_LIMIT
     return lines.agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "part"))), lambda p: p["part"]), "\n")).alias("content"))
 
 
-def parsed(editions: DataFrame) -> DataFrame:
-    """(section, article, title, url) of Markdown editions (``content``): each article under the heading before it."""
+def parsed(editions: DataFrame, key: str | None = None) -> DataFrame:
+    """(section, article, title, url) of Markdown editions (``content``): each article under the heading before it; with ``edition``, too, if ``key`` names what tells them apart."""
     # Numbered before the lines are dealt out: beside a generator the number would be one a line.
-    lines = editions.withColumn("edition", F.monotonically_increasing_id()).select("edition", F.posexplode(F.split("content", "\n")))
+    lines = editions.withColumn("edition", F.col(key) if key else F.monotonically_increasing_id()).select("edition", F.posexplode(F.split("content", "\n")))
     order = Window.partitionBy("edition").orderBy("pos")
     of = lambda p: F.nullif(F.regexp_extract("col", p, 1), F.lit(""))
     filled = lines.withColumn("section", F.last(of(r"^## (.*)$"), ignorenulls=True).over(order)).withColumn("article", F.count(of("^### (.*)$")).over(order)).withColumn("title", F.last(of("^### (.*)$"), ignorenulls=True).over(order))
     # An article's section and title are those of its own heading line; the lines up to the next one are its text.
     own = filled.filter("article > 0").groupBy("edition", "article").agg(F.min_by("section", "pos").alias("section"), F.min_by("title", "pos").alias("title"), F.max(of(r"^引用元: \[[^\]]*\]\((.*)\)$")).alias("url"))
-    return own.select("section", "article", "title", "url")
+    return own.select(*["edition"] * bool(key), "section", "article", "title", "url")
 
 
 def section_counts(editions: DataFrame) -> DataFrame:

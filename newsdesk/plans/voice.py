@@ -56,15 +56,21 @@ def topic(combined: Column, source_ref: Column, primary_tag: Column) -> Column:
     return F.substring(F.coalesce(*[F.nullif(x, F.lit("")) for x in named], source, fallback), 1, 60)
 
 
+#: All keywords of any list: a text is scanned once for them.
+KEYWORDS = {*C.POSITIVE, *C.NEGATIVE, *[k for words in C.USAGE_CONTEXTS.values() for k in words]}
+
+
 def with_sentiment(rows: DataFrame, lower: Column) -> DataFrame:
     """``rows`` with sentiment, usage_context and the confidence of both; ``lower`` is collapsed lower-case text."""
-    rows = rows.withColumn("_pos", text.hits(lower, C.POSITIVE)).withColumn("_neg", text.hits(lower, C.NEGATIVE))
+    rows = rows.withColumn("_held", text.held(lower, KEYWORDS))
+    found = F.col("_held")
+    rows = rows.withColumn("_pos", text.hits(found, C.POSITIVE)).withColumn("_neg", text.hits(found, C.NEGATIVE))
     d, p, n = F.col("_pos") - F.col("_neg"), F.col("_pos"), F.col("_neg")
     base = 0.54 + F.least(F.abs(d), F.lit(4)) * 0.09 - F.when((p > 0) & (n > 0), 0.08).otherwise(0.0) - F.when((d == 0) & (p == 0) & (n == 0), 0.08).otherwise(0.0)
     rows = rows.withColumn("sentiment", F.when(d >= 1, "positive").when(d <= -1, "negative").otherwise("neutral")).withColumn("_base", clamp(base, 0.42, 0.93))
-    rows = rows.withColumn("_use", best([(k, text.hits(lower, w)) for k, w in C.USAGE_CONTEXTS.items()])).withColumn("usage_context", F.when(F.col("_use.score") > 0, F.col("_use.tag")).otherwise("general"))
+    rows = rows.withColumn("_use", best([(k, text.hits(found, w)) for k, w in C.USAGE_CONTEXTS.items()])).withColumn("usage_context", F.when(F.col("_use.score") > 0, F.col("_use.tag")).otherwise("general"))
     final = F.col("_base") + F.when(F.col("usage_context") == "general", -0.04).otherwise(0.04) + (F.coalesce("score", F.lit(0.5)) - 0.5) * 0.2
-    return rows.withColumn("confidence", F.round(clamp(final, 0.4, 0.95), 3)).drop("_pos", "_neg", "_base", "_use")
+    return rows.withColumn("confidence", F.round(clamp(final, 0.4, 0.95), 3)).drop("_held", "_pos", "_neg", "_base", "_use")
 
 
 def sample_size(engagement: Column) -> Column:

@@ -205,7 +205,7 @@ def rules_noise(s, d):
 
 @query
 def rules_primary_tag(s, d):
-    r = K.scored(X.items(s, d), X.as_of()).withColumn("p", K.primary(F.col("text"), F.col("platform")))
+    r = K.scored(X.items(s, d), X.as_of()).withColumn("p", K.primary(F.col("held"), F.col("platform")))
     return r.select("id", F.when(F.col("p.score") > 0, F.col("p.tag")).otherwise("OTHER").alias("primary_tag"), F.col("p.score").alias("hits"))
 
 
@@ -715,7 +715,11 @@ def status_counts(s, d):
 
 @query
 def calendar_days(s, d):
-    return feeds.calendar("2024-02-01", "2024-03-01").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "weekday")
+    """The days from the first to the last event, each with its weekday and its events."""
+    e = X.table(s, d, "events").select(F.to_date("ts").alias("day"))
+    first, last = e.agg(F.min("day"), F.max("day")).first()
+    counts = e.groupBy("day").agg(F.count("*").alias("events"))
+    return feeds.calendar(str(first), str(last)).join(counts, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "weekday", F.coalesce("events", F.lit(0)).alias("events"))
 
 
 @query
@@ -990,6 +994,83 @@ def fallback_decisions(s, d):
     return fallback(X.items(s, d), X.classifications(s, d))
 
 
+class _Tagger:
+    """Stands in for a model that tags: of prompts ``number|problem`` it fails on every fourth number at first, on every twelfth always."""
+
+    def answer(self, prompts):
+        out = []
+        for p in prompts:
+            n, _, problem = p.partition("|")
+            n = int(n)
+            failing = n % 12 == 0 or (n % 4 == 0 and not problem)
+            out.append("sorry" if failing else '{"primary_tag": "%s", "sub_tag": "nothing", "action_tag": "%s"}' % ("tech" if n % 3 else "cooking", "Info!" if n % 2 else " apply"))
+        return out
+
+
+def _asking(client, prompt):
+    from newsdesk.plans.models import asked
+
+    return lambda rows: asked(rows.withColumn("_prompt", prompt), "_prompt", client).drop("_prompt")
+
+
+@query
+def model_tags(s, d):
+    """All items' tags by a model that fails on some, asked twice, then by the rules."""
+    from newsdesk.plans.models import classified
+
+    ask = _asking(_Tagger, F.concat_ws("|", F.col("n").cast("string"), F.coalesce("problem", F.lit(""))))
+    out = classified(X.items(s, d), X.as_of(), ask)
+    # The rules' tags are those of rules_classify; here it counts who gave them.
+    return out.select("id", *[F.when(F.col("by") == "model", F.col(c)).alias(c) for c in ("primary_tag", "sub_tag", "action_tag")], "by", "attempts")
+
+
+class _Writer:
+    """Stands in for a model that writes editions: ``edition|shortages`` gets one article a section at first, three if it is told of shortages, but edition 3 stays thin."""
+
+    def answer(self, prompts):
+        out = []
+        for p in prompts:
+            edition, _, short = p.partition("|")
+            n = 3 if short and edition != "3" else 1
+            out.append("\n".join(line for k in ("a", "b") for line in (f"## {k}", *[f"### {k}{i}" for i in range(n)])))
+        return out
+
+
+@query
+def composed_editions(s, d):
+    """Editions of documents written by a model, asked once more where a dense section came out thin."""
+    from newsdesk.plans.models import composed
+
+    i = F.col("n")
+    rows = X.items(s, d).filter("n % 10 > 0").select((i % 6).alias("edition"), F.when(i % 4 == 3, "b").otherwise("a").alias("section"), "n")
+    rows = rows.filter("not (edition = 1 and n > 40) and not (edition = 5 and section = 'a')").withColumn("candidates", F.count("*").over(Window.partitionBy("edition", "section")))
+    ask = _asking(_Writer, F.concat_ws("|", F.col("edition").cast("string"), F.coalesce("problem", F.lit(""))))
+    out = composed(rows.select("edition").distinct(), rows, ask)
+    return out.select("edition", "attempts", "shortages", (F.size(F.split("content", "### ")) - 1).alias("articles"))
+
+
+@query
+def embedding_cache(s, d):
+    """Items' vectors through a cache: equal titles are asked for once, and a second run asks for what is new."""
+    from newsdesk.plans.models import embedded
+
+    cache = Versioned(s, scratch_path(s, "vector-cache"), ("text_hash",), "text_hash string, vector array<double>", 4)
+    i = X.items(s, d).withColumn("title", F.substring("title", 1, 3))
+    # Stands in for a model: the text's length and its first character's code.
+    ask = lambda rows: rows.withColumn("vector", F.array(F.length("text").cast("double"), F.ascii("text").cast("double")))
+    _, first = embedded(i.filter("n % 2 = 0"), F.col("title"), ask, cache)
+    _, again = embedded(i.filter("n % 2 = 0"), F.col("title"), ask, cache)
+    out, more = embedded(i, F.col("title"), ask, cache)
+    return out.select("id", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"), F.lit(first).cast("long").alias("asked_first"), F.lit(again).cast("long").alias("asked_again"), F.lit(more).cast("long").alias("asked_more"))
+
+
+@query
+def sweep_rollup(s, d):
+    e, n = X.table(s, d, "events"), F.col("event_id")
+    tasks = e.select(F.date_format("ts", "yyyy-MM-dd").alias("sweep"), F.when(n % 9 == 0, "summary").otherwise("collector").alias("kind"), ((n % 50 > 0) & (F.dayofmonth("ts") != 5)).alias("ok"), F.when(F.dayofmonth("ts") == 5, 0).otherwise(n % 4).alias("sources"), F.when(F.dayofmonth("ts") == 7, n % 5).when(n % 30 == 0, 1).otherwise(0).alias("errors"))
+    return maintenance.sweeps(tasks)
+
+
 @query
 def clamped_decisions(s, d):
     from newsdesk.plans.models import clamped_decisions as clamped

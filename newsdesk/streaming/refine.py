@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from newsdesk.operators.relational import unchanged_skipped
+from newsdesk.session import hadoop_file
 
 
 def landing(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 100) -> DataFrame:
@@ -50,15 +51,9 @@ def ledgered(process: Callable[[DataFrame], DataFrame], ledger_path: str, sink_p
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         schema = batch.select(*keys, hash_col).schema
-        try:
-            seen = spark.read.schema(schema).parquet(f"{ledger_path}/epoch=*")
-            seen = seen.filter(~F.input_file_name().contains(f"/epoch={epoch}/"))
-            new = unchanged_skipped(batch, seen, keys, hash_col)
-            new.select(*keys, hash_col).limit(0).count()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            new = batch
+        files, at = hadoop_file(spark, ledger_path)
+        others = [str(f.getPath()) for f in files.listStatus(at) if f.getPath().getName() != f"epoch={epoch}"] if files.exists(at) else []
+        new = unchanged_skipped(batch, spark.read.schema(schema).parquet(*others), keys, hash_col) if others else batch
         process(new).write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch}")
         new.select(*keys, hash_col).write.mode("overwrite").parquet(f"{ledger_path}/epoch={epoch}")
 
