@@ -290,6 +290,7 @@ elig AS (SELECT *, coalesce(hl, false) AS headline, round((CASE WHEN decision_id
 planned AS (SELECT *, CAST(row_number() OVER (ORDER BY headline DESC, priority DESC, recency DESC, id) AS INT) AS rank FROM elig)"""
 _pub = (ITEMS, SOURCES, CLASSES, DECISIONS, ELIGIBLE)
 add("publish_candidates", "SELECT id, headline, priority, section FROM elig", *_pub)
+add("publish_counters", f"SELECT (SELECT count(*) FROM joined) AS scanned, (SELECT count(*) FROM elig) AS eligible, count(*) AS selected, count(*) FILTER (headline) AS headline_selected, count(*) FILTER (NOT headline) AS tagged_selected FROM planned WHERE rank <= {C.SELECTION_LIMIT}", *_pub)
 add("publish_plan", "SELECT id, headline, priority, section, rank, rank AS position FROM planned WHERE rank <= 120", *_pub)
 add("appended_positions", "SELECT id, rank + 120 AS position FROM planned WHERE rank <= 20", *_pub)
 add("section_topn", "SELECT id, section, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY rank, id) AS place FROM planned WHERE rank <= 120) WHERE place <= 3", *_pub)
@@ -444,11 +445,11 @@ _found = "found AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, id)
 add("feed_payload", "SELECT CAST(count(*) AS VARCHAR) AS total, CAST(nullif(count(*) FILTER (platform = 'click'), 0) AS VARCHAR) AS clicks, string_agg(id || ':' || platform || ':' || author || ':https://e.com/' || id || ':' || CAST(CAST(k AS INT) AS VARCHAR), ' ' ORDER BY r) AS items FROM found WHERE r <= 30", EVENTS, _found)
 _big = lambda x: f"CASE WHEN {x} >= 1000000 THEN format('{{:.1f}}', {x} / 1000000) || 'M' WHEN {x} >= 1000 THEN format('{{:,.1f}}', {x} / 1000) || 'K' ELSE CAST(CAST({x} AS BIGINT) AS VARCHAR) END"
 add("daily_summary", f"""SELECT '📡 *News — Daily Summary (2024-01-31)*' || chr(10) || 'Collected ' || (SELECT count(*) FROM posts) || ' tweets from ' || (SELECT count(DISTINCT handle) FROM posts) || ' accounts' || chr(10) || chr(10) || '*🏆 Top 10 by Engagement Score*' || chr(10)
-  || '_(score = bookmark×5 + like×2 + RT×3 + view×0.001)_' || chr(10) || chr(10) || (SELECT string_agg(CASE r WHEN 1 THEN '🥇' WHEN 2 THEN '🥈' WHEN 3 THEN '🥉' ELSE r || '.' END || ' *@' || handle || '*' || chr(10) || '> ' || replace(left(t, 120), chr(10), ' ') || CASE WHEN length(t) > 120 THEN '…' ELSE '' END || chr(10)
+  || '_(score = bookmark×5 + like×2 + RT×3 + view×0.001)_' || chr(10) || chr(10) || (SELECT string_agg(CASE r WHEN 1 THEN '🥇' WHEN 2 THEN '🥈' WHEN 3 THEN '🥉' ELSE r || '.' END || ' *@' || handle || '* ' || CASE WHEN note THEN '📝' ELSE '' END || chr(10) || '> ' || replace(left(t, 120), chr(10), ' ') || CASE WHEN length(t) > 120 THEN '…' ELSE '' END || chr(10)
     || '> 👁' || {_big('v')} || ' ❤️' || {_big('l')} || ' 🔖' || {_big('b')} || ' 🔄0' || chr(10) || '> <https://x.com/' || id || '>' || chr(10), chr(10) ORDER BY r) FROM ranked WHERE r <= 10) || chr(10) || '*📊 Per Account*' || chr(10)
-  || (SELECT string_agg('• @' || handle || ': ' || c || ' tweets', chr(10) ORDER BY c DESC, handle) FROM (SELECT handle, count(*) AS c FROM posts GROUP BY 1)) AS summary""", EVENTS,
-    "posts AS (SELECT id, handle, repeat('text of' || chr(10) || id || ' ', CAST(n % 20 AS INT)) AS t, round(score) AS l, round(score * 1000) AS v, CAST(n % 5 AS DOUBLE) AS b FROM ev WHERE platform = 'view')",
-    "ranked AS (SELECT *, row_number() OVER (ORDER BY b * 5 + l * 2 + v * 0.001::DOUBLE DESC, id) AS r FROM posts)")
+  || (SELECT string_agg('• @' || handle || ': ' || c || ' tweets' || chr(10), '' ORDER BY c DESC, latest DESC, handle) FROM (SELECT handle, count(*) AS c, max(made) AS latest FROM posts GROUP BY 1)) AS summary""", EVENTS,
+    "posts AS (SELECT id, handle, repeat('text of' || chr(10) || id || ' ', CAST(n % 20 AS INT)) AS t, round(score) AS l, round(score * 1000) AS v, CAST(n % 5 AS DOUBLE) AS b, date_trunc('day', published_at) AS made, n % 3 = 0 AS note FROM ev WHERE platform = 'view')",
+    "ranked AS (SELECT *, row_number() OVER (ORDER BY b * 5 + l * 2 + v * 0.001::DOUBLE DESC, made DESC, id) AS r FROM posts)")
 add("model_tags", """SELECT 'd' || doc_id AS id, CASE WHEN n12 THEN NULL WHEN doc_id % 3 > 0 THEN 'TECH' ELSE 'OTHER' END AS primary_tag, CAST(NULL AS VARCHAR) AS sub_tag, CASE WHEN n12 THEN NULL WHEN doc_id % 2 > 0 THEN 'INFO' ELSE 'APPLY' END AS action_tag,
   CASE WHEN n12 THEN 'rules' ELSE 'model' END AS by, CAST(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS INT) AS attempts FROM (SELECT doc_id, doc_id % 12 = 0 AS n12 FROM documents)""")
 add("composed_editions", f"""SELECT edition, CAST(CASE WHEN short IS NULL THEN 1 ELSE 2 END AS INT) AS attempts, CASE WHEN edition = 3 THEN short END AS shortages, CAST(CASE WHEN short IS NULL OR edition = 3 THEN 2 ELSE 6 END AS INT) AS articles FROM (

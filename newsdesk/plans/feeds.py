@@ -165,23 +165,26 @@ def payload(page: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def daily_summary(posts: DataFrame, day: str, title: str, best: int = 10) -> DataFrame:
-    """One row ``summary``: the posts (handle, text, url, metrics) of a day by engagement, and each account's number of posts, the busiest first.
+    """One row ``summary``: the posts (id, handle, text, url, created_at, is_note, metrics) of a day by engagement, and each account's number of posts, the busiest first.
 
-    Accounts are a bounded dimension, so one row holds them; equal ones go by name.
+    Accounts are a bounded dimension, so one row holds them.  Of equal posts the newer comes first, of equal
+    accounts the one with the newer post.
     """
     scored = posts.withColumn("score", F.coalesce(engagement(F.col("metrics")), F.lit(0.0)))
-    head = scored.orderBy(F.desc("score"), "id").limit(best).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    order = [F.desc("score"), F.desc("created_at"), F.col("id")]
+    # At most ``best`` rows are numbered.
+    head = scored.orderBy(*order).limit(best).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     medal = F.when(F.col("rank") == 1, "🥇").when(F.col("rank") == 2, "🥈").when(F.col("rank") == 3, "🥉").otherwise(F.concat(F.col("rank").cast("string"), F.lit(".")))
     n = lambda k: compact_number(F.coalesce(F.try_element_at("metrics", F.lit(k)), F.lit(0.0)))
     clipped = F.concat(F.regexp_replace(F.substring("text", 1, 120), "\n", " "), F.when(F.length("text") > 120, "…").otherwise(""))
-    entry = F.concat(medal, F.lit(" *@"), "handle", F.lit("*\n> "), clipped, F.lit("\n> 👁"), n("view"), F.lit(" ❤️"), n("like"), F.lit(" 🔖"), n("bookmark"), F.lit(" 🔄"), n("retweet"), F.lit("\n> <"), "url", F.lit(">\n"))
+    entry = F.concat(medal, F.lit(" *@"), "handle", F.lit("* "), F.when(F.col("is_note"), "📝").otherwise(""), F.lit("\n> "), clipped, F.lit("\n> 👁"), n("view"), F.lit(" ❤️"), n("like"), F.lit(" 🔖"), n("bookmark"), F.lit(" 🔄"), n("retweet"), F.lit("\n> <"), "url", F.lit(">\n"))
     top = head.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry")))), lambda x: x["entry"]), "\n").alias("entries"))
-    each = posts.groupBy("handle").agg(F.count("*").alias("posts"))
-    accounts = each.agg(F.sum("posts").alias("posts"), F.count("*").alias("accounts"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("posts")).alias("by"), "handle"))), lambda x: F.concat(F.lit("• @"), x["handle"], F.lit(": "), (-x["by"]).cast("string"), F.lit(" tweets"))).alias("lines"))
+    each = posts.groupBy("handle").agg(F.count("*").alias("posts"), F.max("created_at").alias("latest"))
+    accounts = each.agg(F.sum("posts").alias("posts"), F.count("*").alias("accounts"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("posts")).alias("by"), (-F.col("latest").cast("double")).alias("at"), "handle"))), lambda x: F.concat(F.lit("• @"), x["handle"], F.lit(": "), (-x["by"]).cast("string"), F.lit(" tweets\n"))).alias("lines"))
     # One row each.
     met = top.crossJoin(F.broadcast(accounts))
     text = F.concat(
         F.lit(f"📡 *{title} — Daily Summary ({day})*\nCollected "), F.col("posts").cast("string"), F.lit(" tweets from "), F.col("accounts").cast("string"), F.lit(" accounts\n\n*🏆 Top "), F.col("n").cast("string"),
-        F.lit(" by Engagement Score*\n_(score = bookmark×5 + like×2 + RT×3 + view×0.001)_\n\n"), "entries", F.lit("\n*📊 Per Account*\n"), F.array_join("lines", "\n"),
+        F.lit(" by Engagement Score*\n_(score = bookmark×5 + like×2 + RT×3 + view×0.001)_\n\n"), "entries", F.lit("\n*📊 Per Account*\n"), F.array_join("lines", ""),
     )
     return met.select(F.when(F.col("n") > 0, text).otherwise("No new tweets in last 24h").alias("summary"))

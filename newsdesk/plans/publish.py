@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsdesk import config as C
 from newsdesk.functions import text, timing, urls
+from newsdesk.operators.counters import counted
 from newsdesk.operators.relational import latest, top, union_first_wins
 from newsdesk.plans.scoring import trust_factor
 
@@ -34,8 +37,11 @@ def trust_by_handle(sources: DataFrame) -> DataFrame:
     return named.groupBy("_h").agg(F.max_by("trust_label", "source_id").alias("trust_label"))
 
 
-def eligible(items: DataFrame, classes: DataFrame, decisions: DataFrame, sources: DataFrame) -> DataFrame:
-    """Items that may be published with their weighted priority: latest classification clean, unpublished, not blocked, and headline or tagged."""
+def eligible(items: DataFrame, classes: DataFrame, decisions: DataFrame, sources: DataFrame, seen: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Items that may be published with their weighted priority: latest classification clean, unpublished, not blocked, and headline or tagged.
+
+    ``seen`` gets all rows that are judged and returns them.
+    """
     c = latest(classes, "item_id", "classified_at", "classification_id").withColumnRenamed("item_id", "id")
     d = latest(decisions, "item_id", "created_at", "decision_id").select(F.col("item_id").alias("id"), "decision_id", "priority_score", "headline_candidate", "input_hash")
     # A dimension: one row an account, compared by size before it is broadcast.
@@ -46,7 +52,7 @@ def eligible(items: DataFrame, classes: DataFrame, decisions: DataFrame, sources
     ok = ~F.col("noise") & ~F.col("is_dup") & ~F.col("is_published") & ~F.col("trust_label").eqNullSafe(F.lit("blocked")) & (F.when(decided, headline).otherwise(F.col("is_headline")) | F.col("primary_tag").isNotNull())
     priority = F.when(decided, F.coalesce("priority_score", F.lit(0.0))).otherwise(F.coalesce("score", F.lit(0.0)) * 100) * trust_factor(F.col("trust_label"))
     placed = F.when(decided, headline).otherwise(F.col("is_headline"))
-    return rows.filter(ok).select("id", "platform", "title", "body", "url", "published_at", timing.recency(F.col("published_at"), F.col("ingested_at"), F.col("created_at")).alias("recency"), "primary_tag", "action_tag", headline.alias("headline"), F.round(priority, 6).alias("priority"), section(placed, F.col("primary_tag")).alias("section"))
+    return seen(rows).filter(ok).select("id", "platform", "title", "body", "url", "published_at", timing.recency(F.col("published_at"), F.col("ingested_at"), F.col("created_at")).alias("recency"), "primary_tag", "action_tag", headline.alias("headline"), F.round(priority, 6).alias("priority"), section(placed, F.col("primary_tag")).alias("section"))
 
 
 def order() -> list[Column]:
@@ -58,6 +64,20 @@ def plan(candidates: DataFrame, limit: int = C.SELECTION_LIMIT, offset: int = 0)
     return top(candidates, order(), min(limit, C.SELECTION_LIMIT)).withColumn("position", F.col("rank") + offset)
 
 
+def counted_plan(items: DataFrame, classes: DataFrame, decisions: DataFrame, sources: DataFrame, limit: int = C.SELECTION_LIMIT) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """``plan`` of what is ``eligible``, and the run's counters once an action has run it: scanned, eligible, selected, and of these headlines and tagged ones."""
+    counts: list[Callable[[], dict[str, int]]] = []
+
+    def watched(rows: DataFrame, **values: Column) -> DataFrame:
+        out, count = counted(rows, **values)
+        counts.append(count)
+        return out
+
+    found = watched(eligible(items, classes, decisions, sources, lambda rows: watched(rows, scanned=F.count("*"))), eligible=F.count("*"))
+    planned = watched(plan(found, limit), selected=F.count("*"), headline_selected=F.count_if("headline"), tagged_selected=F.count_if(~F.col("headline")))
+    return planned, lambda: {k: v for count in counts for k, v in count().items()}
+
+
 def windowed(items: DataFrame, start: Column, stop: Column, classes: DataFrame, main: int = C.MAIN_LIMIT, rescue: int = C.RESCUE_LIMIT) -> DataFrame:
     """An edition's window, at most ``main`` items newest first (nulls last), and up to ``rescue`` late ones; main rows win.
 

@@ -531,6 +531,15 @@ def publish_candidates(s, d):
     return _eligible(s, d).select("id", "headline", "priority", "section")
 
 
+@query
+def publish_counters(s, d):
+    """What a publishing run counts as it writes its plan."""
+    planned, counts = publish.counted_plan(X.items(s, d), X.classifications(s, d), X.decisions(s, d), X.sources(s, d))
+    planned.write.parquet(scratch_path(s, "plan"))
+    found = counts()
+    return s.range(1).select(*[F.lit(found[k]).cast("long").alias(k) for k in ("scanned", "eligible", "selected", "headline_selected", "tagged_selected")])
+
+
 @query
 def publish_plan(s, d):
     return publish.plan(_eligible(s, d)).select("id", "headline", "priority", "section", "rank", "position")
@@ -1155,5 +1164,5 @@ def feed_payload(s, d):
 def daily_summary(s, d):
     i = X.event_items(s, d).filter("platform = 'view'")
     m = F.create_map(F.lit("like"), F.round(F.col("score")), F.lit("view"), F.round(F.col("score") * 1000), F.lit("bookmark"), (F.col("n") % 5).cast("double"))
-    posts = i.select("id", "handle", F.repeat(F.concat(F.lit("text of\n"), "id", F.lit(" ")), (F.col("n") % 20).cast("int")).alias("text"), F.concat(F.lit("https://x.com/"), "id").alias("url"), m.alias("metrics"))
+    posts = i.select("id", "handle", F.repeat(F.concat(F.lit("text of\n"), "id", F.lit(" ")), (F.col("n") % 20).cast("int")).alias("text"), F.concat(F.lit("https://x.com/"), "id").alias("url"), F.date_trunc("day", "published_at").alias("created_at"), (F.col("n") % 3 == 0).alias("is_note"), m.alias("metrics"))
     return feeds.daily_summary(posts, "2024-01-31", "News")

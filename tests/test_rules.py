@@ -232,3 +232,48 @@ def test_canonical_json_is_the_same_for_permuted_keys(spark):
     rows = ['{"b":[{"z":1.0,"a":null},2],"a":"x \\" 1.0 y"}', '{"a":"x \\" 1.0 y","b":[{"a":null,"z":1},2.00]}', '{"k":{"é":1e3,"e":1e21,"d":[]}}', "[1, 2.50, -0.0, true, null, \"1\"]", "3", "no json", None]
     want = ['{"a":"x \\" 1.0 y","b":[{"a":null,"z":1},2]}'] * 2 + ['{"k":{"d":[],"e":1e+21,"é":1000}}', '[1,2.5,0,true,null,"1"]', "3", None, None]
     assert one(spark, "j string", rows, v=variants.canonical(F.try_parse_json("j"))) == want
+
+
+def test_a_text_is_scanned_once_for_all_keywords(spark, sf):
+    from newsdesk.queries import QUERIES
+
+    for name in ("rules_classify", "voice_sentiment", "matched_signals"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        # The operator stands in the tree and in the list of the plan's nodes at most.
+        assert plan.count("ArrowEvalPython") == 1, name
+
+
+def test_held_keywords_are_substrings(spark):
+    words = ["ai", "agent", "agentic ai", "AI act", "規制", "c++", "a.i"]
+    texts = ["", None, "agentic ai act", "the ai-agent", "規制と ai", "c+ a-i", "c++ said a.i.", "aiai"]
+    got = one(spark, "t string", texts, v=text.held(F.col("t"), words))
+    assert [sorted(v) for v in got] == [sorted({w.lower() for w in words if t and w.lower() in t}) for t in texts]
+    counts = one(spark, "t string", texts, n=text.hits(text.held(F.col("t"), words), ["AI", "ai", "agent"]), m=text.matches(text.held(F.col("t"), words), ["Agent", "AI"], "p"))
+    assert [n for n, _ in counts] == [2 * ("ai" in (t or "")) + ("agent" in (t or "")) for t in texts]
+    assert [m for _, m in counts] == [[f"p:{w}" for w in ("agent", "ai") if w in (t or "")] for t in texts]
+
+
+def test_sweeps_fail_wholly_or_in_part(spark):
+    rows = [
+        ("a", "collector", True, 3, 0), ("a", "collector", True, 0, 0), ("a", "summary", False, 0, 0), ("b", "collector", True, 2, 2), ("c", "collector", False, 0, 0), ("c", "collector", True, 0, 0),
+        ("d", "collector", False, 0, 0), ("d", "collector", True, 5, 1), ("e", "collector", True, 0, 0), ("f", "summary", True, 0, 0), ("f", "summary", True, 9, 9),
+    ]
+    df = spark.createDataFrame(rows, "sweep string, kind string, ok boolean, sources int, errors int")
+    got = {r.sweep: (r.collectors, r.failed, r.sources, r.errors, r.has_failures, r.all_failed) for r in maintenance.sweeps(df).collect()}
+    assert got == {"a": (2, 0, 3, 0, True, False), "b": (1, 0, 2, 2, True, True), "c": (2, 1, 0, 0, True, True), "d": (2, 1, 5, 1, True, False), "e": (1, 0, 0, 0, False, False), "f": (0, 0, 0, 0, False, False)}
+
+
+def test_only_unsettled_rows_are_asked_again(spark):
+    from newsdesk.plans.models import settled
+
+    rows = spark.createDataFrame([(k, k % 4) for k in range(20)], "k int, hard int")
+    seen = []
+
+    def ask(d):
+        seen.append(sorted((r.k, r.problem) for r in d.select("k", "problem").collect()))
+        return d.withColumn("answer", F.concat_ws("|", F.col("k").cast("string"), F.coalesce("problem", F.lit(""))))
+
+    judged = lambda d: d.withColumn("problem", F.when(F.length("answer") - F.length(F.replace("answer", F.lit("x"), F.lit(""))) < F.col("hard"), F.concat(F.lit("x"), F.element_at(F.split("answer", "[|]"), 2))))
+    got = {r.k: (r.attempts, r.problem is None) for r in settled(rows, ask, judged, 3).collect()}
+    assert got == {k: (min(k % 4 + 1, 3), k % 4 < 3) for k in range(20)}
+    assert [len(s) for s in seen] == [20, 15, 10] and {p for _, p in seen[0]} == {None} and {p for _, p in seen[1]} == {"x"}
