@@ -175,3 +175,6 @@ TRUST_BADGES = {"unknown": "未検証/単一ソース", "low": "低信頼"}
 
 # Seeds of prefilter clusters, by shared canonical link, link and title, and where only others tie two items.
 SEED_SCORES, CLUSTER_SEED = (1.0, 0.96, 0.9), 0.76
+
+#: Longest range of a digest, in days.
+DIGEST_DAYS = 7

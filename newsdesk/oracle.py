@@ -458,3 +458,9 @@ add("embedding_cache", """SELECT id, CAST(length(t) AS DOUBLE) AS x, CAST(CASE W
 add("sweep_rollup", """SELECT sweep, collectors, failed, sources, errors, errors > 0 OR bad > 0 AS has_failures, sources > 0 AND errors >= sources OR part > 0 AND part = part_bad AS all_failed FROM (
   SELECT sweep, count(*) FILTER (own) AS collectors, count(*) FILTER (own AND NOT ok) AS failed, CAST(sum(CASE WHEN own THEN sources ELSE 0 END) AS BIGINT) AS sources, CAST(sum(CASE WHEN own THEN errors ELSE 0 END) AS BIGINT) AS errors, count(*) FILTER (NOT ok) AS bad, count(*) FILTER (own AND (sources > 0 OR NOT ok)) AS part, count(*) FILTER (own AND NOT ok) AS part_bad
   FROM (SELECT strftime(ts, '%Y-%m-%d') AS sweep, event_id % 9 > 0 AS own, event_id % 50 > 0 AND day(ts) <> 5 AS ok, CASE WHEN day(ts) = 5 THEN 0 ELSE event_id % 4 END AS sources, CASE WHEN day(ts) = 7 THEN event_id % 5 WHEN event_id % 30 = 0 THEN 1 ELSE 0 END AS errors FROM events) GROUP BY 1)""")
+add("digest_payload", f"""SELECT id, source_type, CAST(row_number() OVER (ORDER BY e IS NULL, e DESC NULLS LAST, at_ DESC, id) AS INT) AS rank, title, CAST(chars AS INT) AS chars, author, source AS "sourceName", strftime(at_, '%Y-%m-%dT%H:%M:%S.%gZ') AS published, round(e, 6) AS engagement, note AS "isNote" FROM (
+  SELECT id, 'tweet' AS source_type, left(t, 100) || CASE WHEN length(t) > 100 THEN '…' ELSE '' END AS title, least(length(t), 500) AS chars, handle AS author, NULL AS source, published_at AS at_, CASE WHEN n % 4 > 0 THEN round(score) * 2 + CAST(1000.0 AS DOUBLE) * CAST(0.001 AS DOUBLE) END AS e, n % 7 = 0 AS note FROM (SELECT *, repeat(id || ' ', CAST(n % 40 AS INT)) AS t FROM ev)
+  UNION ALL SELECT CAST(page_id AS VARCHAR), 'alert', 'Alert ' || page_id, CASE WHEN page_id % 2 = 0 THEN 5 ELSE 0 END, NULL, 'feed', {EPOCH} + to_minutes(page_id * 100) + CASE WHEN page_id % 3 > 0 THEN INTERVAL 0 HOUR ELSE INTERVAL 1 HOUR END, NULL, NULL FROM pages) QUALIFY rank <= 9000""", EVENTS)
+add("edition_payloads", f"""SELECT e.edition, '2024-01-31' AS day, coalesce(c, 0) AS bindings, CAST(CASE WHEN e.edition % 2 = 0 THEN 4 ELSE 0 END AS INT) AS chars, CASE WHEN e.edition % 2 = 0 THEN 'text' END AS content, items FROM range(5) e(edition) LEFT JOIN (
+  SELECT n % 4 AS edition, count(*) AS c, string_agg(id || '|' || section || '|' || n % 50 || '|' || CASE WHEN n % 5 = 0 THEN 'ja' ELSE '-' END || '|' || CASE WHEN n % 2 = 0 THEN url ELSE canonical_url END || '|' || platform || '|' || coalesce(label, '-'), chr(10) ORDER BY section, n % 50, id) AS items
+  FROM (SELECT i.*, CASE WHEN n % 3 = 0 THEN '2_update' ELSE '4_tech' END AS section, CASE WHEN platform = 'twitter' AND t.trust_label <> 'blocked' THEN t.trust_label END AS label FROM items i LEFT JOIN sources t ON t.handle = i.source_ref[2:] WHERE n % 11 = 0) GROUP BY 1) b ON b.edition = e.edition""", ITEMS, SOURCES)

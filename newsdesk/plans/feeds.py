@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsdesk.functions.text import compact_number
+from newsdesk import config as C
+from newsdesk.functions.hashes import instant
+from newsdesk.functions.text import compact_number, handle
 from newsdesk.operators.relational import first_per_key, latest, with_ties
 
 
@@ -141,6 +143,64 @@ def digest(items: DataFrame, limit: int = 2000) -> DataFrame:
     return items.orderBy(F.col("engagement").isNull(), F.col("engagement").desc_nulls_last(), F.col("published_at").desc_nulls_last(), F.col("id")).limit(limit)
 
 
+def digest_range(now: datetime, date: str | None = None, start: datetime | None = None, stop: datetime | None = None) -> tuple[datetime, datetime, str, bool]:
+    """(from, to, basis, clamped) of a digest: a local day, else an explicit range, else the last 24 hours; at most ``C.DIGEST_DAYS`` long, counted back from its end.  All times have a zone."""
+    if date:
+        first = datetime.fromisoformat(f"{date}T00:00:00+09:00")
+        start, stop, basis = first, first + timedelta(days=1) - timedelta(milliseconds=1), "jst-date"
+    elif start:
+        stop, basis = stop or now, "explicit-range"
+    else:
+        start, stop, basis = now - timedelta(days=1), now, "rolling-24h"
+    clamped = stop - start > timedelta(days=C.DIGEST_DAYS)
+    return (stop - timedelta(days=C.DIGEST_DAYS) if clamped else start), stop, basis, clamped
+
+
+def digest_items(tweets: DataFrame, alerts: DataFrame, limit: int = 2000) -> DataFrame:
+    """A digest's items in their order, as an API returns them (``payload`` makes the JSON of them).
+
+    ``tweets`` holds tweet_id, text, url, handle, created_at, is_note and metrics, ``alerts`` alert_id, title, snippet,
+    article_url, source_name, published_at and fetched_at.  Scored ones come first, the others by time; equal ones by id.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    own = tweets.select(
+        F.col("tweet_id").cast("string").alias("id"), F.lit("tweet").alias("platform"), F.concat(F.substring("text", 1, 100), F.when(F.length("text") > 100, "…").otherwise("")).alias("title"), F.substring("text", 1, 500).alias("text"), "url",
+        F.col("handle").alias("author"), none("string").alias("sourceName"), F.col("created_at").alias("published_at"), "metrics", engagement(F.col("metrics")).alias("engagement"), F.col("is_note").alias("isNote"),
+    )
+    other = alerts.select(
+        F.col("alert_id").cast("string").alias("id"), F.lit("alert").alias("platform"), "title", F.coalesce("snippet", F.lit("")).alias("text"), F.col("article_url").alias("url"), none("string").alias("author"), F.col("source_name").alias("sourceName"),
+        F.coalesce("published_at", "fetched_at").alias("published_at"), none("map<string,double>").alias("metrics"), none("double").alias("engagement"), none("boolean").alias("isNote"),
+    )
+    rows = digest(own.unionByName(other), limit)
+    # At most ``limit`` rows are numbered.
+    numbered = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("engagement").isNull(), F.col("engagement").desc_nulls_last(), F.col("published_at").desc_nulls_last(), "id")))
+    return numbered.withColumnRenamed("engagement", "engagementScore").withColumn("publishedAt", instant(F.col("published_at"))).drop("published_at")
+
+
+def edition_payload(editions: DataFrame, bindings: DataFrame, items: DataFrame, trust: DataFrame) -> DataFrame:
+    """(edition, json) of editions with their items in order of section and position, as an API returns them.
+
+    ``editions`` holds edition, title, slug, status, edition_at and content, ``bindings`` edition, item_id, section,
+    position and title_ja, ``items`` id, platform, source_ref, title, url and canonical_url, ``trust`` (_h, trust_label) one row an
+    account.  The label of a blocked or unknown account, and of another platform than X, is null.  A selection is bounded, so one row holds it.
+    """
+    known = F.when(F.col("trust_label").isin("high", "medium", "unknown", "low", "blocked"), F.col("trust_label")).otherwise("unknown")
+    labelled = trust.select("_h", known.alias("_label"))
+    met = bindings.join(items.withColumnRenamed("id", "item_id"), "item_id").withColumn("_h", F.when(F.col("platform") == "twitter", handle(F.col("source_ref")))).join(labelled, "_h", "left")
+    item = F.struct(
+        F.col("item_id").alias("pipelineItemId"), "section", "position", "title", F.nullif("title_ja", F.lit("")).alias("titleJa"), F.coalesce(F.nullif("url", F.lit("")), F.nullif("canonical_url", F.lit("")), F.lit("")).alias("url"), "platform",
+        F.col("source_ref").alias("sourceRef"), F.when(F.col("_label") != "blocked", F.col("_label")).alias("trustLabel"),
+    )
+    order = F.struct("section", "position", "item_id", item.alias("item"))
+    listed = met.groupBy("edition").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(order)), lambda x: x["item"]).alias("items"))
+    rows = editions.join(listed, "edition", "left")
+    whole = F.struct(
+        F.col("edition").alias("id"), F.date_format("edition_at", "yyyy-MM-dd").alias("editionDate"), "title", "slug", "status", F.coalesce("n", F.lit(0)).alias("bindingsCount"),
+        F.coalesce(F.length("content"), F.lit(0)).alias("contentChars"), F.nullif("content", F.lit("")).alias("contentMd"), F.col("items"),
+    )
+    return rows.select("edition", F.to_json(F.struct(whole.alias("edition")), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def busiest(items: DataFrame, column: str, limit: int = 10) -> DataFrame:
     return items.groupBy(column).agg(F.count("*").alias("items")).orderBy(F.desc("items"), column).limit(limit)
 

@@ -689,6 +689,32 @@ def digest_rank(s, d):
     return R.top(e, [F.col("engagement").isNull(), F.col("engagement").desc_nulls_last(), F.col("published_at").desc(), F.col("id")], 200).select("id", "rank", F.round("engagement", 6).alias("engagement"))
 
 
+@query
+def digest_payload(s, d):
+    """Events as posts, some without metrics, and pages as alerts, as a digest lists them."""
+    e, n = X.event_items(s, d), F.col("n")
+    m = F.when(n % 4 > 0, F.create_map(F.lit("like"), F.round("score"), F.lit("view"), F.lit(1000.0)))
+    tweets = e.select(F.col("id").alias("tweet_id"), F.repeat(F.concat(F.col("id"), F.lit(" ")), (n % 40).cast("int")).alias("text"), F.lit("u").alias("url"), "handle", F.col("published_at").alias("created_at"), (n % 7 == 0).alias("is_note"), m.alias("metrics"))
+    p, k = X.table(s, d, "pages"), F.col("page_id")
+    at_ = X.minutes_after_epoch(k * 100)
+    alerts = p.select(k.alias("alert_id"), F.concat(F.lit("Alert "), k).alias("title"), F.when(k % 2 == 0, "short").alias("snippet"), F.col("url").alias("article_url"), F.lit("feed").alias("source_name"), F.when(k % 3 > 0, at_).alias("published_at"), (at_ + F.make_interval(hours=F.lit(1))).alias("fetched_at"))
+    rows = feeds.digest_items(tweets, alerts, 9000)
+    return rows.select("id", F.col("platform").alias("source_type"), "rank", "title", F.length("text").alias("chars"), "author", "sourceName", F.col("publishedAt").alias("published"), F.round("engagementScore", 6).alias("engagement"), "isNote")
+
+
+@query
+def edition_payloads(s, d):
+    """Editions of documents with their items, read back from the JSON."""
+    i, n = _canonical_items(s, d), F.col("n")
+    bindings = i.filter("n % 11 = 0").select((n % 4).alias("edition"), F.col("id").alias("item_id"), F.when(n % 3 == 0, "2_update").otherwise("4_tech").alias("section"), (n % 50).cast("int").alias("position"), F.when(n % 5 == 0, "ja").when(n % 5 == 1, "").alias("title_ja"))
+    editions = s.range(5).select(F.col("id").alias("edition"), F.concat(F.lit("Daily "), "id").alias("title"), F.concat(F.lit("ed-"), "id").alias("slug"), F.lit("published").alias("status"), X.as_of().alias("edition_at"), F.when(F.col("id") % 2 == 0, "text").otherwise("").alias("content"))
+    items = i.withColumn("url", F.when(n % 2 == 0, F.col("url")).otherwise(""))
+    out = feeds.edition_payload(editions, bindings, items, publish.trust_by_handle(X.sources(s, d)))
+    read = F.from_json("json", "edition struct<id:bigint,editionDate:string,bindingsCount:bigint,contentChars:int,contentMd:string,items:array<struct<pipelineItemId:string,section:string,position:int,titleJa:string,url:string,platform:string,trustLabel:string>>>")["edition"]
+    line = lambda x: F.concat_ws("|", x["pipelineItemId"], x["section"], x["position"], F.coalesce(x["titleJa"], F.lit("-")), x["url"], x["platform"], F.coalesce(x["trustLabel"], F.lit("-")))
+    return out.withColumn("e", read).select("edition", F.col("e.editionDate").alias("day"), F.col("e.bindingsCount").alias("bindings"), F.col("e.contentChars").alias("chars"), F.col("e.contentMd").alias("content"), F.array_join(F.transform("e.items", line), "\n").alias("items"))
+
+
 @query
 def engagement_scores(s, d):
     m = F.create_map(F.lit("like"), F.col("score"), F.lit("view"), F.col("score") * 10)

@@ -277,3 +277,17 @@ def test_only_unsettled_rows_are_asked_again(spark):
     got = {r.k: (r.attempts, r.problem is None) for r in settled(rows, ask, judged, 3).collect()}
     assert got == {k: (min(k % 4 + 1, 3), k % 4 < 3) for k in range(20)}
     assert [len(s) for s in seen] == [20, 15, 10] and {p for _, p in seen[0]} == {None} and {p for _, p in seen[1]} == {"x"}
+
+
+def test_digest_ranges():
+    from datetime import datetime, timedelta, timezone
+
+    from newsdesk.plans.feeds import digest_range
+
+    now = datetime(2024, 3, 10, 12, tzinfo=timezone.utc)
+    at = lambda d, h=0: datetime(2024, 3, d, h, tzinfo=timezone.utc)
+    assert digest_range(now) == (at(9, 12), now, "rolling-24h", False)
+    assert digest_range(now, date="2024-03-05") == (at(4, 15), at(5, 15) - timedelta(milliseconds=1), "jst-date", False)
+    assert digest_range(now, start=at(4)) == (at(4), now, "explicit-range", False)
+    assert digest_range(now, start=at(1), stop=at(9)) == (at(2), at(9), "explicit-range", True)
+    assert digest_range(now, date="2024-03-05", start=at(1))[2] == "jst-date"
