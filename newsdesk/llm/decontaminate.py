@@ -355,6 +355,7 @@ def proximity(index: DataFrame, phrases: DataFrame, distance: int, item_col: str
     ``position`` is that rarest word's place in its document, from 0; which word is rarest is decided per
     segment, ties by the first.  Items of null, empty or wordless text match nothing, those of a null id are
     not searched; an item that stands twice in ``phrases`` counts once.
+    Documents that repeat come back each for itself.
     """
     whole = 1 << 30
 
