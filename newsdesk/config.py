@@ -143,6 +143,8 @@ TOPIC_FALLBACK = {
     "UPDATE": "AI Update", "MCP_API": "MCP/API", "TECH": "AI Engineering", "DEVICE": "AI Device", "SECURITY": "AI Security", "REGULATION": "AI Policy",
     "BUSINESS": "AI Business", "COLUMN": "AI Commentary", "OTHER": "AI General",
 }
+TOPIC_GPT = r"gpt[-\s]?\d+(?:\.\d+)?(?:\s*(?:mini|nano|pro|high|turbo|o\d))?"
+TOPIC_LLAMA, TOPIC_REST = r"llama(?:\s*\d+(?:\.\d+)?)?(?:\s+[a-z0-9.-]+)?", r"(?:\s+[a-z0-9.-]+){0,2}"
 TOPIC_FAMILIES = ("claude", "gemini", "deepseek", "qwen")
 TOPIC_NAMES = (("cursor", "Cursor"), ("copilot", "GitHub Copilot"), ("openrouter", "OpenRouter"), ("model context protocol|mcp", "MCP / API"), ("openai", "OpenAI"), ("anthropic", "Anthropic"))
 

@@ -464,3 +464,8 @@ add("digest_payload", f"""SELECT id, source_type, CAST(row_number() OVER (ORDER
 add("edition_payloads", f"""SELECT e.edition, '2024-01-31' AS day, coalesce(c, 0) AS bindings, CAST(CASE WHEN e.edition % 2 = 0 THEN 4 ELSE 0 END AS INT) AS chars, CASE WHEN e.edition % 2 = 0 THEN 'text' END AS content, items FROM range(5) e(edition) LEFT JOIN (
   SELECT n % 4 AS edition, count(*) AS c, string_agg(id || '|' || section || '|' || n % 50 || '|' || CASE WHEN n % 5 = 0 THEN 'ja' ELSE '-' END || '|' || CASE WHEN n % 2 = 0 THEN url ELSE canonical_url END || '|' || platform || '|' || coalesce(label, '-'), chr(10) ORDER BY section, n % 50, id) AS items
   FROM (SELECT i.*, CASE WHEN n % 3 = 0 THEN '2_update' ELSE '4_tech' END AS section, CASE WHEN platform = 'twitter' AND t.trust_label <> 'blocked' THEN t.trust_label END AS label FROM items i LEFT JOIN sources t ON t.handle = i.source_ref[2:] WHERE n % 11 = 0) GROUP BY 1) b ON b.edition = e.edition""", ITEMS, SOURCES)
+add("appended_after", """SELECT e AS edition, id, CAST(rank + coalesce(most, 0) AS INT) AS position FROM planned, (VALUES ('ed0'), ('ed1'), ('ed9')) t(e) LEFT JOIN (SELECT 'ed' || n % 2 AS edition, max(n * 7 % 613) AS most FROM items WHERE n % 11 = 0 GROUP BY 1) ON edition = e WHERE rank <= 15""", *_pub)
+add("voice_selected", f"""SELECT id, CAST(row_number() OVER (ORDER BY voice_score DESC, conv_id DESC, id) AS INT) AS rank, voice_score FROM (SELECT v.id, v.voice_score, conv_id, n FROM ({ORACLE_SQL["voice_candidates"]}) v
+  JOIN (SELECT conv_id, conv_id * 1000 + turn AS n, 'c' || (conv_id * 1000 + turn) AS id FROM conversations WHERE role = 'user' ORDER BY conv_id DESC, 'c' || (conv_id * 1000 + turn) LIMIT 160) USING (id)) WHERE n % 13 > 0 AND n % 6 <> 0 AND voice_score >= 0 QUALIFY rank <= 20""")
+add("run_ledger", """SELECT item_id, CAST(CASE WHEN known AND last = due AND ok THEN attempts ELSE attempts + 1 END AS INT) AS attempt, 'h' || due AS input_hash, 'success' AS status FROM (
+  SELECT 'd' || doc_id AS item_id, doc_id % 5 > 0 AS known, CASE WHEN doc_id % 5 > 0 THEN doc_id % 3 + 1 ELSE 0 END AS attempts, doc_id % 3 + 1 AS last, doc_id % 4 AS due, (doc_id + doc_id % 3 + 1) % 4 <> 0 AS ok FROM documents)""")

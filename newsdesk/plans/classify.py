@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newsdesk import config as C
 from newsdesk.functions.text import collapse, held, hits, matches
-from newsdesk.operators.relational import latest
+from newsdesk.operators.relational import first_per_key, latest
 
 
 def text_of(*parts: Column) -> Column:
@@ -109,3 +109,21 @@ def pending(items: DataFrame, runs: DataFrame, version: str) -> DataFrame:
     """Items without a completed run whose output names ``version``."""
     done = runs.filter((F.col("status") == "completed") & (F.get_json_object("output", "$.result.promptVersion") == version)).select("item_id")
     return items.join(done.distinct(), F.col("id") == F.col("item_id"), "left_anti")
+
+
+def latest_runs(runs: DataFrame) -> DataFrame:
+    """The last attempt of each item and step."""
+    return first_per_key(runs, ["item_id", "step"], [F.desc("attempt")])
+
+
+def runs_appended(runs: DataFrame, done: DataFrame) -> DataFrame:
+    """The ledger ``runs`` (item_id, step, attempt, input_hash, status) with what was ``done`` (without attempt) as each item's next attempt of a step."""
+    last = runs.groupBy("item_id", "step").agg(F.max("attempt").alias("_last"))
+    new = done.join(last, ["item_id", "step"], "left").withColumn("attempt", F.coalesce("_last", F.lit(0)) + 1)
+    return runs.unionByName(new.select(*runs.columns))
+
+
+def unchanged(done: DataFrame, runs: DataFrame) -> DataFrame:
+    """Items of ``done`` whose last attempt of the step succeeded on the same input: there is nothing to do for them."""
+    good = latest_runs(runs).filter("status = 'success'").select("item_id", "step", "input_hash")
+    return done.join(good, ["item_id", "step", "input_hash"], "left_semi")

@@ -64,6 +64,13 @@ def plan(candidates: DataFrame, limit: int = C.SELECTION_LIMIT, offset: int = 0)
     return top(candidates, order(), min(limit, C.SELECTION_LIMIT)).withColumn("position", F.col("rank") + offset)
 
 
+def appended(planned: DataFrame, bindings: DataFrame, edition: str) -> DataFrame:
+    """``planned`` with positions after the last one that ``edition`` has among ``bindings`` (edition, id, section, position)."""
+    last = bindings.filter(F.col("edition") == edition).agg(F.coalesce(F.max("position"), F.lit(0)).alias("_last"))
+    # One row.
+    return planned.crossJoin(F.broadcast(last)).withColumn("position", F.col("rank") + F.col("_last")).drop("_last")
+
+
 def counted_plan(items: DataFrame, classes: DataFrame, decisions: DataFrame, sources: DataFrame, limit: int = C.SELECTION_LIMIT) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
     """``plan`` of what is ``eligible``, and the run's counters once an action has run it: scanned, eligible, selected, and of these headlines and tagged ones."""
     counts: list[Callable[[], dict[str, int]]] = []

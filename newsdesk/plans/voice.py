@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsdesk import config as C
 from newsdesk.functions import text
-from newsdesk.operators.relational import first_per_key
+from newsdesk.operators.relational import first_per_key, top
 from newsdesk.plans.classify import best
 from newsdesk.plans.scoring import clamp
 
@@ -38,6 +38,14 @@ def candidate_score(recency: Column, as_of: Column) -> Column:
     return F.when(speaks(), F.round(score, 3)).otherwise(-999.0)
 
 
+def selected(items: DataFrame, as_of: Column, limit: int, over_fetch: int = 8) -> DataFrame:
+    """The voices to analyse, with voice_score and rank: of the newest ``over_fetch`` times ``limit`` items those that speak and aren't noise, best first, the newer of equal ones first."""
+    newest = [F.col("recency").desc_nulls_last(), F.col("id")]
+    taken = items.orderBy(*newest).limit(limit * over_fetch)
+    scored = taken.filter(~F.coalesce("noise", F.lit(True))).withColumn("voice_score", candidate_score(F.col("recency"), as_of)).filter("voice_score >= 0")
+    return top(scored, [F.desc("voice_score"), *newest], limit)
+
+
 def topic(combined: Column, source_ref: Column, primary_tag: Column) -> Column:
     """The first product or company a text names, else its source, else its tag's topic; at most 60 characters.
 
@@ -45,9 +53,9 @@ def topic(combined: Column, source_ref: Column, primary_tag: Column) -> Column:
     """
     of = lambda p: F.nullif(F.regexp_extract(combined, f"(?i)(?<![A-Za-z0-9_])({p})", 1), F.lit(""))
     end = r"(?![A-Za-z0-9_])"
-    named = [F.upper(text.collapse(of(r"gpt[-\s]?\d+(?:\.\d+)?(?:\s*(?:mini|nano|pro|high|turbo|o\d))?")))]
-    named += [text.title_case(of(rf"{f}(?:\s+[a-z0-9.-]+){{0,2}}")) for f in C.TOPIC_FAMILIES]
-    named += [text.title_case(of(r"llama(?:\s*\d+(?:\.\d+)?)?(?:\s+[a-z0-9.-]+)?"))]
+    named = [F.upper(text.collapse(of(C.TOPIC_GPT)))]
+    named += [text.title_case(of(f + C.TOPIC_REST)) for f in C.TOPIC_FAMILIES]
+    named += [text.title_case(of(C.TOPIC_LLAMA))]
     named += [F.when(of(f"(?:{p}){end}").isNotNull(), F.lit(name)) for p, name in C.TOPIC_NAMES]
     source = F.nullif(F.regexp_replace(text.collapse(source_ref), "^@", ""), F.lit(""))
     fallback = F.lit("AI General")

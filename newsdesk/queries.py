@@ -120,6 +120,18 @@ def items_table(s, d):
     return t.read().select("platform", "id", "n", "text", stamp("created_at").alias("created"))
 
 
+@query
+def run_ledger(s, d):
+    """The last run of each item and step after a run that does what has changed, and whether it was skipped."""
+    i, n = X.items(s, d), F.col("n")
+    tries = F.explode(F.sequence(F.lit(1), (n % 3 + 1).cast("int")))
+    runs = i.filter("n % 5 > 0").select(F.col("id").alias("item_id"), F.lit("classify").alias("step"), tries.alias("attempt"), "n").withColumns({"input_hash": F.concat(F.lit("h"), F.col("attempt")), "status": F.when((n + F.col("attempt")) % 4 == 0, "failed").otherwise("success")}).drop("n")
+    due = i.select(F.col("id").alias("item_id"), F.lit("classify").alias("step"), F.concat(F.lit("h"), n % 4).alias("input_hash"), F.lit("success").alias("status"))
+    same = K.unchanged(due, runs)
+    done = due.join(same.select("item_id"), "item_id", "left_anti")
+    return K.latest_runs(K.runs_appended(runs, done)).select("item_id", "attempt", "input_hash", "status")
+
+
 @query
 def title_keys(s, d):
     return X.items(s, d).select("id", text.key(F.col("title"), 24).alias("rules_key"), text.key(F.col("title"), 20).alias("prefilter_key"))
@@ -550,6 +562,16 @@ def appended_positions(s, d):
     return publish.plan(_eligible(s, d), limit=20, offset=120).select("id", "position")
 
 
+@query
+def appended_after(s, d):
+    """A plan's positions after the last one that each of two editions has, and in one that has none."""
+    n = F.col("n")
+    bindings = X.items(s, d).filter("n % 11 = 0").select(F.concat(F.lit("ed"), n % 2).alias("edition"), "id", F.lit("4_tech").alias("section"), (n * 7 % 613).cast("int").alias("position"))
+    planned = publish.plan(_eligible(s, d), limit=15).select("id", "rank")
+    parts = [publish.appended(planned, bindings, e).select(F.lit(e).alias("edition"), "id", "position") for e in ("ed0", "ed1", "ed9")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def section_topn(s, d):
     return publish.per_section(publish.plan(_eligible(s, d)), 3).select("id", "section", "place")
@@ -777,6 +799,12 @@ def voice_candidates(s, d):
     return _voices(s, d).select("id", voice.speaks().alias("speaks"), voice.candidate_score(F.col("recency"), at("2024-01-03 00:00:00")).alias("voice_score"))
 
 
+@query
+def voice_selected(s, d):
+    rows = _voices(s, d).withColumn("noise", F.when(F.col("n") % 13 > 0, F.col("n") % 6 == 0))
+    return voice.selected(rows, at("2024-01-03 00:00:00"), 20).select("id", "rank", "voice_score")
+
+
 @query
 def voice_sentiment(s, d):
     lower = F.lower(text.collapse(F.concat_ws("\n", "title", "body", "source_ref")))
