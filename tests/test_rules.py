@@ -291,3 +291,35 @@ def test_digest_ranges():
     assert digest_range(now, start=at(4)) == (at(4), now, "explicit-range", False)
     assert digest_range(now, start=at(1), stop=at(9)) == (at(2), at(9), "explicit-range", True)
     assert digest_range(now, date="2024-03-05", start=at(1))[2] == "jst-date"
+
+
+def test_topics_by_brute_force(spark, sf):
+    import re
+
+    from newsdesk import config as C
+    from newsdesk.queries import _topics
+
+    flat = lambda t: " ".join((t or "").split())
+
+    def titled(t):
+        out = []
+        for w in flat(t).split():
+            out.append(w.upper() if re.fullmatch(r"(?i)[a-z]{1,4}\d+(\.\d+)?", w) else w if re.fullmatch("[A-Z]{1,6}", w) else w[0].upper() + w[1:].lower())
+        return " ".join(out)
+
+    def topic(named, source, tag):
+        find = lambda p: (m := re.search(rf"(?<![A-Za-z0-9_])({p})", named, re.I | re.A)) and m[1]
+        if v := find(C.TOPIC_GPT):
+            return flat(v).upper()
+        for p in [f + C.TOPIC_REST for f in C.TOPIC_FAMILIES] + [C.TOPIC_LLAMA]:
+            if v := find(p):
+                return titled(v)
+        for p, name in C.TOPIC_NAMES:
+            if find(rf"(?:{p})(?![A-Za-z0-9_])"):
+                return name
+        return re.sub("^@", "", flat(source)) or C.TOPIC_FALLBACK.get(tag or "OTHER", "AI General")
+
+    begin = ("gpt-4 mini ", "Claude opus ", "日gpt-5 ", "", "use cursor ", "LLAMA 3 ", "mcp server ", "")
+    rows = _topics(spark, sf).select("id", "n", "body", "source_ref", "primary_tag", "topic").collect()
+    want = {r.id: topic(begin[r.n % 8] + (r.body or ""), r.source_ref if r.n % 3 else None, r.primary_tag)[:60] for r in rows}
+    assert {r.id: r.topic for r in rows} == want and len(set(want.values())) > 5
