@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 from collections.abc import Callable, Iterable, Iterator
 
@@ -106,10 +107,18 @@ def held(key: object, make: Callable[[], object]) -> object:
     return _HELD[key]
 
 
+def spare() -> None:
+    """Memory that Arrow and the C library hold without need goes back to the system: workers outlive their tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    # Only glibc has this; other C libraries give memory back by themselves.
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def release() -> None:
-    """Nothing of an earlier operator's is kept any longer, and Arrow gives its spare memory back; for tasks that need it themselves."""
+    """Nothing of an earlier operator's is kept any longer, and spare memory is given back; for tasks that need it themselves."""
     _HELD.clear()
-    pa.default_memory_pool().release_unused()
+    spare()
 
 
 def parts(spark: SparkSession) -> int:

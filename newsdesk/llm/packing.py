@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import held, regrouped, release
+from newsdesk.llm.common import held, regrouped, release, spare
 from newsdesk.llm.tokens import WordEncoder
 from newsdesk.session import stored
 
@@ -59,6 +59,8 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             in_docs[term] += times.astype(np.int32)
             raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
             n = table.num_rows
+            del key, doc, ids
+            spare()
             yield pa.RecordBatch.from_arrays(
                 [table.column(0).combine_chunks(), pa.array(sizes.astype(np.int32)), raw, pa.nulls(n, _TOKENS.field(3).type), pa.nulls(n, _TOKENS.field(4).type)],
                 schema=_TOKENS,
@@ -79,14 +81,22 @@ class Shard:
     def __init__(self, lists: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
         self.n = len(lists)
         lengths = np.array([len(x) for x in lists], np.int64)
-        key = np.sort(np.concatenate(lists).astype(np.int64) << 32 | _runs(lengths))
+        # In place, and parts go as soon as they are used: a shard's tokens are many.
+        key = np.concatenate(lists).astype(np.int64)
+        key <<= 32
+        key |= _runs(lengths)
+        key.sort()
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         tf = np.diff(np.append(first, len(key)))
-        term, self.doc = key[first] >> 32, key[first] & 0xFFFFFFFF
+        key = key[first]
+        del first
+        term, self.doc = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
+        del key
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean_length))
         counts = np.bincount(term, minlength=len(idf))
         self.stop = np.cumsum(counts)
         self.start = self.stop - counts
+        del tf, counts
         order = np.argsort(self.doc, kind="stable")
         self.terms, self.strength = term[order], self.weight[order]
         self.doc_stop = np.cumsum(np.bincount(self.doc, minlength=self.n))
@@ -208,5 +218,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 [c.split()[0] for c in PIECES.split(", ")],
             )
             first += int(cols[3].max()) + 1
+            del lists, pieces, raw, cols
+            spare()
 
     return tokens.filter("n_tokens is not null").select("doc_id", "ids").mapInArrow(run, PIECES)

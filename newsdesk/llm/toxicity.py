@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsdesk.llm.common import Interner, bounded, utf8
+from newsdesk.llm.common import Interner, bounded, release, spare, utf8
 from newsdesk.llm.common import held as kept
 from newsdesk.session import stored
 
@@ -314,10 +314,12 @@ def _landmarks(fit: DataFrame) -> list[str]:
     """Words of the sample: those that tell toxic documents apart, the other ones most like them, and frequent ones."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in bounded(batches, 0, BATCH_BYTES):
             found = [sorted({w for c in set(chunks(t)) for w in folded(c)}) for t in batch.column(0).to_pylist()]
             found = [f + sorted({f"{w[:STEM]}*" for w in f if len(w) > STEM}) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["words", "y"])
+        spare()
 
     count = {r["y"]: r["n"] for r in fit.groupBy("y").agg(F.count("*").alias("n")).collect()}
     p, n = count.get(1, 0), count.get(0, 0)
@@ -416,11 +418,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     nystroem = vectors[:, good] / np.sqrt(values[good])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         landmarks, into = Landmarks(names), nystroem.astype(np.float32)
         for batch in bounded(batches, 0, BATCH_BYTES // 4):
             found = Chunks(lambda c: landmarks.chunks(c) @ into, into.shape[1])
             x = [x.astype("<f4").tobytes() for x in found.sentences(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(x, pa.binary())], ["y", "part", "x"])
+            del found, x
+            spare()
 
     size = nystroem.shape[1] + 1
     sentences = stored(sample.mapInArrow(mapped, "y int, part int, x binary"), "toxicity-sentences")
@@ -453,6 +458,7 @@ def scored(docs: DataFrame, model: Model | None, score_col: str, text_col: str =
         for batch in bounded(batches, at, BATCH_BYTES):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             yield batch.append_column(score_col, pa.array(scorer.model.probability(scorer.documents(texts))))
+        spare()
 
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     return docs.mapInArrow(run, schema)

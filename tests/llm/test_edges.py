@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
+import subprocess
+import sys
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -41,3 +46,28 @@ def test_conversations_with_clashing_columns(spark, sf):
     clashing = turns.withColumns({c: F.lit(c) for c in ("formatted", "token_ids", "loss", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "position", "turns")})
     plain = sorted(map(str, chat_format.format_conversations(turns, path).select("conv_id", "n_turns", "turns_sha256", "loss_sha256").collect()))
     assert plain == sorted(map(str, chat_format.format_conversations(clashing, path).select("conv_id", "n_turns", "turns_sha256", "loss_sha256").collect())) and plain
+
+
+KEPT = """
+import re
+import numpy as np
+from newsdesk.llm import common
+
+def used():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+parts = common.held("an operator's", lambda: [np.ones(60_000, np.uint8) for _ in range(2_000)])
+last, before = parts[-1], used()
+del parts
+common.release()
+print(before - used())
+"""
+
+
+def test_released_memory_goes_back_to_the_system():
+    # A worker lives on beside the next operator's; what still stands at the end of its heap mustn't hold the rest.
+    if not os.path.exists("/proc/self/smaps_rollup") or not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("needs Linux with glibc")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, "-c", KEPT], cwd=root, capture_output=True, text=True, check=True).stdout
+    assert float(said) > 100
