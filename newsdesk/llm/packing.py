@@ -107,8 +107,13 @@ class Shard:
         low, high = int(self.doc_stop[doc - 1]) if doc else 0, int(self.doc_stop[doc])
         best = np.argsort(-self.strength[low:high], kind="stable")[:query_terms]
         slices = [slice(self.start[t], self.stop[t]) for t in self.terms[low:high][best].tolist()]
-        touched, of = np.unique(np.concatenate([self.doc[s] for s in slices]), return_inverse=True)
-        score = np.bincount(of, np.concatenate([self.weight[s] for s in slices]))
+        touched, gain = np.concatenate([self.doc[s] for s in slices]), np.concatenate([self.weight[s] for s in slices])
+        # Sums by position in the shard, or, where few of very many documents are touched, by those alone.
+        if 16 * len(touched) > self.n:
+            touched, score = np.arange(self.n), np.bincount(touched, gain, self.n)
+        else:
+            touched, of = np.unique(touched, return_inverse=True)
+            score = np.bincount(of, gain)
         open_ = ~self.used[touched] & (score > 0)
         touched, score, ahead = touched[open_], score[open_], 16
         # A few fill most windows: the rest is ordered only when it is asked for.

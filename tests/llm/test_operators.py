@@ -157,6 +157,33 @@ def test_encoder_forgets_and_agrees():
         assert [g.tolist() for g in got] == [e.ids for e in tokens.tokenizer(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_encoder_keeps_what_comes_again():
+    # Once more is known than may be kept, rare words go; those of every batch aren't encoded again.
+    encoder, seen, encoded = tokens.WordEncoder(PATH, keep=1000), [], tokens.WordEncoder._encoded
+    encoder._encoded = lambda fresh: seen.extend(fresh) or encoded(encoder, fresh)
+    word = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    common = [f"common{word(k)}" for k in range(200)]
+    for k in range(10):
+        text = " ".join(common + [f"rare{word(300 * k + j)}" for j in range(300)])
+        ids, sizes = encoder(pa.array([text]))
+        assert ids.tolist() == tokens.tokenizer(PATH).encode(text, add_special_tokens=False).ids and sizes.tolist() == [len(ids)]
+        assert max(len(encoder.words.keys), len(encoder.pieces.keys)) <= 1000 + 500
+    assert len(seen) == len(set(seen)) == 200 + 10 * 300
+    encoder.words.MOST_BYTES = encoder.pieces.MOST_BYTES = 10
+    assert encoder(pa.array([text]))[0].tolist() == ids.tolist()
+
+
+def test_shards_neighbours_are_the_same_by_either_sum():
+    rng = np.random.default_rng(5)
+    lists = [rng.integers(0, 3000, rng.integers(1, 60)).astype(np.uint32) for _ in range(400)]
+    idf = np.log1p(rng.random(3000) * 50)
+    shard, n = packing.Shard(lists, idf, 30.0), 400
+    shard.used[::7] = True
+    by_position = [list(shard.neighbours(d)) for d in range(n)]
+    shard.n = 1 << 40
+    assert [list(shard.neighbours(d)) for d in range(n)] == by_position and any(by_position)
+
+
 # --- decontamination
 
 
