@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import gc
+import weakref
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from newsdesk.llm import decontaminate, secret_scan, simhash
-from newsdesk.llm.queries import ORACLE_SQL, QUERIES, table
+from newsdesk.llm import common, decontaminate, packing, secret_scan, simhash, tokens
+from newsdesk.llm.queries import ORACLE_SQL, QUERIES, table, word_tokenizer
 from newsdesk.session import stored
 from tests.llm.test_operators import brute_components, brute_contamination, brute_fingerprint, check_pieces
 
@@ -79,6 +85,36 @@ def test_stages(spark, sf):
     state.unpersist()
 
 
+def test_stages_run_in_small_batches(spark, sf):
+    def measured(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([{"bytes": b.nbytes}])
+
+    large = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("text "), 1000).alias("text"))
+    sizes = lambda: [r.bytes for r in large.mapInArrow(measured, "bytes long").collect()]
+    for _, stage in corpus_pipeline.STAGES:
+        for key in corpus_pipeline.BATCHES:
+            spark.conf.unset(key)
+        assert max(sizes()) > 16e6
+        stage(spark, table(spark, sf, "documents").limit(0), sf)
+        assert max(sizes()) < 5e6
+    key = next(iter(corpus_pipeline.BATCHES))
+    spark.conf.set(key, 1 << 20)
+    stage(spark, table(spark, sf, "documents").limit(0), sf)
+    assert max(sizes()) < 1.3e6
+    spark.conf.unset(key)
+
+
+def test_tokenizer_goes_with_its_encoder():
+    # Workers of the packing stage live on beside the next run's first stage.
+    tokens.tokenizer.cache_clear()
+    gone = weakref.ref(packing.encoder(word_tokenizer()))
+    common.release()
+    assert tokens.tokenizer.cache_info().currsize == 0
+    gc.collect()
+    assert gone() is None
+
+
 def test_redacted_documents_have_their_own_length(spark, sf):
     texts = ['and the token = "0c497b5014f705c0be648d68b816f88c209136eb" then', "no secret", None]
     docs = spark.createDataFrame([(k, t, "en", "src0", t and len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
