@@ -93,10 +93,11 @@ def event_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A catalogue as stored and as fetched later."""
+    """A catalogue as stored and as fetched later; an id is (added, key), as an added entry's key may be a stored part's too."""
     p = table(spark, sf_dir, "part")
-    old = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("bigint").alias("context"), F.lit(None).cast("timestamp").alias("removed_at"))
-    k = F.col("id")
+    own = lambda added, key: F.struct(F.lit(added).alias("added"), key.alias("key")).alias("id")
+    old = p.select(own(False, F.col("p_partkey")), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("bigint").alias("context"), F.lit(None).cast("timestamp").alias("removed_at"))
+    k = F.col("id.key")
     kept = old.filter(k % 13 != 0).select("id", "name", F.when(k % 7 == 0, F.round(F.col("price") * 1.1, 4)).otherwise(F.col("price")).alias("price"), F.when(k % 5 == 0, F.col("context") + 1).otherwise(F.col("context")).alias("context"))
-    new = old.filter(k % 19 == 0).select((k + 1_000_000).alias("id"), "name", "price", "context")
+    new = old.filter(k % 19 == 0).select(own(True, k + 1_000_000), "name", "price", "context")
     return old, kept.unionByName(new)

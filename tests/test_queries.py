@@ -98,3 +98,25 @@ def test_entry_works_without_the_corpus_operators(tmp_path, lacking):
     code = f"{block}import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), len(s), any(n.startswith('op') or n == 'pipeline' for n in q))"
     out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
     assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLE_SQL)), "False"], out.stderr[-2000:]
+
+
+def _agrees(spark, name: str, folder: Path) -> list[tuple]:
+    """The rows of a query over the tables in ``folder``, which DuckDB's are equal to."""
+    con = duckdb.connect()
+    for at in folder.glob("*.parquet"):
+        con.execute(f"create view {at.stem} as select * from read_parquet('{at}')")
+    got = rows(QUERIES[name](spark, str(folder)).toPandas())
+    assert got == rows(con.execute(ORACLE_SQL[name]).df())
+    return got
+
+
+def _parts_on_both_sides_of_the_shift(folder: Path) -> None:
+    """Parts whose keys, shifted as added entries' are, are other parts' keys: one kept, one removed, one changed."""
+    keys = [1, 5, 7, 13, 19, 38, 57, 95, 133, 1_000_013, 1_000_019, 1_000_038, 1_000_057, 1_000_095, 1_000_133]
+    pd.DataFrame({"p_partkey": keys, "p_name": "n", "p_size": 3, "p_retailprice": 900.5}).to_parquet(folder / "part.parquet")
+
+
+def test_added_entries_are_new_where_a_part_has_their_key(spark, tmp_path):
+    _parts_on_both_sides_of_the_shift(tmp_path)
+    # By name: event, events, first_id, last_id.
+    assert set(_agrees(spark, "catalogue_diff", tmp_path)) == {("new", 5, 1_000_019, 1_000_133), ("removed", 2, 13, 1_000_038), ("price_change", 3, 7, 1_000_013), ("context_change", 3, 5, 1_000_095)}
