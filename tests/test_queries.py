@@ -120,3 +120,10 @@ def test_added_entries_are_new_where_a_part_has_their_key(spark, tmp_path):
     _parts_on_both_sides_of_the_shift(tmp_path)
     # By name: event, events, first_id, last_id.
     assert set(_agrees(spark, "catalogue_diff", tmp_path)) == {("new", 5, 1_000_019, 1_000_133), ("removed", 2, 13, 1_000_038), ("price_change", 3, 7, 1_000_013), ("context_change", 3, 5, 1_000_095)}
+
+
+def test_every_event_of_colliding_keys_is_listed(spark, tmp_path):
+    _parts_on_both_sides_of_the_shift(tmp_path)
+    found = _agrees(spark, "catalogue_events", tmp_path)
+    # A part that goes and an added entry of its key are two events of one id.
+    assert len(found) == 13 and {e for e, k in found if k == 1_000_038} == {"new", "removed"}
