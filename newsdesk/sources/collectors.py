@@ -37,24 +37,27 @@ def instant(raw: Column) -> Column:
 def plain(html: Column, limit: int | None = None) -> Column:
     """A title or snippet without tags."""
     out = text.collapse(F.regexp_replace(html, "<[^>]*>", ""))
-    return F.substring(out, 1, limit) if limit else out
+    return F.trim(F.substring(out, 1, limit)) if limit else out
 
 
 def _candidate(platform: str, id_: Column, kind: str, ref: Column, title: Column, body: Column, url: Column, published: Column) -> list[Column]:
     link = F.coalesce(text.blank_to_null(url), F.concat(F.lit(f"https://item.invalid/{platform}/"), F.url_encode(id_)))
     return [
-        F.lit(platform).alias("platform"), id_.alias("external_id"), F.lit(kind).alias("source_type"), ref.alias("source_ref"), text.blank_to_null(title).alias("title"), text.blank_to_null(body).alias("body"),
+        F.lit(platform).alias("platform"), id_.alias("external_id"), F.lit(kind).alias("source_type"), ref.alias("source_ref"), text.blank_to_null(title).alias("title"), text.blank_to_null(body).alias("body"), body.alias("raw_body"),
         link.alias("url"), urls.canonical(link).alias("canonical_url"), timing.clamped(published, F.col("fetched_at")).alias("published_at"), F.col("fetched_at").alias("ingested_at"),
     ]
 
 
 def candidates(raw: dict[str, DataFrame]) -> DataFrame:
-    """All platforms' posts as one table; a missing date is the fetch's, but X has its own; of alerts with one article the oldest stays."""
+    """All platforms' posts as one table; a missing date is the fetch's, but X has its own; of alerts with one article the oldest stays.
+
+    ``body`` has no white space at its ends and is null if blank; ``raw_body`` is the body as it was collected.
+    """
     c, at = F.col, lambda name: F.coalesce(F.col(name), F.col("fetched_at"))
     out: list[DataFrame] = []
     for platform, df in raw.items():
         if platform == "twitter":
-            body = F.coalesce(text.blank_to_null(c("note_text")), c("text"))
+            body = F.when(text.blank_to_null(c("note_text")).isNotNull(), c("note_text")).otherwise(c("text"))
             cols = _candidate(platform, c("id"), "x_account", F.concat(F.lit("@"), "handle"), text.truncate(body, 140), body, c("url"), c("created_at"))
         elif platform == "alerts":
             df = first_per_key(df, ["article_url"], [c("id")])

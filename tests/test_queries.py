@@ -127,3 +127,12 @@ def test_every_event_of_colliding_keys_is_listed(spark, tmp_path):
     found = _agrees(spark, "catalogue_events", tmp_path)
     # A part that goes and an added entry of its key are two events of one id.
     assert len(found) == 13 and {e for e, k in found if k == 1_000_038} == {"new", "removed"}
+
+
+def test_collected_bodies_are_whole(spark, tmp_path):
+    edges = ["plain text.", " both ends ", "line\n", "\tin\n the  middle", "　wide ", "", " ", "\n　", None, "x" * 999 + " " + "y" * 20, "z" * 139 + "  z", " " + "a b " * 400]
+    texts = [t for t in edges for _ in range(14)]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "source": "src", "lang": "en", "n_chars": 1}).to_parquet(tmp_path / "documents.parquet")
+    found = _agrees(spark, "collected_candidates", tmp_path)
+    # By name: the first is body_chars, the fourth platform.
+    assert {r[0] for r in found if r[3] == "qiita"} == {None if t is None else len(t) for t in edges}
