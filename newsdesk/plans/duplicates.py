@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,31 +156,77 @@ def similar_titles(items: DataFrame, threshold: float = C.TITLE_JACCARD, first:
     return found.unionByName(same)
 
 
+BLOCK = "dim int, block long, ids binary, x binary"
+#: Blocks of a stored part: with 1,024 vectors of 64 doubles each, half a MB, a task holds some 64 MB of blocks.
+PART_BLOCKS = 128
+
+
+def _blocks(vectors: DataFrame, block_rows: int) -> DataFrame:
+    """(dim, block, ids, x): usable vectors, of unit length, as rows of at most ``block_rows``, stored; ids and x are bytes of longs and doubles.
+
+    Their parts, which meet in pairs, are about as many as give eight tasks a core, more where a part would be large.
+    """
+    usable = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x")).filter("id is not null and x is not null")
+    parts = max(math.ceil(math.sqrt(8 * vectors.sparkSession.sparkContext.defaultParallelism)), -(-usable.count() // (block_rows * PART_BLOCKS)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Unique, as a part is stored by one attempt of its task.
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            rows = batch.column("x")
+            lengths = pc.list_value_length(rows).to_numpy()
+            for dim in np.unique(lengths[lengths > 0]).tolist():
+                at = np.flatnonzero(lengths == dim)
+                ids, x = batch.column("id").to_numpy()[at], rows.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                norm = np.linalg.norm(x, axis=1)
+                good = np.isfinite(norm) & (norm > 0)
+                ids, x = ids[good], x[good] / norm[good, None]
+                for k in range(0, len(ids), block_rows):
+                    yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "block": [block], "ids": [ids[k : k + block_rows].tobytes()], "x": [x[k : k + block_rows].tobytes()]})
+                    block += 1
+
+    return stored(usable.repartition(parts, "id").mapInArrow(pack, BLOCK), "vector-blocks")
+
+
+def _met(vectors: DataFrame, block_rows: int) -> DataFrame:
+    """Every two blocks of vectors of one length, and each with itself, once: (own, a, x, b, y).
+
+    A Cartesian product by tasks that read two stored parts each, so that nothing is shuffled however many pairs there are.
+    """
+    blocks = _blocks(vectors, block_rows)
+    one = blocks.select(F.col("dim").alias("d"), F.col("block").alias("p"), F.col("ids").alias("a"), "x")
+    other = blocks.select(F.col("dim").alias("e"), F.col("block").alias("q"), F.col("ids").alias("b"), F.col("x").alias("y"))
+    p, q = F.col("p"), F.col("q")
+    # Of the two orders of a pair one is taken, by turns, as then all tasks have about the same to do.
+    once = (p == q) | ((p < q) == ((p + q) % 2 == 0))
+    return one.hint("shuffle_replicate_nl").join(other, (F.col("d") == F.col("e")) & once).select((p == q).alias("own"), "a", "x", "b", "y")
+
+
+def _products(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(u, v, cosine) of the pairs at the threshold, one matrix product for each two blocks."""
+    for batch in batches:
+        for own, *sides in zip(*[batch.column(c) for c in ("own", "a", "x", "b", "y")], strict=True):
+            a, x, b, y = (np.frombuffer(s.as_buffer(), t) for s, t in zip(sides, (np.int64, np.float64) * 2, strict=True))
+            c = x.reshape(len(a), -1) @ y.reshape(len(b), -1).T
+            i, j = np.divmod(np.flatnonzero(c >= threshold), len(b))
+            u, v, c = a[i], b[j], c[i, j]
+            keep = u < v if own.as_py() else u != v
+            if keep.any():
+                yield np.minimum(u, v)[keep], np.maximum(u, v)[keep], c[keep]
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float = C.COSINE_THRESHOLD, block_rows: int = 1024) -> DataFrame:
     """(u, v, cosine) for u < v with cosine at least ``threshold``, of vectors (vec_id, embedding).
 
     Blocks of rows meet in pairs, each pair one matrix product in one task: memory is bounded by two
-    blocks.  Null, zero and non-finite vectors are left out; vectors of other lengths are no pair.
+    parts of the stored blocks.  Null, zero and non-finite vectors are left out; vectors of other lengths are no pair.
     """
-    usable = vectors.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    blocks = max(1, -(-usable.count() // block_rows))
-    dealt = usable.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    seats = dealt.select("id", "x", "b", F.explode(others).alias("o")).select("id", "x", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), (F.col("b") > F.col("o")).alias("side"), F.size("x").alias("dim"))
-
-    def product(group: pd.DataFrame) -> pd.DataFrame:
-        ids, x = group["id"].to_numpy(), np.stack(group["x"].to_numpy()).astype(float)
-        norm = np.linalg.norm(x, axis=1)
-        good = np.isfinite(norm) & (norm > 0)
-        ids, x, side, own = ids[good], x[good] / norm[good, None], group["side"].to_numpy()[good], group["p"].iloc[0] == group["q"].iloc[0]
-        a, b = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(~side), np.flatnonzero(side))
-        c = x[a] @ x[b].T
-        i, j = np.nonzero(c >= threshold)
-        u, v, c = ids[a[i]], ids[b[j]], c[i, j]
-        keep = u < v if own else u != v
-        return pd.DataFrame({"u": np.minimum(u, v)[keep], "v": np.maximum(u, v)[keep], "cosine": c[keep]})
-
-    return seats.groupBy("dim", "p", "q").applyInPandas(product, "u long, v long, cosine double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u, v, c in _products(batches, threshold):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(c)], ["u", "v", "cosine"])
+
+    return _met(vectors, block_rows).mapInArrow(run, "u long, v long, cosine double")
 
 
 def topic_clusters(vectors: DataFrame, edges: DataFrame) -> DataFrame:

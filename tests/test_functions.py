@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +202,23 @@ def test_links_of_nested_json(spark):
     for k, (_, want) in enumerate(cases):
         assert sorted(got[k]) == sorted(want), k
     assert got[90] == got[91] == got[92] == []
+
+
+def _random_vectors(spark, n: int = 300):
+    """(vec_id, embedding) with copies, negative ids, two lengths and unusable ones; and the pairs' cosines by brute force."""
+    draw = np.random.default_rng(5)
+    rows = [(k * 7 - 900, draw.normal(size=6 if k % 5 else 4).tolist()) for k in range(n)]
+    rows += [(10_000 + k, v) for k, (_, v) in enumerate(rows[:40])] + [(None, [1.0] * 6), (20_000, [float("nan")] * 6), (20_001, [0.0] * 4)]
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in rows if k is not None and k < 20_000}
+    cosines = {(u, v): float(x @ y) for u, x in unit.items() for v, y in unit.items() if u < v and len(x) == len(y)}
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), cosines
+
+
+def test_blocks_of_vectors_meet_without_a_shuffle(spark):
+    vectors, cosines = _random_vectors(spark)
+    for block_rows in (16, 1024):
+        pairs = duplicates.cosine_pairs(vectors, 0.8, block_rows)
+        # What is sent to meet would grow with the square of the rows.
+        assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+        got = [(r.u, r.v, round(r.cosine, 9)) for r in pairs.collect()]
+        assert sorted(got) == sorted((*k, round(c, 9)) for k, c in cosines.items() if c >= 0.8) and len(got) > 500
