@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,3 +61,19 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = state.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A task's edges as (node, smallest node tied to it), at most one a node, with the same components; no self loops."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        # Of two roots the larger goes below the smallest it meets; then all point to their root again.
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    tied = root != np.arange(len(nodes))
+    return nodes[tied], nodes[root[tied]]

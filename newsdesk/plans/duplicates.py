@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from newsdesk import config as C
 from newsdesk.functions import text, urls
-from newsdesk.operators.components import connected_components
+from newsdesk.operators.components import connected_components, stars
 from newsdesk.operators.relational import densely_numbered, first_per_key
 from newsdesk.session import stored
 
@@ -229,6 +229,28 @@ def cosine_pairs(vectors: DataFrame, threshold: float = C.COSINE_THRESHOLD, bloc
     return _met(vectors, block_rows).mapInArrow(run, "u long, v long, cosine double")
 
 
+def cosine_links(vectors: DataFrame, threshold: float = C.COSINE_THRESHOLD, block_rows: int = 1024) -> DataFrame:
+    """(u, v) with the components of ``cosine_pairs``, however many pairs there are: a task's pairs come as its components' stars.
+
+    A task holds the stars of its two parts' vectors and, besides, as many pairs or a million.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, 1 << 20
+        for u, v, _ in _products(batches, threshold):
+            held.append((u, v))
+            n += len(u)
+            if n > most:
+                held = [stars(*map(np.concatenate, zip(*held, strict=True)))]
+                n = len(held[0][0])
+                most = max(1 << 20, 2 * n)
+        if held:
+            u, v = stars(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return _met(vectors, block_rows).mapInArrow(run, "u long, v long")
+
+
 def topic_clusters(vectors: DataFrame, edges: DataFrame) -> DataFrame:
     """(vec_id, topic_key, size, sources, platforms, boost) of every vector; single ones are clusters too."""
     members = vectors.join(connected_components(edges), F.col("vec_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "vec_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from newsdesk import session
 from newsdesk.functions import html, text, timing, urls
 from newsdesk.operators import relational as R
-from newsdesk.operators.components import connected_components
+from newsdesk.operators.components import connected_components, stars
 from newsdesk.plans import duplicates, feeds, maintenance, publish, scoring, voice
 from newsdesk.plans.classify import classify
 
@@ -222,3 +222,28 @@ def test_blocks_of_vectors_meet_without_a_shuffle(spark):
         assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
         got = [(r.u, r.v, round(r.cosine, 9)) for r in pairs.collect()]
         assert sorted(got) == sorted((*k, round(c, 9)) for k, c in cosines.items() if c >= 0.8) and len(got) > 500
+
+
+def test_links_of_vectors_are_as_many_as_vectors(spark):
+    vectors, cosines = _random_vectors(spark)
+    pairs = {k for k, c in cosines.items() if c >= 0.9}
+    want = {(r.node, r.component) for r in connected_components(spark.createDataFrame(sorted(pairs), "u long, v long")).collect()}
+    for block_rows in (16, 1024):
+        links = duplicates.cosine_links(vectors, 0.9, block_rows)
+        assert {(r.node, r.component) for r in connected_components(links).collect()} == want
+    # All vectors alike are half a million pairs, but no more links than each task has vectors.
+    alike = spark.range(1000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    links = duplicates.cosine_links(alike, 0.9, 64)
+    assert links.count() < 2 * links.rdd.getNumPartitions() * 1000 / 8 and {r.component for r in connected_components(links).collect()} == {0}
+
+
+def test_stars_have_the_edges_components():
+    draw = np.random.default_rng(3)
+    chain = np.arange(5000)
+    for u, v in ((chain[1:], chain[:-1]), (draw.permutation(chain)[1:], draw.permutation(chain)[:-1]), (draw.integers(-900, 900, 700), draw.integers(-900, 900, 700)), (chain[:3], chain[:3]), (chain[:0], chain[:0])):
+        low = {k: k for k in np.concatenate([u, v]).tolist()}
+        while any(low[a] != low[b] for a, b in zip(u.tolist(), v.tolist())):
+            for a, b in [*zip(u.tolist(), v.tolist()), *zip(u.tolist()[::-1], v.tolist()[::-1])]:
+                low[a] = low[b] = min(low[a], low[b])
+        a, b = stars(u, v)
+        assert dict(zip(a.tolist(), b.tolist())) == {k: m for k, m in low.items() if k != m} and len(a) == len(set(a.tolist()))
