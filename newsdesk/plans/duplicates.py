@@ -157,17 +157,18 @@ def similar_titles(items: DataFrame, threshold: float = C.TITLE_JACCARD, first:
 
 
 BLOCK = "dim int, block long, ids binary, x binary"
-#: Blocks of a stored part: with 1,024 vectors of 64 doubles each, half a MB, a task holds some 64 MB of blocks.
-PART_BLOCKS = 128
+#: Of a stored part of blocks; a task holds two.
+PART_BYTES = 64 << 20
 
 
 def _blocks(vectors: DataFrame, block_rows: int) -> DataFrame:
     """(dim, block, ids, x): usable vectors, of unit length, as rows of at most ``block_rows``, stored; ids and x are bytes of longs and doubles.
 
-    Their parts, which meet in pairs, are about as many as give eight tasks a core, more where a part would be large.
+    Their parts, which meet in pairs, are as many as give eight tasks a core, more where a part would be larger than ``PART_BYTES``.
     """
     usable = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x")).filter("id is not null and x is not null")
-    parts = max(math.ceil(math.sqrt(8 * vectors.sparkSession.sparkContext.defaultParallelism)), -(-usable.count() // (block_rows * PART_BLOCKS)))
+    doubles = usable.agg(F.sum(F.size("x").cast("long"))).first()[0] or 0
+    parts = max(math.ceil(math.sqrt(8 * vectors.sparkSession.sparkContext.defaultParallelism)), math.ceil(8 * doubles / PART_BYTES))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Unique, as a part is stored by one attempt of its task.
